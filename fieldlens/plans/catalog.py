@@ -68,3 +68,474 @@ def q_rtm_analysis_by_year_non_rtm(t: Tables) -> DataFrame:
     units = jobs.build_installed_base(t, V.AS_OF)
     tickets = jobs.build_tickets(t, V.AS_OF)
     return kpi.rtm_analysis_by_year(units, tickets, jobs.build_errors(t), "NAO", V.AS_OF)
+
+
+# ============================================================ helpers
+from pyspark.sql import functions as F  # noqa: E402
+
+from fieldlens.functions import expr as E  # noqa: E402
+from fieldlens.operators import charts, dedup, filters, joins, relationship  # noqa: E402
+
+
+def _units(t: Tables, **kw) -> DataFrame:
+    return jobs.build_installed_base(t, V.AS_OF, **kw)
+
+
+def _tickets(t: Tables) -> DataFrame:
+    return jobs.build_tickets(t, V.AS_OF)
+
+
+def _tickets_full(t: Tables) -> DataFrame:
+    """Tickets with the model and warranty status of their unit."""
+    return kpi.tickets_with_units(_tickets(t), _units(t))
+
+
+W = O.with_views
+P = O.pct
+
+# ============================================================ installed base
+
+
+@register("rtm_summary", W("units", "tickets_base") + """,
+base AS (SELECT * FROM units WHERE RTM = 'SIM' AND NUM_SERIAL IS NOT NULL),
+yr AS (SELECT DISTINCT ANO_NF, NUM_SERIAL FROM base WHERE ANO_NF IS NOT NULL),
+al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY NUM_SERIAL ORDER BY DT_NUM_NF NULLS LAST, ORDER_KEY) rn
+       FROM base) WHERE rn = 1)
+SELECT (SELECT count(*) FROM yr) AS total_units,
+       count_if(GARANTIA = 1095 AND STATUS_GARANTIA = 'DENTRO') AS chassis_36m_warranty,
+       count_if(coalesce(DT_NUM_NF + 365 >= """ + O.AS_OF_SQL + """, false)) AS chassis_under_electronic_warranty,
+       count_if(NUM_SERIAL IN (SELECT CHASSI FROM tickets_base WHERE CHASSI IS NOT NULL)) AS installed_base_known
+FROM al""")
+def q_rtm_summary(t: Tables) -> DataFrame:
+    return kpi.rtm_summary(_units(t), _tickets(t), "SIM", V.AS_OF)
+
+
+def _distinct_if(cond: str) -> str:
+    return f"count(DISTINCT CASE WHEN {cond} THEN NUM_SERIAL END)"
+
+
+_SU = "NUM_SERIAL IN (SELECT CHASSI FROM startup_set)"
+_CA = "NUM_SERIAL IN (SELECT CHASSI FROM call_set)"
+_VC = "coalesce((SELECT n FROM valid_counts v WHERE v.CHASSI = u.NUM_SERIAL), 0)"
+
+
+@register("installed_base_kpis", W("units", "startup_set", "call_set", "valid_counts") + f"""
+SELECT {P(_distinct_if(_SU), "count(*)")} AS pct_com_partida_dfs,
+       {P(f"count_if(NOT ({_SU}) AND {_VC} > 0)", "count(*)")} AS pct_com_partida_terceiros,
+       {P(_distinct_if(_CA), "count(*)")} AS pct_com_chamado,
+       {P(_distinct_if(f"NOT ({_CA})"), "count(*)")} AS pct_sem_chamado,
+       {P(_distinct_if("RTM = 'SIM'"), "count(*)")} AS pct_rtm,
+       {P(_distinct_if("STATUS_GARANTIA = 'DENTRO'"), "count(*)")} AS pct_em_garantia,
+       {P(_distinct_if("STATUS_GARANTIA = 'FORA'"), "count(*)")} AS pct_fora_garantia
+FROM units u""")
+def q_installed_base_kpis(t: Tables) -> DataFrame:
+    return kpi.installed_base_kpis(_units(t), _tickets(t))
+
+
+@register("startup_status_counts", W("units", "startup_set", "valid_counts") + f"""
+SELECT CASE WHEN {_SU} THEN 'SIM - DFS' WHEN {_VC} > 0 THEN 'SIM - TERCEIRO' ELSE 'NÃO' END AS partida_inicial,
+       count(*) AS n
+FROM units u GROUP BY 1""")
+def q_startup_status_counts(t: Tables) -> DataFrame:
+    return kpi.startup_status_counts(_units(t), _tickets(t))
+
+
+_G = "TRY_CAST(CAST(GARANTIA AS VARCHAR) AS DOUBLE)"
+
+
+@register("warranty_distribution", W("units") + "SELECT " + ", ".join(
+    f"{P(f'count_if({_G} = {d})', f'count({_G})')} AS pct_{m}m"
+    for m, d in ((6, 183), (12, 365), (18, 548), (24, 730), (36, 1095))) + " FROM units")
+def q_warranty_distribution(t: Tables) -> DataFrame:
+    return kpi.warranty_distribution(_units(t))
+
+
+def _label_sql(num: str, missing: str) -> str:
+    whens = " ".join(f"WHEN CAST({num} AS INTEGER) = {d} THEN '{txt}'" for d, txt in
+                     sorted(E.dims.WARRANTY_LABELS.items()))
+    valid = f"({num} IS NOT NULL AND NOT isnan({num}) AND {num} >= 0 AND {num} <= 3650)"
+    return (f"CASE WHEN {missing} THEN 'Não informado' WHEN NOT coalesce({valid}, false) THEN 'Outros' "
+            f"ELSE (CASE WHEN trunc({num}) = 183 THEN '{E.dims.WARRANTY_LABELS[183]}' "
+            f"WHEN trunc({num}) = 365 THEN '{E.dims.WARRANTY_LABELS[365]}' "
+            f"WHEN trunc({num}) = 548 THEN '{E.dims.WARRANTY_LABELS[548]}' "
+            f"WHEN trunc({num}) = 730 THEN '{E.dims.WARRANTY_LABELS[730]}' "
+            f"WHEN trunc({num}) = 1095 THEN '{E.dims.WARRANTY_LABELS[1095]}' ELSE 'Outros' END) END")
+
+
+@register("warranty_labels", W("raw_units") + f"""
+SELECT {_label_sql("TRY_CAST(trim(GARANTIA) AS DOUBLE)", "GARANTIA IS NULL OR GARANTIA = ''")} AS duracao_garantia,
+       count(*) AS n
+FROM raw_units GROUP BY 1""")
+def q_warranty_labels(t: Tables) -> DataFrame:
+    raw = V.raw_installed_base(t)
+    return raw.groupBy(E.warranty_label("GARANTIA", text=True).alias("duracao_garantia")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("warranty_labels_numeric", W("units") + f"""
+SELECT {_label_sql("CAST(GARANTIA AS DOUBLE)", "GARANTIA IS NULL OR GARANTIA = 0")} AS duracao_garantia,
+       count(*) AS n
+FROM units GROUP BY 1""")
+def q_warranty_labels_numeric(t: Tables) -> DataFrame:
+    return _units(t).groupBy(E.warranty_label("GARANTIA").alias("duracao_garantia")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("warranty_status", W("units") + """
+SELECT ORDER_KEY AS order_key, NUM_SERIAL AS num_serial, GARANTIA AS garantia, FIM_GARANTIA AS fim_garantia,
+       STATUS_GARANTIA AS status_garantia FROM units""")
+def q_warranty_status(t: Tables) -> DataFrame:
+    return _units(t).select(F.col("ORDER_KEY").alias("order_key"), F.col("NUM_SERIAL").alias("num_serial"),
+                            F.col("GARANTIA").alias("garantia"), F.col("FIM_GARANTIA").alias("fim_garantia"),
+                            F.col("STATUS_GARANTIA").alias("status_garantia"))
+
+
+@register("electronic_warranty", W("units") + f"""
+SELECT ORDER_KEY AS order_key, 365 AS garantia_eletronica,
+       strftime(DT_NUM_NF + 365, '%d/%m/%Y') AS fim_garan_eletrica,
+       CASE WHEN coalesce(DT_NUM_NF + 365 >= {O.AS_OF_SQL}, false) THEN 'DENTRO' ELSE 'FORA' END AS status_garan_eletrica
+FROM units""")
+def q_electronic_warranty(t: Tables) -> DataFrame:
+    u = _units(t)
+    return u.select(F.col("ORDER_KEY").alias("order_key"), F.lit(E.dims.ELECTRONIC_WARRANTY_DAYS).alias("garantia_eletronica"),
+                    F.date_format(E.electronic_warranty_end("DT_NUM_NF"), "dd/MM/yyyy").alias("fim_garan_eletrica"),
+                    E.electronic_warranty_status("DT_NUM_NF", V.AS_OF).alias("status_garan_eletrica"))
+
+
+@register("error_value_summary", W("errors") + """
+SELECT round(coalesce(avg(VALOR_TOTAL), 0), 4) AS media_valor_total, round(coalesce(avg(VALOR_PECA), 0), 4) AS media_valor_peca,
+       round(coalesce(sum(VALOR_TOTAL), 0), 4) AS soma_valor_total, round(coalesce(sum(VALOR_PECA), 0), 4) AS soma_valor_peca
+FROM errors""")
+def q_error_value_summary(t: Tables) -> DataFrame:
+    s = kpi.error_value_summary(jobs.build_errors(t))
+    return s.select(*[F.round(c, 4).alias(c) for c in s.columns])
+
+
+@register("model_share", W("units_all") + "SELECT " + ", ".join(
+    [f"{P(f'count_if(MODELO = {chr(39)}{m}{chr(39)})', 'count(*)')} AS pct_{m.lower()}" for m in E.dims.MAIN_MODELS]
+    + [f"{P('count_if(MODELO IS NOT NULL AND MODELO NOT IN (' + ', '.join(repr(m) for m in E.dims.MAIN_MODELS) + '))', 'count(*)')} AS pct_others"])
+    + " FROM units_all WHERE trim(PAIS) = 'BR'")
+def q_model_share(t: Tables) -> DataFrame:
+    return kpi.model_share(_units(t, drop_other_models=False))
+
+
+@register("domestic_units", W("units") + "SELECT MODELO AS modelo, count(*) AS n FROM units GROUP BY 1")
+def q_domestic_units(t: Tables) -> DataFrame:
+    return _units(t).groupBy(F.col("MODELO").alias("modelo")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("state_share", W("units") + """,
+c AS (SELECT UF AS uf, count(*) AS quantidade FROM units WHERE UF IS NOT NULL GROUP BY UF)
+SELECT uf, quantidade, round(quantidade / (SELECT sum(quantidade) FROM c) * 100.0, 1) AS percentual,
+       round(quantidade / (SELECT sum(quantidade) FROM c) * 100.0, 1) >= 1.0 AS mostrar_rotulo FROM c""")
+def q_state_share(t: Tables) -> DataFrame:
+    return charts.state_share(_units(t))
+
+
+# ============================================================ tickets
+
+
+@register("ticket_dedup", W("tickets_dedup") + """
+SELECT SS, TAREFA, CHASSI, DATA, STATUS, MANTENEDOR, SUMARIO, l_partkey FROM tickets_dedup""")
+def q_ticket_dedup(t: Tables) -> DataFrame:
+    feed = dedup.latest_per_key(V.ticket_feed(t), ["SS", "TAREFA"], V.ticket_order())
+    return V.enrich_ticket_feed(feed, t).select("SS", "TAREFA", "CHASSI", "DATA", "STATUS", "MANTENEDOR", "SUMARIO", "l_partkey")
+
+
+@register("ticket_dedup_count", W("raw_tickets", "tickets_dedup") + """
+SELECT (SELECT count(*) FROM raw_tickets) AS raw_rows, (SELECT count(*) FROM tickets_dedup) AS dedup_rows""")
+def q_ticket_dedup_count(t: Tables) -> DataFrame:
+    raw = V.raw_tickets(t).agg(F.count(F.lit(1)).alias("raw_rows"))
+    d = _tickets(t).agg(F.count(F.lit(1)).alias("dedup_rows"))
+    return raw.crossJoin(d)
+
+
+@register("ticket_kpis", W("tickets") + f"""
+SELECT count(*) AS total, count_if(STATUS = 'ABERTO') AS abertos,
+       count_if(STATUS IS DISTINCT FROM 'ABERTO') AS fechados, avg(CAST(AGING AS DOUBLE)) AS aging_medio,
+       {P("count_if(GARANTIA = 'DENTRO')", "count(*)")} AS pct_garantia,
+       {P("count_if(RTM = 'SIM')", "count(*)")} AS pct_rtm
+FROM tickets""")
+def q_ticket_kpis(t: Tables) -> DataFrame:
+    return kpi.ticket_kpis(_tickets_full(t))
+
+
+@register("ticket_aging", W("tickets_base") + "SELECT SS, TAREFA, STATUS, INICIO, FIM, AGING FROM tickets_base")
+def q_ticket_aging(t: Tables) -> DataFrame:
+    return _tickets(t).select("SS", "TAREFA", "STATUS", "INICIO", "FIM", "AGING")
+
+
+_BUCKET = ("CASE WHEN AGING IS NULL OR AGING < 0 THEN NULL WHEN AGING <= 7 THEN 'Até 7' "
+           "WHEN AGING <= 14 THEN '8 a 14' ELSE '>14' END")
+
+
+@register("aging_buckets", W("tickets_base") + f""",
+b AS (SELECT * FROM (VALUES ('Até 7', 0), ('8 a 14', 1), ('>14', 2)) v(bucket, bucket_order)),
+c AS (SELECT {_BUCKET} AS bucket, count(*) AS n FROM tickets_base GROUP BY 1)
+SELECT b.bucket, b.bucket_order, coalesce(c.n, 0) AS quantidade FROM b LEFT JOIN c ON b.bucket = c.bucket""")
+def q_aging_buckets(t: Tables) -> DataFrame:
+    return charts.aging_buckets(_tickets(t))
+
+
+def _mean_aging_sql(field: str, order: str) -> str:
+    return W("tickets_base") + f"""
+SELECT {field} AS value, avg(CAST(AGING AS DOUBLE)) AS aging_medio FROM tickets_base WHERE {field} IS NOT NULL
+GROUP BY 1 ORDER BY aging_medio {order} NULLS LAST, value LIMIT 20"""
+
+
+@register("aging_top20_desc", _mean_aging_sql("CHASSI", "DESC"))
+def q_aging_top20_desc(t: Tables) -> DataFrame:
+    return charts.aging_top_desc(_tickets(t), "CHASSI")
+
+
+@register("aging_best20_by_maintainer", _mean_aging_sql("MANTENEDOR", "ASC"))
+def q_aging_best20_by_maintainer(t: Tables) -> DataFrame:
+    return charts.aging_best(_tickets(t), "MANTENEDOR")
+
+
+@register("aging_best20_by_specialist", _mean_aging_sql("ESPECIALISTA", "ASC"))
+def q_aging_best20_by_specialist(t: Tables) -> DataFrame:
+    return charts.aging_best(_tickets(t), "ESPECIALISTA")
+
+
+@register("aging_month_trend", W("tickets_base") + """,
+m AS (SELECT strftime(DATA, '%Y-%m') AS ano_mes, MANTENEDOR AS value, avg(CAST(AGING AS DOUBLE)) AS aging
+      FROM tickets_base WHERE DATA IS NOT NULL AND MANTENEDOR IS NOT NULL GROUP BY 1, 2 HAVING avg(AGING) IS NOT NULL),
+top AS (SELECT value FROM m GROUP BY value ORDER BY count(*) DESC, value LIMIT 10)
+SELECT * FROM m WHERE value IN (SELECT value FROM top)""")
+def q_aging_month_trend(t: Tables) -> DataFrame:
+    return charts.aging_month_trend(_tickets(t), "MANTENEDOR")
+
+
+@register("value_counts_top20", W("tickets_base") + """
+SELECT CHASSI AS value, count(*) AS quantidade FROM tickets_base WHERE CHASSI IS NOT NULL
+GROUP BY 1 ORDER BY quantidade DESC, value LIMIT 20""")
+def q_value_counts_top20(t: Tables) -> DataFrame:
+    return charts.value_counts_top(_tickets(t), "CHASSI")
+
+
+@register("tag_extract", W("tickets_base") + "SELECT SS, TAREFA, array_to_string(TAGS, '|') AS tags FROM tickets_base")
+def q_tag_extract(t: Tables) -> DataFrame:
+    return _tickets(t).select("SS", "TAREFA", F.array_join("TAGS", "|").alias("tags"))
+
+
+@register("tag_counts", W("tickets_base") + """
+SELECT tag, count(*) AS quantidade FROM (SELECT unnest(TAGS) AS tag FROM tickets_base)
+GROUP BY tag ORDER BY quantidade DESC, tag LIMIT 20""")
+def q_tag_counts(t: Tables) -> DataFrame:
+    return charts.tag_counts(_tickets(t))
+
+
+@register("maintainer_lookup", W("tickets_base") + """
+SELECT SS, TAREFA, PROPRIETARIO, MANTENEDOR, ESPECIALISTA FROM tickets_base""")
+def q_maintainer_lookup(t: Tables) -> DataFrame:
+    return _tickets(t).select("SS", "TAREFA", "PROPRIETARIO", "MANTENEDOR", "ESPECIALISTA")
+
+
+@register("calls_per_unit", W("units", "tickets_base") + """,
+s AS (SELECT DISTINCT NUM_SERIAL FROM units WHERE NUM_SERIAL IS NOT NULL),
+c AS (SELECT CHASSI, count(*) AS n, count_if(NOT coalesce(regexp_matches(SUMARIO, '\\[STB\\]', 'i'), false)) AS v
+      FROM tickets_base WHERE CHASSI IS NOT NULL GROUP BY CHASSI)
+SELECT s.NUM_SERIAL AS num_serial, coalesce(c.n, 0) AS qtd_chamados, coalesce(c.v, 0) AS qtd_chamados_validos
+FROM s LEFT JOIN c ON s.NUM_SERIAL = c.CHASSI""")
+def q_calls_per_unit(t: Tables) -> DataFrame:
+    s = _units(t).select("NUM_SERIAL").where(F.col("NUM_SERIAL").isNotNull()).distinct()
+    j = kpi._attach_flags(s, kpi.unit_ticket_flags(_tickets(t)))
+    return j.select(F.col("NUM_SERIAL").alias("num_serial"), F.col("n_calls").alias("qtd_chamados"),
+                    F.col("n_valid_calls").alias("qtd_chamados_validos"))
+
+
+@register("ticket_numbers_per_unit", W("tickets_base") + """
+SELECT DISTINCT CHASSI, SS FROM tickets_base WHERE CHASSI IS NOT NULL AND SS IS NOT NULL""")
+def q_ticket_numbers_per_unit(t: Tables) -> DataFrame:
+    return joins.ticket_numbers_per_unit(_tickets(t))
+
+
+# ------------------------------------------------------------ filters
+_TAGS_PICK = ["ECONOMY", "BRAND#2"]
+
+
+@register("filter_tags_exact", W("tickets_base") + """
+SELECT SS, TAREFA FROM tickets_base WHERE list_sort(list_distinct(TAGS)) = ['BRAND#2', 'ECONOMY']""")
+def q_filter_tags_exact(t: Tables) -> DataFrame:
+    return filters.tags_exact(_tickets(t), _TAGS_PICK).select("SS", "TAREFA")
+
+
+@register("filter_in_lists", W("tickets_base") + """
+SELECT SS, TAREFA FROM tickets_base WHERE MANTENEDOR IN ('SAW-01', 'SAW-07', '') AND TIPO IN ('A', 'N')""")
+def q_filter_in_lists(t: Tables) -> DataFrame:
+    return filters.in_lists(_tickets(t), {"MANTENEDOR": ["SAW-01", "SAW-07", ""], "TIPO": ["A", "N"],
+                                          "NAO_EXISTE": ["x"], "STATUS": []}).select("SS", "TAREFA")
+
+
+@register("filter_status", W("tickets_base") + """
+SELECT SS, TAREFA, STATUS FROM tickets_base WHERE STATUS IS DISTINCT FROM 'ABERTO'""")
+def q_filter_status(t: Tables) -> DataFrame:
+    return filters.by_status(_tickets(t), "FECHADO").select("SS", "TAREFA", "STATUS")
+
+
+@register("filter_dates", W("tickets_base") + """
+SELECT SS, TAREFA FROM tickets_base WHERE INICIO >= TIMESTAMP '1997-01-01' AND FIM <= TIMESTAMP '1998-06-30'""")
+def q_filter_dates(t: Tables) -> DataFrame:
+    import datetime as dt
+    return filters.date_window(_tickets(t), dt.date(1997, 1, 1), dt.date(1998, 6, 30)).select("SS", "TAREFA")
+
+
+SEARCH_COLUMNS = ["SS", "TAREFA", "CHASSI", "STATUS", "PROPRIETARIO", "MANTENEDOR", "ESPECIALISTA", "SERVICO",
+                  "TIPO", "SUMARIO", "RTM", "TAGS", "AGING"]
+SEARCH_TERM = "anvil|saw-0[12]|^77$"
+
+
+def _search_sql(term: str) -> str:
+    conds = []
+    for c in SEARCH_COLUMNS:
+        txt = "array_to_string(TAGS, ', ')" if c == "TAGS" else f"CAST({c} AS VARCHAR)"
+        conds.append(f"coalesce(regexp_matches({txt}, '{term}', 'i'), false)")
+    return " OR ".join(conds)
+
+
+@register("search_any_column", W("tickets_base") + f"SELECT SS, TAREFA FROM tickets_base WHERE {_search_sql(SEARCH_TERM)}")
+def q_search_any_column(t: Tables) -> DataFrame:
+    return filters.search_any_column(_tickets(t), SEARCH_TERM, SEARCH_COLUMNS).select("SS", "TAREFA")
+
+
+@register("ticket_filter_all", W("tickets_base") + f"""
+SELECT SS, TAREFA FROM tickets_base WHERE list_sort(list_distinct(TAGS)) = ['BRAND#2', 'ECONOMY']
+  AND TIPO IN ('A', 'R') AND STATUS = 'ABERTO' AND INICIO >= TIMESTAMP '1996-01-01'
+  AND ({_search_sql('saw')})""")
+def q_ticket_filter_all(t: Tables) -> DataFrame:
+    import datetime as dt
+    df = filters.ticket_filter(_tickets(t), tags=_TAGS_PICK, selections={"TIPO": ["A", "R"]}, term="",
+                               status="ABERTO", start=dt.date(1996, 1, 1))
+    return filters.search_any_column(df, "saw", SEARCH_COLUMNS).select("SS", "TAREFA")
+
+
+def _p7_sql(cond: str) -> str:
+    return W("units", "startup_set", "valid_counts", "tickets_base") + f""",
+allc AS (SELECT CHASSI, count(*) AS n FROM tickets_base WHERE CHASSI IS NOT NULL GROUP BY CHASSI)
+SELECT ORDER_KEY AS order_key, NUM_SERIAL AS num_serial FROM units u
+WHERE RTM = 'SIM' AND ANO_NF BETWEEN 1996 AND 2000 AND ({cond})
+  AND NUM_SERIAL IS NOT NULL AND coalesce((SELECT n FROM allc a WHERE a.CHASSI = u.NUM_SERIAL), 0) BETWEEN 0 AND 40"""
+
+
+def _p7(t: Tables, startup: str) -> DataFrame:
+    return filters.installed_base_filter(_units(t), _tickets(t), rtm="SIM", startup=startup, years=(1996, 2000),
+                                         calls=(0, 40)).select(F.col("ORDER_KEY").alias("order_key"),
+                                                               F.col("NUM_SERIAL").alias("num_serial"))
+
+
+@register("installed_base_filter_dfs", _p7_sql(_SU))
+def q_installed_base_filter_dfs(t: Tables) -> DataFrame:
+    return _p7(t, E.dims.STARTUP_DFS)
+
+
+@register("installed_base_filter_third_party", _p7_sql(f"NOT ({_SU}) AND {_VC} > 0"))
+def q_installed_base_filter_third_party(t: Tables) -> DataFrame:
+    return _p7(t, E.dims.STARTUP_THIRD_PARTY)
+
+
+@register("installed_base_filter_none", _p7_sql(f"NOT ({_SU}) AND {_VC} = 0"))
+def q_installed_base_filter_none(t: Tables) -> DataFrame:
+    return _p7(t, E.dims.STARTUP_NONE)
+
+
+@register("error_serial_filter", W("units", "tickets_base", "errors") + """,
+e AS (SELECT DISTINCT trim(SS) AS ss FROM errors WHERE TIPO_ERRO IN ('TIPO 1', 'TIPO 3') AND DETALHES_ERRO IN ('ALTO')),
+s AS (SELECT DISTINCT CHASSI FROM tickets_base WHERE trim(SS) IN (SELECT ss FROM e) AND CHASSI IS NOT NULL)
+SELECT ORDER_KEY AS order_key, NUM_SERIAL AS num_serial FROM units WHERE NUM_SERIAL IN (SELECT CHASSI FROM s)""")
+def q_error_serial_filter(t: Tables) -> DataFrame:
+    out = filters.error_serial_filter(_units(t), _tickets(t), jobs.build_errors(t),
+                                      {"TIPO_ERRO": ["TIPO 1", "TIPO 3"], "DETALHES_ERRO": ["ALTO"], "COD_ERRO": []})
+    return out.select(F.col("ORDER_KEY").alias("order_key"), F.col("NUM_SERIAL").alias("num_serial"))
+
+
+# ------------------------------------------------------------ relationship
+_PREP = W("tickets_base") + """,
+prep AS (SELECT trim(coalesce(MANTENEDOR, '')) AS MANTENEDOR, INICIO AS DATA_BASE,
+                CASE WHEN AGING < 0 THEN 0 ELSE CAST(AGING AS DOUBLE) END AS AGING_NUM, trim(SS) AS CHAMADO_KEY
+         FROM tickets_base
+         WHERE trim(coalesce(MANTENEDOR, '')) <> '' AND INICIO IS NOT NULL AND AGING IS NOT NULL)"""
+
+
+def _prep(t: Tables) -> DataFrame:
+    return relationship.prepare_source(_tickets(t), V.AS_OF)
+
+
+@register("last_six_months", _PREP + """
+SELECT * FROM prep WHERE DATA_BASE >= (SELECT max(DATA_BASE) FROM prep) - INTERVAL 6 MONTH""")
+def q_last_six_months(t: Tables) -> DataFrame:
+    return filters.trailing_months(_prep(t), 6)
+
+
+def _score_sql(v: str, a: str, vc: str, ac: str) -> str:
+    return (f"CASE WHEN {v} IS NULL OR {a} IS NULL THEN 3 WHEN {v} >= {vc} AND {a} <= {ac} THEN 1 "
+            f"WHEN {v} < {vc} AND {a} <= {ac} THEN 2 WHEN {v} < {vc} AND {a} > {ac} THEN 3 ELSE 4 END")
+
+
+def _label_case(score: str) -> str:
+    return "CASE " + " ".join(f"WHEN {score} = {k} THEN '{v}'" for k, v in E.dims.RELATIONSHIP_SCORE_LABELS.items()) + " END"
+
+
+_MATRIX = _PREP + """,
+m AS (SELECT MANTENEDOR, count(DISTINCT CHAMADO_KEY) AS VOLUME, avg(AGING_NUM) AS AGING_MEDIO_DIAS FROM prep GROUP BY 1),
+cuts AS (SELECT median(VOLUME) AS VOLUME_CORTE, median(AGING_MEDIO_DIAS) AS AGING_CORTE FROM m),
+s AS (SELECT m.*, cuts.*, """ + _score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE", "AGING_CORTE") + """ AS SCORE
+      FROM m, cuts)"""
+
+
+@register("relationship_matrix", _MATRIX + f"""
+SELECT MANTENEDOR, VOLUME, round(AGING_MEDIO_DIAS, 1) AS AGING_MEDIO_DIAS, SCORE, {_label_case('SCORE')} AS PERFIL,
+       VOLUME_CORTE, AGING_CORTE FROM s""")
+def q_relationship_matrix(t: Tables) -> DataFrame:
+    return relationship.matrix(_prep(t))
+
+
+@register("relationship_points", _MATRIX + """,
+r AS (SELECT MANTENEDOR, VOLUME, round(AGING_MEDIO_DIAS, 1) AS AGING_MEDIO_DIAS, SCORE FROM s),
+p AS (SELECT *, count(*) OVER (PARTITION BY VOLUME, AGING_MEDIO_DIAS) AS DUP_COUNT,
+             row_number() OVER (PARTITION BY VOLUME, AGING_MEDIO_DIAS ORDER BY MANTENEDOR) - 1 AS DUP_IDX FROM r),
+sp AS (SELECT greatest(max(VOLUME) - min(VOLUME), 1.0) AS xs, greatest(max(AGING_MEDIO_DIAS) - min(AGING_MEDIO_DIAS), 1.0) AS ys FROM r)
+SELECT MANTENEDOR, VOLUME, AGING_MEDIO_DIAS, SCORE, DUP_COUNT, DUP_IDX,
+       VOLUME + (DUP_IDX - (DUP_COUNT - 1) / 2) * xs * 0.012 AS VOLUME_PLOT,
+       AGING_MEDIO_DIAS + (DUP_IDX - (DUP_COUNT - 1) / 2) * ys * 0.012 AS AGING_PLOT FROM p, sp""")
+def q_relationship_points(t: Tables) -> DataFrame:
+    return relationship.plot_points(relationship.matrix(_prep(t)))
+
+
+@register("relationship_monthly", _PREP + """,
+m AS (SELECT date_trunc('month', DATA_BASE)::DATE AS ANO_MES, MANTENEDOR, count(DISTINCT CHAMADO_KEY) AS VOLUME,
+             avg(AGING_NUM) AS AGING_MEDIO_DIAS FROM prep GROUP BY 1, 2),
+c AS (SELECT *, median(VOLUME) OVER (PARTITION BY ANO_MES) AS VOLUME_CORTE_MES,
+             median(AGING_MEDIO_DIAS) OVER (PARTITION BY ANO_MES) AS AGING_CORTE_MES FROM m)
+SELECT ANO_MES, MANTENEDOR, VOLUME, round(AGING_MEDIO_DIAS, 1) AS AGING_MEDIO_DIAS, VOLUME_CORTE_MES, AGING_CORTE_MES,
+       """ + _score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE_MES", "AGING_CORTE_MES") + " AS SCORE, "
+    + _label_case(_score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE_MES", "AGING_CORTE_MES")) + " AS PERFIL FROM c")
+def q_relationship_monthly(t: Tables) -> DataFrame:
+    return relationship.monthly_scores(_prep(t))
+
+
+# ------------------------------------------------------------ options
+@register("filter_options", W("tickets") + """
+SELECT DISTINCT field, value FROM (
+""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM tickets"
+                          for c in charts.TICKET_OPTION_COLUMNS)
+    + "\nUNION ALL\nSELECT 'TAGS' AS field, unnest(TAGS) AS value FROM tickets) WHERE value IS NOT NULL")
+def q_filter_options(t: Tables) -> DataFrame:
+    return charts.filter_options(_tickets_full(t))
+
+
+@register("error_options", W("errors") + "SELECT DISTINCT field, value FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM errors" for c in filters.ERROR_FILTER_COLUMNS)
+    + ") WHERE value IS NOT NULL AND trim(value) <> ''")
+def q_error_options(t: Tables) -> DataFrame:
+    return charts.error_options(jobs.build_errors(t))
+
+
+@register("installed_base_options", W("units", "tickets_base") + """,
+s AS (SELECT DISTINCT NUM_SERIAL FROM units WHERE NUM_SERIAL IS NOT NULL),
+c AS (SELECT CHASSI, count(*) AS n FROM tickets_base WHERE CHASSI IS NOT NULL GROUP BY CHASSI),
+sc AS (SELECT coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON s.NUM_SERIAL = c.CHASSI)
+SELECT 'TODOS,' || array_to_string(list_sort(list_distinct(list(RTM))), ',') AS rtm_options,
+       CAST(coalesce(min(ANO_NF), 2000) AS INTEGER) AS ano_min, CAST(coalesce(max(ANO_NF), 2030) AS INTEGER) AS ano_max,
+       (SELECT min(n) FROM sc) AS chamados_min, (SELECT max(n) FROM sc) AS chamados_max
+FROM units""")
+def q_installed_base_options(t: Tables) -> DataFrame:
+    return charts.installed_base_options(_units(t), _tickets(t))
