@@ -76,7 +76,7 @@ def decimal_comma_number(c: ColumnOrName) -> Column:
 # F6 ----------------------------------------------------------------------
 def lenient_int(c: ColumnOrName) -> Column:
     """Number-or-0 truncated to int ('365.7' -> 365, 'x' -> 0)."""
-    return F.coalesce(_c(c).cast("string").try_cast("double"), F.lit(0.0)).cast("int")
+    return F.coalesce(_c(c).cast("string").try_cast("double").try_cast("int"), F.lit(0))
 
 
 # F7 ----------------------------------------------------------------------
@@ -239,10 +239,10 @@ def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
     years = F.regexp_extract(s, r"(\d+)\s*(ANO|YEAR|Y)", 1).try_cast("int")
     numeric = F.replace(F.trim(col.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
     if mode == "numeric":
-        return F.coalesce(numeric, F.lit(0.0)).cast("int")
+        return F.coalesce(numeric.try_cast("int"), F.lit(0))
     if mode == "legacy":
         val = F.coalesce(
-            numeric.cast("int"),
+            numeric.try_cast("int"),
             _pattern_days(s, longest_first=False, boundary=False),
             F.floor(months * F.lit(dims.DAYS_PER_MONTH)).cast("int"),
             years * 365,
@@ -266,7 +266,7 @@ def bluetooth_flag(html: ColumnOrName) -> Column:
 def warranty_sentence(html: ColumnOrName) -> Column:
     """Text of the first <td> starting with GARANTIA/WARRANTY, else 'NAO ENCONTRADO'."""
     cells = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    texts = F.transform(cells, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"\s+", " ")))
+    texts = F.transform(cells, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " ")))
     hits = F.filter(texts, lambda t: F.upper(t).startswith("GARANTIA") | F.upper(t).startswith("WARRANTY"))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(dims.NOT_FOUND))
 

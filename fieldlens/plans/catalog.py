@@ -539,3 +539,257 @@ SELECT 'TODOS,' || array_to_string(list_sort(list_distinct(list(RTM))), ',') AS
 FROM units""")
 def q_installed_base_options(t: Tables) -> DataFrame:
     return charts.installed_base_options(_units(t), _tickets(t))
+
+
+# ============================================================ sales reports
+from fieldlens.operators import sales  # noqa: E402
+from fieldlens.sources import pages as pg  # noqa: E402
+from fieldlens.streaming import incremental  # noqa: E402
+
+
+def _sales(t: Tables) -> DataFrame:
+    return V.raw_sales_lines(t)
+
+
+def _a17_sql(variant: str, mode: str) -> str:
+    return W("sales", "item_warranty", "item_rtm") + f""",
+wd AS (SELECT ITEM, max(coalesce({O.warranty_days('GARANTIA', mode)}, 0)) AS W_DAYS FROM item_warranty
+       WHERE ITEM IS NOT NULL GROUP BY ITEM),
+rt AS (SELECT ITEM, bool_or(coalesce(contains(upper(trim(RTM)), 'SIM'), false)) AS IS_RTM FROM item_rtm
+       WHERE ITEM IS NOT NULL GROUP BY ITEM),
+j AS (SELECT s.ANO, CASE WHEN coalesce(rt.IS_RTM, false) THEN 'RTM' ELSE 'NON_RTM' END AS categoria, s.QTD,
+             s.DT + coalesce(wd.W_DAYS, 0) >= {O.AS_OF_SQL} AS norm, s.DT + 365 >= {O.AS_OF_SQL} AS elec
+      FROM (SELECT * FROM sales WHERE {O.product(variant)}) s LEFT JOIN wd ON s.ITEM = wd.ITEM
+           LEFT JOIN rt ON s.ITEM = rt.ITEM
+      WHERE s.DT IS NOT NULL),
+g AS (SELECT CASE WHEN grouping(ANO) = 1 THEN 'Total' ELSE CAST(ANO AS VARCHAR) END AS ano, categoria,
+             sum(QTD) AS sales, sum(CASE WHEN norm THEN QTD ELSE 0.0 END) AS norm_qty,
+             sum(CASE WHEN elec THEN QTD ELSE 0.0 END) AS elec_qty
+      FROM j GROUP BY GROUPING SETS ((ANO, categoria), (categoria)))
+SELECT *, {P('norm_qty', 'sales')} AS pct_norm, {P('elec_qty', 'sales')} AS pct_elec FROM g"""
+
+
+def _a17(variant: str, mode: str):
+    def fn(t: Tables) -> DataFrame:
+        return sales.warranty_sales_by_year(_sales(t), V.item_warranty(t), V.item_rtm(t), V.AS_OF, variant, mode)
+    return fn
+
+
+register("warranty_sales_by_year", _a17_sql("dispenser_w7", "numeric"))(_a17("dispenser_w7", "numeric"))
+register("warranty_sales_by_year_w7", _a17_sql("w7", "legacy"))(_a17("w7", "legacy"))
+register("warranty_sales_by_year_desc", _a17_sql("bomba", "canonical"))(_a17("bomba", "canonical"))
+register("warranty_sales_by_year_segment", _a17_sql("segment", "legacy"))(_a17("segment", "legacy"))
+
+
+def _blank_coalesce(inline: str, lookup: str, default: str) -> str:
+    return (f"coalesce(CASE WHEN NOT ({inline} IS NULL OR trim({inline}) = '' OR trim({inline}) = 'NAO ENCONTRADO') "
+            f"THEN {inline} END, {lookup}, '{default}')")
+
+
+@register("warranty_units_inline_fill", W("sales", "item_warranty", "item_rtm") + f""",
+iw AS (SELECT ITEM, max(GARANTIA) AS gw FROM item_warranty GROUP BY ITEM),
+ir AS (SELECT ITEM, max(RTM) AS rt FROM item_rtm GROUP BY ITEM),
+j AS (SELECT s.*, coalesce({O.warranty_days(_blank_coalesce('s.GARANTIA', 'iw.gw', '0'))}, 0) AS days,
+             {_blank_coalesce('s.RTM', 'ir.rt', 'NAO')} = 'SIM' AS is_rtm
+      FROM sales s LEFT JOIN iw ON s.ITEM = iw.ITEM LEFT JOIN ir ON s.ITEM = ir.ITEM)
+SELECT is_rtm, count(*) AS linhas, sum(QTD) AS quantidade,
+       count_if(coalesce(DT + days >= {O.AS_OF_SQL}, false)) AS garantia_ativa,
+       count_if(coalesce(DT + 365 >= {O.AS_OF_SQL}, false)) AS garantia_eletronica_ativa
+FROM j GROUP BY is_rtm""")
+def q_warranty_units_inline_fill(t: Tables) -> DataFrame:
+    return sales.units_inline_fill(_sales(t), V.item_warranty(t), V.item_rtm(t), V.AS_OF)
+
+
+@register("keyword_quantities", W("sales") + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS filtro, coalesce(sum(CASE WHEN {O.product(k)} THEN QTD ELSE 0.0 END), 0.0) AS quantidade FROM sales"
+    for k in sales.KEYWORD_FILTERS) + ")")
+def q_keyword_quantities(t: Tables) -> DataFrame:
+    return sales.keyword_quantities(_sales(t))
+
+
+@register("quantity_by_date_kind", W("sales") + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS tipo_data, CAST(year({O.parse_date(k)}) AS INTEGER) AS ano, sum(QTD) AS quantidade FROM sales "
+    f"WHERE {O.parse_date(k)} IS NOT NULL GROUP BY 2" for k in sales.DATE_KINDS) + ")")
+def q_quantity_by_date_kind(t: Tables) -> DataFrame:
+    return sales.quantity_by_date_kind(_sales(t))
+
+
+@register("quantity_by_type", W("sales") + "SELECT TIPO AS chave, sum(QTD) AS quantidade FROM sales GROUP BY 1")
+def q_quantity_by_type(t: Tables) -> DataFrame:
+    return sales.quantity_by(_sales(t), "TIPO")
+
+
+@register("quantity_by_line", W("sales") + f"""
+SELECT LINHA AS chave, sum(QTD) AS quantidade FROM sales WHERE {O.product('bomba_medidora')} GROUP BY 1""")
+def q_quantity_by_line(t: Tables) -> DataFrame:
+    return sales.quantity_by(_sales(t), "LINHA", "bomba_medidora")
+
+
+@register("rtm_split", W("sales", "item_rtm") + f""",
+rt AS (SELECT ITEM, bool_or(coalesce(contains(upper(trim(RTM)), 'SIM'), false)) AS IS_RTM FROM item_rtm GROUP BY ITEM),
+j AS (SELECT CASE WHEN coalesce(rt.IS_RTM, false) THEN 'RTM' ELSE 'NON_RTM' END AS categoria, QTD
+      FROM sales s LEFT JOIN rt ON s.ITEM = rt.ITEM WHERE {O.product('bomba_medidora')})
+SELECT CASE WHEN grouping(categoria) = 1 THEN 'TOTAL' ELSE categoria END AS categoria, sum(QTD) AS quantidade
+FROM j GROUP BY GROUPING SETS ((categoria), ())""")
+def q_rtm_split(t: Tables) -> DataFrame:
+    return sales.rtm_split(_sales(t), V.item_rtm(t))
+
+
+@register("top20_items", W("sales") + f"""
+SELECT LINHA, ITEM, DESCRICAO, sum(QTD) AS quantidade FROM sales WHERE {O.product('w7')}
+GROUP BY 1, 2, 3 ORDER BY quantidade DESC, LINHA, ITEM, DESCRICAO LIMIT 20""")
+def q_top20_items(t: Tables) -> DataFrame:
+    return sales.top_items(_sales(t), "w7")
+
+
+_RTM_ITEMS = "(SELECT ITEM FROM item_rtm GROUP BY ITEM HAVING bool_or(coalesce(contains(upper(trim(RTM)), 'SIM'), false)))"
+
+
+@register("rtm_items_ranked", W("sales", "item_rtm") + f"""
+SELECT ITEM, sum(QTD) AS quantidade FROM sales WHERE ITEM IN {_RTM_ITEMS} GROUP BY ITEM""")
+def q_rtm_items_ranked(t: Tables) -> DataFrame:
+    return sales.rtm_items_ranked(_sales(t), V.item_rtm(t))
+
+
+@register("filter_gap_audit", W("sales", "item_rtm") + f""",
+x AS (SELECT *, {O.product('segment')} AS ps, {O.product('w7')} AS pw, {O.product('bomba')} AS pb FROM sales
+      WHERE ITEM IN {_RTM_ITEMS})
+SELECT ITEM, DESCRICAO, SEGMENTO, sum(QTD) AS quantidade, sum(CAST(ps AS INTEGER)) AS passa_segmento,
+       sum(CAST(pw AS INTEGER)) AS passa_item, sum(CAST(pb AS INTEGER)) AS passa_descricao
+FROM x WHERE NOT (ps AND pw AND pb) GROUP BY 1, 2, 3
+ORDER BY quantidade DESC, ITEM, DESCRICAO, SEGMENTO LIMIT 20""")
+def q_filter_gap_audit(t: Tables) -> DataFrame:
+    return sales.filter_gap_audit(_sales(t), V.item_rtm(t))
+
+
+@register("lookup_miss_report", W("sales", "item_rtm") + """,
+ir AS (SELECT ITEM, max(upper(trim(RTM))) AS rt FROM item_rtm GROUP BY ITEM)
+SELECT s.ITEM, coalesce(ir.rt, 'NAO (Cache Miss)') AS status_rtm, sum(QTD) AS quantidade
+FROM sales s LEFT JOIN ir ON s.ITEM = ir.ITEM WHERE coalesce(ir.rt, 'NAO (Cache Miss)') <> 'SIM'
+GROUP BY 1, 2 ORDER BY quantidade DESC, s.ITEM LIMIT 20""")
+def q_lookup_miss_report(t: Tables) -> DataFrame:
+    return sales.lookup_miss_report(_sales(t), V.item_rtm(t))
+
+
+@register("service_excluded_total", W("sales") + f"""
+SELECT count(*) AS linhas, coalesce(sum(QTD), 0.0) AS quantidade FROM sales
+WHERE {O.product('w7')} AND NOT coalesce(regexp_matches(DESCRICAO, 'SERVICO|MANUTENCAO', 'i'), false)""")
+def q_service_excluded_total(t: Tables) -> DataFrame:
+    return sales.service_excluded_total(_sales(t))
+
+
+@register("lines_per_year", W("sales") + "SELECT DISTINCT ANO, LINHA FROM sales WHERE ANO IS NOT NULL")
+def q_lines_per_year(t: Tables) -> DataFrame:
+    return sales.lines_per_year(_sales(t))
+
+
+@register("rows_per_year", W("sales") + "SELECT ANO, count(*) AS linhas FROM sales GROUP BY ANO")
+def q_rows_per_year(t: Tables) -> DataFrame:
+    return sales.rows_per_year(_sales(t))
+
+
+@register("date_range", W("sales_raw") + "SELECT " + ", ".join(
+    f"{f}({O.parse_date(c)}) AS {f}_{c.lower()}" for c in sales.DATE_KINDS for f in ("min", "max")) + " FROM sales_raw")
+def q_date_range(t: Tables) -> DataFrame:
+    return sales.date_range(_sales(t))
+
+
+@register("warranty_text_to_days", W("item_warranty") + f"""
+SELECT ITEM, GARANTIA, {O.warranty_days('GARANTIA', 'canonical')} AS dias,
+       {O.warranty_days('GARANTIA', 'legacy')} AS dias_legado, {O.warranty_days('GARANTIA', 'numeric')} AS dias_numerico
+FROM item_warranty""")
+def q_warranty_text_to_days(t: Tables) -> DataFrame:
+    iw = V.item_warranty(t)
+    return iw.select("ITEM", "GARANTIA", E.warranty_text_to_days("GARANTIA", "canonical").alias("dias"),
+                     E.warranty_text_to_days("GARANTIA", "legacy").alias("dias_legado"),
+                     E.warranty_text_to_days("GARANTIA", "numeric").alias("dias_numerico"))
+
+
+_ENRICH_YEAR = 1998
+
+
+@register("items_to_look_up", W("sales", "item_warranty") + f"""
+SELECT DISTINCT ITEM FROM sales WHERE ANO >= {_ENRICH_YEAR} AND (GARANTIA IS NULL OR trim(GARANTIA) = '')
+  AND ITEM IS NOT NULL AND ITEM NOT IN (SELECT ITEM FROM item_warranty WHERE ITEM IS NOT NULL)""")
+def q_items_to_look_up(t: Tables) -> DataFrame:
+    return sales.items_to_look_up(_sales(t), V.item_warranty(t), _ENRICH_YEAR)
+
+
+@register("enrichment_report", W("sales", "item_warranty") + f""",
+need AS (SELECT ITEM, count(*) AS n FROM sales WHERE ANO >= {_ENRICH_YEAR} AND (GARANTIA IS NULL OR trim(GARANTIA) = '')
+         AND ITEM IS NOT NULL GROUP BY ITEM),
+j AS (SELECT need.*, ITEM IN (SELECT ITEM FROM item_warranty WHERE ITEM IS NOT NULL) AS hit FROM need)
+SELECT coalesce(sum(n), 0) AS linhas_a_verificar, count(*) AS itens_unicos, count_if(hit) AS em_cache,
+       count(*) - count_if(hit) AS a_buscar, {P('count_if(hit)', 'count(*)')} AS pct_economia FROM j""")
+def q_enrichment_report(t: Tables) -> DataFrame:
+    return sales.enrichment_report(_sales(t), V.item_warranty(t), _ENRICH_YEAR)
+
+
+def _unpacked(t: Tables) -> DataFrame:
+    """Lines already unpacked: those of finished orders (o_orderstatus = 'F')."""
+    o = t.orders.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").cast("string").alias("PEDIDO"))
+    return _sales(t).join(o, "PEDIDO", "left_semi").select("PEDIDO", "LINHA", "ITEM")
+
+
+@register("lines_not_unpacked", W("sales_raw") + """
+SELECT PEDIDO, LINHA, ITEM FROM sales_raw s WHERE NOT EXISTS (
+  SELECT 1 FROM sales_raw d JOIN orders o ON d.PEDIDO = CAST(o.o_orderkey AS VARCHAR) AND o.o_orderstatus = 'F'
+  WHERE trim(d.PEDIDO) = trim(s.PEDIDO) AND trim(d.LINHA) = trim(s.LINHA) AND trim(d.ITEM) = trim(s.ITEM))""")
+def q_lines_not_unpacked(t: Tables) -> DataFrame:
+    return joins.not_yet_processed(_sales(t), _unpacked(t), ["PEDIDO", "LINHA", "ITEM"]).select("PEDIDO", "LINHA", "ITEM")
+
+
+# ============================================================ pages
+@register("serials_from_pages", W("sales_raw", "serial_pages") + f""",
+p AS (SELECT page_key, {O.serials_in_page('html')} AS serials FROM serial_pages)
+SELECT s.PEDIDO, s.LINHA, s.ITEM, CASE WHEN len(p.serials) = 0 THEN '' ELSE u.serial END AS Serial
+FROM sales_raw s JOIN p ON s.PEDIDO || '/' || s.LINHA = p.page_key
+LEFT JOIN LATERAL (SELECT unnest(CASE WHEN len(p.serials) = 0 THEN [''] ELSE p.serials END) AS serial) u ON true""")
+def q_serials_from_pages(t: Tables) -> DataFrame:
+    lines = _sales(t).select("PEDIDO", "LINHA", "ITEM").withColumn("_key", F.concat("PEDIDO", F.lit("/"), "LINHA"))
+    return pg.unpack_serials(lines, V.serial_pages(t), "_key").drop("_key")
+
+
+@register("flag_from_pages", W("item_pages") + """
+SELECT page_key, CASE WHEN coalesce(regexp_matches(upper(html), 'BLUETOOTH|BLUETOOH'), false) THEN 'SIM' ELSE 'NAO' END AS RTM
+FROM item_pages""")
+def q_flag_from_pages(t: Tables) -> DataFrame:
+    return pg.page_flags(V.item_pages(t), "page_key").select("page_key", "RTM")
+
+
+@register("warranty_from_pages", W("item_pages") + f""",
+x AS (SELECT page_key, {O.warranty_sentence('html')} AS GARANTIA_TEXTO FROM item_pages)
+SELECT page_key, GARANTIA_TEXTO, {O.warranty_days('GARANTIA_TEXTO', 'canonical')} AS dias FROM x""")
+def q_warranty_from_pages(t: Tables) -> DataFrame:
+    p = pg.page_flags(V.item_pages(t), "page_key")
+    return p.select("page_key", "GARANTIA_TEXTO", E.warranty_text_to_days("GARANTIA_TEXTO").alias("dias"))
+
+
+# ============================================================ incremental
+@register("oldest_open", W("tickets_base") + f"""
+SELECT coalesce(min(CASE WHEN upper(STATUS) = 'ABERTO' THEN CAST(DATA AS DATE) END), {O.AS_OF_SQL}) AS oldest_open
+FROM tickets_base""")
+def q_oldest_open(t: Tables) -> DataFrame:
+    return incremental.oldest_open(_tickets(t), V.AS_OF)
+
+
+_WM = f"(SELECT coalesce(min(CASE WHEN upper(STATUS) = 'ABERTO' THEN CAST(DATA AS DATE) END), {O.AS_OF_SQL}) FROM tickets_base)"
+
+
+@register("month_ranges", W("tickets_base") + f""",
+w AS (SELECT {_WM} AS wm),
+m AS (SELECT CAST(unnest(generate_series(date_trunc('month', wm), date_trunc('month', {O.AS_OF_SQL}), INTERVAL 1 MONTH)) AS DATE) AS mes, wm FROM w)
+SELECT mes, greatest(mes, wm) AS inicio, least(last_day(mes), {O.AS_OF_SQL}) AS fim FROM m""")
+def q_month_ranges(t: Tables) -> DataFrame:
+    return incremental.month_ranges(incremental.oldest_open(_tickets(t), V.AS_OF), V.AS_OF)
+
+
+@register("ticket_resplit", W("tickets_base") + f""",
+w AS (SELECT {_WM} AS wm)
+SELECT CASE WHEN DATA IS NULL THEN NULL WHEN upper(STATUS) <> 'ABERTO' AND CAST(DATA AS DATE) < wm THEN 'historico'
+            WHEN CAST(DATA AS DATE) >= wm THEN 'atual' END AS destino, count(*) AS n
+FROM tickets_base, w GROUP BY 1""")
+def q_ticket_resplit(t: Tables) -> DataFrame:
+    tk = _tickets(t)
+    r = incremental.resplit(tk, incremental.oldest_open(tk, V.AS_OF))
+    return r.groupBy("destino").agg(F.count(F.lit(1)).alias("n"))

@@ -169,3 +169,131 @@ def with_views(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n"
+
+
+# ------------------------------------------------------------- sales views
+cte("sales_raw", f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS PEDIDO, CAST(l_linenumber AS VARCHAR) AS LINHA,
+       {_list(V.SALES_PREFIXES)}[l_partkey % 8 + 1] || '-' || CAST(l_partkey AS VARCHAR) AS ITEM,
+       CASE WHEN p_size % 4 = 0 THEN 'BOMBA MEDIDORA DE COMBUSTIVEIS LIQUIDOS - ' || upper(p_brand) || ' - ' || upper(p_name)
+            WHEN p_size % 4 = 1 THEN 'BOMBA ' || upper(p_name)
+            WHEN p_size % 4 = 2 THEN 'SERVICO DE MANUTENCAO ' || upper(p_name) ELSE upper(p_name) END AS DESCRICAO,
+       CASE WHEN p_size <= 20 THEN 'DISPENSERS' WHEN p_size <= 35 THEN 'PECAS' ELSE 'SERVICOS' END AS SEGMENTO,
+       l_returnflag AS TIPO,
+       CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ',0'
+            ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS QUANTIDADE,
+       CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%d/%m/%Y') END AS DT_NUM_NF,
+       strftime(o_orderdate, '%d/%m/%Y') AS DATA_CRIACAO,
+       strftime(o_orderdate + INTERVAL 3 DAY, '%d/%m/%Y') AS DATA_BOOKED,
+       CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN 'NAO ENCONTRADO'
+            ELSE CAST((l_orderkey % 3 + 1) * 365 AS VARCHAR) END AS GARANTIA,
+       CASE WHEN l_linenumber % 4 = 0 THEN 'SIM' WHEN l_linenumber % 4 = 1 THEN 'NAO' ELSE '' END AS RTM
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""")
+
+
+def parse_date(col: str) -> str:
+    s = f"trim(CAST({col} AS VARCHAR))"
+    return f"CAST(coalesce(try_strptime({s}, '%d/%m/%Y'), try_strptime({s}, '%Y-%m-%d')) AS DATE)"
+
+
+def decimal_comma(col: str) -> str:
+    return f"coalesce(TRY_CAST(replace(trim(CAST({col} AS VARCHAR)), ',', '.') AS DOUBLE), 0.0)"
+
+
+cte("sales", f"""
+SELECT *, {decimal_comma('QUANTIDADE')} AS QTD, {parse_date('DT_NUM_NF')} AS DT,
+       CAST(year({parse_date('DT_NUM_NF')}) AS INTEGER) AS ANO FROM sales_raw""", ["sales_raw"])
+
+_ITEM = f"{_list(V.SALES_PREFIXES)}[p_partkey % 8 + 1] || '-' || CAST(p_partkey AS VARCHAR)"
+cte("item_warranty", f"""
+SELECT {_ITEM} AS ITEM,
+       CASE p_size % 8 WHEN 0 THEN 'GARANTIA: 36 MESES' WHEN 1 THEN '12 MONTHS' WHEN 2 THEN '730' WHEN 3 THEN NULL
+            WHEN 4 THEN '2 ANOS' WHEN 5 THEN 'NAO ENCONTRADO' WHEN 6 THEN 'Warranty - 18 meses' ELSE '30 MESES' END AS GARANTIA
+FROM part WHERE p_partkey % 10 <> 0""")
+cte("item_rtm", f"""
+SELECT {_ITEM} AS ITEM, CASE WHEN p_partkey % 3 = 0 THEN 'SIM' ELSE 'NAO' END AS RTM
+FROM part WHERE p_partkey % 10 <> 1""")
+
+
+def _strip(col: str) -> str:
+    s = f"trim(upper(CAST({col} AS VARCHAR)))"
+    for p in dims.WARRANTY_TEXT_PREFIXES:
+        s = f"trim(replace({s}, '{p}', ''))"
+    return s
+
+
+def warranty_days(col: str, mode: str = "canonical") -> str:
+    """F18/F19 in SQL (see ``fieldlens.functions.expr.warranty_text_to_days``)."""
+    s = _strip(col)
+    raw = f"CAST({col} AS VARCHAR)"
+    blank = f"({col} IS NULL OR trim({raw}) = '' OR upper(trim({raw})) = '{dims.NOT_FOUND}')"
+    months = f"TRY_CAST(nullif(regexp_extract({s}, '(\\d+)\\s*(MES|MONTH|M)', 1), '') AS INTEGER)"
+    years = f"TRY_CAST(nullif(regexp_extract({s}, '(\\d+)\\s*(ANO|YEAR|Y)', 1), '') AS INTEGER)"
+    numeric = f"TRY_CAST(replace(trim({raw}), ',', '.') AS DOUBLE)"
+    num_int = f"TRY_CAST(trunc({numeric}) AS INTEGER)"
+    if mode == "numeric":
+        return f"coalesce({num_int}, 0)"
+    items = list(dims.WARRANTY_TEXT_TO_DAYS.items())
+    if mode == "legacy":
+        pat = "CASE " + " ".join(f"WHEN contains({s}, '{p}') THEN {d}" for p, d in items) + " END"
+        return (f"(CASE WHEN {blank} THEN 0 ELSE coalesce({num_int}, {pat}, CAST(floor({months} * 30.44) AS INTEGER), "
+                f"{years} * 365, 0) END)")
+    items = sorted(items, key=lambda kv: len(kv[0]), reverse=True)
+    pat = "CASE " + " ".join(f"WHEN regexp_matches({s}, '(^|\\D){p}') THEN {d}" for p, d in items) + " END"
+    md = f"floor({months} * 30.44)"
+    snapped = (f"CASE WHEN {md} <= 183 THEN 183 WHEN {md} <= 365 THEN 365 WHEN {md} <= 548 THEN 548 "
+               f"WHEN {md} <= 730 THEN 730 ELSE 1095 END")
+    by_years = f"CASE {years} WHEN 1 THEN 365 WHEN 2 THEN 730 WHEN 3 THEN 1095 END"
+    return (f"(CASE WHEN {blank} THEN NULL ELSE CAST(coalesce({pat}, CASE WHEN {months} IS NOT NULL THEN {snapped} END, "
+            f"{by_years}) AS INTEGER) END)")
+
+
+def product(variant: str) -> str:
+    seg = "coalesce(contains(upper(SEGMENTO), 'DISPENSER'), false)"
+    w7 = "coalesce(starts_with(upper(ITEM), 'W7'), false)"
+    bomba = "coalesce(contains(upper(DESCRICAO), 'BOMBA'), false)"
+    med = "coalesce(contains(upper(DESCRICAO), 'BOMBA MEDIDORA'), false)"
+    return {"dispenser_w7": f"({seg} AND {w7})", "w7": w7, "bomba": bomba, "bomba_medidora": med,
+            "segment": seg, "w7_bomba": f"({w7} AND {bomba})", "linha_1_2": "LINHA IN ('1', '2')",
+            "all": "true"}[variant]
+
+
+# ------------------------------------------------------------- page views
+cte("serial_pages", """
+SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS page_key,
+       CASE WHEN l_linenumber % 5 = 4 THEN '<p>sem tabela</p>'
+            ELSE '<table><tr><td>x</td></tr><tr><td>decoy</td></tr></table><table border="1"><tr><th>Serial</th><th>Obs</th></tr>'
+                 || array_to_string(list_transform(generate_series(1, l_linenumber % 3),
+                      lambda i: '<tr><td> ' || CAST(l_orderkey * 10 + i AS VARCHAR) || ' </td><td>ok</td></tr>'), '')
+                 || '</table>' END AS html
+FROM lineitem""")
+cte("item_pages", f"""
+SELECT {_ITEM} AS page_key,
+       '<html><body><table><tr><td>Descrição</td><td>' || p_name || '</td></tr><tr><td>'
+       || CASE p_size % 5 WHEN 0 THEN 'Garantia: <b>36 MESES</b>' WHEN 1 THEN 'WARRANTY 12 months'
+               WHEN 2 THEN 'Prazo: 24 meses' WHEN 3 THEN '  garantia de 2 anos' ELSE '' END
+       || '</td></tr></table><p>'
+       || CASE p_partkey % 4 WHEN 0 THEN 'Conectividade BLUETOOTH' WHEN 1 THEN 'modulo bluetooh' ELSE 'mecanica' END
+       || '</p></body></html>' AS html
+FROM part
+UNION ALL
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS page_key, html FROM pages""")
+
+
+def page_text(col: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({col}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def warranty_sentence(html: str) -> str:
+    cells = f"regexp_extract_all(coalesce({html}, ''), '(?is)<td[^>]*>(.*?)</td>', 1)"
+    texts = f"list_transform({cells}, lambda t: {page_text('t')})"
+    hits = f"list_filter({texts}, lambda t: starts_with(upper(t), 'GARANTIA') OR starts_with(upper(t), 'WARRANTY'))"
+    return f"coalesce(({hits})[1], '{dims.NOT_FOUND}')"
+
+
+def serials_in_page(html: str) -> str:
+    table = f"""regexp_extract(coalesce({html}, ''), '(?is)<table[^>]*\\bborder\\s*=\\s*["'']?1\\b[^>]*>(.*?)</table>', 1)"""
+    rows = f"regexp_extract_all({table}, '(?is)<tr[^>]*>(.*?)</tr>', 1)"
+    cell = page_text("regexp_extract(r, '(?is)<td[^>]*>(.*?)</td>', 1)")
+    first = f"list_transform(({rows})[2:], lambda r: {cell})"
+    return f"list_filter({first}, lambda s: s <> '')"

@@ -210,3 +210,36 @@ def item_rtm(t: Tables) -> DataFrame:
     return p.where(p.p_partkey % 10 != 1).select(
         item_code(F.col("p_partkey")).alias("ITEM"),
         F.when(F.col("p_partkey") % 3 == 0, "SIM").otherwise("NAO").alias("RTM"))
+
+
+# ---------------------------------------------------------- fetched pages
+def serial_pages(t: Tables) -> DataFrame:
+    """Shipment page per order line: a decoy table, then a border=1 table
+    listing 0-2 serials (no serial table at all on every fifth line)."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber")
+    n = F.col("l_linenumber") % 3
+    idx = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = F.transform(idx, lambda i: F.concat(F.lit("<tr><td> "), (F.col("l_orderkey") * 10 + i).cast("string"),
+                                               F.lit(" </td><td>ok</td></tr>")))
+    table = F.concat(F.lit('<table><tr><td>x</td></tr><tr><td>decoy</td></tr></table>'
+                           '<table border="1"><tr><th>Serial</th><th>Obs</th></tr>'),
+                     F.array_join(rows, ""), F.lit("</table>"))
+    html = F.when(F.col("l_linenumber") % 5 == 4, F.lit("<p>sem tabela</p>")).otherwise(table)
+    return li.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+                     .alias("page_key"), html.alias("html"))
+
+
+def item_pages(t: Tables) -> DataFrame:
+    """Product page per item (warranty cell and connectivity text), plus the
+    crawled pages of the ``pages`` table."""
+    p = t.part
+    k = F.col("p_size") % 5
+    cell = (F.when(k == 0, "Garantia: <b>36 MESES</b>").when(k == 1, "WARRANTY 12 months")
+            .when(k == 2, "Prazo: 24 meses").when(k == 3, "  garantia de 2 anos").otherwise(""))
+    r = F.col("p_partkey") % 4
+    rtm = F.when(r == 0, "Conectividade BLUETOOTH").when(r == 1, "modulo bluetooh").otherwise("mecanica")
+    html = F.concat(F.lit("<html><body><table><tr><td>Descrição</td><td>"), F.col("p_name"),
+                    F.lit("</td></tr><tr><td>"), cell, F.lit("</td></tr></table><p>"), rtm, F.lit("</p></body></html>"))
+    items = p.select(item_code(F.col("p_partkey")).alias("page_key"), html.alias("html"))
+    crawled = t.pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("page_key"), "html")
+    return items.unionByName(crawled)
