@@ -793,3 +793,107 @@ def q_ticket_resplit(t: Tables) -> DataFrame:
     tk = _tickets(t)
     r = incremental.resplit(tk, incremental.oldest_open(tk, V.AS_OF))
     return r.groupBy("destino").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ============================================================ scalar functions
+from fieldlens.operators import profile  # noqa: E402
+from fieldlens.streaming import twin  # noqa: E402
+
+
+@register("address_state", W("raw_units") + """
+SELECT ORDER_KEY AS order_key, nullif(regexp_extract(ENDERECO, ',\\s*([A-Z]{2}),\\s*BR', 1), '') AS uf,
+       nullif(regexp_extract(trim(ENDERECO), ',\\s*([A-Z]{2})\\s*$', 1), '') AS pais FROM raw_units""")
+def q_address_state(t: Tables) -> DataFrame:
+    u = V.raw_installed_base(t)
+    return u.select(F.col("ORDER_KEY").alias("order_key"), E.state_from_address("ENDERECO").alias("uf"),
+                    E.country_from_address("ENDERECO").alias("pais"))
+
+
+@register("address_country", W("raw_units") + """
+SELECT nullif(regexp_extract(trim(ENDERECO), ',\\s*([A-Z]{2})\\s*$', 1), '') AS pais, count(*) AS n
+FROM raw_units GROUP BY 1""")
+def q_address_country(t: Tables) -> DataFrame:
+    u = V.raw_installed_base(t)
+    return u.groupBy(E.country_from_address("ENDERECO").alias("pais")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("item_code", W("sales_raw") + f"""
+SELECT PEDIDO, LINHA, CASE WHEN starts_with(trim(DESCRICAO), '{E.dims.PUMP_DESCRIPTION_PREFIX}')
+       THEN trim(split_part(trim(DESCRICAO), '-', 2)) ELSE '' END AS codigo FROM sales_raw""")
+def q_item_code(t: Tables) -> DataFrame:
+    return _sales(t).select("PEDIDO", "LINHA", E.pump_code("DESCRICAO").alias("codigo"))
+
+
+def _sheet_value_spark(t: Tables) -> DataFrame:
+    o = t.orders
+    k = F.col("o_orderkey") % 4
+    serial = F.date_diff(F.col("o_orderdate").cast("date"), F.lit(E.dims.SPREADSHEET_EPOCH).cast("date")).cast("string")
+    v = (F.when(k == 0, serial).when(k == 1, F.concat(serial, F.lit(",5")))
+         .when(k == 2, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.lit("sem data")))
+    return o.select(F.col("o_orderkey").alias("order_key"), v.alias("valor"))
+
+
+_SHEET_SQL = """
+SELECT o_orderkey AS order_key,
+       CASE o_orderkey % 4 WHEN 0 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR)
+            WHEN 1 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) || ',5'
+            WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE 'sem data' END AS valor FROM orders"""
+
+
+@register("spreadsheet_dates", "WITH v AS (" + _SHEET_SQL + """),
+n AS (SELECT *, TRY_CAST(replace(trim(valor), ',', '.') AS DOUBLE) AS num FROM v)
+SELECT order_key, valor, CASE WHEN num IS NOT NULL
+         THEN strftime(DATE '1899-12-30' + CAST(floor(num) AS INTEGER), '%d/%m/%Y')
+         ELSE coalesce(strftime(""" + O.parse_date("valor") + """, '%d/%m/%Y'), valor, '') END AS data_formatada FROM n""")
+def q_spreadsheet_dates(t: Tables) -> DataFrame:
+    v = _sheet_value_spark(t)
+    return v.select("order_key", "valor", E.spreadsheet_date_text("valor").alias("data_formatada"))
+
+
+@register("currency_text", """
+SELECT o_orderkey AS order_key, 'R$ ' || translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS valor_texto
+FROM orders""")
+def q_currency_text(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("order_key"), E.currency_text("o_totalprice").alias("valor_texto"))
+
+
+@register("model_extract", W("sales_raw") + f"""
+SELECT DISTINCT ITEM, {O.item_prefix('ITEM')} AS prefixo, {O.model_case(O.item_prefix('ITEM'))} AS modelo FROM sales_raw""")
+def q_model_extract(t: Tables) -> DataFrame:
+    s = _sales(t).select("ITEM").distinct()
+    return s.select("ITEM", E.item_prefix("ITEM").alias("prefixo"),
+                    E.model_from_prefix(E.item_prefix("ITEM")).alias("modelo"))
+
+
+_PROFILE_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string",
+                  "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@register("table_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS coluna, '{ty}' AS tipo, count_if({c} IS NULL) AS nulos, count(DISTINCT {c}) AS distintos FROM orders"
+    for c, ty in _PROFILE_TYPES.items()))
+def q_table_profile(t: Tables) -> DataFrame:
+    return profile.table_profile(t.orders)
+
+
+_FEED_COLS = ["SS", "TAREFA", "l_partkey", "l_suppkey", "l_extendedprice", "DATA", "STATUS"]
+
+
+@register("stream_equals_batch", W("tickets_dedup") + "SELECT " + ", ".join(_FEED_COLS) + " FROM tickets_dedup")
+def q_stream_equals_batch(t: Tables) -> DataFrame:
+    """M4: the ticket feed is landed as several extract files (one per ship
+    year); a file stream deduplicates it with the same latest-row
+    aggregation; the drained result must equal the batch dedup."""
+    spark = t.spark
+    root = twin.scratch_dir(spark, "tickets-stream")
+    feed = V.ticket_feed(t).select(*_FEED_COLS).withColumn("_y", F.year("DATA"))
+    feed.write.partitionBy("_y").parquet(os.path.join(root, "landing"))
+    schema = spark.read.parquet(os.path.join(root, "landing")).drop("_y").schema
+    src = os.path.join(root, "landing", "*")
+    stream = twin.latest_rows_stream(spark, src, schema, ["SS", "TAREFA"],
+                                     ["DATA", "l_partkey", "l_suppkey", "l_extendedprice"])
+    out = twin.run_to_table(stream, os.path.join(root, "result"), os.path.join(root, "_checkpoint"))
+    return spark.read.parquet(out).select(*_FEED_COLS)
+
+
+import os  # noqa: E402
