@@ -56,14 +56,26 @@ def trim_strings(df, upper: bool = False):
 
 
 # F4 ----------------------------------------------------------------------
-DAY_FIRST_PATTERNS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy",
-                      "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+# (shape of the text, pattern that parses it); the shape test is a cheap
+# regex, so every row tries one pattern instead of failing through several
+DAY_FIRST_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+]
 
 
 def parse_day_first(c: ColumnOrName) -> Column:
     """Day-first text -> timestamp; anything unparseable -> NULL."""
     s = F.trim(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in DAY_FIRST_PATTERNS])
+    out = None
+    for shape, pattern in DAY_FIRST_FORMATS:
+        txt = F.regexp_replace(s, "T", " ") if "T" in shape else s
+        parsed = F.try_to_timestamp(txt, F.lit(pattern))
+        out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
+    return out
 
 
 # F5 ----------------------------------------------------------------------
@@ -223,21 +235,20 @@ def _pattern_days(s: Column, longest_first: bool, boundary: bool) -> Column:
     return out
 
 
-def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
-    """Warranty text -> days (as int; unparseable -> NULL in canonical mode).
-
-    ``canonical``: longest pattern first with a digit boundary, then N months
-    snapped up to 183/365/548/730/1095, then 1/2/3 years.
-    ``legacy``: numeric first, patterns in dictionary order (so '36 MESES'
-    hits '6 MESES'), months x 30.44 and years x 365 unsnapped, else 0.
-    ``numeric``: number-or-0.
-    """
-    col = _c(c)
-    blank = col.isNull() | (F.trim(col.cast("string")) == "") | (F.upper(F.trim(col.cast("string"))) == dims.NOT_FOUND)
+def _warranty_parts(col: Column) -> dict[str, Column]:
     s = _strip_warranty_prefixes(col)
-    months = F.regexp_extract(s, r"(\d+)\s*(MES|MONTH|M)", 1).try_cast("int")
-    years = F.regexp_extract(s, r"(\d+)\s*(ANO|YEAR|Y)", 1).try_cast("int")
-    numeric = F.replace(F.trim(col.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+    txt = F.trim(col.cast("string"))
+    return {
+        "blank": col.isNull() | (txt == "") | (F.upper(txt) == dims.NOT_FOUND),
+        "s": s,
+        "months": F.regexp_extract(s, r"(\d+)\s*(MES|MONTH|M)", 1).try_cast("int"),
+        "years": F.regexp_extract(s, r"(\d+)\s*(ANO|YEAR|Y)", 1).try_cast("int"),
+        "numeric": F.replace(txt, F.lit(","), F.lit(".")).try_cast("double"),
+    }
+
+
+def _warranty_days_from(p: dict[str, Column], mode: str) -> Column:
+    blank, s, months, years, numeric = p["blank"], p["s"], p["months"], p["years"], p["numeric"]
     if mode == "numeric":
         return F.coalesce(numeric.try_cast("int"), F.lit(0))
     if mode == "legacy":
@@ -249,15 +260,35 @@ def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
             F.lit(0),
         )
         return F.when(blank, F.lit(0)).otherwise(val)
+    if mode != "canonical":
+        raise ValueError(f"unknown warranty mode {mode!r}")
     mdays = F.floor(months * F.lit(dims.DAYS_PER_MONTH))
     snapped = (F.when(mdays <= 183, 183).when(mdays <= 365, 365).when(mdays <= 548, 548)
                .when(mdays <= 730, 730).otherwise(1095))
     by_years = F.when(years == 1, 365).when(years == 2, 730).when(years == 3, 1095)
-    val = F.coalesce(_pattern_days(s, longest_first=True, boundary=True),
+    # a purely numeric text can match no pattern, so trying it first is
+    # equivalent and skips every regex for the common numeric values
+    val = F.coalesce(numeric.try_cast("int"), _pattern_days(s, longest_first=True, boundary=True),
                      F.when(months.isNotNull(), snapped), by_years)
     return F.when(blank, F.lit(None).cast("int")).otherwise(val.cast("int"))
 
 
+def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
+    """Warranty text -> days (as int; unparseable -> NULL in canonical mode).
+
+    ``canonical``: a plain number is taken as days; else longest pattern
+    first with a digit boundary, then N months snapped up to
+    183/365/548/730/1095, then 1/2/3 years.
+    ``legacy``: numeric first, patterns in dictionary order (so '36 MESES'
+    hits '6 MESES'), months x 30.44 and years x 365 unsnapped, else 0.
+    ``numeric``: number-or-0.
+
+    ``coalesce`` stops at the first non-null branch, so cheap checks run
+    first and the regex branches only for texts that need them.
+    """
+    return _warranty_days_from(_warranty_parts(_c(c)), mode)
+
+
 # F20 / F21 ---------------------------------------------------------------
 def bluetooth_flag(html: ColumnOrName) -> Column:
     return F.when(F.coalesce(F.upper(_c(html)).rlike("BLUETOOTH|BLUETOOH"), F.lit(False)), "SIM").otherwise("NAO")

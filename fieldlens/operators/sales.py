@@ -69,12 +69,22 @@ def warranty_sales_by_year(lines: DataFrame, item_warranty: DataFrame, item_rtm:
 def units_inline_fill(lines: DataFrame, item_warranty: DataFrame, item_rtm: DataFrame, as_of: dt.date) -> DataFrame:
     """Inline warranty and RTM values win unless blank or
     'NAO ENCONTRADO'; otherwise the cached lookup; otherwise 0 days / 'NAO'.
-    Counted by RTM class."""
+    Counted by RTM class.
+
+    The text -> days parse is a pure function, so the cached texts are
+    parsed once per item on the (small) item table and only the inline
+    texts are parsed per line.
+    """
     s = sales_silver(lines)
     iw = item_warranty.groupBy("ITEM").agg(F.max("GARANTIA").alias("_gw"))
+    iw = iw.select("ITEM", F.coalesce(E.warranty_text_to_days(E.blank_aware_coalesce(F.lit(None).cast("string"), "_gw", "0")),
+                                      F.lit(0)).alias("_lookup_days"))
     ir = item_rtm.groupBy("ITEM").agg(F.max("RTM").alias("_rt"))
     j = s.join(iw, "ITEM", "left").join(ir, "ITEM", "left")
-    days = F.coalesce(E.warranty_text_to_days(E.blank_aware_coalesce("GARANTIA", "_gw", "0")), F.lit(0))
+    inline = F.col("GARANTIA")
+    inline_ok = ~(inline.isNull() | (F.trim(inline) == "") | (F.trim(inline) == dims.NOT_FOUND))
+    days = F.when(inline_ok, F.coalesce(E.warranty_text_to_days(inline), F.lit(0))).otherwise(
+        F.coalesce(F.col("_lookup_days"), F.lit(0)))
     rtm = E.blank_aware_coalesce("RTM", "_rt", "NAO")
     j = j.select((rtm == "SIM").alias("is_rtm"), "QTD",
                  F.coalesce(F.date_add("DT", days) >= E.as_of_lit(as_of), F.lit(False)).alias("norm"),

@@ -14,7 +14,7 @@ from fieldlens.operators import kpi
 from fieldlens.plans import jobs
 from fieldlens.plans import oracle as O
 from fieldlens.sources import views as V
-from fieldlens.sources.tables import Tables
+from fieldlens.sources.tables import Tables, tables_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(tables_for(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -58,16 +58,12 @@ FROM al HAVING count(*) > 0"""
 
 @register("rtm_analysis_by_year", _a6_sql("SIM"))
 def q_rtm_analysis_by_year(t: Tables) -> DataFrame:
-    units = jobs.build_installed_base(t, V.AS_OF)
-    tickets = jobs.build_tickets(t, V.AS_OF)
-    return kpi.rtm_analysis_by_year(units, tickets, jobs.build_errors(t), "SIM", V.AS_OF)
+    return kpi.rtm_analysis_by_year(_units(t), _tickets(t), _errors(t), "SIM", V.AS_OF)
 
 
 @register("rtm_analysis_by_year_non_rtm", _a6_sql("NAO"))
 def q_rtm_analysis_by_year_non_rtm(t: Tables) -> DataFrame:
-    units = jobs.build_installed_base(t, V.AS_OF)
-    tickets = jobs.build_tickets(t, V.AS_OF)
-    return kpi.rtm_analysis_by_year(units, tickets, jobs.build_errors(t), "NAO", V.AS_OF)
+    return kpi.rtm_analysis_by_year(_units(t), _tickets(t), _errors(t), "NAO", V.AS_OF)
 
 
 # ============================================================ helpers
@@ -78,16 +74,21 @@ from fieldlens.operators import charts, dedup, filters, joins, relationship  # n
 
 
 def _units(t: Tables, **kw) -> DataFrame:
-    return jobs.build_installed_base(t, V.AS_OF, **kw)
+    key = "units" + "".join(f"_{k}={v}" for k, v in sorted(kw.items()))
+    return t.memo(key, lambda: jobs.build_installed_base(t, V.AS_OF, **kw))
 
 
 def _tickets(t: Tables) -> DataFrame:
-    return jobs.build_tickets(t, V.AS_OF)
+    return t.memo("tickets", lambda: jobs.build_tickets(t, V.AS_OF))
+
+
+def _errors(t: Tables) -> DataFrame:
+    return t.memo("errors", lambda: jobs.build_errors(t))
 
 
 def _tickets_full(t: Tables) -> DataFrame:
     """Tickets with the model and warranty status of their unit."""
-    return kpi.tickets_with_units(_tickets(t), _units(t))
+    return t.memo("tickets_full", lambda: kpi.tickets_with_units(_tickets(t), _units(t)))
 
 
 W = O.with_views
@@ -205,7 +206,7 @@ SELECT round(coalesce(avg(VALOR_TOTAL), 0), 4) AS media_valor_total, round(coale
        round(coalesce(sum(VALOR_TOTAL), 0), 4) AS soma_valor_total, round(coalesce(sum(VALOR_PECA), 0), 4) AS soma_valor_peca
 FROM errors""")
 def q_error_value_summary(t: Tables) -> DataFrame:
-    s = kpi.error_value_summary(jobs.build_errors(t))
+    s = kpi.error_value_summary(_errors(t))
     return s.select(*[F.round(c, 4).alias(c) for c in s.columns])
 
 
@@ -236,7 +237,7 @@ def q_state_share(t: Tables) -> DataFrame:
 @register("ticket_dedup", W("tickets_dedup") + """
 SELECT SS, TAREFA, CHASSI, DATA, STATUS, MANTENEDOR, SUMARIO, l_partkey FROM tickets_dedup""")
 def q_ticket_dedup(t: Tables) -> DataFrame:
-    feed = dedup.latest_per_key(V.ticket_feed(t), ["SS", "TAREFA"], V.ticket_order())
+    feed = dedup.latest_per_key(V.ticket_feed(t), V.TICKET_KEYS, V.ticket_order())
     return V.enrich_ticket_feed(feed, t).select("SS", "TAREFA", "CHASSI", "DATA", "STATUS", "MANTENEDOR", "SUMARIO", "l_partkey")
 
 
@@ -442,7 +443,7 @@ e AS (SELECT DISTINCT trim(SS) AS ss FROM errors WHERE TIPO_ERRO IN ('TIPO 1', '
 s AS (SELECT DISTINCT CHASSI FROM tickets_base WHERE trim(SS) IN (SELECT ss FROM e) AND CHASSI IS NOT NULL)
 SELECT ORDER_KEY AS order_key, NUM_SERIAL AS num_serial FROM units WHERE NUM_SERIAL IN (SELECT CHASSI FROM s)""")
 def q_error_serial_filter(t: Tables) -> DataFrame:
-    out = filters.error_serial_filter(_units(t), _tickets(t), jobs.build_errors(t),
+    out = filters.error_serial_filter(_units(t), _tickets(t), _errors(t),
                                       {"TIPO_ERRO": ["TIPO 1", "TIPO 3"], "DETALHES_ERRO": ["ALTO"], "COD_ERRO": []})
     return out.select(F.col("ORDER_KEY").alias("order_key"), F.col("NUM_SERIAL").alias("num_serial"))
 
@@ -526,7 +527,7 @@ def q_filter_options(t: Tables) -> DataFrame:
     f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM errors" for c in filters.ERROR_FILTER_COLUMNS)
     + ") WHERE value IS NOT NULL AND trim(value) <> ''")
 def q_error_options(t: Tables) -> DataFrame:
-    return charts.error_options(jobs.build_errors(t))
+    return charts.error_options(_errors(t))
 
 
 @register("installed_base_options", W("units", "tickets_base") + """,
@@ -548,7 +549,7 @@ from fieldlens.streaming import incremental  # noqa: E402
 
 
 def _sales(t: Tables) -> DataFrame:
-    return V.raw_sales_lines(t)
+    return t.memo("sales", lambda: V.raw_sales_lines(t))
 
 
 def _a17_sql(variant: str, mode: str) -> str:
@@ -886,7 +887,9 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
     aggregation; the drained result must equal the batch dedup."""
     spark = t.spark
     root = twin.scratch_dir(spark, "tickets-stream")
-    feed = V.ticket_feed(t).select(*_FEED_COLS).withColumn("_y", F.year("DATA"))
+    feed = (V.ticket_feed(t).withColumn("SS", F.col("l_orderkey").cast("string"))
+            .withColumn("TAREFA", F.col("l_linenumber").cast("string")).select(*_FEED_COLS)
+            .withColumn("_y", F.year("DATA")))
     feed.write.partitionBy("_y").parquet(os.path.join(root, "landing"))
     schema = spark.read.parquet(os.path.join(root, "landing")).drop("_y").schema
     src = os.path.join(root, "landing", "*")

@@ -244,7 +244,7 @@ def warranty_days(col: str, mode: str = "canonical") -> str:
     snapped = (f"CASE WHEN {md} <= 183 THEN 183 WHEN {md} <= 365 THEN 365 WHEN {md} <= 548 THEN 548 "
                f"WHEN {md} <= 730 THEN 730 ELSE 1095 END")
     by_years = f"CASE {years} WHEN 1 THEN 365 WHEN 2 THEN 730 WHEN 3 THEN 1095 END"
-    return (f"(CASE WHEN {blank} THEN NULL ELSE CAST(coalesce({pat}, CASE WHEN {months} IS NOT NULL THEN {snapped} END, "
+    return (f"(CASE WHEN {blank} THEN NULL ELSE CAST(coalesce({num_int}, {pat}, CASE WHEN {months} IS NOT NULL THEN {snapped} END, "
             f"{by_years}) AS INTEGER) END)")
 
 

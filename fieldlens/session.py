@@ -13,6 +13,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
     b = (SparkSession.builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
          .appName("fieldlens")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -10,6 +10,19 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+_REGISTRY: dict[tuple[int, str], "Tables"] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> "Tables":
+    """One ``Tables`` per (session, folder), so the lazy reads and derived
+    view plans are built once per session (no data is cached)."""
+    key = (id(spark), sf_dir)
+    t = _REGISTRY.get(key)
+    if t is None or t.spark is not spark:
+        t = _REGISTRY[key] = Tables(spark, sf_dir)
+    return t
+
+
 class Tables:
     """``t.orders`` -> DataFrame over ``<sf_dir>/orders.parquet`` (read once per instance).
 
@@ -21,6 +34,13 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
+
+    def memo(self, name: str, build) -> DataFrame:
+        """Build a derived (lazy) view once and reuse the plan object."""
+        if name not in self._views:
+            self._views[name] = build()
+        return self._views[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLE_NAMES:

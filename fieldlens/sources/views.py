@@ -38,14 +38,14 @@ def _dmy(ts: Column) -> Column:
 def ticket_feed(t: Tables) -> DataFrame:
     """Ticket rows at lineitem grain, before any lookup join.
 
-    Several rows may share (SS, TAREFA): the feed is the union of the open
-    and closed extracts, so W1 must keep the latest one.
+    Several rows may share a ticket key (l_orderkey, l_linenumber), which
+    becomes (SS, TAREFA): the feed is the union of the open and closed
+    extracts, so W1 must keep the latest one.  The key stays numeric here so
+    the dedup groups and sorts on longs, not on the text forms.
     """
     li = t.lineitem
     return li.select(
-        F.col("l_orderkey").cast("string").alias("SS"),
-        F.col("l_linenumber").cast("string").alias("TAREFA"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         F.col("l_shipdate").alias("DATA"),
         F.when(F.col("l_linestatus") == "F",
                F.timestamp_add("DAY", F.col("l_quantity").cast("int"), F.col("l_shipdate"))).alias("RESOLVIDO"),
@@ -68,7 +68,8 @@ def enrich_ticket_feed(feed: DataFrame, t: Tables) -> DataFrame:
     bracketed = F.concat(F.when(F.col("p_size") % 10 == 0, F.lit("[stb] ")).otherwise(F.lit("")),
                          F.lit("["), F.col("p_type"), F.lit("] ["), F.lower("p_brand"), F.lit("] "), F.col("p_name"))
     return j.select(
-        "SS", "TAREFA",
+        F.col("l_orderkey").cast("string").alias("SS"),
+        F.col("l_linenumber").cast("string").alias("TAREFA"),
         F.when(F.col("o_custkey") % 4 == 0, F.concat(cust, F.lit(".0"))).otherwise(cust).alias("CHASSI"),
         "DATA", "RESOLVIDO", "STATUS",
         F.col("o_orderstatus").alias("PROPRIETARIO"),
@@ -86,6 +87,9 @@ def raw_tickets(t: Tables) -> DataFrame:
     return enrich_ticket_feed(ticket_feed(t), t)
 
 
+TICKET_KEYS = ["l_orderkey", "l_linenumber"]
+
+
 def ticket_order() -> list[Column]:
     """W1 order: latest DATA wins, ties broken by the greatest (part, supplier, price)."""
     return [F.col("DATA"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
