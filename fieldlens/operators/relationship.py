@@ -57,7 +57,7 @@ def matrix(prepared: DataFrame) -> DataFrame:
     score = E.relationship_score("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE", "AGING_CORTE")
     return j.select("MANTENEDOR", "VOLUME", F.round("AGING_MEDIO_DIAS", 1).alias("AGING_MEDIO_DIAS"),
                     score.alias("SCORE"), E.score_label(score).alias("PERFIL"),
-                    "VOLUME_CORTE", "AGING_CORTE")
+                    "VOLUME_CORTE", "AGING_CORTE").orderBy("SCORE", F.desc("VOLUME"), "MANTENEDOR")  # L5
 
 
 def monthly_scores(prepared: DataFrame) -> DataFrame:

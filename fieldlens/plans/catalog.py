@@ -900,3 +900,96 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
 
 
 import os  # noqa: E402
+
+
+# ============================================================ remaining inventory items
+@register("year_from_text", W("sales_raw") + """
+SELECT TRY_CAST(nullif(regexp_extract(DT_NUM_NF, '(\\d{4})', 1), '') AS INTEGER) AS ano, count(*) AS n
+FROM sales_raw GROUP BY 1""")
+def q_year_from_text(t: Tables) -> DataFrame:
+    """invoice year from the first four-digit run of the raw date text."""
+    return _sales(t).groupBy(E.year_from_text("DT_NUM_NF").alias("ano")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rtm_fill_before_year", W("sales") + """
+SELECT CASE WHEN (RTM IS NULL OR trim(RTM) = '') AND ANO < 1998 THEN 'NAO' ELSE RTM END AS rtm, count(*) AS n
+FROM sales GROUP BY 1""")
+def q_rtm_fill_before_year(t: Tables) -> DataFrame:
+    """blank RTM on lines invoiced before the target year becomes 'NAO'."""
+    s = sales.sales_silver(_sales(t))
+    return s.groupBy(E.fill_rtm_before_year("RTM", "ANO", 1998).alias("rtm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("state_names", W("units") + """,
+c AS (SELECT UF, count(*) AS n FROM units WHERE UF IS NOT NULL GROUP BY UF)
+SELECT c.UF AS uf, n_name || ' / ' || r_name AS nome, c.n AS quantidade
+FROM c LEFT JOIN nation ON c.UF = n_name LEFT JOIN region ON n_regionkey = r_regionkey""")
+def q_state_names(t: Tables) -> DataFrame:
+    """State code -> display name through a lookup join.  The state
+    dimension comes from ``nation`` x ``region``, a fixed 25-row table, so
+    it is broadcast."""
+    dim = (t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey)
+           .select(F.col("n_name").alias("_uf"), F.concat("n_name", F.lit(" / "), "r_name").alias("nome")))
+    c = _units(t).where(F.col("UF").isNotNull()).groupBy("UF").agg(F.count(F.lit(1)).alias("quantidade"))
+    j = c.join(F.broadcast(dim), c.UF == dim._uf, "left")
+    return j.select(F.col("UF").alias("uf"), "nome", "quantidade")
+
+
+register("warranty_sales_1998", _a17_sql("dispenser_w7", "legacy").replace(
+    "WHERE s.DT IS NOT NULL", "WHERE s.DT IS NOT NULL AND s.ANO IN (1998)"))(
+    lambda t: sales.warranty_sales_by_year(_sales(t), V.item_warranty(t), V.item_rtm(t), V.AS_OF,
+                                           "dispenser_w7", "legacy", years=[1998]))
+
+
+@register("model_bars", W("units_all") + ", s AS (SELECT " + ", ".join(
+    [f"{P(f'count_if(MODELO = {chr(39)}{m}{chr(39)})', 'count(*)')} AS pct_{m.lower()}" for m in E.dims.MAIN_MODELS]
+    + [f"{P('count_if(MODELO IS NOT NULL AND MODELO NOT IN (' + ', '.join(repr(m) for m in E.dims.MAIN_MODELS) + '))', 'count(*)')} AS pct_others"])
+    + " FROM units_all WHERE trim(PAIS) = 'BR')\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{m.lower()}' AS modelo, pct_{m.lower()} AS pct FROM s" for m in E.dims.MAIN_MODELS + ["others"])
+    + ") WHERE pct > 0")
+def q_model_bars(t: Tables) -> DataFrame:
+    """Model shares above zero as rows (others last when displayed)."""
+    return charts.model_bars(kpi.model_share(_units(t, drop_other_models=False)))
+
+
+_REPORT_YEAR = 1998
+
+
+@register("domestic_units_report", W("units") + f""",
+y AS (SELECT * FROM units WHERE ANO_NF = {_REPORT_YEAR})
+SELECT 'rtm' AS secao, RTM AS chave, count(*) AS n FROM y GROUP BY 2
+UNION ALL SELECT 'modelo', MODELO, count(*) FROM y GROUP BY 2
+UNION ALL SELECT 'periodo', CAST(GARANTIA AS VARCHAR), count(*) FROM y GROUP BY 2
+UNION ALL SELECT 'garantia_eletronica', CASE WHEN coalesce(DT_NUM_NF + 365 >= {O.AS_OF_SQL}, false) THEN 'DENTRO' ELSE 'FORA' END,
+                 count(*) FROM y GROUP BY 2""")
+def q_domestic_units_report(t: Tables) -> DataFrame:
+    """One year of domestic units by RTM class, model, warranty period
+    and electronic-warranty status, in one pass (long format)."""
+    y = _units(t).where(F.col("ANO_NF") == _REPORT_YEAR)
+    sections = F.array(
+        F.struct(F.lit("rtm").alias("secao"), F.col("RTM").alias("chave")),
+        F.struct(F.lit("modelo").alias("secao"), F.col("MODELO").alias("chave")),
+        F.struct(F.lit("periodo").alias("secao"), F.col("GARANTIA").cast("string").alias("chave")),
+        F.struct(F.lit("garantia_eletronica").alias("secao"),
+                 E.electronic_warranty_status("DT_NUM_NF", V.AS_OF).alias("chave")))
+    return (y.select(F.explode(sections).alias("r")).select("r.*").groupBy("secao", "chave")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("enrich_warranty", W("sales", "item_warranty", "item_pages") + f""",
+todo AS (SELECT DISTINCT ITEM FROM sales WHERE ANO >= {_ENRICH_YEAR} AND (GARANTIA IS NULL OR trim(GARANTIA) = '')
+         AND ITEM IS NOT NULL AND ITEM NOT IN (SELECT ITEM FROM item_warranty WHERE ITEM IS NOT NULL)),
+x AS (SELECT todo.ITEM, {O.warranty_sentence('p.html')} AS txt FROM todo JOIN item_pages p ON todo.ITEM = p.page_key)
+SELECT ITEM, coalesce(CAST({O.warranty_days('txt')} AS VARCHAR), txt) AS GARANTIA FROM x""")
+def q_enrich_warranty(t: Tables) -> DataFrame:
+    return jobs.enrich_warranty_cache(_sales(t), V.item_warranty(t), V.item_pages(t), _ENRICH_YEAR)
+
+
+@register("enrich_rtm", W("sales", "item_rtm", "item_pages") + f""",
+s2 AS (SELECT ITEM, ANO, CASE WHEN (RTM IS NULL OR trim(RTM) = '') AND ANO < {_ENRICH_YEAR} THEN 'NAO' ELSE RTM END AS RTM FROM sales),
+todo AS (SELECT DISTINCT ITEM FROM s2 WHERE ANO >= {_ENRICH_YEAR} AND (RTM IS NULL OR trim(RTM) = '')
+         AND ITEM IS NOT NULL AND ITEM NOT IN (SELECT ITEM FROM item_rtm WHERE ITEM IS NOT NULL))
+SELECT todo.ITEM, CASE WHEN coalesce(regexp_matches(upper(p.html), 'BLUETOOTH|BLUETOOH'), false) THEN 'SIM' ELSE 'NAO' END AS RTM
+FROM todo JOIN item_pages p ON todo.ITEM = p.page_key""")
+def q_enrich_rtm(t: Tables) -> DataFrame:
+    return jobs.enrich_rtm_cache(_sales(t), V.item_rtm(t), V.item_pages(t), _ENRICH_YEAR)

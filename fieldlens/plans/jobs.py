@@ -71,3 +71,46 @@ def build_errors(t: Tables) -> DataFrame:
     """S8 over the driver table: full-row dedup and trimmed, upper-cased text."""
     e = views.raw_errors(t)
     return E.trim_strings(e.dropDuplicates(), upper=True)
+
+
+def load_ticket_files(spark, open_path: str, closed_path: str, as_of: dt.date, maintainer: DataFrame,
+                      specialist: DataFrame, owner: DataFrame, sep: str = ";") -> DataFrame:
+    """C1 from delimited files (S1, S5, S7, F3, F4, W1): read both extracts
+    as text, trim, keep the common columns, parse day-first dates, keep the
+    latest row per (SS, Tarefa), then look up names and compute aging/tags."""
+    from fieldlens.sources import files
+    a = E.trim_strings(files.read_delimited(spark, open_path, sep=sep))
+    b = E.trim_strings(files.read_delimited(spark, closed_path, sep=sep))
+    df = files.union_common(a, b)
+    df = files.repair_headers(df, upper=True)
+    df = df.toDF(*[c.replace("Á", "A").replace("Ç", "C").replace("Í", "I").replace("É", "E") for c in df.columns])
+    df = (df.withColumn("DATA", E.parse_day_first("DATA")).withColumn("RESOLVIDO", E.parse_day_first("RESOLVIDO")))
+    df = dedup.latest_per_key(df, ["SS", "TAREFA"], [F.col("DATA")])
+    for c in ("PROPRIETARIO", "MANTENEDOR", "SERVICO", "TIPO", "SUMARIO", "RTM"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return process_tickets(df, maintainer, specialist, owner, as_of)
+
+
+def enrich_warranty_cache(lines: DataFrame, cached: DataFrame, item_pages: DataFrame, year: int) -> DataFrame:
+    """C4: items needing a warranty (blank inline value, invoice year >= ``year``)
+    that are not cached yet, read from their fetched product pages (F21) and
+    normalised to days (F18); returns the new cache rows (ITEM, GARANTIA)."""
+    from fieldlens.operators import sales
+    todo = sales.items_to_look_up(lines, cached, year)
+    pages = item_pages.select(F.col("page_key").alias("ITEM"), E.warranty_sentence("html").alias("_txt"))
+    j = todo.join(pages, "ITEM", "inner")
+    days = E.warranty_text_to_days("_txt")
+    return j.select("ITEM", F.coalesce(days.cast("string"), F.col("_txt")).alias("GARANTIA"))
+
+
+def enrich_rtm_cache(lines: DataFrame, cached: DataFrame, item_pages: DataFrame, year: int) -> DataFrame:
+    """Items of lines from ``year`` on that have no cached RTM flag,
+    flagged from their product page (F20); returns new cache rows (ITEM, RTM)."""
+    from fieldlens.operators import sales
+    s = sales.sales_silver(lines)
+    s = s.withColumn("RTM", E.fill_rtm_before_year("RTM", "ANO", year))
+    need = s.where((F.col("ANO") >= year) & (F.col("RTM").isNull() | (F.trim("RTM") == "")))
+    todo = need.select("ITEM").where(F.col("ITEM").isNotNull()).distinct().join(cached.select("ITEM"), "ITEM", "left_anti")
+    pages = item_pages.select(F.col("page_key").alias("ITEM"), E.bluetooth_flag("html").alias("RTM"))
+    return todo.join(pages, "ITEM", "inner")

@@ -77,3 +77,24 @@ def test_lookup_last_wins_and_export(spark, tmpdir_path):
                                    "fechados": spark.createDataFrame([("2",)], "SS string")},
                                   os.path.join(tmpdir_path, "export"))
     assert sorted(os.listdir(path))[-2:] == ["origin=chamados", "origin=fechados"]
+
+
+def test_s7_merged_ticket_files(spark, tmpdir_path):
+    import datetime as dt
+
+    from fieldlens.plans import jobs
+    open_csv = ("SS;Tarefa;Chassi;Data;Resolvido;Status;Proprietário;Mantenedor;Serviço;Tipo;Sumário;RTM;Extra\n"
+                "1;1;123.0;05/01/2025;;ABERTO;O;Sup A;PARTIDA INICIAL;A;[x] y;com rtm;e\n"
+                "2;1; 9 ;03/01/2025;04/01/2025;FECHADO;F;Sup B;CORRETIVA;N;nada;;e\n")
+    closed_csv = ("SS;Tarefa;Chassi;Data;Resolvido;Status;Proprietário;Mantenedor;Serviço;Tipo;Sumário;RTM\n"
+                  "1;1;123;01/01/2025;02/01/2025;FECHADO;O;Sup A;PARTIDA INICIAL;A;[x] y;;\n")
+    a = _write(os.path.join(tmpdir_path, "chamados.csv"), open_csv.encode("utf-8"))
+    b = _write(os.path.join(tmpdir_path, "fechados.csv"), closed_csv.encode("utf-8"))
+    dim = spark.createDataFrame([("Sup A", "SAW-A")], "raw string, label string")
+    owner = spark.createDataFrame([("O", "OWNER")], "raw string, label string")
+    t = jobs.load_ticket_files(spark, a, b, dt.date(2025, 1, 10), dim, dim, owner)
+    rows = {r["SS"]: r for r in t.collect()}
+    assert set(rows) == {"1", "2"} and "EXTRA" not in t.columns
+    assert rows["1"]["STATUS"] == "ABERTO" and rows["1"]["AGING"] == 5      # latest extract wins, open to as_of
+    assert rows["1"]["CHASSI"] == "123" and rows["1"]["RTM"] == "SIM" and rows["1"]["MANTENEDOR"] == "SAW-A"
+    assert rows["2"]["CHASSI"] == "9" and rows["2"]["MANTENEDOR"] == "" and rows["2"]["TAGS"] == ["Sem Tags"]
