@@ -142,23 +142,35 @@ def installed_base_kpis(units: DataFrame, tickets: DataFrame) -> DataFrame:
     Denominator: rows.  Numerators: distinct serials in a set (start-up,
     warranty call, RTM, DENTRO, FORA) except third-party start-up, which
     counts rows classified 'SIM - TERCEIRO' (F22 on valid call counts).
+    Distinct serials are counted in two grouped passes (per serial, then
+    overall) rather than with five ``count_distinct`` aggregates, which
+    would expand every row five times.
     """
     flags = unit_ticket_flags(tickets)
     j = _attach_flags(units.select("NUM_SERIAL", "RTM", "STATUS_GARANTIA"), flags)
     cls = E.startup_status("has_startup", "n_valid_calls")
-    n = F.count(F.lit(1))
+    per_serial = j.groupBy("NUM_SERIAL").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(cls == dims.STARTUP_THIRD_PARTY).alias("_third"),
+        F.bool_or("has_startup").alias("_su"), F.bool_or("has_call").alias("_call"),
+        F.bool_or(~F.col("has_call")).alias("_nocall"),
+        F.bool_or(F.coalesce(F.col("RTM") == "SIM", F.lit(False))).alias("_rtm"),
+        F.bool_or(F.coalesce(F.col("STATUS_GARANTIA") == "DENTRO", F.lit(False))).alias("_in"),
+        F.bool_or(F.coalesce(F.col("STATUS_GARANTIA") == "FORA", F.lit(False))).alias("_out"))
+    n = F.coalesce(F.sum("_rows"), F.lit(0))
+    known = F.col("NUM_SERIAL").isNotNull()
+
+    def serials(flag: str) -> Column:
+        return F.count_if(known & F.col(flag))
 
-    def distinct_if(cond: Column) -> Column:
-        return F.count_distinct(F.when(cond, F.col("NUM_SERIAL")))
-
-    return j.agg(
-        pct(distinct_if(F.col("has_startup")), n).alias("pct_com_partida_dfs"),
-        pct(F.count_if(cls == dims.STARTUP_THIRD_PARTY), n).alias("pct_com_partida_terceiros"),
-        pct(distinct_if(F.col("has_call")), n).alias("pct_com_chamado"),
-        pct(distinct_if(~F.col("has_call")), n).alias("pct_sem_chamado"),
-        pct(distinct_if(F.col("RTM") == "SIM"), n).alias("pct_rtm"),
-        pct(distinct_if(F.col("STATUS_GARANTIA") == "DENTRO"), n).alias("pct_em_garantia"),
-        pct(distinct_if(F.col("STATUS_GARANTIA") == "FORA"), n).alias("pct_fora_garantia"),
+    return per_serial.agg(
+        pct(serials("_su"), n).alias("pct_com_partida_dfs"),
+        pct(F.coalesce(F.sum("_third"), F.lit(0)), n).alias("pct_com_partida_terceiros"),
+        pct(serials("_call"), n).alias("pct_com_chamado"),
+        pct(serials("_nocall"), n).alias("pct_sem_chamado"),
+        pct(serials("_rtm"), n).alias("pct_rtm"),
+        pct(serials("_in"), n).alias("pct_em_garantia"),
+        pct(serials("_out"), n).alias("pct_fora_garantia"),
     )
 
 

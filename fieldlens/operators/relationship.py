@@ -17,35 +17,75 @@ from fieldlens.functions import dims
 from fieldlens.functions import expr as E
 
 
-def prepare_source(tickets: DataFrame, as_of: dt.date) -> DataFrame:
-    """(MANTENEDOR, DATA_BASE, AGING_NUM, CHAMADO_KEY) rows.
-
-    Aging falls back to FIM (or ``as_of``) minus the start only when *no*
-    row has an aging value; negative aging is clipped to 0; rows without a
-    maintainer, start date or aging are dropped; an empty ticket key falls
-    back to a generated row id.
+def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
+    """A15 without the global decision: (MANTENEDOR, DATA_BASE, CHAMADO_KEY,
+    AGING_A, AGING_F) where AGING_A is the recorded aging and AGING_F the
+    fallback from FIM (or ``as_of``), both clipped at 0.
+
+    The reference uses the fallback only when *no* row has an aging value;
+    deciding that needs a global aggregate, so the candidates keep both and
+    the aggregates below decide on their own (small) output instead of a
+    second pass over the tickets.  Rows without a maintainer or start date
+    are dropped; an empty ticket key falls back to a generated row id.
     """
     date_col = "INICIO" if "INICIO" in tickets.columns else "DATA"
+    aging = F.col("AGING").cast("double") if "AGING" in tickets.columns else F.lit(None).cast("double")
+    fim = F.col("FIM").cast("timestamp_ntz") if "FIM" in tickets.columns else F.lit(None).cast("timestamp_ntz")
+    key = F.trim(F.coalesce(F.col("SS").cast("string"), F.lit(""))) if "SS" in tickets.columns else F.lit("")
     base = tickets.select(
         F.trim(F.coalesce(F.col("MANTENEDOR").cast("string"), F.lit(""))).alias("MANTENEDOR"),
-        F.col(date_col).cast("timestamp_ntz").alias("DATA_BASE"),
-        F.col("AGING").cast("double").alias("_aging") if "AGING" in tickets.columns else F.lit(None).cast("double").alias("_aging"),
-        (F.col("FIM").cast("timestamp_ntz") if "FIM" in tickets.columns else F.lit(None).cast("timestamp_ntz")).alias("_fim"),
-        F.trim(F.coalesce(F.col("SS").cast("string"), F.lit(""))).alias("_key") if "SS" in tickets.columns else F.lit("").alias("_key"),
-    )
-    any_aging = base.agg(F.bool_or(F.col("_aging").isNotNull()).alias("_any"))
+        F.col(date_col).cast("timestamp_ntz").alias("DATA_BASE"), aging.alias("_aging"), fim.alias("_fim"),
+        key.alias("_key"))
     fallback = F.floor(F.timestamp_diff("SECOND", F.col("DATA_BASE"),
                                         F.coalesce("_fim", E.as_of_lit(as_of).cast("timestamp_ntz"))) / 86400)
-    aging = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.col("_aging")).otherwise(fallback)
-    key = F.when(F.col("_key") == "", F.monotonically_increasing_id().cast("string")).otherwise(F.col("_key"))
-    out = base.crossJoin(F.broadcast(any_aging)).select(
-        "MANTENEDOR", "DATA_BASE", E.clip_zero(aging).alias("AGING_NUM"), key.alias("CHAMADO_KEY"))
-    return out.where((F.col("MANTENEDOR") != "") & F.col("DATA_BASE").isNotNull() & F.col("AGING_NUM").isNotNull())
+    out = base.select(
+        "MANTENEDOR", "DATA_BASE",
+        F.when(F.col("_key") == "", F.monotonically_increasing_id().cast("string")).otherwise(F.col("_key")).alias("CHAMADO_KEY"),
+        E.clip_zero(F.col("_aging")).alias("AGING_A"), E.clip_zero(fallback.cast("double")).alias("AGING_F"))
+    return out.where((F.col("MANTENEDOR") != "") & F.col("DATA_BASE").isNotNull()
+                     & (F.col("AGING_A").isNotNull() | F.col("AGING_F").isNotNull()))
+
+
+def resolve(candidates: DataFrame) -> DataFrame:
+    """Row-level A15 result (MANTENEDOR, DATA_BASE, AGING_NUM, CHAMADO_KEY):
+    one global flag (a one-row aggregate, broadcast) picks the variant."""
+    flag = candidates.agg(F.bool_or(F.col("AGING_A").isNotNull()).alias("_any"))
+    j = candidates.crossJoin(F.broadcast(flag))
+    aging = F.when(F.coalesce("_any", F.lit(False)), F.col("AGING_A")).otherwise(F.col("AGING_F"))
+    return j.select("MANTENEDOR", "DATA_BASE", aging.alias("AGING_NUM"), "CHAMADO_KEY").where(
+        F.col("AGING_NUM").isNotNull())
+
+
+def prepare_source(tickets: DataFrame, as_of: dt.date) -> DataFrame:
+    """(MANTENEDOR, DATA_BASE, AGING_NUM, CHAMADO_KEY) rows."""
+    return resolve(prepare_candidates(tickets, as_of))
 
 
 def _volume_aging(df: DataFrame, keys: list) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count_distinct("CHAMADO_KEY").alias("VOLUME"),
-                                 F.avg("AGING_NUM").alias("AGING_MEDIO_DIAS"))
+    """Distinct tickets and mean aging per group.
+
+    Two grouped passes instead of ``count_distinct`` (which expands every
+    row once per distinct aggregate): (group, ticket) first, carrying sums
+    and counts, then the group.  Both levels combine map-side, so a hot
+    maintainer is reduced before it moves.  On candidate rows both aging
+    variants are aggregated together and the variant is chosen from a flag
+    computed over the aggregated groups.
+    """
+    if "AGING_A" not in df.columns:
+        df = df.withColumn("AGING_A", F.col("AGING_NUM")).withColumn("AGING_F", F.lit(None).cast("double"))
+    a, f = F.col("AGING_A"), F.col("AGING_F")
+    per_ticket = df.groupBy(*keys, "CHAMADO_KEY").agg(
+        F.sum(a).alias("_sa"), F.count(a).alias("_ca"), F.sum(f).alias("_sf"), F.count(f).alias("_cf"))
+    g = per_ticket.groupBy(*keys).agg(
+        F.count_if(F.col("_ca") > 0).alias("_va"), (F.sum("_sa") / F.sum("_ca")).alias("_aa"),
+        F.count_if(F.col("_cf") > 0).alias("_vf"), (F.sum("_sf") / F.sum("_cf")).alias("_af"),
+        (F.sum("_ca") > 0).alias("_ha"))
+    flag = g.agg(F.bool_or("_ha").alias("_any"))
+    use_a = F.coalesce(F.col("_any"), F.lit(False))
+    j = g.crossJoin(F.broadcast(flag))
+    out = j.select(*keys, F.when(use_a, F.col("_va")).otherwise(F.col("_vf")).alias("VOLUME"),
+                   F.when(use_a, F.col("_aa")).otherwise(F.col("_af")).alias("AGING_MEDIO_DIAS"))
+    return out.where(F.col("VOLUME") > 0)
 
 
 def matrix(prepared: DataFrame) -> DataFrame:

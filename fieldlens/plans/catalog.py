@@ -460,6 +460,10 @@ def _prep(t: Tables) -> DataFrame:
     return relationship.prepare_source(_tickets(t), V.AS_OF)
 
 
+def _cand(t: Tables) -> DataFrame:
+    return relationship.prepare_candidates(_tickets(t), V.AS_OF)
+
+
 @register("last_six_months", _PREP + """
 SELECT * FROM prep WHERE DATA_BASE >= (SELECT max(DATA_BASE) FROM prep) - INTERVAL 6 MONTH""")
 def q_last_six_months(t: Tables) -> DataFrame:
@@ -486,7 +490,7 @@ s AS (SELECT m.*, cuts.*, """ + _score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME
 SELECT MANTENEDOR, VOLUME, round(AGING_MEDIO_DIAS, 1) AS AGING_MEDIO_DIAS, SCORE, {_label_case('SCORE')} AS PERFIL,
        VOLUME_CORTE, AGING_CORTE FROM s""")
 def q_relationship_matrix(t: Tables) -> DataFrame:
-    return relationship.matrix(_prep(t))
+    return relationship.matrix(_cand(t))
 
 
 @register("relationship_points", _MATRIX + """,
@@ -498,7 +502,7 @@ SELECT MANTENEDOR, VOLUME, AGING_MEDIO_DIAS, SCORE, DUP_COUNT, DUP_IDX,
        VOLUME + (DUP_IDX - (DUP_COUNT - 1) / 2) * xs * 0.012 AS VOLUME_PLOT,
        AGING_MEDIO_DIAS + (DUP_IDX - (DUP_COUNT - 1) / 2) * ys * 0.012 AS AGING_PLOT FROM p, sp""")
 def q_relationship_points(t: Tables) -> DataFrame:
-    return relationship.plot_points(relationship.matrix(_prep(t)))
+    return relationship.plot_points(relationship.matrix(_cand(t)))
 
 
 @register("relationship_monthly", _PREP + """,
@@ -510,7 +514,7 @@ SELECT ANO_MES, MANTENEDOR, VOLUME, round(AGING_MEDIO_DIAS, 1) AS AGING_MEDIO_DI
        """ + _score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE_MES", "AGING_CORTE_MES") + " AS SCORE, "
     + _label_case(_score_sql("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE_MES", "AGING_CORTE_MES")) + " AS PERFIL FROM c")
 def q_relationship_monthly(t: Tables) -> DataFrame:
-    return relationship.monthly_scores(_prep(t))
+    return relationship.monthly_scores(_cand(t))
 
 
 # ------------------------------------------------------------ options

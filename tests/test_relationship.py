@@ -50,3 +50,19 @@ def test_points_spread(spark):
         relationship.matrix(relationship.prepare_source(df, dt.date(2025, 2, 1)))).collect()}
     assert pts["A"]["DUP_COUNT"] == 2 and pts["A"]["VOLUME_PLOT"] < pts["B"]["VOLUME_PLOT"]
     assert pts["C"]["VOLUME_PLOT"] == 5.0
+
+
+def test_fallback_only_when_no_aging(spark):
+    d = dt.datetime
+    rows = [("1", "M", d(2025, 1, 1), d(2025, 1, 4), None), ("2", "M", d(2025, 1, 1), None, None)]
+    df = spark.createDataFrame(rows, "SS string, MANTENEDOR string, INICIO timestamp_ntz, FIM timestamp_ntz, AGING int")
+    cand = relationship.prepare_candidates(df, dt.date(2025, 1, 11))
+    m = relationship.matrix(cand).first()
+    # no recorded aging at all: FIM (or as_of) minus start -> 3 and 10
+    assert m["VOLUME"] == 2 and m["AGING_MEDIO_DIAS"] == 6.5
+    assert sorted(r["AGING_NUM"] for r in relationship.resolve(cand).collect()) == [3.0, 10.0]
+    df2 = spark.createDataFrame(rows[:1] + [("2", "M", d(2025, 1, 1), None, 8)],
+                                "SS string, MANTENEDOR string, INICIO timestamp_ntz, FIM timestamp_ntz, AGING int")
+    m2 = relationship.matrix(relationship.prepare_candidates(df2, dt.date(2025, 1, 11))).first()
+    # some aging recorded: only those rows count
+    assert m2["VOLUME"] == 1 and m2["AGING_MEDIO_DIAS"] == 8.0
