@@ -97,8 +97,14 @@ def rtm_analysis_by_year(units: DataFrame, tickets: DataFrame, errors: DataFrame
             pct(F.count_if(F.col(f"{prefix}has_error")), n).alias("pct_error_rtm_ticket"),
         ]
 
-    per_year = (j.where(F.col("ANO_NF").isNotNull()).groupBy("ANO_NF")
-                .agg(F.count(F.lit(1)).alias("units_sales"), *metrics("", F.count(F.lit(1))))
+    # the null-year group is dropped *after* aggregating, through an
+    # aggregate output: a filter on the key would be pushed below the join,
+    # making this branch differ from the Total branch, and the shared join
+    # (scans and shuffles) would then be computed twice instead of reused
+    per_year = (j.groupBy("ANO_NF")
+                .agg(F.count(F.lit(1)).alias("units_sales"), *metrics("", F.count(F.lit(1))),
+                     F.bool_or(F.col("ANO_NF").isNotNull()).alias("_has_year"))
+                .where(F.col("_has_year"))
                 .select(F.col("ANO_NF").cast("string").alias("ano"), *YEAR_COLUMNS[1:]))
     # overall first row per serial = the smallest of its per-year first rows
     packed = F.struct(F.col("DT_NUM_NF").isNull().alias("_n"), F.col("DT_NUM_NF").alias("_d"),
