@@ -127,12 +127,26 @@ def pump_code(c: ColumnOrName) -> Column:
 
 
 # F12 ---------------------------------------------------------------------
+def seconds_between(start: ColumnOrName, end: ColumnOrName) -> Column:
+    """Elapsed seconds between two wall-clock timestamps (``timestamp_ntz``).
+
+    Computed as calendar days x 86400 plus the time-of-day difference, so no
+    session time zone (and no daylight-saving day of 23 or 25 hours) enters
+    the result.
+    """
+    s, e = _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz")
+
+    def tod(x: Column) -> Column:
+        return (F.hour(x) * 3600 + F.minute(x) * 60).cast("double") + F.extract(F.lit("SECOND"), x).cast("double")
+
+    return F.date_diff(e.cast("date"), s.cast("date")).cast("double") * 86400 + (tod(e) - tod(s))
+
+
 def aging_days(start: ColumnOrName, end: ColumnOrName, status: ColumnOrName, as_of: dt.date) -> Column:
     """Whole elapsed 24-hour periods; open tickets without an end run to ``as_of``."""
     end_c = F.when(_c(end).isNull() & (_c(status) == dims.STATUS_OPEN),
                    as_of_lit(as_of).cast("timestamp_ntz")).otherwise(_c(end).cast("timestamp_ntz"))
-    secs = F.timestamp_diff("SECOND", _c(start).cast("timestamp_ntz"), end_c)
-    return F.floor(secs / F.lit(86400)).cast("int")
+    return F.floor(seconds_between(start, end_c) / F.lit(86400)).cast("int")
 
 
 # F13 ---------------------------------------------------------------------

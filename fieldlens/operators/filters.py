@@ -46,10 +46,12 @@ def by_status(df: DataFrame, status: str = "GERAL", column: str = "STATUS") -> D
 def date_window(df: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
                 start_col: str = "INICIO", end_col: str = "FIM") -> DataFrame:
     """INICIO >= start and FIM <= end (midnight bounds; a null date fails)."""
+    # bounds are built from text, so they mean the same instant whatever
+    # the session time zone is
     if start is not None:
-        df = df.where(F.col(start_col) >= F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp_ntz"))
+        df = df.where(F.col(start_col) >= F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz"))
     if end is not None:
-        df = df.where(F.col(end_col) <= F.lit(dt.datetime.combine(end, dt.time())).cast("timestamp_ntz"))
+        df = df.where(F.col(end_col) <= F.lit(f"{end.isoformat()} 00:00:00").cast("timestamp_ntz"))
     return df
 
 

@@ -36,8 +36,8 @@ def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
         F.trim(F.coalesce(F.col("MANTENEDOR").cast("string"), F.lit(""))).alias("MANTENEDOR"),
         F.col(date_col).cast("timestamp_ntz").alias("DATA_BASE"), aging.alias("_aging"), fim.alias("_fim"),
         key.alias("_key"))
-    fallback = F.floor(F.timestamp_diff("SECOND", F.col("DATA_BASE"),
-                                        F.coalesce("_fim", E.as_of_lit(as_of).cast("timestamp_ntz"))) / 86400)
+    fallback = F.floor(E.seconds_between(F.col("DATA_BASE"),
+                                         F.coalesce("_fim", E.as_of_lit(as_of).cast("timestamp_ntz"))) / 86400)
     out = base.select(
         "MANTENEDOR", "DATA_BASE",
         F.when(F.col("_key") == "", F.monotonically_increasing_id().cast("string")).otherwise(F.col("_key")).alias("CHAMADO_KEY"),

@@ -171,3 +171,15 @@ def test_no_python_udfs_in_expressions(spark):
     plan = df.select(E.extract_tags("t"), E.warranty_text_to_days("t"), E.model_from_prefix(E.item_prefix("t")),
                      E.warranty_label("v"), E.currency_text("v"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_aging_ignores_session_time_zone(spark):
+    # 1999-10-03 was a 23-hour day in Sao Paulo; wall-clock aging must not see it
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = spark.createDataFrame([(dt.datetime(1999, 10, 2), dt.datetime(1999, 10, 4), "FECHADO")],
+                                   "ini timestamp_ntz, fim timestamp_ntz, st string")
+        assert df.select(E.aging_days("ini", "fim", "st", dt.date(2000, 1, 1))).first()[0] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
