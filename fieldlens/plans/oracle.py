@@ -294,6 +294,6 @@ def warranty_sentence(html: str) -> str:
 def serials_in_page(html: str) -> str:
     table = f"""regexp_extract(coalesce({html}, ''), '(?is)<table[^>]*\\bborder\\s*=\\s*["'']?1\\b[^>]*>(.*?)</table>', 1)"""
     rows = f"regexp_extract_all({table}, '(?is)<tr[^>]*>(.*?)</tr>', 1)"
-    cell = page_text("regexp_extract(r, '(?is)<td[^>]*>(.*?)</td>', 1)")
+    cell = "trim(regexp_replace(regexp_extract(r, '(?is)<td[^>]*>(.*?)</td>', 1), '\\s*<[^>]*>\\s*', '', 'g'))"
     first = f"list_transform(({rows})[2:], lambda r: {cell})"
     return f"list_filter({first}, lambda s: s <> '')"

@@ -21,13 +21,19 @@ def _text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
 
 
+def _stripped_text(c: Column) -> Column:
+    """Text of a cell with every text piece stripped and the pieces joined
+    without a separator; the regex runs only on cells that hold markup."""
+    return F.trim(F.when(c.contains("<"), F.regexp_replace(c, r"\s*<[^>]*>\s*", "")).otherwise(c))
+
+
 def serials_in_page(html: Column) -> Column:
     """Serial list of a page: first table with border=1, rows after the
     header, text of the first <td>, blanks dropped."""
     table = F.regexp_extract(F.coalesce(html, F.lit("")), BORDER_TABLE, 1)
     rows = F.regexp_extract_all(table, F.lit(ROW), F.lit(1))
     body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    first = F.transform(body, lambda r: _text(F.regexp_extract(r, CELL, 1)))
+    first = F.transform(body, lambda r: _stripped_text(F.regexp_extract(r, CELL, 1)))
     return F.filter(first, lambda s: s != "")
 
 

@@ -31,12 +31,12 @@ def test_g2_lookup(spark):
 def test_g11_pages(spark):
     html_serials = ('<table><tr><td>decoy</td></tr><tr><td>no</td></tr></table>'
                     '<table border="1"><tr><th>Serial</th></tr><tr><td> S1 </td><td>x</td></tr>'
-                    '<tr><td>S2</td></tr><tr><td> </td></tr></table>')
+                    '<tr><td>S2</td></tr><tr><td> </td></tr><tr><td> S3 <b> x </b></td></tr></table>')
     p = spark.createDataFrame([("L1", html_serials), ("L2", '<table border=1><tr><th>Serial</th></tr></table>'),
                                ("L3", "<p>none</p>")], "page_key string, html string")
     lines = spark.createDataFrame([("L1",), ("L2",), ("L3",), ("L4",)], "k string")
     out = sorted((r["k"], r["Serial"]) for r in pages.unpack_serials(lines, p, "k").collect())
-    assert out == [("L1", "S1"), ("L1", "S2"), ("L2", ""), ("L3", "")]
+    assert out == [("L1", "S1"), ("L1", "S2"), ("L1", "S3x"), ("L2", ""), ("L3", "")]
 
     q = spark.createDataFrame([
         ("i1", "<td>Modelo</td><td>Garantia: <b>36 MESES</b></td><p>BLUETOOTH</p>"),
