@@ -8,7 +8,6 @@ many fields, which are then dropped, while short rows are kept with nulls
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,6 +160,3 @@ def export_by_origin(frames: dict[str, DataFrame], path: str, fmt: str = "csv")
     w.format(fmt).save(path)
     return path
 
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)
