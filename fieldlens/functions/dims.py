@@ -9,7 +9,6 @@ proven size (tens of rows), which is what makes broadcasting it safe.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: pump models -------------------------------------------

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
-from fieldlens.operators import kpi
 
 
 def value_counts_top(df: DataFrame, field: str, n: int = 20) -> DataFrame:
@@ -121,5 +120,3 @@ def model_bars(share: DataFrame) -> DataFrame:
                                                for c in cols])).alias("s")).select("s.*")
     return stacked.where(F.col("pct") > 0).orderBy((F.col("modelo") == "others").asc(), F.desc("pct"))
 
-
-__all__ = ["kpi"]

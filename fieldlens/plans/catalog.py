@@ -6,6 +6,7 @@ the fixed ``AS_OF`` date.  ``ORACLE`` holds the equivalent DuckDB SQL.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -903,8 +904,6 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
     return spark.read.parquet(out).select(*_FEED_COLS)
 
 
-import os  # noqa: E402
-
 
 # ============================================================ remaining inventory items
 @register("year_from_text", W("sales_raw") + """
