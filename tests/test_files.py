@@ -98,3 +98,12 @@ def test_s7_merged_ticket_files(spark, tmpdir_path):
     assert rows["1"]["STATUS"] == "ABERTO" and rows["1"]["AGING"] == 5      # latest extract wins, open to as_of
     assert rows["1"]["CHASSI"] == "123" and rows["1"]["RTM"] == "SIM" and rows["1"]["MANTENEDOR"] == "SAW-A"
     assert rows["2"]["CHASSI"] == "9" and rows["2"]["MANTENEDOR"] == "" and rows["2"]["TAGS"] == ["Sem Tags"]
+
+
+def test_table_profile_exact_and_approximate(spark):
+    from fieldlens.operators import profile
+    df = spark.range(1000).selectExpr("id", "id % 10 AS k", "CASE WHEN id % 2 = 0 THEN NULL ELSE 'x' END AS s")
+    exact = {r["coluna"]: (r["tipo"], r["nulos"], r["distintos"]) for r in profile.table_profile(df).collect()}
+    assert exact == {"id": ("bigint", 0, 1000), "k": ("bigint", 0, 10), "s": ("string", 500, 1)}
+    approx = {r["coluna"]: r["distintos"] for r in profile.table_profile(df, exact=False).collect()}
+    assert approx["k"] == 10 and abs(approx["id"] - 1000) <= 50
