@@ -27,14 +27,24 @@ def _stripped_text(c: Column) -> Column:
     return F.trim(F.when(c.contains("<"), F.regexp_replace(c, r"\s*<[^>]*>\s*", "")).otherwise(c))
 
 
+# first <td> of a row, never crossing the row's </tr>, in a closed row
+_IN_ROW = r"(?:(?!</tr>).)"
+FIRST_CELLS = r"(?is)<tr[^>]*>" + _IN_ROW + r"*?<td[^>]*>(" + _IN_ROW + r"*?)</td>" + _IN_ROW + r"*</tr>"
+
+
 def serials_in_page(html: Column) -> Column:
     """Serial list of a page: first table with border=1, rows after the
-    header, text of the first <td>, blanks dropped."""
+    header, text of the first <td>, blanks dropped.
+
+    The header row is cut off up to its </tr>, then one regex pass returns
+    the first cell of every remaining closed row (rows without a <td> give
+    nothing), instead of listing the rows and parsing each one again.
+    """
     table = F.regexp_extract(F.coalesce(html, F.lit("")), BORDER_TABLE, 1)
-    rows = F.regexp_extract_all(table, F.lit(ROW), F.lit(1))
-    body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    first = F.transform(body, lambda r: _stripped_text(F.regexp_extract(r, CELL, 1)))
-    return F.filter(first, lambda s: s != "")
+    body = F.regexp_replace(table, r"(?is)^.*?</tr>", "")
+    cells = F.when(table.rlike(r"(?is)<tr[^>]*>.*?</tr>"),
+                   F.regexp_extract_all(body, F.lit(FIRST_CELLS), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(cells, _stripped_text), lambda s: s != "")
 
 
 def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str = "page_key") -> DataFrame:

@@ -51,3 +51,18 @@ def test_report_rows_drop_header_and_totals(spark):
             "<tr><td>2</td><td>FECHADO</td></tr><tr><td>Total</td><td>2</td></tr></table>")
     out = pages.report_rows(spark.createDataFrame([("m1", html)], "page_key string, html string")).collect()
     assert [r["cells"] for r in sorted(out, key=lambda r: r["pos"])] == [["1", "ABERTO"], ["2", "FECHADO"]]
+
+
+def test_serials_in_page_edge_cases(spark):
+    cases = [
+        ('<table border="1"><tr><th>S</th></tr><tr><td> A </td><td>x</td></tr><tr><th>n</th></tr>'
+         '<tr><td>B <b> c </b></td></tr><tr><td> </td></tr></table>', ["A", "Bc"]),
+        ("<table border=1><tr><td>H</td></tr><tr><td>A</td>", []),          # unclosed last row
+        ("<table border=1><tr><td>H</td></tr></table>", []),                  # header only
+        ("<p/>", []),
+        ('<TABLE BORDER="1"><TR><TD>h</TD></TR><TR><TD>Z</TD></TR></TABLE>', ["Z"]),
+        ('<table><tr><td>x</td></tr><tr><td>y</td></tr></table>', []),       # no border=1 table
+    ]
+    df = spark.createDataFrame([(h,) for h, _ in cases], "html string")
+    got = [r[0] for r in df.select(pages.serials_in_page(F.col("html"))).collect()]
+    assert got == [want for _, want in cases]
