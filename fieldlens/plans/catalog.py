@@ -238,7 +238,7 @@ def q_state_share(t: Tables) -> DataFrame:
 @register("ticket_dedup", W("tickets_dedup") + """
 SELECT SS, TAREFA, CHASSI, DATA, STATUS, MANTENEDOR, SUMARIO, l_partkey FROM tickets_dedup""")
 def q_ticket_dedup(t: Tables) -> DataFrame:
-    feed = dedup.latest_per_key(V.ticket_feed(t), V.TICKET_KEYS, V.ticket_order())
+    feed = V.derive_ticket_columns(dedup.latest_per_key(V.ticket_extract(t), V.TICKET_KEYS, V.ticket_order()))
     return V.enrich_ticket_feed(feed, t).select("SS", "TAREFA", "CHASSI", "DATA", "STATUS", "MANTENEDOR", "SUMARIO", "l_partkey")
 
 

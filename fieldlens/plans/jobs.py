@@ -41,7 +41,8 @@ def build_tickets(t: Tables, as_of: dt.date = views.AS_OF) -> DataFrame:
     The dedup runs on the lineitem-grain feed *before* the many-to-one joins
     (it only needs feed columns), so the joins see one row per (SS, TAREFA).
     """
-    feed = dedup.latest_per_key(views.ticket_feed(t), views.TICKET_KEYS, views.ticket_order())
+    feed = views.derive_ticket_columns(
+        dedup.latest_per_key(views.ticket_extract(t), views.TICKET_KEYS, views.ticket_order()))
     raw = views.enrich_ticket_feed(feed, t)
     return process_tickets(raw, views.maintainer_dim(t), views.specialist_dim(t),
                            views.owner_dim(t.spark), as_of)
