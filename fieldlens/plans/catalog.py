@@ -898,8 +898,10 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
     feed.write.partitionBy("_y").parquet(os.path.join(root, "landing"))
     schema = spark.read.parquet(os.path.join(root, "landing")).drop("_y").schema
     src = os.path.join(root, "landing", "*")
+    # several extract files per micro-batch: still more than one batch (the
+    # state carries winners across batches) without one stateful shuffle per file
     stream = twin.latest_rows_stream(spark, src, schema, ["SS", "TAREFA"],
-                                     ["DATA", "l_partkey", "l_suppkey", "l_extendedprice"])
+                                     ["DATA", "l_partkey", "l_suppkey", "l_extendedprice"], files_per_trigger=4)
     out = twin.run_to_table(stream, os.path.join(root, "result"), os.path.join(root, "_checkpoint"))
     return spark.read.parquet(out).select(*_FEED_COLS)
 
