@@ -38,3 +38,11 @@ def test_dedup_is_partial_aggregate(spark):
     df = entry.queries()["ticket_dedup"](spark, SF)
     p = df._jdf.queryExecution().sparkPlan().toString()
     assert "partial_max" in p and "row_number" not in p
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n != "stream_equals_batch"))
+def test_no_cartesian_products(spark, name):
+    """Cross joins appear only as broadcasts of one-row frames (cut-offs,
+    totals, watermarks), never as a shuffled Cartesian product."""
+    p = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in p
