@@ -245,3 +245,62 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     if labels is None:
         labels = edges.select(F.col(u).alias("node"), F.col(u).alias("to")).where(F.lit(False))
     return labels.select("node", F.col("to").alias("component"))
+
+
+# ---------------------------------------------------------------- grouped rows
+
+def key_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by ``names``: one batch for each run of equal keys, also across the borders of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [np.asarray(batch.column(n)) for n in names]
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        new[0] = last is not None and tuple(k[0] for k in keys) != last
+        cuts = np.flatnonzero(new).tolist()
+        at = 0
+        for cut in cuts:
+            held.append(batch.slice(at, cut - at))
+            yield _joined(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
+        last = tuple(k[-1] for k in keys)
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = [p for p in parts if len(p)]
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def distinct_sorted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (doc, h) pairs in order."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest reachable node of 0..n-1 for each node, by the pairs (i, j) that lie in one task."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = np.minimum(root, root[root])
+        if (root == before).all():
+            break
+        apart = root[i] != root[j]
+        if not apart.any() and (root[root] == root).all():
+            break
+    return root

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import substring
+from fieldlens.llm import ngram_join, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.substring_dedup_query,
+    "op5_ngram_jaccard_join": ngram_join.jaccard_join_query,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE,
