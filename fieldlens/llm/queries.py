@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import mixing, ngram_join, substring, tiling
+from fieldlens.llm import language, mixing, ngram_join, substring, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.substring_dedup_query,
     "op2_mix_sources": mixing.mix_sources_query,
+    "op3_language_id": language.language_id_query,
+    "page_language": language.page_language_query,
     "op5_ngram_jaccard_join": ngram_join.jaccard_join_query,
     "op7_benchmark_decontamination": tiling.decontamination_query,
 }
