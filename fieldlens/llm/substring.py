@@ -8,7 +8,7 @@ smaller id, or earlier in the same one.  Every word that a repeat covers is remo
    ``window - PERIOD + 1`` words at cover positions only (4 of 13) therefore finds every pair of equal windows.
 2. *Repeated anchors.*  Anchors are counted by hash; a chunk of documents sends one row for each hash it holds, its
    further occurrences are known to repeat, so that no key grows faster than the number of chunks.
-3. *Extension.*  Every window around a repeated anchor is hashed whole (128 bits); in the order of (doc_id, start)
+3. *Extension.*  Every window around a repeated anchor is hashed whole (96 bits); in the order of (doc_id, start)
    all but the first of equal windows are repeats.
 
 Results for odd input: a null text has no words; a null ``doc_id`` counts as the largest id; a text shorter than the
@@ -97,11 +97,10 @@ def _windows(window: int):
             lead = lead[inverse]
             # the same key and place again is the same window of a repeated row, not an earlier one
             again = (key != key[lead]) | (pos != pos[lead])
-            mark = (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             h = np.where(again, _spread(h, key, pos), h)
+            place = (h2 & ~np.uint64(0xFFFFFFFF)) | again.astype(np.uint64) << np.uint64(31) | pos.astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(h)), pa.array(signed(h2)), pa.array(key), pa.array(pos.astype(np.int32)),
-                 pa.array(mark), pa.array(again)], ["h", "h2", "key", "pos", "mark", "again"])
+                [pa.array(signed(h)), pa.array(key), pa.array(signed(place))], ["h", "key", "place"])
 
     return run
 
@@ -114,11 +113,11 @@ def _cut(window: int):
             data, offsets = text_bytes(chunk.column("text"))
             words = Words(data, offsets)
             h2, _ = words.windows(window, BASES[1])
-            check = (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            check = signed(h2) >> 32
             marks = chunk.column("marks")
             of = np.repeat(np.arange(len(chunk)), np.asarray(marks.value_lengths().fill_null(0)))
             flat = np.asarray(marks.flatten(), dtype=np.int64)
-            at, mark = flat >> 32, (flat & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+            at, mark = flat & 0x7FFFFFFF, flat >> 32
             n = np.diff(words.first)
             i = words.first[of] + at
             good = (at >= 0) & (at + window <= n[of])
@@ -151,23 +150,28 @@ def _cut(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, pos, mark): starts of the windows whose words also start earlier; mark checks the window's words."""
+    """(key, place) of the windows whose words also start earlier.
+
+    The upper half of ``place`` is a hash of the window's words, the lower half its first word's number; between the
+    two tasks, bit 31 tells that an earlier equal window is known already.
+    """
     texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
     anchors = texts.mapInArrow(_anchors(window), "h long, key long, pos int, n int")
     repeated = (anchors.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).where("n > 1")
                 .select("key", "pos"))
     repeated = materialize(repeated.groupBy("key").agg(F.collect_list("pos").alias("anchors")), "anchors")
-    windows = (texts.join(repeated, "key")
-               .mapInArrow(_windows(window), "h long, h2 long, key long, pos int, mark int, again boolean"))
-    order = Window.partitionBy("h", "h2").orderBy("key", "pos")
-    return (windows.withColumn("rank", F.rank().over(order)).where("rank > 1 or again")
-            .select("key", "pos", "mark"))
+    windows = (texts.join(repeated, "key").mapInArrow(_windows(window), "h long, key long, place long")
+               .repartition("h").withColumn("h2", F.shiftright("place", 32)))
+    order = Window.partitionBy("h", "h2").orderBy("key", "place")
+    known = F.lit(1 << 31)
+    return (windows.withColumn("rank", F.rank().over(order))
+            .where((F.col("rank") > 1) | (F.col("place").bitwiseAND(known) != 0))
+            .select("key", F.col("place").bitwiseAND(F.lit(~(1 << 31))).alias("place")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept_text, removed_spans ([first word, end] pairs), n_words, n_removed."""
-    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("mark").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    marks = materialize(repeated_windows(docs, window).groupBy("key").agg(F.collect_list(packed).alias("marks")), "marks")
+    marks = materialize(repeated_windows(docs, window).groupBy("key").agg(F.collect_list("place").alias("marks")), "marks")
     rows = docs.drop("marks", "key", *RESULT).withColumns({"text": F.col("text").cast("string"), "key": doc_key()})
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("key").dtypes)
     return rows.join(marks, "key", "left").mapInArrow(
