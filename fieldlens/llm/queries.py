@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import language, mixing, ngram_join, substring, tiling
+from fieldlens.llm import language, mixing, ngram_join, rp_forest, substring, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.substring_dedup_query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language.language_id_query,
     "page_language": language.page_language_query,
     "op5_ngram_jaccard_join": ngram_join.jaccard_join_query,
+    "op9_embedding_dedup": rp_forest.embedding_dedup_query,
     "op7_benchmark_decontamination": tiling.decontamination_query,
 }
 ORACLE: dict[str, str] = {
