@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import bwt, language, mixing, ngram_join, rp_forest, substring, tiling
+from fieldlens.llm import bwt, html_text, language, mixing, ngram_join, rp_forest, substring, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.substring_dedup_query,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": ngram_join.jaccard_join_query,
     "op8_suffix_dedup": bwt.suffix_dedup_query,
     "op9_embedding_dedup": rp_forest.embedding_dedup_query,
+    "op10_html_text": html_text.html_text_query,
     "op7_benchmark_decontamination": tiling.decontamination_query,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op8_suffix_dedup": bwt.ORACLE,
+    "op10_html_text": html_text.ORACLE,
 }
