@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _released_shuffles(spark: SparkSession):
+def released_shuffles(spark: SparkSession):
     """Shuffle files of an execution go when it has ended (its result is on shared storage by then)."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -65,7 +65,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with _released_shuffles(spark):
+    with released_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

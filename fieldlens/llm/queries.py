@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import bwt, html_text, language, mixing, ngram_join, rp_forest, substring, tiling
+from fieldlens.llm import bwt, hmm, html_text, language, mixing, ngram_join, rp_forest, substring, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.substring_dedup_query,
     "op2_mix_sources": mixing.mix_sources_query,
     "op3_language_id": language.language_id_query,
     "page_language": language.page_language_query,
+    "op4_toxicity": toxicity.toxicity_query,
+    "op6_hmm_score": hmm.lm_score_query,
     "op5_ngram_jaccard_join": ngram_join.jaccard_join_query,
     "op8_suffix_dedup": bwt.suffix_dedup_query,
     "op9_embedding_dedup": rp_forest.embedding_dedup_query,
