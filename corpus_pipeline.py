@@ -33,12 +33,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    cut = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")  # whatever the other columns are called
+    cut = substring.remove_repeats(docs.select("doc_id", "text", whole)).where("n_removed = 0 or n_removed < n_words")
+    cut = cut.select("row.*", F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("__text"))
+    new = {"text": F.coalesce("__text", "text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("__text").cast("long"), "n_chars")
+    return cut.withColumns(new).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm.common import (
     BASES, BYTE_CODES, doc_key, materialize, mix, ranges_hash, signed, text_bytes, text_chunks, windows_hash)
@@ -290,7 +291,7 @@ def _strip(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             data, offsets = text_bytes(chunk.column("text"))
-            marks = chunk.column("marks")
+            marks = chunk.column("__marks")
             of = np.repeat(np.arange(len(chunk)), np.asarray(marks.value_lengths().fill_null(0)))
             place, s1 = (np.asarray(marks.flatten().field(k), dtype=np.int64) for k in range(2))
             first = offsets[of] + (place >> 8)
@@ -308,7 +309,7 @@ def _strip(length: int):
                 spans.append(edges.reshape(-1, 2).tolist())
                 removed.append(int(own.sum()))
                 kept.append(data[a:b][~own].tobytes())
-            out = chunk.drop_columns(["marks", "key"])
+            out = chunk.drop_columns(["__marks", "__key"])
             for name, values, kind in (
                     ("kept", kept, pa.binary()), ("removed_spans", spans, pa.list_(pa.list_(pa.int64()))),
                     ("n_bytes", np.diff(offsets), pa.int64()), ("n_removed", removed, pa.int64())):
@@ -342,11 +343,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
-    every = materialize(every.groupBy("key").agg(F.collect_list(F.struct("place", "s1")).alias("marks")), "marks")
-    rows = docs.drop("marks", "key", *RESULT).withColumns({"text": F.col("text").cast("string"), "key": doc_key()})
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("key").dtypes)
-    return rows.join(every, "key", "left").mapInArrow(
-        _strip(length), f"{schema}, kept binary, removed_spans array<array<long>>, n_bytes long, n_removed long")
+    every = materialize(every.groupBy(F.col("key").alias("__key"))
+                        .agg(F.collect_list(F.struct("place", "s1")).alias("__marks")), "marks")
+    rows = docs.drop(*RESULT).withColumns({"text": F.col("text").cast("string"), "__key": doc_key()})
+    schema = T.StructType(rows.drop("__key").schema.fields)
+    schema = (schema.add("kept", "binary").add("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))
+              .add("n_bytes", "long").add("n_removed", "long"))
+    return rows.join(every, "__key", "left").mapInArrow(_strip(length), schema)
 
 
 def suffix_dedup_query(spark, sf_dir: str) -> DataFrame:

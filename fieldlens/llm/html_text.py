@@ -29,6 +29,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm.common import materialize, text_chunks
 
@@ -211,12 +212,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in text_chunks(batches, "html"):
         last, templates, texts = None, frozenset(), []
-        for html, found in zip(chunk.column("html"), chunk.column("templates")):
+        for html, found in zip(chunk.column("html"), chunk.column("__templates")):
             found = found.as_py() or ()
             if found != last:
                 last, templates = found, frozenset(found)
             texts.append(main_text(html.as_py() or "", templates))
-        yield (chunk.drop_columns(["html", "templates"]).append_column("text", pa.array(texts, pa.string()))
+        yield (chunk.drop_columns(["html", "__templates"]).append_column("text", pa.array(texts, pa.string()))
                .append_column("n_chars", pa.array([len(t) for t in texts], pa.int64())))
 
 
@@ -238,13 +239,12 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``pages`` (url, html, ...) with text and n_chars instead of html."""
-    rows = pages.drop("text", "n_chars", "host", "templates").withColumns(
-        {"html": F.col("html").cast("string"), "host": host_of(F.col("url"))})
-    templates = materialize(site_templates(rows, min_pages, share), "templates")
-    names = [c for c in rows.columns if c not in ("host", "html")]
-    joined = rows.join(templates, "host", "left").select(*names, "html", "templates")
-    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in names)
-    return joined.mapInArrow(_extract, f"{schema}, text string, n_chars long")
+    rows = pages.drop("text", "n_chars").withColumns({"html": F.col("html").cast("string"), "__host": host_of(F.col("url"))})
+    templates = materialize(site_templates(rows.select(F.col("__host").alias("host"), "html"), min_pages, share)
+                            .select(F.col("host").alias("__host"), F.col("templates").alias("__templates")), "templates")
+    names = [c for c in rows.columns if c not in ("__host", "html")]
+    schema = T.StructType(rows.select(*names).schema.fields).add("text", "string").add("n_chars", "long")
+    return rows.join(templates, "__host", "left").select(*names, "html", "__templates").mapInArrow(_extract, schema)
 
 
 def html_text_query(spark, sf_dir: str) -> DataFrame:

@@ -69,12 +69,13 @@ def poisson_replicate(docs: DataFrame, weights: DataFrame | None = None, seed: s
                       total: float | None = None) -> DataFrame:
     """The copies of ``docs`` in random order, with ``copy`` (1, 2, ...) and ``shuffle_key``."""
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rates = materialize(with_thresholds(source_rates(docs, weights, total)), "rates").where("rate > 0")
+    rates = materialize(with_thresholds(source_rates(docs, weights, total)), "rates").where("rate > 0").select(
+        F.col("source_key").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), ident, i.cast("string")))))
-    copies = (docs.select(*names).withColumn("source_key", _source_key()).join(rates, "source_key")
+        F.sequence(F.lit(1), F.col("__parts")), F.lit(0),
+        lambda acc, i: acc + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), ident, i.cast("string")))))
+    copies = (docs.select(*names).withColumn("__source", _source_key()).join(rates, "__source")
               .withColumn("__n", drawn).where("__n > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names, "copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm.common import BASES, Words, doc_key, first_in_chunk, materialize, mix, signed, text_bytes, text_chunks
 
@@ -114,7 +115,7 @@ def _cut(window: int):
             words = Words(data, offsets)
             h2, _ = words.windows(window, BASES[1])
             check = signed(h2) >> 32
-            marks = chunk.column("marks")
+            marks = chunk.column("__marks")
             of = np.repeat(np.arange(len(chunk)), np.asarray(marks.value_lengths().fill_null(0)))
             flat = np.asarray(marks.flatten(), dtype=np.int64)
             at, mark = flat & 0x7FFFFFFF, flat >> 32
@@ -139,7 +140,7 @@ def _cut(window: int):
                 texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[a:b][keep], words.end[a:b][keep])).decode())
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone[a:b], [False])).astype(np.int8)))
                 spans.append(edges.reshape(-1, 2).tolist())
-            out = chunk.drop_columns(["marks", "key"])
+            out = chunk.drop_columns(["__marks", "__key"])
             for name, values, kind in (
                     ("kept_text", texts, pa.string()), ("removed_spans", spans, pa.list_(pa.list_(pa.int64()))),
                     ("n_words", n, pa.int64()), ("n_removed", removed, pa.int64())):
@@ -171,11 +172,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept_text, removed_spans ([first word, end] pairs), n_words, n_removed."""
-    marks = materialize(repeated_windows(docs, window).groupBy("key").agg(F.collect_list("place").alias("marks")), "marks")
-    rows = docs.drop("marks", "key", *RESULT).withColumns({"text": F.col("text").cast("string"), "key": doc_key()})
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("key").dtypes)
-    return rows.join(marks, "key", "left").mapInArrow(
-        _cut(window), f"{schema}, kept_text string, removed_spans array<array<long>>, n_words long, n_removed long")
+    marks = materialize(repeated_windows(docs, window).groupBy(F.col("key").alias("__key"))
+                        .agg(F.collect_list("place").alias("__marks")), "marks")
+    rows = docs.drop(*RESULT).withColumns({"text": F.col("text").cast("string"), "__key": doc_key()})
+    schema = T.StructType(rows.drop("__key").schema.fields)
+    schema = (schema.add("kept_text", "string").add("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))
+              .add("n_words", "long").add("n_removed", "long"))
+    return rows.join(marks, "__key", "left").mapInArrow(_cut(window), schema)
 
 
 def substring_dedup_query(spark, sf_dir: str) -> DataFrame:
