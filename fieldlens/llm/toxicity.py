@@ -4,10 +4,9 @@ Confirmed toxic documents and unlabelled text train linear classifiers in numpy;
 
 1. *Features* are the different words of a document and the runs of ``GRAMS`` bytes in them (lower-cased, with the
    borders of the word), hashed into ``BUCKETS``.  They are counted over all confirmed documents and over all training
-   documents; the ``FEATURES`` whose rate among the
-   confirmed is higher by most, in units of its error, are kept.
-2. *Training.*  ``MODELS`` tasks each get a part of a hash sample of at most about ``MOST_POSITIVE`` confirmed and
-   ``MOST_UNLABELLED`` training documents, and minimise the non-negative risk with the class prior p:
+   documents; the ``FEATURES`` whose rates differ most, in units of their error, are kept.
+2. *Training.*  ``MODELS`` tasks each draw, by hash, at most about ``MOST_POSITIVE`` confirmed and ``MOST_UNLABELLED``
+   training documents, and minimise the non-negative risk with the class prior p:
    p * R+(positive) + max(0, R-(unlabelled) - p * R-(positive)); while the second part is negative, steps undo it
    instead.  With the logistic loss the sum is an estimate of the log odds; the models' mean is used.  p is the share
    of toxic among the labelled training documents.
@@ -37,8 +36,8 @@ from fieldlens.llm.common import BASES, BYTE_CODES, Words, distinct_sorted, mate
 GRAMS = (4, 5)
 BUCKETS = 1 << 20
 FEATURES = 4096
-MODELS, MOST_POSITIVE, MOST_UNLABELLED = 3, 12_000, 36_000
-STEPS, RATE, DECAY = 200, 0.1, 1e-4
+MODELS, MOST_POSITIVE, MOST_UNLABELLED = 3, 6_000, 18_000
+STEPS, RATE, DECAY = 300, 0.05, 1e-3
 LEAST_SCORE = 0.7
 BREAKS = np.ones(256, dtype=bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -105,14 +104,14 @@ def _pick(chosen: np.ndarray):
 
 
 def minimise(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_features: int) -> np.ndarray:
-    """Weights and bias (last) of the linear classifier with the least non-negative risk."""
+    """Weights and bias (last) of the linear classifier with the least non-negative risk (mean of the later steps)."""
     sizes = [len(x) for x in positive + unlabelled]
     row = np.repeat(np.arange(len(sizes)), sizes)
     col = np.concatenate([*positive, *unlabelled]).astype(np.int64) if sum(sizes) else np.zeros(0, dtype=np.int64)
     n_p, n_u = len(positive), len(unlabelled)
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(w), np.zeros_like(w)
+    first, second, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         f = np.bincount(row, w[col], minlength=n_p + n_u) + w[-1]
         share = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
@@ -125,8 +124,11 @@ def minimise(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         gradient[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient ** 2
-        w -= RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
-    return w
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        w -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
+        if 2 * step > STEPS:
+            mean += w / (STEPS - STEPS // 2)
+    return mean
 
 
 def _train(prior: float, n_features: int):
@@ -169,15 +171,21 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[np.ndarray
                            .agg(F.sum("n").alias(name)), "counts") for rows, name in ((confirmed, "p"), (texts, "u"))]
     rate_p, rate_u = F.col("p") / n_p, F.col("u") / n_u
     chosen = (counted[0].join(counted[1], "bucket")
-              .withColumn("far", (rate_p - rate_u) / F.sqrt((rate_u + 1.0 / n_u) / n_p))
-              .where("far > 0").orderBy(F.desc("far"), "bucket").limit(FEATURES).select("bucket").collect())
+              .withColumn("far", F.abs(rate_p - rate_u) / F.sqrt((rate_u + 1.0 / n_u) / n_p))
+              .orderBy(F.desc("far"), "bucket").limit(FEATURES).select("bucket").collect())
     chosen = np.array(sorted(r["bucket"] for r in chosen))
 
-    draw = lambda n, most: F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n))
-    sample = (confirmed.where(draw(n_p, MOST_POSITIVE)).withColumn("positive", F.lit(True))
-              .unionByName(texts.where(draw(n_u, MOST_UNLABELLED)).withColumn("positive", F.lit(False)))
-              .withColumn("model", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(MODELS))).drop("doc_id"))
-    picked = sample.mapInArrow(_pick(chosen), "positive boolean, model long, features array<int>")
+    def drawn(n: int, most: int) -> Column:
+        """The models that learn from a row."""
+        chance = int((1 << 30) * min(1.0, most / n))
+        return F.filter(F.array(*[F.lit(m) for m in range(MODELS)]),
+                        lambda m: F.pmod(F.xxhash64("doc_id", F.length("text"), m), F.lit(1 << 30)) < chance)
+
+    sample = (confirmed.withColumns({"models": drawn(n_p, MOST_POSITIVE), "positive": F.lit(True)})
+              .unionByName(texts.withColumns({"models": drawn(n_u, MOST_UNLABELLED), "positive": F.lit(False)}))
+              .where(F.size("models") > 0).drop("doc_id"))
+    picked = (sample.mapInArrow(_pick(chosen), "models array<int>, positive boolean, features array<int>")
+              .select(F.explode("models").alias("model"), "positive", "features"))
     models = (picked.groupBy("model").applyInPandas(_train(prior, len(chosen)), "model long, weights array<double>")
               .collect())  # MODELS rows
     if not models:
