@@ -77,7 +77,8 @@ class Page(HTMLParser):
         self.pieces: list[str] = []
         self.elements: list[Element] = []
         self.open: list[Element] = []
-        self.feed(html)
+        comment = html.rfind("<!--")
+        self.feed(html + "-->" * (comment >= 0 and html.find("-->", comment) < 0))  # an open comment takes the rest
         self.close()
         while self.open:
             self._end()
