@@ -117,3 +117,6 @@ def aging_bucket_dim(spark: SparkSession) -> DataFrame:
                            T.StructField("bucket_order", T.IntegerType(), False)])
     return spark.createDataFrame([(b, i) for i, b in enumerate(AGING_LABELS)], schema)
 
+
+# The order types (TIPO) of equipment sold at home and abroad.
+EQUIPMENT_TYPES = ("WBP EQUIPAMENTO DOMESTICO", "WBP EQUIPAMENTO EXPORTACAO")

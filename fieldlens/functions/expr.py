@@ -20,6 +20,15 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: ASCII white space, no-break space and the other blanks that a text export may hold
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2007\u202f\u3000\ufeff"
+
+
+def strip(c: ColumnOrName) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.trim(_c(c), F.lit(BLANKS))
+
+
 def as_of_lit(as_of: dt.date) -> Column:
     return F.lit(as_of).cast("date")
 
@@ -31,7 +40,7 @@ def clean_serial(c: ColumnOrName, legacy: bool = False) -> Column:
     Canonical mode removes only a trailing '.0' (a float-formatted integer);
     ``legacy=True`` removes every '.0' substring.
     """
-    s = F.trim(F.coalesce(_c(c).cast("string"), F.lit("")))
+    s = strip(F.coalesce(_c(c).cast("string"), F.lit("")))
     s = F.replace(s, F.lit(".0"), F.lit("")) if legacy else F.regexp_replace(s, r"\.0$", "")
     return F.when(s == "", F.lit("N/A")).otherwise(s)
 
@@ -48,7 +57,7 @@ def trim_strings(df, upper: bool = False):
     cols = []
     for f in df.schema.fields:
         if f.dataType.simpleString() == "string":
-            e = F.trim(F.col(f.name))
+            e = strip(F.col(f.name))
             cols.append((F.upper(e) if upper else e).alias(f.name))
         else:
             cols.append(F.col(f.name))
@@ -69,7 +78,7 @@ DAY_FIRST_FORMATS = [
 
 def parse_day_first(c: ColumnOrName) -> Column:
     """Day-first text -> timestamp; anything unparseable -> NULL."""
-    s = F.trim(_c(c).cast("string"))
+    s = strip(_c(c).cast("string"))
     out = None
     for shape, pattern in DAY_FIRST_FORMATS:
         txt = F.regexp_replace(s, "T", " ") if "T" in shape else s
@@ -81,7 +90,7 @@ def parse_day_first(c: ColumnOrName) -> Column:
 # F5 ----------------------------------------------------------------------
 def decimal_comma_number(c: ColumnOrName) -> Column:
     """'1234,5' -> 1234.5; null or junk -> 0."""
-    s = F.replace(F.trim(_c(c).cast("string")), F.lit(","), F.lit("."))
+    s = F.replace(strip(_c(c).cast("string")), F.lit(","), F.lit("."))
     return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
 
@@ -103,7 +112,7 @@ def state_from_address(c: ColumnOrName) -> Column:
 
 
 def country_from_address(c: ColumnOrName) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(_c(c)), r",\s*([A-Z]{2})\s*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(strip(_c(c)), r",\s*([A-Z]{2})\s*$", 1), F.lit(""))
 
 
 # F10 ---------------------------------------------------------------------
@@ -113,7 +122,7 @@ def extract_tags(c: ColumnOrName) -> Column:
     Empty tags ('[]') are dropped before the 'Sem Tags' default applies.
     """
     raw = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"\[(.*?)\]"), F.lit(1))
-    tags = F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda t: F.upper(F.trim(t))),
+    tags = F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda t: F.upper(strip(t))),
                                                   lambda t: t != "")))
     return F.when(F.size(tags) == 0, F.array(F.lit(dims.NO_TAGS))).otherwise(tags)
 
@@ -121,8 +130,8 @@ def extract_tags(c: ColumnOrName) -> Column:
 # F11 ---------------------------------------------------------------------
 def pump_code(c: ColumnOrName) -> Column:
     """Second '-' part of a metering-pump description, else ''."""
-    s = F.trim(_c(c))
-    part = F.trim(F.try_element_at(F.split(s, "-"), F.lit(2)))
+    s = strip(_c(c))
+    part = strip(F.try_element_at(F.split(s, "-"), F.lit(2)))
     return F.coalesce(F.when(s.startswith(dims.PUMP_DESCRIPTION_PREFIX), part), F.lit(""))
 
 
@@ -179,9 +188,9 @@ def electronic_warranty_status(invoice_date: ColumnOrName, as_of: dt.date) -> Co
 def spreadsheet_date_text(c: ColumnOrName) -> Column:
     """Spreadsheet day number (decimal comma ok) -> dd/MM/yyyy; dates formatted; other text kept."""
     s = _c(c).cast("string")
-    num = F.replace(F.trim(s), F.lit(","), F.lit(".")).try_cast("double")
+    num = F.replace(strip(s), F.lit(","), F.lit(".")).try_cast("double")
     from_serial = F.date_format(F.date_add(F.lit(dims.SPREADSHEET_EPOCH).cast("date"),
-                                           F.floor(num).cast("int")), "dd/MM/yyyy")
+                                           F.floor(num).try_cast("int")), "dd/MM/yyyy")
     from_text = F.date_format(parse_day_first(s), "dd/MM/yyyy")
     return F.coalesce(F.when(num.isNotNull(), from_serial), from_text, s, F.lit(""))
 
@@ -189,7 +198,7 @@ def spreadsheet_date_text(c: ColumnOrName) -> Column:
 # F16 ---------------------------------------------------------------------
 def item_prefix(c: ColumnOrName) -> Column:
     """Upper-cased, trimmed text before the first '-'."""
-    return F.upper(F.trim(F.split(F.coalesce(_c(c).cast("string"), F.lit("")), "-").getItem(0)))
+    return F.upper(strip(F.split(F.coalesce(_c(c).cast("string"), F.lit("")), "-").getItem(0)))
 
 
 def model_from_prefix(prefix: ColumnOrName) -> Column:
@@ -208,7 +217,7 @@ def warranty_label(c: ColumnOrName, text: bool = False) -> Column:
     """
     col = _c(c)
     if text:
-        num = F.trim(col).try_cast("double")
+        num = strip(col).try_cast("double")
         missing = col.isNull() | (col == "")
     else:
         num = col.cast("double")
@@ -232,9 +241,9 @@ def warranty_label_days(days: ColumnOrName) -> Column:
 
 # F18 / F19 ---------------------------------------------------------------
 def _strip_warranty_prefixes(c: Column) -> Column:
-    s = F.trim(F.upper(c.cast("string")))
+    s = strip(F.upper(c.cast("string")))
     for p in dims.WARRANTY_TEXT_PREFIXES:
-        s = F.trim(F.replace(s, F.lit(p), F.lit("")))
+        s = strip(F.replace(s, F.lit(p), F.lit("")))
     return s
 
 
@@ -251,7 +260,7 @@ def _pattern_days(s: Column, longest_first: bool, boundary: bool) -> Column:
 
 def _warranty_parts(col: Column) -> dict[str, Column]:
     s = _strip_warranty_prefixes(col)
-    txt = F.trim(col.cast("string"))
+    txt = strip(col.cast("string"))
     return {
         "blank": col.isNull() | (txt == "") | (F.upper(txt) == dims.NOT_FOUND),
         "s": s,
@@ -269,22 +278,24 @@ def _warranty_days_from(p: dict[str, Column], mode: str) -> Column:
         val = F.coalesce(
             numeric.try_cast("int"),
             _pattern_days(s, longest_first=False, boundary=False),
-            F.floor(months * F.lit(dims.DAYS_PER_MONTH)).cast("int"),
-            years * 365,
+            F.floor(months * F.lit(dims.DAYS_PER_MONTH)).try_cast("int"),
+            (years.cast("long") * 365).try_cast("int"),
             F.lit(0),
         )
         return F.when(blank, F.lit(0)).otherwise(val)
     if mode != "canonical":
         raise ValueError(f"unknown warranty mode {mode!r}")
     mdays = F.floor(months * F.lit(dims.DAYS_PER_MONTH))
-    snapped = (F.when(mdays <= 183, 183).when(mdays <= 365, 365).when(mdays <= 548, 548)
-               .when(mdays <= 730, 730).otherwise(1095))
+    *steps, last = sorted(dims.WARRANTY_LABELS)
+    snapped = F.lit(last)
+    for step in reversed(steps):
+        snapped = F.when(mdays <= step, step).otherwise(snapped)
     by_years = F.when(years == 1, 365).when(years == 2, 730).when(years == 3, 1095)
     # a purely numeric text can match no pattern, so trying it first is
     # equivalent and skips every regex for the common numeric values
     val = F.coalesce(numeric.try_cast("int"), _pattern_days(s, longest_first=True, boundary=True),
                      F.when(months.isNotNull(), snapped), by_years)
-    return F.when(blank, F.lit(None).cast("int")).otherwise(val.cast("int"))
+    return F.when(blank, F.lit(None).cast("int")).otherwise(val.try_cast("int"))
 
 
 def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
@@ -311,7 +322,7 @@ def bluetooth_flag(html: ColumnOrName) -> Column:
 def warranty_sentence(html: ColumnOrName) -> Column:
     """Text of the first <td> starting with GARANTIA/WARRANTY, else 'NAO ENCONTRADO'."""
     cells = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    texts = F.transform(cells, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " ")))
+    texts = F.transform(cells, lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " ")))
     hits = F.filter(texts, lambda t: F.upper(t).startswith("GARANTIA") | F.upper(t).startswith("WARRANTY"))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(dims.NOT_FOUND))
 
@@ -363,13 +374,13 @@ def currency_text(c: ColumnOrName) -> Column:
 
 # F28 ---------------------------------------------------------------------
 def fill_rtm_before_year(rtm: ColumnOrName, year: ColumnOrName, target_year: int) -> Column:
-    blank = _c(rtm).isNull() | (F.trim(_c(rtm)) == "")
+    blank = _c(rtm).isNull() | (strip(_c(rtm)) == "")
     return F.when(blank & (_c(year) < target_year), F.lit("NAO")).otherwise(_c(rtm))
 
 
 # F29 ---------------------------------------------------------------------
 def normalized_key(*cols: ColumnOrName) -> Column:
-    return F.struct(*[F.trim(F.coalesce(_c(c).cast("string"), F.lit(""))).alias(f"k{i}")
+    return F.struct(*[strip(F.coalesce(_c(c).cast("string"), F.lit(""))).alias(f"k{i}")
                       for i, c in enumerate(cols)])
 
 
@@ -385,7 +396,7 @@ def month_start(c: ColumnOrName) -> Column:
 # F32 ---------------------------------------------------------------------
 def blank_aware_coalesce(inline: ColumnOrName, lookup: ColumnOrName, default) -> Column:
     v = _c(inline)
-    keep = F.when(~(v.isNull() | (F.trim(v) == "") | (F.trim(v) == dims.NOT_FOUND)), v)
+    keep = F.when(~(v.isNull() | (strip(v) == "") | (strip(v) == dims.NOT_FOUND)), v)
     return F.coalesce(keep, _c(lookup), F.lit(default))
 
 

@@ -71,7 +71,7 @@ def search_any_column(df: DataFrame, term: str, columns: list[str] | None = None
     if not term:
         return df
     cols = columns or df.columns
-    pattern = "(?i)" + term
+    pattern = "(?iu)" + term
     cond = None
     for c in cols:
         e = F.coalesce(_as_text(df, c).rlike(pattern), F.lit(False))
@@ -161,6 +161,7 @@ def product_predicate(variant: str) -> Column:
     w7 = F.coalesce(F.upper("ITEM").startswith("W7"), F.lit(False))
     bomba = F.coalesce(F.upper("DESCRICAO").contains("BOMBA"), F.lit(False))
     medidora = F.coalesce(F.upper("DESCRICAO").contains("BOMBA MEDIDORA"), F.lit(False))
+    tipo = F.coalesce(F.upper("TIPO").isin(*dims.EQUIPMENT_TYPES), F.lit(False))
     return {
         "dispenser_w7": seg & w7,
         "w7": w7,
@@ -168,6 +169,9 @@ def product_predicate(variant: str) -> Column:
         "bomba_medidora": medidora,
         "segment": seg,
         "w7_bomba": w7 & bomba,
+        "w7_bomba_medidora": w7 & medidora,
+        "tipo": tipo,
+        "tipo_bomba_medidora": tipo & medidora,
         "linha_1_2": F.col("LINHA").isin("1", "2"),
         "all": F.lit(True),
     }[variant]

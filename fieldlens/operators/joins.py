@@ -12,45 +12,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions import expr as E
 
-def dedup_dim(dim: DataFrame, key: str = "raw", value: str = "label") -> DataFrame:
-    """One value per key (the greatest on conflicts, so the choice is stable)."""
-    return dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+
+def last_value(dim: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """One value per key: the last row wins, by the ``order`` column if there
+    is one, else by the order in which the rows are read.  A row without a
+    value replaces nothing.  Combined map-side, so a key that comes very often
+    is reduced inside each task."""
+    rows = dim.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    return (rows.select(key, value, place.alias("_place")).groupBy(key)
+            .agg(F.max(F.struct("_place", F.col(value).alias("_value"))).alias("_last"))
+            .select(key, F.col("_last._value").alias(value)))
 
 
 def lookup(df: DataFrame, on: str, dim: DataFrame, out: str, default: str | None = "",
-           key: str = "raw", value: str = "label") -> DataFrame:
+           key: str = "raw", value: str = "label", order: str | None = None) -> DataFrame:
     """Left lookup ``df[on]`` -> ``dim[value]`` as column ``out``; unmatched -> ``default``."""
-    d = dedup_dim(dim, key, value).withColumnRenamed(key, "_lk").withColumnRenamed(value, "_lv")
+    d = last_value(dim, key, value, order).withColumnRenamed(key, "_lk").withColumnRenamed(value, "_lv")
     j = df.join(d, df[on] == d["_lk"], "left")
     v = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
     cols = [c for c in df.columns if c != out]
     return j.select(*cols, v.alias(out))
 
 
-def has_any(df: DataFrame, key: str, other: DataFrame, other_key: str, flag: str) -> DataFrame:
-    """Boolean column ``flag``: does ``df[key]`` appear in ``other[other_key]``?"""
-    keys = other.select(F.col(other_key).alias("_hk")).where(F.col("_hk").isNotNull()).distinct()
-    j = df.join(keys, df[key] == keys["_hk"], "left")
-    return j.select(*df.columns, F.col("_hk").isNotNull().alias(flag))
-
-
-def count_per_key(df: DataFrame, key: str, name: str = "n") -> DataFrame:
-    """Count rows per non-null key (map-side combined)."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
-
-
-def attach_counts(df: DataFrame, key: str, counts: DataFrame, counts_key: str, name: str) -> DataFrame:
-    """Left join a per-key count, missing -> 0."""
-    c = counts.withColumnRenamed(counts_key, "_ck").withColumnRenamed(name, "_cn")
-    j = df.join(c, df[key] == c["_ck"], "left")
-    return j.select(*[x for x in df.columns if x != name], F.coalesce(F.col("_cn"), F.lit(0)).cast("long").alias(name))
-
-
 def not_yet_processed(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose trimmed key tuple is not in ``done``."""
     def norm(frame: DataFrame, prefix: str) -> list[Column]:
-        return [F.trim(F.coalesce(frame[k].cast("string"), F.lit(""))).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+        return [E.strip(F.coalesce(frame[k].cast("string"), F.lit(""))).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
     d = done.select(*norm(done, "_d")).distinct()
     left = df.select("*", *norm(df, "_l"))
     cond = None

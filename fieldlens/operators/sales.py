@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
 from fieldlens.operators.filters import exclude_service_items, product_predicate
+from fieldlens.operators.joins import last_value
 from fieldlens.operators.kpi import pct
 
 
@@ -27,15 +28,25 @@ def sales_silver(lines: DataFrame) -> DataFrame:
 
 
 def warranty_days_by_item(item_warranty: DataFrame, mode: str) -> DataFrame:
-    """ITEM -> warranty days under F19 ``mode`` (unknown -> 0)."""
-    return item_warranty.where(F.col("ITEM").isNotNull()).groupBy("ITEM").agg(
-        F.max(F.coalesce(E.warranty_text_to_days("GARANTIA", mode), F.lit(0))).alias("W_DAYS"))
+    """ITEM -> warranty days of its last cached text under F19 ``mode`` (unknown -> 0)."""
+    return last_value(item_warranty, "ITEM", "GARANTIA", _order(item_warranty)).select(
+        "ITEM", F.coalesce(E.warranty_text_to_days("GARANTIA", mode), F.lit(0)).alias("W_DAYS"))
 
 
 def rtm_by_item(item_rtm: DataFrame) -> DataFrame:
-    """ITEM -> is_rtm ('SIM' contained in the cached value)."""
-    return item_rtm.where(F.col("ITEM").isNotNull()).groupBy("ITEM").agg(
-        F.bool_or(F.coalesce(F.upper(F.trim("RTM")).contains("SIM"), F.lit(False))).alias("IS_RTM"))
+    """ITEM -> is_rtm ('SIM' contained in the value cached last)."""
+    return last_value(item_rtm, "ITEM", "RTM", _order(item_rtm)).select(
+        "ITEM", F.upper("RTM").contains("SIM").alias("IS_RTM"))
+
+
+def _order(cache: DataFrame) -> str | None:
+    """The column that tells which cached row is the later one, if the cache has it."""
+    return "ORDEM" if "ORDEM" in cache.columns else None
+
+
+def _item_values(item_warranty: DataFrame, item_rtm: DataFrame, mode: str) -> DataFrame:
+    """One item dimension of both caches: ITEM, W_DAYS, IS_RTM."""
+    return warranty_days_by_item(item_warranty, mode).join(rtm_by_item(item_rtm), "ITEM", "full")
 
 
 def _category(is_rtm: Column) -> Column:
@@ -46,12 +57,16 @@ def warranty_sales_by_year(lines: DataFrame, item_warranty: DataFrame, item_rtm:
                            variant: str = "dispenser_w7", mode: str = "numeric",
                            years: list[int] | None = None) -> DataFrame:
     """Quantity sold, quantity still under normal and electronic
-    warranty, per (year, RTM category) plus a 'Total' per category."""
+    warranty, per (year, RTM category) plus a 'Total' per category.
+
+    Lines are summed per (item, day) before the one join with the item
+    dimension, so an item that holds a third of all lines joins few rows.
+    """
     s = sales_silver(lines).where(product_predicate(variant) & F.col("DT").isNotNull())
     if years:
         s = s.where(F.col("ANO").isin(years))
-    j = (s.join(warranty_days_by_item(item_warranty, mode), "ITEM", "left")
-         .join(rtm_by_item(item_rtm), "ITEM", "left"))
+    s = s.groupBy("ITEM", "ANO", "DT").agg(F.sum("QTD").alias("QTD"))
+    j = s.join(_item_values(item_warranty, item_rtm, mode), "ITEM", "left")
     j = j.select(F.col("ANO"), _category(F.col("IS_RTM")).alias("categoria"), "QTD",
                  (F.date_add("DT", F.coalesce(F.col("W_DAYS"), F.lit(0))) >= E.as_of_lit(as_of)).alias("norm"),
                  E.electronic_warranty_active("DT", as_of).alias("elec"))
@@ -68,33 +83,35 @@ def warranty_sales_by_year(lines: DataFrame, item_warranty: DataFrame, item_rtm:
 
 def units_inline_fill(lines: DataFrame, item_warranty: DataFrame, item_rtm: DataFrame, as_of: dt.date) -> DataFrame:
     """Inline warranty and RTM values win unless blank or
-    'NAO ENCONTRADO'; otherwise the cached lookup; otherwise 0 days / 'NAO'.
+    'NAO ENCONTRADO'; otherwise the value cached last; otherwise 0 days / 'NAO'.
     Counted by RTM class.
 
-    The text -> days parse is a pure function, so the cached texts are
-    parsed once per item on the (small) item table and only the inline
-    texts are parsed per line.
+    Lines are summed per (item, inline values, day) before the one join with
+    the item dimension; the cached texts are parsed once per item and the
+    inline texts once per group.
     """
-    s = sales_silver(lines)
-    iw = item_warranty.groupBy("ITEM").agg(F.max("GARANTIA").alias("_gw"))
-    iw = iw.select("ITEM", F.coalesce(E.warranty_text_to_days(E.blank_aware_coalesce(F.lit(None).cast("string"), "_gw", "0")),
+    s = (sales_silver(lines).groupBy("ITEM", "GARANTIA", "RTM", "DT")
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("QTD").alias("QTD")))
+    iw = last_value(item_warranty, "ITEM", "GARANTIA", _order(item_warranty))
+    iw = iw.select("ITEM", F.coalesce(E.warranty_text_to_days(E.blank_aware_coalesce(F.lit(None).cast("string"), "GARANTIA", "0")),
                                       F.lit(0)).alias("_lookup_days"))
-    ir = item_rtm.groupBy("ITEM").agg(F.max("RTM").alias("_rt"))
-    j = s.join(iw, "ITEM", "left").join(ir, "ITEM", "left")
+    ir = last_value(item_rtm, "ITEM", "RTM", _order(item_rtm)).withColumnRenamed("RTM", "_rt")
+    j = s.join(iw.join(ir, "ITEM", "full"), "ITEM", "left")
     inline = F.col("GARANTIA")
-    inline_ok = ~(inline.isNull() | (F.trim(inline) == "") | (F.trim(inline) == dims.NOT_FOUND))
+    inline_ok = ~(inline.isNull() | (E.strip(inline) == "") | (E.strip(inline) == dims.NOT_FOUND))
     days = F.when(inline_ok, F.coalesce(E.warranty_text_to_days(inline), F.lit(0))).otherwise(
         F.coalesce(F.col("_lookup_days"), F.lit(0)))
     rtm = E.blank_aware_coalesce("RTM", "_rt", "NAO")
-    j = j.select((rtm == "SIM").alias("is_rtm"), "QTD",
+    j = j.select((rtm == "SIM").alias("is_rtm"), "QTD", "n",
                  F.coalesce(F.date_add("DT", days) >= E.as_of_lit(as_of), F.lit(False)).alias("norm"),
                  E.electronic_warranty_active("DT", as_of).alias("elec"))
-    return j.groupBy("is_rtm").agg(F.count(F.lit(1)).alias("linhas"), F.sum("QTD").alias("quantidade"),
-                                   F.count_if("norm").alias("garantia_ativa"),
-                                   F.count_if("elec").alias("garantia_eletronica_ativa"))
+    return j.groupBy("is_rtm").agg(F.sum("n").alias("linhas"), F.sum("QTD").alias("quantidade"),
+                                   F.sum(F.when(F.col("norm"), F.col("n")).otherwise(0)).alias("garantia_ativa"),
+                                   F.sum(F.when(F.col("elec"), F.col("n")).otherwise(0)).alias("garantia_eletronica_ativa"))
 
 
-KEYWORD_FILTERS = ["bomba", "bomba_medidora", "segment", "w7", "linha_1_2", "w7_bomba"]
+KEYWORD_FILTERS = ["bomba", "bomba_medidora", "segment", "w7", "linha_1_2", "w7_bomba", "w7_bomba_medidora", "tipo",
+                   "tipo_bomba_medidora"]
 
 
 def keyword_quantities(lines: DataFrame) -> DataFrame:
@@ -118,14 +135,16 @@ def quantity_by_date_kind(lines: DataFrame) -> DataFrame:
 
 
 def quantity_by(lines: DataFrame, key: str, variant: str = "all") -> DataFrame:
-    """Quantity per ``key`` value under a product filter."""
+    """Quantity per ``key`` value under a product filter, largest first."""
     s = sales_silver(lines).where(product_predicate(variant))
-    return s.groupBy(F.col(key).alias("chave")).agg(F.sum("QTD").alias("quantidade"))
+    return (s.groupBy(F.col(key).alias("chave")).agg(F.sum("QTD").alias("quantidade"))
+            .orderBy(F.desc("quantidade"), "chave"))
 
 
 def rtm_split(lines: DataFrame, item_rtm: DataFrame, variant: str = "bomba_medidora") -> DataFrame:
     """RTM / non-RTM / total quantity under a product filter (missing lookup -> non-RTM)."""
-    s = sales_silver(lines).where(product_predicate(variant)).join(rtm_by_item(item_rtm), "ITEM", "left")
+    s = sales_silver(lines).where(product_predicate(variant)).groupBy("ITEM").agg(F.sum("QTD").alias("QTD"))
+    s = s.join(rtm_by_item(item_rtm), "ITEM", "left")
     g = s.select(_category(F.col("IS_RTM")).alias("categoria"), "QTD").groupingSets(
         [["categoria"], []], "categoria").agg(F.sum("QTD").alias("quantidade"), F.grouping("categoria").alias("_g"))
     return g.select(F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col("categoria")).alias("categoria"),
@@ -133,39 +152,46 @@ def rtm_split(lines: DataFrame, item_rtm: DataFrame, variant: str = "bomba_medid
 
 
 def top_items(lines: DataFrame, variant: str = "w7", n: int = 20) -> DataFrame:
-    """The ``n`` (LINHA, ITEM, DESCRICAO) groups with the largest quantity."""
+    """The ``n`` (LINHA, ITEM, DESCRICAO) groups with the largest
+    quantity, each with the quantity of all groups (``total``)."""
     s = sales_silver(lines).where(product_predicate(variant))
-    return (s.groupBy("LINHA", "ITEM", "DESCRICAO").agg(F.sum("QTD").alias("quantidade"))
-            .orderBy(F.desc("quantidade"), "LINHA", "ITEM", "DESCRICAO").limit(n))
+    g = s.groupBy("LINHA", "ITEM", "DESCRICAO").agg(F.sum("QTD").alias("quantidade"))
+    total = F.broadcast(s.agg(F.sum("QTD").alias("total")))  # one row
+    return g.orderBy(F.desc("quantidade"), "LINHA", "ITEM", "DESCRICAO").limit(n).crossJoin(total)
 
 
-def rtm_items_ranked(lines: DataFrame, item_rtm: DataFrame) -> DataFrame:
-    """Quantity per RTM item (lookup says SIM)."""
-    s = sales_silver(lines).join(rtm_by_item(item_rtm).where("IS_RTM"), "ITEM", "left_semi")
-    return s.groupBy("ITEM").agg(F.sum("QTD").alias("quantidade"))
+def rtm_items_ranked(lines: DataFrame, item_rtm: DataFrame, top: int | None = None) -> DataFrame:
+    """Quantity per RTM item (lookup says SIM), largest first."""
+    s = sales_silver(lines).groupBy("ITEM").agg(F.sum("QTD").alias("quantidade"))
+    s = s.join(rtm_by_item(item_rtm).where("IS_RTM"), "ITEM", "left_semi").orderBy(F.desc("quantidade"), "ITEM")
+    return s.limit(top) if top else s
 
 
 def filter_gap_audit(lines: DataFrame, item_rtm: DataFrame, n: int = 20) -> DataFrame:
-    """RTM lines the 'dispenser + W7 + BOMBA' filter would drop, with
-    per-rule pass counts; the ``n`` largest by quantity."""
-    s = sales_silver(lines).join(rtm_by_item(item_rtm).where("IS_RTM"), "ITEM", "left_semi")
-    seg, w7, bomba = product_predicate("segment"), product_predicate("w7"), product_predicate("bomba")
-    s = s.where(~(seg & w7 & bomba))
-    return (s.groupBy("ITEM", "DESCRICAO", "SEGMENTO").agg(
+    """RTM items that the 'W7 + BOMBA MEDIDORA' filter drops, with the
+    number of lines that pass each rule and the segment rule; the ``n``
+    largest by quantity."""
+    seg, w7, med = product_predicate("segment"), product_predicate("w7"), product_predicate("bomba_medidora")
+    s = sales_silver(lines).where(~(w7 & med)).groupBy("ITEM", "DESCRICAO").agg(
         F.sum("QTD").alias("quantidade"), F.sum(seg.cast("int")).alias("passa_segmento"),
-        F.sum(w7.cast("int")).alias("passa_item"), F.sum(bomba.cast("int")).alias("passa_descricao"))
-        .orderBy(F.desc("quantidade"), "ITEM", "DESCRICAO", "SEGMENTO").limit(n))
+        F.sum(w7.cast("int")).alias("passa_item"), F.sum(med.cast("int")).alias("passa_descricao"))
+    return (s.join(rtm_by_item(item_rtm).where("IS_RTM"), "ITEM", "left_semi")
+            .orderBy(F.desc("quantidade"), "ITEM", "DESCRICAO").limit(n))
 
 
-def lookup_miss_report(lines: DataFrame, item_rtm: DataFrame, n: int = 20) -> DataFrame:
-    """Non-RTM quantity per item with its lookup status; a missing
-    lookup is reported as 'NAO (Cache Miss)'."""
-    ir = item_rtm.groupBy("ITEM").agg(F.max(F.upper(F.trim("RTM"))).alias("_rt"))
-    s = sales_silver(lines).join(ir, "ITEM", "left")
-    status = F.coalesce(F.col("_rt"), F.lit("NAO (Cache Miss)"))
-    return (s.select("ITEM", status.alias("status_rtm"), "QTD").where(F.col("status_rtm") != "SIM")
-            .groupBy("ITEM", "status_rtm").agg(F.sum("QTD").alias("quantidade"))
-            .orderBy(F.desc("quantidade"), "ITEM").limit(n))
+def lookup_miss_report(lines: DataFrame, item_rtm: DataFrame, variant: str = "dispenser_w7", year: int | None = None,
+                       n: int = 20) -> DataFrame:
+    """Non-RTM quantity per (item, description) of a product filter and
+    year with its lookup status (every one that does not contain SIM); a
+    missing lookup is reported as 'NAO (Cache Miss)'."""
+    ir = last_value(item_rtm, "ITEM", "RTM", _order(item_rtm)).withColumnRenamed("RTM", "_rt")
+    s = sales_silver(lines).where(product_predicate(variant))
+    if year:
+        s = s.where(F.col("ANO") == year)
+    s = s.groupBy("ITEM", "DESCRICAO").agg(F.sum("QTD").alias("quantidade")).join(ir, "ITEM", "left")
+    status = F.coalesce(F.upper(E.strip("_rt")), F.lit("NAO (Cache Miss)"))
+    return (s.select("ITEM", "DESCRICAO", status.alias("status_rtm"), "quantidade").where(~F.col("status_rtm").contains("SIM"))
+            .orderBy(F.desc("quantidade"), "ITEM", "DESCRICAO").limit(n))
 
 
 def service_excluded_total(lines: DataFrame, variant: str = "w7") -> DataFrame:
@@ -190,19 +216,23 @@ def date_range(lines: DataFrame) -> DataFrame:
                        for c in DATE_KINDS for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def lines_from_year(lines: DataFrame, year: int) -> DataFrame:
+    """Lines whose invoice date holds a year from ``year`` on.  The year is
+    the first run of four digits, whatever the rest of the text looks like."""
+    return lines.withColumn("ANO", E.year_from_text("DT_NUM_NF")).where(F.col("ANO") >= year)
+
+
 def items_to_look_up(lines: DataFrame, cached: DataFrame, year: int) -> DataFrame:
     """P18 + J6: distinct items of lines from ``year`` on with a blank warranty,
     minus the items already cached."""
-    s = sales_silver(lines)
-    need = s.where((F.col("ANO") >= year) & (F.col("GARANTIA").isNull() | (F.trim("GARANTIA") == "")))
+    need = lines_from_year(lines, year).where(F.col("GARANTIA").isNull() | (E.strip("GARANTIA") == ""))
     items = need.select("ITEM").where(F.col("ITEM").isNotNull()).distinct()
     return items.join(cached.select("ITEM"), "ITEM", "left_anti")
 
 
 def enrichment_report(lines: DataFrame, cached: DataFrame, year: int) -> DataFrame:
     """Rows to check, unique items, already cached, to fetch, % of fetches saved."""
-    s = sales_silver(lines)
-    need = s.where((F.col("ANO") >= year) & (F.col("GARANTIA").isNull() | (F.trim("GARANTIA") == "")))
+    need = lines_from_year(lines, year).where(F.col("GARANTIA").isNull() | (E.strip("GARANTIA") == ""))
     items = need.select("ITEM").where(F.col("ITEM").isNotNull()).groupBy("ITEM").agg(F.count(F.lit(1)).alias("_n"))
     c = cached.select("ITEM").distinct().withColumn("_hit", F.lit(True))
     j = items.join(c, "ITEM", "left")

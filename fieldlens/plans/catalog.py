@@ -641,8 +641,19 @@ def q_rtm_split(t: Tables) -> DataFrame:
     return sales.rtm_split(_sales(t), V.item_rtm(t))
 
 
+@register("rtm_split_w7_bomba_medidora", W("sales", "item_rtm") + f""",
+rt AS (SELECT ITEM, bool_or(coalesce(contains(upper(trim(RTM)), 'SIM'), false)) AS IS_RTM FROM item_rtm GROUP BY ITEM),
+j AS (SELECT CASE WHEN coalesce(rt.IS_RTM, false) THEN 'RTM' ELSE 'NON_RTM' END AS categoria, QTD
+      FROM (SELECT * FROM sales WHERE {O.product('w7_bomba_medidora')}) s LEFT JOIN rt ON s.ITEM = rt.ITEM)
+SELECT CASE WHEN grouping(categoria) = 1 THEN 'TOTAL' ELSE categoria END AS categoria, sum(QTD) AS quantidade
+FROM j GROUP BY GROUPING SETS ((categoria), ())""")
+def q_rtm_split_w7_bomba_medidora(t: Tables) -> DataFrame:
+    return sales.rtm_split(_sales(t), V.item_rtm(t), "w7_bomba_medidora")
+
+
 @register("top20_items", W("sales") + f"""
-SELECT LINHA, ITEM, DESCRICAO, sum(QTD) AS quantidade FROM sales WHERE {O.product('w7')}
+SELECT LINHA, ITEM, DESCRICAO, sum(QTD) AS quantidade, (SELECT sum(QTD) FROM sales WHERE {O.product('w7')}) AS total
+FROM sales WHERE {O.product('w7')}
 GROUP BY 1, 2, 3 ORDER BY quantidade DESC, LINHA, ITEM, DESCRICAO LIMIT 20""")
 def q_top20_items(t: Tables) -> DataFrame:
     return sales.top_items(_sales(t), "w7")
@@ -657,24 +668,32 @@ def q_rtm_items_ranked(t: Tables) -> DataFrame:
     return sales.rtm_items_ranked(_sales(t), V.item_rtm(t))
 
 
+@register("rtm_items_top20", W("sales", "item_rtm") + f"""
+SELECT ITEM, sum(QTD) AS quantidade FROM sales WHERE ITEM IN {_RTM_ITEMS} GROUP BY ITEM ORDER BY quantidade DESC, ITEM LIMIT 20""")
+def q_rtm_items_top20(t: Tables) -> DataFrame:
+    return sales.rtm_items_ranked(_sales(t), V.item_rtm(t), top=20)
+
+
 @register("filter_gap_audit", W("sales", "item_rtm") + f""",
-x AS (SELECT *, {O.product('segment')} AS ps, {O.product('w7')} AS pw, {O.product('bomba')} AS pb FROM sales
+x AS (SELECT *, {O.product('segment')} AS ps, {O.product('w7')} AS pw, {O.product('bomba_medidora')} AS pb FROM sales
       WHERE ITEM IN {_RTM_ITEMS})
-SELECT ITEM, DESCRICAO, SEGMENTO, sum(QTD) AS quantidade, sum(CAST(ps AS INTEGER)) AS passa_segmento,
+SELECT ITEM, DESCRICAO, sum(QTD) AS quantidade, sum(CAST(ps AS INTEGER)) AS passa_segmento,
        sum(CAST(pw AS INTEGER)) AS passa_item, sum(CAST(pb AS INTEGER)) AS passa_descricao
-FROM x WHERE NOT (ps AND pw AND pb) GROUP BY 1, 2, 3
-ORDER BY quantidade DESC, ITEM, DESCRICAO, SEGMENTO LIMIT 20""")
+FROM x WHERE NOT (pw AND pb) GROUP BY 1, 2
+ORDER BY quantidade DESC, ITEM, DESCRICAO LIMIT 20""")
 def q_filter_gap_audit(t: Tables) -> DataFrame:
     return sales.filter_gap_audit(_sales(t), V.item_rtm(t))
 
 
-@register("lookup_miss_report", W("sales", "item_rtm") + """,
+@register("lookup_miss_report", W("sales", "item_rtm") + f""",
 ir AS (SELECT ITEM, max(upper(trim(RTM))) AS rt FROM item_rtm GROUP BY ITEM)
-SELECT s.ITEM, coalesce(ir.rt, 'NAO (Cache Miss)') AS status_rtm, sum(QTD) AS quantidade
-FROM sales s LEFT JOIN ir ON s.ITEM = ir.ITEM WHERE coalesce(ir.rt, 'NAO (Cache Miss)') <> 'SIM'
-GROUP BY 1, 2 ORDER BY quantidade DESC, s.ITEM LIMIT 20""")
+SELECT s.ITEM, s.DESCRICAO, coalesce(ir.rt, 'NAO (Cache Miss)') AS status_rtm, sum(QTD) AS quantidade
+FROM sales s LEFT JOIN ir ON s.ITEM = ir.ITEM
+WHERE s.ANO = 1996 AND coalesce(contains(upper(SEGMENTO), 'DISPENSER'), false) AND coalesce(starts_with(upper(s.ITEM), 'W7'), false)
+  AND NOT contains(coalesce(ir.rt, 'NAO (Cache Miss)'), 'SIM')
+GROUP BY 1, 2, 3 ORDER BY quantidade DESC, s.ITEM, s.DESCRICAO LIMIT 20""")
 def q_lookup_miss_report(t: Tables) -> DataFrame:
-    return sales.lookup_miss_report(_sales(t), V.item_rtm(t))
+    return sales.lookup_miss_report(_sales(t), V.item_rtm(t), year=1996)
 
 
 @register("service_excluded_total", W("sales") + f"""
@@ -747,9 +766,10 @@ def q_lines_not_unpacked(t: Tables) -> DataFrame:
 
 # ============================================================ pages
 @register("serials_from_pages", W("sales_raw", "serial_pages") + f""",
-p AS (SELECT page_key, {O.serials_in_page('html')} AS serials FROM serial_pages)
+p AS (SELECT page_key, {O.serials_in_page('max(html)')} AS serials FROM serial_pages GROUP BY page_key),
+l AS (SELECT DISTINCT PEDIDO, LINHA, ITEM FROM sales_raw)
 SELECT s.PEDIDO, s.LINHA, s.ITEM, CASE WHEN len(p.serials) = 0 THEN '' ELSE u.serial END AS Serial
-FROM sales_raw s JOIN p ON s.PEDIDO || '/' || s.LINHA = p.page_key
+FROM l s JOIN p ON s.PEDIDO || '/' || s.LINHA = p.page_key
 LEFT JOIN LATERAL (SELECT unnest(CASE WHEN len(p.serials) = 0 THEN [''] ELSE p.serials END) AS serial) u ON true""")
 def q_serials_from_pages(t: Tables) -> DataFrame:
     lines = _sales(t).select("PEDIDO", "LINHA", "ITEM").withColumn("_key", F.concat("PEDIDO", F.lit("/"), "LINHA"))
@@ -801,6 +821,32 @@ def q_ticket_resplit(t: Tables) -> DataFrame:
     return r.groupBy("destino").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("update_tickets", W("tickets_base") + f""",
+w AS (SELECT {_WM} AS wm),
+x AS (SELECT *, CASE WHEN DATA IS NULL THEN 'rejects' WHEN (STATUS IS NULL OR upper(STATUS) <> 'ABERTO') AND CAST(DATA AS DATE) < wm
+      THEN 'history' WHEN CAST(DATA AS DATE) >= wm THEN 'current' END AS part FROM tickets_base, w)
+SELECT part, count(*) AS n, min(CAST(DATA AS DATE)) AS first_day, max(CAST(DATA AS DATE)) AS last_day
+FROM x WHERE part IS NOT NULL GROUP BY part""")
+def q_update_tickets(t: Tables) -> DataFrame:
+    """C6 over the ticket table: what goes to the history, stays current or is rejected."""
+    tk = _tickets(t)
+    parts = incremental.update_tickets(tk, tk, None, V.AS_OF, ["SS", "TAREFA"], [F.col("DATA")])
+    every = None
+    for name in ("history", "current", "rejects"):
+        one = parts[name].select(F.lit(name).alias("part"), F.col("DATA").cast("date").alias("day"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+@register("fill_lines_from_cache", W("sales_raw", "item_warranty") + """,
+c AS (SELECT ITEM, max(GARANTIA) AS g FROM item_warranty WHERE GARANTIA IS NOT NULL GROUP BY ITEM)
+SELECT s.PEDIDO, s.LINHA, s.ITEM, CASE WHEN s.GARANTIA IS NULL OR trim(s.GARANTIA) = '' OR upper(trim(s.GARANTIA)) = 'NAO ENCONTRADO'
+       THEN coalesce(c.g, 'NAO ENCONTRADO') ELSE s.GARANTIA END AS GARANTIA
+FROM sales_raw s LEFT JOIN c ON s.ITEM = c.ITEM""")
+def q_fill_lines_from_cache(t: Tables) -> DataFrame:
+    return jobs.fill_lines(_sales(t), V.item_warranty(t), "GARANTIA", "NAO ENCONTRADO").select("PEDIDO", "LINHA", "ITEM", "GARANTIA")
+
+
 # ============================================================ scalar functions
 from fieldlens.operators import profile  # noqa: E402
 from fieldlens.streaming import twin  # noqa: E402

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions import dims
 from fieldlens.functions import expr as E
 from fieldlens.operators import dedup, joins
+from fieldlens.sources import pages as sources_pages
 from fieldlens.sources import views
 from fieldlens.sources.tables import Tables
 
@@ -109,9 +111,27 @@ def enrich_rtm_cache(lines: DataFrame, cached: DataFrame, item_pages: DataFrame,
     """Items of lines from ``year`` on that have no cached RTM flag,
     flagged from their product page (F20); returns new cache rows (ITEM, RTM)."""
     from fieldlens.operators import sales
-    s = sales.sales_silver(lines)
-    s = s.withColumn("RTM", E.fill_rtm_before_year("RTM", "ANO", year))
-    need = s.where((F.col("ANO") >= year) & (F.col("RTM").isNull() | (F.trim("RTM") == "")))
+    need = sales.lines_from_year(lines, year).where(F.col("RTM").isNull() | (E.strip("RTM") == ""))
     todo = need.select("ITEM").where(F.col("ITEM").isNotNull()).distinct().join(cached.select("ITEM"), "ITEM", "left_anti")
     pages = item_pages.select(F.col("page_key").alias("ITEM"), E.bluetooth_flag("html").alias("RTM"))
     return todo.join(pages, "ITEM", "inner")
+
+
+def fill_lines(lines: DataFrame, cache: DataFrame, value: str, default: str | None = None) -> DataFrame:
+    """C4/C5 write-back: lines whose ``value`` is blank or not found take the
+    one cached last for their item, else ``default``.  Every line stays."""
+    from fieldlens.operators import sales
+    found = joins.last_value(cache, "ITEM", value, sales._order(cache)).withColumnRenamed(value, "_found")
+    blank = F.col(value).isNull() | (E.strip(value) == "") | (F.upper(E.strip(value)) == dims.NOT_FOUND)
+    filled = F.when(blank, F.coalesce("_found", F.lit(default), value)).otherwise(F.col(value))
+    return lines.join(found, "ITEM", "left").withColumn(value, filled).select(*lines.columns)
+
+
+def unpack_new_serials(lines: DataFrame, done: DataFrame, pages: DataFrame, on: str, keys: list[str],
+                       page_key: str = "page_key") -> DataFrame:
+    """The lines that are not unpacked yet (compared on the ``keys`` that
+    both tables have, J5), one row for each serial of their fetched page."""
+    shared = [k for k in keys if k in lines.columns and k in done.columns]
+    shared = shared or [c for c in lines.columns if c in done.columns]
+    todo = joins.not_yet_processed(lines, done, shared) if shared else lines
+    return sources_pages.unpack_serials(todo, pages, on, page_key)

@@ -57,7 +57,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS SS, CAST(l_linenumber AS VARCHAR) AS TAREF
        l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate AS DATA,
        CASE WHEN l_linestatus = 'F' THEN l_shipdate + to_days(CAST(l_quantity AS INTEGER)) END AS RESOLVIDO,
        CASE WHEN l_linestatus = 'O' THEN 'ABERTO' ELSE 'FECHADO' END AS STATUS,
-       l_returnflag AS TIPO,
+       CASE l_returnflag WHEN 'A' THEN 'WBP EQUIPAMENTO DOMESTICO' WHEN 'R' THEN 'Wbp Equipamento Exportacao' ELSE l_returnflag END AS TIPO,
        CASE l_partkey % 3 WHEN 0 THEN 'Com RTM' WHEN 1 THEN 'rtm-bt' ELSE 'MECANICA' END AS RTM_RAW
 FROM lineitem""")
 
@@ -179,7 +179,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS PEDIDO, CAST(l_linenumber AS VARCHAR) AS L
             WHEN p_size % 4 = 1 THEN 'BOMBA ' || upper(p_name)
             WHEN p_size % 4 = 2 THEN 'SERVICO DE MANUTENCAO ' || upper(p_name) ELSE upper(p_name) END AS DESCRICAO,
        CASE WHEN p_size <= 20 THEN 'DISPENSERS' WHEN p_size <= 35 THEN 'PECAS' ELSE 'SERVICOS' END AS SEGMENTO,
-       l_returnflag AS TIPO,
+       CASE l_returnflag WHEN 'A' THEN 'WBP EQUIPAMENTO DOMESTICO' WHEN 'R' THEN 'Wbp Equipamento Exportacao' ELSE l_returnflag END AS TIPO,
        CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ',0'
             ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS QUANTIDADE,
        CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%d/%m/%Y') END AS DT_NUM_NF,
@@ -253,8 +253,10 @@ def product(variant: str) -> str:
     w7 = "coalesce(starts_with(upper(ITEM), 'W7'), false)"
     bomba = "coalesce(contains(upper(DESCRICAO), 'BOMBA'), false)"
     med = "coalesce(contains(upper(DESCRICAO), 'BOMBA MEDIDORA'), false)"
+    tipo = "coalesce(upper(TIPO) IN ('WBP EQUIPAMENTO DOMESTICO', 'WBP EQUIPAMENTO EXPORTACAO'), false)"
     return {"dispenser_w7": f"({seg} AND {w7})", "w7": w7, "bomba": bomba, "bomba_medidora": med,
-            "segment": seg, "w7_bomba": f"({w7} AND {bomba})", "linha_1_2": "LINHA IN ('1', '2')",
+            "segment": seg, "w7_bomba": f"({w7} AND {bomba})", "w7_bomba_medidora": f"({w7} AND {med})",
+            "tipo": tipo, "tipo_bomba_medidora": f"({tipo} AND {med})", "linha_1_2": "LINHA IN ('1', '2')",
             "all": "true"}[variant]
 
 

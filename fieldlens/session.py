@@ -5,21 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and benchmarks (UI off, AQE on, UTC)."""
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
+    """Session for tests and benchmarks (UI off, AQE on, UTC); memory and partitions only if asked for."""
     b = (SparkSession.builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
          .appName("fieldlens")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "16g"))
+         .config("spark.sql.session.timeZone", "UTC"))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -28,10 +31,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage; only when it is
-    unset (local tests) a fresh local folder is created.
+    On a cluster this must already be set to shared storage, else an error is
+    raised; only a local session without it gets a new local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="fieldlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -39,8 +44,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens.functions import expr as E
+from fieldlens.operators.joins import last_value
 
 OVERFLOW = "_overflow"
 REPLACEMENT_CHAR = "�"
@@ -67,17 +68,27 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
                    encoding: str = "UTF-8", skip_long_rows: bool = True, upper_headers: bool = False) -> DataFrame:
     """Read a header-first delimited file with a declared schema.
 
-    Without a schema every header column is read as text.  Rows with more
-    fields than the header are skipped; rows with fewer are kept.
+    Columns are bound by their header name: fields are read as text in the
+    order of the header, then the declared ones are picked and cast (a text
+    that does not fit is null, a column that the file lacks too).  Without a
+    schema every header column is read as text.  Rows with more fields than
+    the header are skipped; rows with fewer are kept.
     """
-    if schema is None:
-        schema = string_schema(normalize_header(c, upper_headers) for c in _header(spark, path, sep, encoding))
-    full = T.StructType(list(schema.fields) + [T.StructField(OVERFLOW, T.StringType(), True)])
-    df = (spark.read.schema(full).option("sep", sep).option("header", True).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").csv(path))
+    names = [normalize_header(c, upper_headers) for c in _header(spark, path, sep, encoding)]
+    full = string_schema([*names, OVERFLOW])
+    df = (spark.read.schema(full).option("sep", sep).option("header", True).option("enforceSchema", True)
+          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
     if skip_long_rows:
         df = df.where(F.col(OVERFLOW).isNull())
-    return df.drop(OVERFLOW)
+    if schema is None:
+        return df.drop(OVERFLOW)
+    have = {c.strip().upper(): c for c in reversed(names)}
+    picked = []
+    for f in schema.fields:
+        source = f.name if f.name in names else have.get(f.name.strip().upper())
+        col = F.col(f"`{source}`") if source is not None else F.lit(None).cast("string")
+        picked.append((col if f.dataType == T.StringType() else E.strip(col).try_cast(f.dataType)).alias(f.name))
+    return df.select(*picked)
 
 
 def read_with_fallback(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ";",
@@ -134,11 +145,17 @@ def clean_error_base(df: DataFrame, money: Iterable[str] = ("VALOR_PECA", "VALOR
 
 
 # S9 ----------------------------------------------------------------------
-def load_lookup(df: DataFrame, key: str = "ITEM", value: str = "GARANTIA") -> DataFrame:
-    """Key -> value, skipping null keys/values; on duplicate keys the last
-    row in file order wins (order kept by ``monotonically_increasing_id``)."""
-    x = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).withColumn("_pos", F.monotonically_increasing_id())
-    return x.groupBy(key).agg(F.max_by(value, "_pos").alias(value))
+def load_lookup(df: DataFrame, key: str = "ITEM", value: str = "GARANTIA", order: str | None = None) -> DataFrame:
+    """Key -> value, skipping null keys/values; on duplicate keys the last row
+    wins, by ``order`` if given, else in reading order (see ``in_file_order``)."""
+    return last_value(df, key, value, order)
+
+
+def in_file_order(df: DataFrame, name: str = "ORDEM") -> DataFrame:
+    """Adds the place of each row of a file source: path, block and row within
+    the block, so that 'the last row' is the same over several files."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return df.select("*", place.alias(name))
 
 
 # S15 / S16 ---------------------------------------------------------------

@@ -17,6 +17,17 @@ ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td[^>]*>(.*?)</td>"
 
 
+#: The references that pages use for blanks and markup characters.
+ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def _decoded(c: Column) -> Column:
+    out = c
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(c.contains("&"), out).otherwise(c)
+
+
 def _text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
 
@@ -24,7 +35,8 @@ def _text(c: Column) -> Column:
 def _stripped_text(c: Column) -> Column:
     """Text of a cell with every text piece stripped and the pieces joined
     without a separator; the regex runs only on cells that hold markup."""
-    return F.trim(F.when(c.contains("<"), F.regexp_replace(c, r"\s*<[^>]*>\s*", "")).otherwise(c))
+    bare = F.when(c.contains("<"), F.regexp_replace(c, r"\s*<[^>]*>\s*", "")).otherwise(c)
+    return E.strip(_decoded(bare))
 
 
 # first <td> of a row, never crossing the row's </tr>, in a closed row
@@ -47,12 +59,24 @@ def serials_in_page(html: Column) -> Column:
     return F.filter(F.transform(cells, _stripped_text), lambda s: s != "")
 
 
-def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str = "page_key") -> DataFrame:
+def latest_pages(pages: DataFrame, page_key: str = "page_key", fetched: str | None = None) -> DataFrame:
+    """One page per key: the one fetched last (``fetched``), else the greatest
+    text, so that the choice is the same in every run."""
+    order = F.struct(F.col(fetched), F.col("html")) if fetched else F.struct("html")
+    return (pages.where(F.col(page_key).isNotNull()).groupBy(page_key)
+            .agg(F.max(order).alias("_page")).select(page_key, F.col("_page.html").alias("html")))
+
+
+def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str = "page_key",
+                   fetched: str | None = None) -> DataFrame:
     """One row per (line, serial); a line whose page lists no serial
     gets one row with ''; a line without a fetched page gets no row (it is
-    retried on the next run)."""
-    p = pages.select(F.col(page_key).alias("_pk"), serials_in_page(F.col("html")).alias("_serials"))
-    j = lines.join(p, lines[on] == p["_pk"], "inner")
+    retried on the next run).  Repeated lines and repeated pages of one key
+    are reduced to one before the join, so that no key multiplies rows."""
+    p = latest_pages(pages, page_key, fetched).select(
+        F.col(page_key).alias("_pk"), serials_in_page(F.col("html")).alias("_serials"))
+    d = lines.distinct()
+    j = d.join(p, d[on] == p["_pk"], "inner")
     x = j.select(*lines.columns, F.explode_outer("_serials").alias("Serial"))
     return x.withColumn("Serial", F.coalesce(F.col("Serial"), F.lit("")))
 

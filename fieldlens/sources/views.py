@@ -56,7 +56,8 @@ def derive_ticket_columns(extract: DataFrame) -> DataFrame:
         F.when(F.col("l_linestatus") == "F",
                F.timestamp_add("DAY", F.col("l_quantity").cast("int"), F.col("l_shipdate"))).alias("RESOLVIDO"),
         F.when(F.col("l_linestatus") == "O", "ABERTO").otherwise("FECHADO").alias("STATUS"),
-        F.col("l_returnflag").alias("TIPO"),
+        F.when(F.col("l_returnflag") == "A", "WBP EQUIPAMENTO DOMESTICO")
+        .when(F.col("l_returnflag") == "R", "Wbp Equipamento Exportacao").otherwise(F.col("l_returnflag")).alias("TIPO"),
         F.when(F.col("l_partkey") % 3 == 0, "Com RTM").when(F.col("l_partkey") % 3 == 1, "rtm-bt")
         .otherwise("MECANICA").alias("RTM_RAW"),
     )
@@ -199,7 +200,8 @@ def raw_sales_lines(t: Tables) -> DataFrame:
         item_code(F.col("l_partkey")).alias("ITEM"),
         desc.alias("DESCRICAO"),
         seg.alias("SEGMENTO"),
-        F.col("l_returnflag").alias("TIPO"),
+        F.when(F.col("l_returnflag") == "A", "WBP EQUIPAMENTO DOMESTICO")
+        .when(F.col("l_returnflag") == "R", "Wbp Equipamento Exportacao").otherwise(F.col("l_returnflag")).alias("TIPO"),
         F.when(ln % 2 == 0, F.concat(qty, F.lit(",0"))).otherwise(qty).alias("QUANTIDADE"),
         F.when(ln == 7, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(_dmy(F.col("l_shipdate"))).alias("DT_NUM_NF"),
         _dmy(F.col("o_orderdate")).alias("DATA_CRIACAO"),

@@ -10,8 +10,10 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
@@ -36,12 +38,13 @@ def month_ranges(watermark: DataFrame, as_of: dt.date, col: str = "oldest_open")
 
 def resplit(tickets: DataFrame, watermark: DataFrame, date_col: str = "DATA",
             col: str = "oldest_open") -> DataFrame:
-    """M2: tag each ticket 'historico' (closed and older than the watermark)
-    or 'atual' (on/after the watermark); null dates go to neither."""
+    """M2: tag each ticket 'historico' (not open, a null status included, and
+    older than the watermark) or 'atual' (on/after the watermark); null dates
+    go to neither."""
     j = tickets.crossJoin(F.broadcast(watermark.select(F.col(col).alias("_w"))))  # one-row frame
     d = F.col(date_col).cast("date")
     dest = (F.when(d.isNull(), F.lit(None))
-            .when((F.upper("STATUS") != dims.STATUS_OPEN) & (d < F.col("_w")), "historico")
+            .when(~F.upper("STATUS").eqNullSafe(dims.STATUS_OPEN) & (d < F.col("_w")), "historico")
             .when(d >= F.col("_w"), "atual"))
     return j.withColumn("destino", dest).drop("_w")
 
@@ -67,13 +70,53 @@ def write_version(df: DataFrame, base_path: str, version: str, fmt: str = "parqu
     return path
 
 
-def read_watermark(spark: SparkSession, path: str, default: dt.date) -> DataFrame:
-    """The stored watermark (one row), or ``default`` when none was written."""
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is none yet.  Any other
+    failure (no permission, broken files, time-out) is raised."""
     try:
-        return spark.read.parquet(path).select(F.col("oldest_open").cast("date").alias("oldest_open"))
-    except Exception:  # missing path: first run
-        return spark.range(1).select(F.lit(default).cast("date").alias("oldest_open"))
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+WATERMARK = "oldest_open date, written_at timestamp"
+
+
+def read_watermark(spark: SparkSession, path: str, default: dt.date) -> DataFrame:
+    """The watermark written last (one row), or ``default`` when none was written."""
+    first = F.lit(default).cast("date")
+    stored = read_if_present(spark, path, WATERMARK)
+    if stored is None:
+        return spark.range(1).select(first.alias("oldest_open"))
+    return stored.agg(F.coalesce(F.max_by("oldest_open", "written_at"), first).alias("oldest_open"))
 
 
 def write_watermark(watermark: DataFrame, path: str) -> None:
-    watermark.coalesce(1).write.mode("overwrite").parquet(path)
+    """Adds the new watermark; earlier ones stay, so a crash while writing loses nothing."""
+    (watermark.select("oldest_open", F.current_timestamp().alias("written_at"))
+     .coalesce(1).write.mode("append").parquet(path))
+
+
+def update_tickets(tickets: DataFrame, base: DataFrame | None, history: DataFrame | None, as_of: dt.date,
+                   keys: list[str], order, date_col: str = "DATA") -> dict[str, DataFrame]:
+    """The nightly update over already fetched report rows.
+
+    The new rows and the current base make one table with the latest row per
+    key; its oldest open ticket is the new watermark; older closed rows move
+    to the history (merged, so a rerun adds nothing), the rest stays current
+    and rows without a date are returned as rejects.  All frames are lazy;
+    ``write_version`` and ``write_watermark`` store them.
+    """
+    every = tickets if base is None else tickets.unionByName(base, allowMissingColumns=True)
+    every = dedup.latest_per_key(every, keys, order)
+    watermark = oldest_open(every, as_of, date_col)
+    split = resplit(every, watermark, date_col)
+    part = lambda name: split.where(F.col("destino") == name).drop("destino")
+    return {
+        "watermark": watermark,
+        "history": merge_history(history, part("historico"), keys, order),
+        "current": part("atual"),
+        "rejects": split.where(F.col("destino").isNull()).drop("destino"),
+    }

@@ -47,22 +47,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def append_new_keys_stream(spark: SparkSession, source_dir: str, schema: T.StructType, target_dir: str,
                            keys: list[str], ckpt: str, files_per_trigger: int = 1) -> str:
-    """M3 as a stream: every micro-batch appends to ``target_dir`` only the
-    rows whose key is not there yet (anti join against the current table,
-    and duplicates inside the batch removed first), so replaying a file or
-    restarting after a failure adds nothing twice.  The checkpoint location
-    makes each file count once; the anti join covers re-delivered batches."""
+    """M3 as a stream: every micro-batch appends to ``target_dir`` the rows
+    that are not there yet, so replaying a file or restarting after a failure
+    adds nothing twice.  ``keys`` names what tells rows apart: for unpacked
+    lines that is the line *and* its serial, since a line has one row for each
+    serial.  The checkpoint location makes each file count once; the anti join
+    covers re-delivered batches."""
     from fieldlens.operators import joins
-
-    def existing() -> DataFrame | None:
-        try:  # works for any shared file system, not only local paths
-            return spark.read.schema(schema).parquet(target_dir)
-        except Exception:  # nothing written yet
-            return None
+    from fieldlens.streaming.incremental import read_if_present
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         fresh = batch.dropDuplicates(keys)
-        done = existing()
+        done = read_if_present(spark, target_dir, schema)
         if done is not None:
             fresh = joins.not_yet_processed(fresh, done, keys)
         fresh.write.mode("append").parquet(target_dir)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from fieldlens.plans import catalog
 from tools.compare import duck, rows_of
 
 SF = os.environ.get("FIELDLENS_TEST_SF", "/root/testdata/sf0.001")
@@ -17,11 +18,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert not missing, missing
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])

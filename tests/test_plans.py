@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from fieldlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -15,7 +16,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n != "stream_equals_batch"))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n != "stream_equals_batch"))
 def test_no_python_evaluation(spark, name):
     p = plan(entry.queries()[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
@@ -40,7 +41,7 @@ def test_dedup_is_partial_aggregate(spark):
     assert "partial_max" in p and "row_number" not in p
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n != "stream_equals_batch"))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n != "stream_equals_batch"))
 def test_no_cartesian_products(spark, name):
     """Cross joins appear only as broadcasts of one-row frames (cut-offs,
     totals, watermarks), never as a shuffled Cartesian product."""
