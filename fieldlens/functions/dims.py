@@ -88,7 +88,7 @@ STARTUP_SERVICE = "PARTIDA INICIAL"
 EXCLUDE_TAG_PATTERN = r"(?i)\[STB\]"
 NO_TAGS = "Sem Tags"
 AGING_LABELS = ["Até 7", "8 a 14", ">14"]
-STARTUP_DFS = "SIM - DFS"
+STARTUP_OWN = "SIM - DFS"
 STARTUP_THIRD_PARTY = "SIM - TERCEIRO"
 STARTUP_NONE = "NÃO"
 PUMP_DESCRIPTION_PREFIX = "BOMBA MEDIDORA DE COMBUSTIVEIS LIQUIDOS"

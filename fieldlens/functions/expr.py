@@ -329,7 +329,7 @@ def warranty_sentence(html: ColumnOrName) -> Column:
 
 # F22 ---------------------------------------------------------------------
 def startup_status(in_startup_set: ColumnOrName, call_count: ColumnOrName) -> Column:
-    return (F.when(F.coalesce(_c(in_startup_set), F.lit(False)), F.lit(dims.STARTUP_DFS))
+    return (F.when(F.coalesce(_c(in_startup_set), F.lit(False)), F.lit(dims.STARTUP_OWN))
             .when(F.coalesce(_c(call_count), F.lit(0)) > 0, F.lit(dims.STARTUP_THIRD_PARTY))
             .otherwise(F.lit(dims.STARTUP_NONE)))
 

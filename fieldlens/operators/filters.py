@@ -103,7 +103,7 @@ def installed_base_filter(units: DataFrame, tickets: DataFrame, rtm: str = "TODO
         j = j.where(F.col("RTM") == rtm)
     if warranty != "TODOS":
         j = j.where(F.col("STATUS_GARANTIA") == warranty)
-    if startup == dims.STARTUP_DFS:
+    if startup == dims.STARTUP_OWN:
         j = j.where(F.col("has_startup"))
     elif startup == dims.STARTUP_THIRD_PARTY:
         j = j.where(~F.col("has_startup") & (F.col("n_valid_calls") > 0))

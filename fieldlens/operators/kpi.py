@@ -66,7 +66,7 @@ def _attach_flags(units: DataFrame, flags: DataFrame) -> DataFrame:
                     *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_calls", "n_valid_calls")])
 
 
-YEAR_COLUMNS = ["ano", "units_sales", "start_up_dfs", "pct_with_tickets", "pct_under_warranty",
+YEAR_COLUMNS = ["ano", "units_sales", "start_up_own", "pct_with_tickets", "pct_under_warranty",
                 "pct_under_electronic_warranty", "pct_error_rtm_ticket"]
 
 
@@ -90,7 +90,7 @@ def rtm_analysis_by_year(units: DataFrame, tickets: DataFrame, errors: DataFrame
 
     def metrics(prefix: str, n: Column) -> list[Column]:
         return [
-            pct(F.count_if(F.col(f"{prefix}has_startup")), n).alias("start_up_dfs"),
+            pct(F.count_if(F.col(f"{prefix}has_startup")), n).alias("start_up_own"),
             pct(F.count_if(F.col(f"{prefix}has_call")), n).alias("pct_with_tickets"),
             pct(F.count_if(F.col(f"{prefix}warr")), n).alias("pct_under_warranty"),
             pct(F.count_if(F.col(f"{prefix}elec")), n).alias("pct_under_electronic_warranty"),
@@ -170,7 +170,7 @@ def installed_base_kpis(units: DataFrame, tickets: DataFrame) -> DataFrame:
         return F.count_if(known & F.col(flag))
 
     return per_serial.agg(
-        pct(serials("_su"), n).alias("pct_com_partida_dfs"),
+        pct(serials("_su"), n).alias("pct_com_partida_propria"),
         pct(F.coalesce(F.sum("_third"), F.lit(0)), n).alias("pct_com_partida_terceiros"),
         pct(serials("_call"), n).alias("pct_com_chamado"),
         pct(serials("_nocall"), n).alias("pct_sem_chamado"),

@@ -7,20 +7,34 @@ from pyspark.sql import functions as F
 
 
 def table_profile(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
-    """Per column: type, null count and distinct count (one row per column).
+    """Per column: type, rows, null count, distinct count and three sample
+    values (the smallest, the most frequent and the greatest, as text).
 
-    ``exact=False`` uses HyperLogLog sketches (``approx_count_distinct``,
-    relative error ``rsd``): one fixed-size sketch per column and task
-    instead of shuffling every distinct value, the usual choice for wide
-    tables at large scale.
+    The exact form counts every (column, value) pair once, combined map-side,
+    and then the pairs of a column; a value that fills a third of the table is
+    one row after each task.  ``exact=False`` uses HyperLogLog sketches
+    (``approx_count_distinct``, relative error ``rsd``) and gives no samples:
+    one fixed-size sketch per column and task instead of shuffling every
+    distinct value, the usual choice for wide tables at large scale.
     """
-    aggs = []
+    types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+    if exact:
+        pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("coluna"), F.col(f"`{f.name}`").cast("string").alias("valor"))
+                                    for f in df.schema.fields])).alias("r")
+        counts = df.select(pairs).groupBy("r.coluna", "r.valor").agg(F.count(F.lit(1)).alias("n"))
+        known = F.when(F.col("valor").isNotNull(), F.struct("n", "valor"))
+        return counts.groupBy("coluna").agg(
+            F.sum("n").alias("linhas"), F.sum(F.when(F.col("valor").isNull(), F.col("n")).otherwise(0)).alias("nulos"),
+            F.count("valor").alias("distintos"), F.min("valor").alias("exemplo_menor"),
+            F.max(known)["valor"].alias("exemplo_frequente"), F.max("valor").alias("exemplo_maior"),
+        ).select("coluna", types[F.col("coluna")].alias("tipo"), "linhas", "nulos", "distintos",
+                 "exemplo_menor", "exemplo_frequente", "exemplo_maior")
+    aggs = [F.count(F.lit(1)).alias("linhas")]
     for f in df.schema.fields:
-        c = F.col(f.name)
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
-        aggs += [F.count_if(c.isNull()).alias(f"n__{f.name}"), distinct.alias(f"d__{f.name}")]
+        c = F.col(f"`{f.name}`")
+        aggs += [F.count_if(c.isNull()).alias(f"n__{f.name}"), F.approx_count_distinct(c, rsd).alias(f"d__{f.name}")]
     wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(f.name).alias("coluna"), F.lit(f.dataType.simpleString()).alias("tipo"),
-                              F.col(f"n__{f.name}").alias("nulos"), F.col(f"d__{f.name}").alias("distintos"))
+    rows = F.array(*[F.struct(F.lit(f.name).alias("coluna"), F.lit(f.dataType.simpleString()).alias("tipo"), F.col("linhas"),
+                              F.col(f"`n__{f.name}`").alias("nulos"), F.col(f"`d__{f.name}`").alias("distintos"))
                      for f in df.schema.fields])
     return wide.select(F.explode(rows).alias("r")).select("r.*")

@@ -1,8 +1,9 @@
 """Maintainer relationship matrix.
 
-Medians over maintainers are exact (``median``); the per-month cut-offs
-use ``median() OVER (PARTITION BY month)`` over the already aggregated
-(month, maintainer) rows.  Global cut-offs and spans are one-row
+Medians over maintainers are exact (``median``) and run on one aggregated row
+per maintainer, the per-month cut-offs on one per (month, maintainer): their
+one-task part is as long as the list of a company's service partners (some
+thousand names, whatever the number of tickets).  Global cut-offs and spans are one-row
 aggregates joined back with a broadcast of that single row.
 """
 
@@ -22,7 +23,9 @@ def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
     AGING_A, AGING_F) where AGING_A is the recorded aging and AGING_F the
     fallback from FIM (or ``as_of``), both clipped at 0.
 
-    The reference uses the fallback only when *no* row has an aging value;
+    Without a FIM column there is no fallback: a ticket whose end is unknown
+    has no aging.  The ticket key is CHAMADO, else SS.  The fallback counts
+    only when *no* row has an aging value;
     deciding that needs a global aggregate, so the candidates keep both and
     the aggregates below decide on their own (small) output instead of a
     second pass over the tickets.  Rows without a maintainer or start date
@@ -30,14 +33,17 @@ def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
     """
     date_col = "INICIO" if "INICIO" in tickets.columns else "DATA"
     aging = F.col("AGING").cast("double") if "AGING" in tickets.columns else F.lit(None).cast("double")
-    fim = F.col("FIM").cast("timestamp_ntz") if "FIM" in tickets.columns else F.lit(None).cast("timestamp_ntz")
-    key = F.trim(F.coalesce(F.col("SS").cast("string"), F.lit(""))) if "SS" in tickets.columns else F.lit("")
+    has_end = "FIM" in tickets.columns
+    fim = F.col("FIM").cast("timestamp_ntz") if has_end else F.lit(None).cast("timestamp_ntz")
+    key = next((E.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("CHAMADO", "SS") if c in tickets.columns), F.lit(""))
     base = tickets.select(
         F.trim(F.coalesce(F.col("MANTENEDOR").cast("string"), F.lit(""))).alias("MANTENEDOR"),
         F.col(date_col).cast("timestamp_ntz").alias("DATA_BASE"), aging.alias("_aging"), fim.alias("_fim"),
         key.alias("_key"))
     fallback = F.floor(E.seconds_between(F.col("DATA_BASE"),
                                          F.coalesce("_fim", E.as_of_lit(as_of).cast("timestamp_ntz"))) / 86400)
+    if not has_end:
+        fallback = F.lit(None)
     out = base.select(
         "MANTENEDOR", "DATA_BASE",
         F.when(F.col("_key") == "", F.monotonically_increasing_id().cast("string")).otherwise(F.col("_key")).alias("CHAMADO_KEY"),
@@ -57,7 +63,11 @@ def resolve(candidates: DataFrame) -> DataFrame:
 
 
 def prepare_source(tickets: DataFrame, as_of: dt.date) -> DataFrame:
-    """(MANTENEDOR, DATA_BASE, AGING_NUM, CHAMADO_KEY) rows."""
+    """(MANTENEDOR, DATA_BASE, AGING_NUM, CHAMADO_KEY) rows; rows that are
+    prepared already are returned as they are."""
+    done = ["MANTENEDOR", "DATA_BASE", "AGING_NUM", "CHAMADO_KEY"]
+    if set(done) <= set(tickets.columns):
+        return tickets.select(*done)
     return resolve(prepare_candidates(tickets, as_of))
 
 

@@ -37,7 +37,7 @@ def _a6_sql(rtm: str) -> str:
     elec = f"coalesce(DT_NUM_NF + 365 >= {O.AS_OF_SQL}, false)"
 
     def metrics(n: str) -> str:
-        return f"""{O.pct("count_if(NUM_SERIAL IN (SELECT CHASSI FROM startup_set))", n)} AS start_up_dfs,
+        return f"""{O.pct("count_if(NUM_SERIAL IN (SELECT CHASSI FROM startup_set))", n)} AS start_up_own,
   {O.pct("count_if(NUM_SERIAL IN (SELECT CHASSI FROM call_set))", n)} AS pct_with_tickets,
   {O.pct(f"count_if({warr})", n)} AS pct_under_warranty,
   {O.pct(f"count_if({elec})", n)} AS pct_under_electronic_warranty,
@@ -122,7 +122,7 @@ _VC = "coalesce((SELECT n FROM valid_counts v WHERE v.CHASSI = u.NUM_SERIAL), 0)
 
 
 @register("installed_base_kpis", W("units", "startup_set", "call_set", "valid_counts") + f"""
-SELECT {P(_distinct_if(_SU), "count(*)")} AS pct_com_partida_dfs,
+SELECT {P(_distinct_if(_SU), "count(*)")} AS pct_com_partida_propria,
        {P(f"count_if(NOT ({_SU}) AND {_VC} > 0)", "count(*)")} AS pct_com_partida_terceiros,
        {P(_distinct_if(_CA), "count(*)")} AS pct_com_chamado,
        {P(_distinct_if(f"NOT ({_CA})"), "count(*)")} AS pct_sem_chamado,
@@ -424,9 +424,9 @@ def _p7(t: Tables, startup: str) -> DataFrame:
                                                                F.col("NUM_SERIAL").alias("num_serial"))
 
 
-@register("installed_base_filter_dfs", _p7_sql(_SU))
-def q_installed_base_filter_dfs(t: Tables) -> DataFrame:
-    return _p7(t, E.dims.STARTUP_DFS)
+@register("installed_base_filter_own", _p7_sql(_SU))
+def q_installed_base_filter_own(t: Tables) -> DataFrame:
+    return _p7(t, E.dims.STARTUP_OWN)
 
 
 @register("installed_base_filter_third_party", _p7_sql(f"NOT ({_SU}) AND {_VC} > 0"))
@@ -922,7 +922,9 @@ _PROFILE_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus"
 
 
 @register("table_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS coluna, '{ty}' AS tipo, count_if({c} IS NULL) AS nulos, count(DISTINCT {c}) AS distintos FROM orders"
+    f"""SELECT '{c}' AS coluna, '{ty}' AS tipo, sum(n)::BIGINT AS linhas, coalesce(sum(n) FILTER (v IS NULL), 0)::BIGINT AS nulos,
+count(v) AS distintos, min(v) AS exemplo_menor, arg_max(v, (n, v)) AS exemplo_frequente, max(v) AS exemplo_maior
+FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1)"""
     for c, ty in _PROFILE_TYPES.items()))
 def q_table_profile(t: Tables) -> DataFrame:
     return profile.table_profile(t.orders)

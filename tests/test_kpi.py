@@ -45,7 +45,7 @@ def test_f3_total_is_sum_of_years(spark):
     assert [rows[y]["units_sales"] for y in ("2022", "2023", "2024")] == [2, 3, 1]
     assert rows["Total"]["units_sales"] == 6
     # A has a start-up; 1 of 5 distinct serials overall
-    assert rows["Total"]["start_up_dfs"] == 20.0
+    assert rows["Total"]["start_up_own"] == 20.0
 
 
 def test_f4_empty(spark):

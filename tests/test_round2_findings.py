@@ -98,3 +98,16 @@ def test_lines_are_filled_from_the_cache(spark):
     cache = spark.createDataFrame([("HOT", "365")], "ITEM string, GARANTIA string")
     out = jobs.fill_lines(lines(spark), cache, "GARANTIA", "NAO ENCONTRADO")
     assert out.count() == 30 and out.where("GARANTIA = '365'").count() == 10 and out.where("GARANTIA = 'NAO ENCONTRADO'").count() == 20
+
+
+def test_relationship_inputs(spark):
+    from fieldlens.operators import relationship as rel
+
+    rows = [("M", "1", dt.datetime(2025, 1, 1), 4.0), ("M", "1", dt.datetime(2025, 1, 2), 6.0), ("N", "2", dt.datetime(2025, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "MANTENEDOR string, CHAMADO string, INICIO timestamp_ntz, AGING double")
+    prepared = rel.prepare_source(df, AS_OF)
+    got = {r.MANTENEDOR: (r.VOLUME, r.AGING_MEDIO_DIAS) for r in rel.matrix(prepared).collect()}
+    assert got == {"M": (1, 5.0), "N": (1, 1.0)}  # two rows of one CHAMADO are one ticket
+    again = rel.prepare_source(prepared, AS_OF)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, prepared.collect()))
+    assert rel.prepare_source(df.drop("AGING"), AS_OF).count() == 0  # no aging without FIM
