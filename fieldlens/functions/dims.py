@@ -104,13 +104,6 @@ RELATIONSHIP_SCORE_LABELS = {
 JITTER_FRACTION = 0.012
 
 
-def model_dim(spark: SparkSession) -> DataFrame:
-    """(prefix, model) lookup: 25 rows, safe to broadcast."""
-    schema = T.StructType([T.StructField("prefix", T.StringType(), False),
-                           T.StructField("model", T.StringType(), False)])
-    return spark.createDataFrame(list(MODEL_MAPPING.items()), schema)
-
-
 def aging_bucket_dim(spark: SparkSession) -> DataFrame:
     """The three aging buckets, in display order (3 rows)."""
     schema = T.StructType([T.StructField("bucket", T.StringType(), False),

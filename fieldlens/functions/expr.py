@@ -230,15 +230,6 @@ def warranty_label(c: ColumnOrName, text: bool = False) -> Column:
     return F.when(missing, F.lit(dims.WARRANTY_NOT_INFORMED)).otherwise(label)
 
 
-def warranty_label_days(days: ColumnOrName) -> Column:
-    """F17 for an integer day column (0 and null -> 'Não informado')."""
-    d = _c(days)
-    label = F.lit(dims.WARRANTY_OTHER)
-    for k, text in sorted(dims.WARRANTY_LABELS.items(), reverse=True):
-        label = F.when(d == k, F.lit(text)).otherwise(label)
-    return F.when(d.isNull() | (d == 0), F.lit(dims.WARRANTY_NOT_INFORMED)).otherwise(label)
-
-
 # F18 / F19 ---------------------------------------------------------------
 def _strip_warranty_prefixes(c: Column) -> Column:
     s = strip(F.upper(c.cast("string")))
@@ -378,12 +369,6 @@ def fill_rtm_before_year(rtm: ColumnOrName, year: ColumnOrName, target_year: int
     return F.when(blank & (_c(year) < target_year), F.lit("NAO")).otherwise(_c(rtm))
 
 
-# F29 ---------------------------------------------------------------------
-def normalized_key(*cols: ColumnOrName) -> Column:
-    return F.struct(*[strip(F.coalesce(_c(c).cast("string"), F.lit(""))).alias(f"k{i}")
-                      for i, c in enumerate(cols)])
-
-
 # F31 ---------------------------------------------------------------------
 def month_text(c: ColumnOrName) -> Column:
     return F.date_format(_c(c), "yyyy-MM")

@@ -3,8 +3,10 @@
 Implemented as a grouped ``max``/``min`` over a struct whose leading fields
 are the sort keys, instead of ``row_number()`` over a window.  The
 aggregate is combined map-side before the shuffle, so a key holding a
-third of all rows is reduced to one row per task before it moves, and no
-task ever has to sort or hold a whole group.
+third of all rows is reduced to one row per task before it moves.  A struct
+``max`` is a sort-based aggregate in Spark: each task sorts its own rows
+before the combine, and what is left (one row per key and task) after the
+shuffle; both sorts spill.
 """
 
 from __future__ import annotations
@@ -35,8 +37,3 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the one with the smallest ``order`` (nulls last)."""
     return _pick_one(df, keys, order, largest=False)
-
-
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Full-row distinct."""
-    return df.dropDuplicates()

@@ -145,15 +145,11 @@ def drop_other_models(df: DataFrame) -> DataFrame:
     return df.where(F.col("MODELO") != dims.OTHER_MODEL)
 
 
-# P11 / P12 -----------------------------------------------------------------
+# P11 -----------------------------------------------------------------------
 def from_year(df: DataFrame, year: int, column: str = "ANO_NF") -> DataFrame:
     return df.where(F.col(column) >= year)
 
 
-def exact_year(df: DataFrame, year: int, column: str = "ANO_NF") -> DataFrame:
-    return df.where(F.col(column) == year)
-
-
 # P13 -----------------------------------------------------------------------
 def product_predicate(variant: str) -> Column:
     """Product filters of the sales reports."""

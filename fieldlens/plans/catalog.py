@@ -847,6 +847,51 @@ def q_fill_lines_from_cache(t: Tables) -> DataFrame:
     return jobs.fill_lines(_sales(t), V.item_warranty(t), "GARANTIA", "NAO ENCONTRADO").select("PEDIDO", "LINHA", "ITEM", "GARANTIA")
 
 
+@register("units_from_year", W("units") + "SELECT ANO_NF AS ano, count(*) AS n FROM units WHERE ANO_NF >= 1996 GROUP BY 1")
+def q_units_from_year(t: Tables) -> DataFrame:
+    """P11 over the installed base."""
+    from fieldlens.operators import filters
+    return filters.from_year(_units(t), 1996).groupBy(F.col("ANO_NF").alias("ano")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("union_of_extracts", W("sales_raw") + """,
+a AS (SELECT PEDIDO, LINHA, ITEM, GARANTIA FROM sales_raw WHERE CAST(LINHA AS INTEGER) <= 3),
+b AS (SELECT ITEM, PEDIDO, LINHA, RTM FROM sales_raw WHERE CAST(LINHA AS INTEGER) > 3)
+SELECT 'common' AS kind, count(*) AS n, count(ITEM) AS n_item, 0 AS n_garantia, 0 AS n_rtm FROM
+  (SELECT PEDIDO, LINHA, ITEM FROM a UNION ALL SELECT PEDIDO, LINHA, ITEM FROM b)
+UNION ALL SELECT 'all', count(*), count(ITEM), count(GARANTIA), count(RTM) FROM
+  (SELECT PEDIDO, LINHA, ITEM, GARANTIA, NULL AS RTM FROM a UNION ALL SELECT PEDIDO, LINHA, ITEM, NULL, RTM FROM b)""")
+def q_union_of_extracts(t: Tables) -> DataFrame:
+    """Two extracts with different columns, on the shared ones and on all of them."""
+    from fieldlens.sources import files
+    s = _sales(t)
+    a = s.where(F.col("LINHA").cast("int") <= 3).select("PEDIDO", "LINHA", "ITEM", "GARANTIA")
+    b = s.where(F.col("LINHA").cast("int") > 3).select("ITEM", "PEDIDO", "LINHA", "RTM")
+    none = F.lit(0).cast("long")
+    common = files.union_common(a, b).agg(F.count(F.lit(1)).alias("n"), F.count("ITEM").alias("n_item"))
+    every = files.union_all_columns(a, b).agg(F.count(F.lit(1)).alias("n"), F.count("ITEM").alias("n_item"),
+                                              F.count("GARANTIA").alias("n_garantia"), F.count("RTM").alias("n_rtm"))
+    return (common.select(F.lit("common").alias("kind"), "n", "n_item", none.alias("n_garantia"), none.alias("n_rtm"))
+            .unionByName(every.withColumn("kind", F.lit("all"))))
+
+
+@register("serial_append_rerun", W("sales_raw", "serial_pages") + f""",
+p AS (SELECT page_key, {O.serials_in_page('max(html)')} AS serials FROM serial_pages GROUP BY page_key),
+l AS (SELECT DISTINCT PEDIDO, LINHA, ITEM FROM sales_raw),
+u AS (SELECT PEDIDO, LINHA, ITEM, unnest(CASE WHEN len(serials) = 0 THEN [''] ELSE serials END) AS Serial
+      FROM l JOIN p ON PEDIDO || '/' || LINHA = page_key)
+SELECT LINHA, count(*) AS n, count(DISTINCT PEDIDO || '|' || ITEM || '|' || Serial) AS n_rows FROM u GROUP BY LINHA""")
+def q_serial_append_rerun(t: Tables) -> DataFrame:
+    """Every unpacked row appended to a table that holds part of them already gives each row once."""
+    lines = _sales(t).select("PEDIDO", "LINHA", "ITEM").withColumn("_key", F.concat("PEDIDO", F.lit("/"), "LINHA"))
+    rows = pg.unpack_serials(lines, V.serial_pages(t), "_key").drop("_key")
+    there = rows.where(F.col("LINHA").cast("int") % 2 == 0)
+    keys = ["PEDIDO", "LINHA", "ITEM", "Serial"]
+    after = there.unionByName(incremental.append_new(there, rows, keys))
+    per_row = after.groupBy("LINHA", "PEDIDO", "ITEM", "Serial").agg(F.count(F.lit(1)).alias("k"))
+    return per_row.groupBy("LINHA").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+
+
 # ============================================================ scalar functions
 from fieldlens.operators import profile  # noqa: E402
 from fieldlens.streaming import twin  # noqa: E402

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
-from fieldlens.operators import dedup, joins
+from fieldlens.operators import dedup, filters, joins
 from fieldlens.sources import pages as sources_pages
 from fieldlens.sources import views
 from fieldlens.sources.tables import Tables
@@ -60,9 +60,9 @@ def process_installed_base(raw: DataFrame, as_of: dt.date, domestic_only: bool =
     df = df.withColumn("STATUS_GARANTIA", E.warranty_status("DT_NUM_NF", "GARANTIA", as_of))
     df = df.withColumn("MODELO", E.model_from_prefix(E.item_prefix("ITEM")))
     if domestic_only:
-        df = df.where(F.trim("PAIS") == "BR")
+        df = filters.domestic_only(df)
     if drop_other_models:
-        df = df.where(F.col("MODELO") != "OUTROS")
+        df = filters.drop_other_models(df)
     return df
 
 

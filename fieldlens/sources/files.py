@@ -158,12 +158,6 @@ def in_file_order(df: DataFrame, name: str = "ORDEM") -> DataFrame:
     return df.select("*", place.alias(name))
 
 
-# S15 / S16 ---------------------------------------------------------------
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> str:
-    df.write.mode(mode).format(fmt).save(path)
-    return path
-
-
 def export_by_origin(frames: dict[str, DataFrame], path: str, fmt: str = "csv") -> str:
     """Tag each frame with its origin, union them and write one folder
     per origin (``origin=<name>``) plus the combined data in one dataset."""
@@ -176,4 +170,3 @@ def export_by_origin(frames: dict[str, DataFrame], path: str, fmt: str = "csv")
         w = w.option("header", True).option("sep", ";")
     w.format(fmt).save(path)
     return path
-
