@@ -58,25 +58,28 @@ SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": f
          "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"]), "p": frozenset(["td", "th", "li"]),
          "head": frozenset()}
 ROOTS = frozenset(["html", "body", "article", "main"])
+CLOSES = {tag: [other for other, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+BEFORE_ARTICLE = frozenset(["nav", "header", "head", "aside", "footer"])
 
 
 class Element:
     __slots__ = ("tag", "start", "end", "out", "hash", "digest", "text")
 
-    def __init__(self, tag: str, start: int, out: bool, label: str):
+    def __init__(self, tag: str, start: int, out: bool):
         self.tag, self.start, self.end, self.out, self.text = tag, start, -1, out, False
-        self.hash = blake2b(f"{tag} {label}".encode(errors="replace"), digest_size=8)
-        self.digest = b""
+        self.hash, self.digest = None, b""
 
 
 class Page(HTMLParser):
-    """``pieces`` of text and the ``elements`` that cover ranges of them."""
+    """``pieces`` of text and the ``elements`` that cover ranges of them, with hashes of their subtrees if asked for."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, hashed: bool):
         super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
         self.elements: list[Element] = []
         self.open: list[Element] = []
+        self.articles = 0  # open article and main elements
+        self.hashed = hashed
         comment = html.rfind("<!--")
         self.feed(html + "-->" * (comment >= 0 and html.find("-->", comment) < 0))  # an open comment takes the rest
         self.close()
@@ -84,31 +87,34 @@ class Page(HTMLParser):
             self._end()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("article", "main"):  # an article does not stand in a menu that was never closed
-            while self.open and any(e.tag in ("nav", "header", "head", "aside", "footer") for e in self.open):
+        root = tag in ("article", "main")
+        if root:  # an article does not stand in a menu that was never closed
+            while self.open and any(e.tag in BEFORE_ARTICLE for e in self.open):
                 self._end()
-        for other, by in CLOSED_BY.items():
-            if tag in by:
-                self._end_last(other, SCOPE[other])
-        label = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()))
-        in_article = any(e.tag in ("article", "main") for e in self.open)
-        out = (tag in LEFT_OUT and not (tag == "header" and in_article and not words & MARKS)
-               or tag not in ROOTS and bool(words & MARKS) or tag in ("article", "main") and bool(words & {"comment", "comments", "reply", "ad", "ads"})
-               or any(k == "hidden" for k, _ in attrs) or self._hidden(attrs))
+        for other in CLOSES.get(tag, ()):
+            self._end_last(other, SCOPE[other])
+        label = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
+        marks = MARKS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower())) if label else ()
+        out = tag in LEFT_OUT and (tag != "header" or not self.articles or bool(marks))
+        if marks and not out:
+            out = bool({"comment", "comments", "reply", "ad", "ads"} & marks) if root else tag not in ROOTS
+        if attrs and not out:
+            out = self._hidden(attrs)
         if tag not in INLINE:
             self.pieces.append(" ")
-        element = Element(tag, len(self.pieces), out, label)
+        element = Element(tag, len(self.pieces), out)
+        if self.hashed:
+            element.hash = blake2b(f"{tag} {label}".encode(errors="replace"), digest_size=8)
         self.elements.append(element)
         if tag in VOID:
             element.end = len(self.pieces)
         else:
             self.open.append(element)
+            self.articles += root
 
     @staticmethod
     def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
-        style = next((v for k, v in attrs if k == "style" and v), "")
-        return bool(re.search(r"display\s*:\s*none", style))
+        return any(k == "hidden" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,7 +126,7 @@ class Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.pieces.append(data)
-        if self.open and not data.isspace():
+        if self.hashed and self.open and not data.isspace():
             self.open[-1].text = True
             self.open[-1].hash.update(" ".join(data.split()).encode(errors="replace"))
 
@@ -137,12 +143,14 @@ class Page(HTMLParser):
     def _end(self) -> None:
         element = self.open.pop()
         element.end = len(self.pieces)
-        element.digest = element.hash.digest()
+        self.articles -= element.tag in ("article", "main")
         if element.tag not in INLINE:
             self.pieces.append(" ")
-        if self.open:
-            self.open[-1].text |= element.text
-            self.open[-1].hash.update(b"<" + element.digest)
+        if self.hashed:
+            element.digest = element.hash.digest()
+            if self.open:
+                self.open[-1].text |= element.text
+                self.open[-1].hash.update(b"<" + element.digest)
 
 
 def _ranges(elements: list[Element]) -> list[tuple[int, int]]:
@@ -172,7 +180,7 @@ def _parts(page: Page) -> tuple[list[tuple[int, int]], list[Element]]:
 
 def subtrees(html: str) -> tuple[list[int], int]:
     """Hashes of the subtrees that could belong to the site, and one of the whole article."""
-    page = Page(html)
+    page = Page(html, hashed=True)
     ranges, kept = _parts(page)
     found = {e.digest for e in kept if e.text and e.tag not in ROOTS and any(a <= e.start and e.end <= b for a, b in ranges)}
     whole = blake2b(" ".join("".join("".join(page.pieces[a:b]) for a, b in ranges).split()).encode(errors="replace"), digest_size=8)
@@ -180,7 +188,7 @@ def subtrees(html: str) -> tuple[list[int], int]:
 
 
 def main_text(html: str, templates: frozenset[int]) -> str:
-    page = Page(html)
+    page = Page(html, hashed=bool(templates))
     ranges, kept = _parts(page)
     gone = [e for e in page.elements if e.out]
     if templates:
