@@ -36,7 +36,8 @@ from fieldlens.llm.common import BASES, BYTE_CODES, Words, distinct_sorted, mate
 GRAMS = (4, 5)
 BUCKETS = 1 << 20
 FEATURES = 4096
-MODELS, MOST_POSITIVE, MOST_UNLABELLED = 3, 6_000, 18_000
+MODELS, MOST_POSITIVE, MOST_UNLABELLED = 3, 3_000, 9_000
+ROWS = 2_000
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
 LEAST_SCORE = 0.7
 BREAKS = np.ones(256, dtype=bool)
@@ -82,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(chosen: np.ndarray):
-    """The chosen features of each document, as their numbers (with repeats)."""
+    """The chosen features of each document: its number << 8 | in how many of its words it is (255 at most)."""
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[chosen] = np.arange(len(chosen))
 
@@ -96,32 +97,43 @@ def _pick(chosen: np.ndarray):
             first, last = np.searchsorted(owner, word), np.searchsorted(owner, word, side="right")
             size = last - first
             flat = own[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            edge = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(doc, size), minlength=len(chunk)))))
+            pair, times = np.unique(np.repeat(doc, size).astype(np.int64) << 32 | flat, return_counts=True)
+            value = (pair & 0xFFFFFFFF) << 8 | np.minimum(times, 255)
+            edge = np.searchsorted(pair >> 32, np.arange(len(chunk) + 1))
             out = chunk.drop_columns(["text"])
-            yield out.append_column("features", pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(flat, pa.int32())))
+            yield out.append_column("features", pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(value.astype(np.int32))))
 
     return run
 
 
 def minimise(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_features: int) -> np.ndarray:
-    """Weights and bias (last) of the linear classifier with the least non-negative risk (mean of the later steps)."""
-    sizes = [len(x) for x in positive + unlabelled]
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    col = np.concatenate([*positive, *unlabelled]).astype(np.int64) if sum(sizes) else np.zeros(0, dtype=np.int64)
+    """Weights and bias (last) of the linear classifier with the least non-negative risk (mean of the later steps).
+
+    A document is given by its features as ``_pick`` makes them; they are taken ``ROWS`` documents at a time.
+    """
+    docs = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
+    blocks = []
+    for at in range(0, len(docs), ROWS):
+        part = docs[at: at + ROWS]
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])
+        value = np.concatenate(part) if len(row) else np.zeros(0, dtype=np.int32)
+        blocks.append((at, at + len(part), row, (value >> 8).astype(np.int32), (value & 255).astype(np.float32)))
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        f = np.bincount(row, w[col], minlength=n_p + n_u) + w[-1]
+        f = np.concatenate([np.bincount(row, w[col] * times, minlength=b - a) for a, b, row, col, times in blocks]) + w[-1]
         share = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
         clean = -np.log1p(-np.minimum(share, 1 - 1e-12))  # loss of the answer "not toxic"
         rest = clean[n_p:].mean() - prior * clean[:n_p].mean()
         d_rest = np.concatenate([-prior * share[:n_p] / n_p, share[n_p:] / n_u])
         d_toxic = np.concatenate([prior * (share[:n_p] - 1) / n_p, np.zeros(n_u)])
         slope = d_toxic + d_rest if rest >= 0 else -d_rest
-        gradient = np.append(np.bincount(col, slope[row], minlength=n_features), slope.sum())
-        gradient[:-1] += DECAY * w[:-1]
+        gradient = DECAY * w
+        gradient[-1] = slope.sum()
+        for a, b, row, col, times in blocks:
+            gradient[:-1] += np.bincount(col, slope[a:b][row] * times, minlength=n_features)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient ** 2
         rate = RATE * (1 - 0.9 * step / STEPS)

@@ -94,8 +94,8 @@ def test_held_out_labels_are_not_read(spark, rude):
 
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(2)
-    positive = [np.array([0, int(rng.integers(1, 50))]) for _ in range(50)]
-    unlabelled = positive[:5] + [rng.integers(1, 50, 3) for _ in range(95)]
+    positive = [np.array([0, int(rng.integers(1, 50))]) << 8 | 1 for _ in range(50)]
+    unlabelled = positive[:5] + [rng.integers(1, 50, 3) << 8 | 1 for _ in range(95)]
     w = toxicity.minimise(positive, unlabelled, 0.05, 50)
     assert w[0] > 2 and np.isfinite(w).all() and abs(w[1:-1]).max() < w[0]
 
