@@ -38,6 +38,7 @@ BUCKETS = 1 << 20
 FEATURES = 4096
 MODELS, MOST_POSITIVE, MOST_UNLABELLED = 3, 3_000, 9_000
 ROWS = 2_000
+PREFILTER = 1 << 20
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
 LEAST_SCORE = 0.7
 BREAKS = np.ones(256, dtype=bool)
@@ -174,7 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[np.ndarray
     if not seen["toxic"]:
         return None
     prior = min(0.99, seen["toxic"] / seen["n"])
-    confirmed = materialize(texts.join(marks.where("toxic = 1").select("doc_id"), "doc_id"), "confirmed")
+    toxic = marks.where("toxic = 1").select("doc_id")
+    # only texts whose id hashes like a confirmed one go into the join; at most PREFILTER numbers are broadcast
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(PREFILTER)).alias("__number")
+    near = texts.withColumn("__number", number).join(F.broadcast(toxic.select(number).distinct()), "__number", "left_semi")
+    confirmed = materialize(near.drop("__number").join(toxic, "doc_id"), "confirmed")
     n_p, n_u = confirmed.count(), texts.count()
     if not n_p:
         return None
