@@ -38,7 +38,7 @@ START, ROUNDS, CUT = 256, 4, 512
 GROUP_TOKENS = 1 << 19
 ADD = 0.1
 SMOOTH = 100.0
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 END = HEAD + TAIL
 
 
