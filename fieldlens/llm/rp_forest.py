@@ -4,14 +4,14 @@ Vectors with a cosine >= 0.95 are linked; components are the connected component
 
 1. Equal vectors are one class from the start; its smallest id stands for it.
 2. Each of ``TREES`` trees halves the vectors again and again: a random direction for each depth, the median of the projections, and a
-   spill around the median that goes to both sides, so that near vectors on different sides still meet.  The splits of
-   a node are learnt from a sample of at most about ``SAMPLE`` of its vectors, then every vector is routed.  Nodes with
+   spill around the median that goes to both sides, so that near vectors on different sides still meet.  The spill is
+   never narrower than the distance of a pair at the threshold, however dense the node.  The splits of a node are learnt from a sample of at most about ``SAMPLE`` of its vectors, then every vector is routed.  Nodes with
    more than ``LEAF`` vectors are split again in the next round, whatever the size of the table.
 3. Vectors of a leaf are compared with each other in double precision, large leaves in tiles of two blocks.  A pair
    that meets in several leaves counts in the first of them only, so no pairs leave a task: a tile returns the number of
    links of each vector and a spanning forest of its links.
 
-A node whose sample a split leaves together (nearly equal vectors) stays a leaf.
+A node of which a side of the split would hold more than ``SIDE`` (a dense group) stays a leaf and is compared exactly.
 
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 are their own component; vectors of different lengths are not compared; a null ``vec_id`` counts as the largest id; a
@@ -34,6 +34,8 @@ from fieldlens.llm.common import NULL_KEY, connected_components, doc_key, forest
 THRESHOLD = 0.95
 TREES, LEAF, SPILL = 12, 2048, 0.08
 SAMPLE, LEVELS = 16384, 5
+#: Least width of the spill in distances of a pair at the threshold; largest share of a node on a side of a split.
+WIDTH, SIDE = 1.0, 2 / 3
 BLOCK = 4096
 SEED = 20
 
@@ -61,8 +63,11 @@ def _direction(tree: int, depth: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, tree, depth, dim]).standard_normal(dim)
 
 
-def _learn(spill: float, leaf: int):
-    """The splits below one node, from a sample: lower and upper bound by heap position (not a number: no split)."""
+def _learn(spill: float, leaf: int, width: float):
+    """The splits below one node, from a sample: lower and upper bound by heap position (not a number: no split).
+
+    ``width``: of the spill at least; projections of two vectors differ by about the distance between them.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree, node, dim, total = int(key[0]), int(key[1]), int(key[2]), int(rows["total"].iloc[0])
@@ -76,8 +81,10 @@ def _learn(spill: float, leaf: int):
                 continue
             p = x[own] @ _direction(tree, node.bit_length() - 1 + depth, dim)
             a, b = np.quantile(p, [0.5 - spill, 0.5 + spill])
+            more = max(0.0, width - (b - a)) / 2
+            a, b = a - more, b + more
             left, right = own[p <= b], own[p >= a]
-            if max(len(left), len(right)) <= 0.8 * len(own):
+            if max(len(left), len(right)) <= SIDE * len(own):
                 low[at], high[at] = a, b
                 todo += [(2 * at, left), (2 * at + 1, right)]
         return pd.DataFrame({"tree": [tree], "node": [node], "dim": [dim], "lower": [low.tolist()], "upper": [high.tolist()]})
@@ -113,7 +120,7 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in at.values()], list(at))
 
 
-def _leaves(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int) -> DataFrame:
+def _leaves(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int, width: float) -> DataFrame:
     """(rep, leaf) for every vector and leaf that holds it."""
     at = classes.select("rep", F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("tree"),
                         F.lit(1).cast("long").alias("node"), "dim")
@@ -131,7 +138,7 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int
         inside = at.join(small(large), ["tree", "node", "dim"]).join(classes.select("rep", "x"), "rep")
         draw = F.pmod(F.xxhash64("rep", "tree", F.lit(SEED)), F.lit(1 << 30)) < F.lit(float(1 << 30) * sample) / F.col("total")
         splits = materialize(inside.where(draw).groupBy("tree", "node", "dim").applyInPandas(
-            _learn(spill, leaf), "tree long, node long, dim long, lower array<double>, upper array<double>"), "splits")
+            _learn(spill, leaf, width), "tree long, node long, dim long, lower array<double>, upper array<double>"), "splits")
         at = materialize(inside.drop("total").join(small(splits), ["tree", "node", "dim"])
                          .mapInArrow(_route, "rep long, tree long, node long, dim long"), "nodes")
     return done.select("rep", F.xxhash64("tree", "node", "dim").alias("leaf")).distinct()
@@ -187,7 +194,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
         F.min("key").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x"))
         .withColumn("dim", (F.octet_length("x") / 8).cast("long")), "classes")
 
-    places = materialize(_leaves(classes.select("rep", "x", "dim"), trees, leaf, spill, sample), "leaves")
+    width = WIDTH * np.sqrt(max(0.0, 2 * (1 - threshold)))
+    places = materialize(_leaves(classes.select("rep", "x", "dim"), trees, leaf, spill, sample, width), "leaves")
     sizes = (places.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
              .select("leaf", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     sizes = materialize(sizes, "sizes")

@@ -106,6 +106,19 @@ def test_forest_finds_the_links(spark, vectors, block):
     assert np.mean([got[i][1] == whole[i] for i in got]) > 0.95
 
 
+@pytest.mark.parametrize("cosine", [0.96, 0.99])
+def test_a_dense_group_of_many_leaves_keeps_its_links(spark, cosine):
+    rng = np.random.default_rng(9)
+    noise = rng.standard_normal((3000, 32))
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    x = np.concatenate([np.eye(32)[0] * np.sqrt(cosine) + noise * np.sqrt(1 - cosine), rng.standard_normal((1000, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rp_forest.near_vectors(df, leaf=64).selectExpr("sum(n_links)").first()[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = int((x @ x.T >= 0.95).sum()) - len(x)
+    assert 0.999 * links <= got <= links
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]),
