@@ -3,7 +3,8 @@
 Two documents are linked when the sets of their runs of five consecutive words (white-space separated, unchanged) have
 a Jaccard similarity of at least 0.8; classes are the connected components of the links.
 
-1. Documents with one and the same set are a class from the start: one representative, the smallest id, goes on.
+1. Documents with one and the same set are a class from the start, named by a hash of the set; the text of its smallest
+   id goes on.  The smallest id of a class of near sets is attached at the end.
 2. Representatives get ``BANDS * ROWS`` MinHash values.  Those that agree in a band are candidates; a bucket sends an
    edge from each member to its smallest one, never all pairs, and connected edges make a candidate group.
 3. A group is compared in tiles of two blocks of about ``BLOCK`` members, so a group of any size is spread over tasks.
@@ -27,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm.common import (
@@ -96,8 +97,8 @@ def _sets(size: int):
             n = np.diff(edge)
             sig[n > 0] = signatures(doc, h)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("key"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), _binary(sig)],
-                ["key", "d1", "d2", "n", "sig"])
+                [chunk.column("key"), chunk.column("hash"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), _binary(sig)],
+                ["key", "hash", "d1", "d2", "n", "sig"])
 
     return run
 
@@ -115,10 +116,15 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(size: int):
-    """The sets of the candidates, from their texts; rows that share the id but not the set are left out."""
+    """The sets of the candidates, from their texts; rows that come again are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for chunk in text_chunks(batches):
+            new = [not (r in seen or seen.add(r)) for r in chunk.column("rep").to_pylist()]
+            chunk = chunk.filter(pa.array(new, pa.bool_()))
+            if not len(chunk):
+                continue
             doc, h = shingle_sets(chunk.column("text"), size)
             edge = np.searchsorted(doc, np.arange(len(chunk) + 1))
             same = ranges_hash(h, edge[:-1], edge[1:], BASES[0]).view(np.int64) == np.asarray(chunk.column("d1"))
@@ -207,12 +213,19 @@ def _tiles(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(key, class_key, n_links) for every row of ``docs`` (doc_id, text, ...)."""
-    texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rows = materialize(texts.mapInArrow(_sets(size), "key long, d1 long, d2 long, n long, sig binary"), "sets")
+def _row() -> tuple[Column, Column]:
+    """The id of a row and a hash of its text, which tells rows with one id apart."""
+    return doc_key(), F.xxhash64(F.col("text").cast("string"))
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
+    """(key, hash, least, n_links) for every row of ``docs``; least: smallest (key, hash) of its class."""
+    key, text_hash = _row()
+    texts = docs.select(key.alias("key"), text_hash.alias("hash"), F.col("text").cast("string").alias("text"))
+    rows = materialize(texts.mapInArrow(_sets(size), "key long, hash long, d1 long, d2 long, n long, sig binary"), "sets")
     classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("key").alias("rep"), F.count("*").alias("n_docs"), F.first("sig").alias("sig")), "classes")
+        F.min(F.struct("key", "hash")).alias("least"), F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
+        .withColumn("rep", F.xxhash64("d1", "d2")), "classes")
 
     bands = classes.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     buckets = materialize(bands.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
@@ -221,35 +234,44 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     groups = (candidates.groupBy("component").agg(F.count("*").alias("n"))
               .select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     members = materialize(candidates.withColumnRenamed("node", "rep").join(groups, "component")
-                          .join(classes.drop("d2"), "rep"), "members")
+                          .join(classes.select("rep", "d1", "n_docs", "sig", "least.key", "least.hash"), "rep"), "members")
 
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(F.col("block"), o).alias("low"), F.greatest(F.col("block"), o).alias("high")))
-    tiles = (texts.join(members.withColumn("key", F.col("rep")), "key")
+    tiles = (texts.join(members, ["key", "hash"])
              .mapInArrow(_members(size), "rep long, component long, blocks int, n_docs long, sig binary, set binary")
              .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("cell", F.explode(cells)).select("*", "cell.low", "cell.high").drop("cell", "blocks")
              .repartition("component", "low", "high").sortWithinPartitions("component", "low", "high"))
     found = materialize(tiles.mapInArrow(_tiles(threshold), "rep long, links long, root long"), "links")
 
-    verified = connected_components(found.select("rep", "root"), "rep", "root")
+    verified = connected_components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
+    least = materialize(verified.join(classes.select("rep", "least"), "rep")
+                        .groupBy("component").agg(F.min("least").alias("first")), "least")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_class = materialize(
-        classes.select("d1", "d2", "rep", "n_docs").join(links, "rep", "left")
-        .join(verified.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("d1", "d2", F.coalesce("component", "rep").alias("class_key"),
+        classes.select("d1", "d2", "rep", "n_docs", "least").join(links, "rep", "left")
+        .join(verified.join(least, "component"), "rep", "left")
+        .select("d1", "d2", F.coalesce("first", "least").alias("least"),
                 (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    return (rows.select("key", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(of_class, ["d1", "d2"], "left")
-            .select("key", F.coalesce("class_key", "key").alias("class_key"),
+    return (rows.select("key", "hash", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2")
+            .join(of_class, ["d1", "d2"], "left")
+            .select("key", "hash", F.coalesce("least", F.struct("key", "hash")).alias("least"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
 
+def jaccard_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(key, class_key, n_links) for every row of ``docs`` (doc_id, text, ...)."""
+    return _classes(docs, size, threshold, block).select("key", F.col("least.key").alias("class_key"), "n_links")
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class; a row that comes twice stays once."""
-    kept = materialize(jaccard_classes(docs, size, threshold).where("key = class_key")
-                       .select(F.col("key").alias("__key")).distinct(), "kept")
-    return (docs.withColumn("__key", doc_key()).join(kept, "__key")
-            .dropDuplicates(["__key", "text"]).drop("__key").select(*docs.columns))
+    """The row of each class of ``docs`` with the smallest id (and hash of the text); a row that comes twice stays once."""
+    kept = materialize(_classes(docs, size, threshold, BLOCK).where("key = least.key and hash = least.hash")
+                       .select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct(), "kept")
+    key, text_hash = _row()
+    return (docs.withColumns({"__key": key, "__hash": text_hash}).join(kept, ["__key", "__hash"])
+            .dropDuplicates(["__key", "text"]).drop("__key", "__hash").select(*docs.columns))
 
 
 def jaccard_join_query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Vectors with a cosine >= 0.95 are linked; components are the connected components of the links.
 
-1. Equal vectors are one class from the start; its smallest id stands for it.
+1. Equal vectors are one class from the start, named by a hash of the vector; its smallest id is attached at the end.
 2. Each of ``TREES`` trees halves the vectors again and again: a random direction for each depth, the median of the projections, and a
    spill around the median that goes to both sides, so that near vectors on different sides still meet.  The spill is
    never narrower than the distance of a pair at the threshold, however dense the node.  The splits of a node are learnt from a sample of at most about ``SAMPLE`` of its vectors, then every vector is routed.  Nodes with
@@ -184,14 +184,14 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF,
-                 spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """(key, n_links, component) for every row of ``vectors`` (vec_id, embedding, ...)."""
+def _near(vectors: DataFrame, threshold: float, trees: int, leaf: int, spill: float, sample: int, block: int) -> DataFrame:
+    """(key, class, n_links, least) for every row of ``vectors``; least: smallest (key, class) of its component."""
     rows = (vectors.select(doc_key("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
             .mapInArrow(_vectors, "key long, x binary").withColumn("class", F.md5("x")))
     rows = materialize(rows, "vectors")
     classes = materialize(rows.where("x is not null").groupBy("class").agg(
-        F.min("key").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x"))
+        F.min("key").alias("key"), F.count("*").alias("n"), F.first("x").alias("x"))
+        .select(F.xxhash64("class").alias("rep"), F.struct("key", "class").alias("least"), "class", "n", "x")
         .withColumn("dim", (F.octet_length("x") / 8).cast("long")), "classes")
 
     width = WIDTH * np.sqrt(max(0.0, 2 * (1 - threshold)))
@@ -209,19 +209,29 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     found = materialize(tiles.mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
     release(places)
 
-    components = connected_components(found.select("rep", "root"), "rep", "root")
+    components = connected_components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
+    least = materialize(components.join(classes.select("rep", "least"), "rep")
+                        .groupBy("component").agg(F.min("least").alias("first")), "least")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_class = materialize(
-        classes.select("class", "rep", "n").join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("class", F.coalesce("component", "rep").alias("component"),
+        classes.select("class", "rep", "n", "least").join(links, "rep", "left")
+        .join(components.join(least, "component"), "rep", "left")
+        .select("class", F.coalesce("first", "least").alias("least"),
                 (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     return rows.select("key", "class").join(of_class, "class", "left").select(
-        "key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component"))
+        "key", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("least", F.struct("key", "class")).alias("least"))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF,
+                 spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """(key, n_links, component) for every row of ``vectors`` (vec_id, embedding, ...)."""
+    return _near(vectors, threshold, trees, leaf, spill, sample, block).select(
+        "key", "n_links", F.col("least.key").alias("component"))
 
 
 def embedding_dedup_query(spark, sf_dir: str) -> DataFrame:
     back = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(
-        back("key").alias("vec_id"), "n_links", back("component").alias("component_id"),
-        (F.col("key") == F.col("component")).alias("kept"))
+    found = _near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), THRESHOLD, TREES, LEAF, SPILL, SAMPLE, BLOCK)
+    return found.select(back("key").alias("vec_id"), "n_links", back("least.key").alias("component_id"),
+                        F.struct("key", "class").eqNullSafe(F.col("least")).alias("kept"))

@@ -119,6 +119,20 @@ def test_a_dense_group_of_many_leaves_keeps_its_links(spark, cosine):
     assert 0.999 * links <= got <= links
 
 
+def test_near_rows_without_ids_are_linked(spark, prose, folder):
+    text = prose(60)
+    docs = spark.createDataFrame([(None, text), (None, text + " end"), (None, prose(50)), (4, text + " tail"), (4, prose(40))],
+                                 "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.jaccard_classes(docs).collect()))
+    assert got == sorted([(NULL_KEY, 4, 2)] * 2 + [(4, 4, 2), (NULL_KEY, NULL_KEY, 0), (4, 4, 0)])
+    assert ngram_join.keep_one(docs).count() == 3
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.1]), (None, [0.0, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = rp_forest.embedding_dedup_query(spark, folder(embeddings=vectors)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
+        (0, 0, 0, True), (0, 1, 0, False), (0, 1, 0, True), (7, 1, 7, False), (7, 1, 7, True)]
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]),
