@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,18 +28,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must already be set to shared storage, else an error is
-    raised; only a local session without it gets a new local folder.
-    """
+    """The folder that ``spark.checkpoint.dir`` names, or the one given to
+    ``SparkContext.setCheckpointDir``: storage that the driver and all
+    executors share.  Without one there is no safe place to write, so this
+    raises in every session, a local one included."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
-        d = tempfile.mkdtemp(prefix="fieldlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
-

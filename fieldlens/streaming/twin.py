@@ -1,11 +1,12 @@
 """Streaming twin of the ticket dedup (M4).
 
-A file stream of ticket extracts feeds the same latest-row aggregation as
-the batch job (``max`` over a struct led by the sort keys).  Structured
-Streaming keeps one row per (SS, TAREFA) in its state store, so late
-extracts update the winner exactly like the batch dedup; each trigger
-writes the complete result to a table folder under the shared checkpoint
-directory.
+A file stream of ticket extracts is merged into a table that is split by a
+hash of the key.  Each micro-batch is reduced to its latest row per key, and
+only the partitions that hold one of its keys are read, merged and written
+to new folders; publishing the new list of folders makes the batch visible
+at once (see ``published``).  The table itself is the state: nothing grows in
+a state store, a batch that is delivered twice changes nothing, and the
+drained result equals the batch dedup.
 """
 
 from __future__ import annotations
@@ -13,30 +14,71 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens.operators import dedup
 from fieldlens.session import checkpoint_dir
+from fieldlens.streaming.published import Published
+
+#: Partitions of the target; choose them so that one holds a few hundred MB.
+PARTITIONS = 16
+
+
+def upsert(store: Published, batch: DataFrame, schema: T.StructType, keys: list[str], order_cols: list[str],
+           partitions: int = PARTITIONS) -> list[int]:
+    """Merge ``batch`` into the table (latest row per key wins); returns the
+    partitions that were written."""
+    spark, order = store.spark, [F.col(c) for c in order_cols]
+    names = [f.name for f in schema.fields]
+    version, state = store.latest()
+    number = F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+    fresh = dedup.latest_per_key(batch.select(*names), keys, order).withColumn("_part", number)
+    fresh = fresh.persist(StorageLevel.DISK_ONLY)
+    try:
+        touched = sorted(r[0] for r in fresh.select("_part").distinct().collect())  # at most ``partitions`` numbers
+        if not touched:
+            return []
+        merged = fresh.select(*names, "_part")
+        old = [state[str(p)] for p in touched if str(p) in state]
+        if old:
+            # dealt by partition once; the aggregate and the writer keep that layout
+            held = spark.read.schema(schema).parquet(*old).withColumn("_part", number)
+            merged = merged.unionByName(held).repartition(len(touched), "_part")
+            merged = dedup.latest_per_key(merged, ["_part", *keys], order)
+        else:
+            merged = merged.repartition(len(touched), "_part")
+        folder = store.new_folder("batch")
+        merged.write.partitionBy("_part").parquet(folder)
+    finally:
+        fresh.unpersist()
+    store.publish(state | {str(p): f"{folder}/_part={p}" for p in touched}, version)
+    store.clean()
+    return touched
+
+
+def read_upserted(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows of the version published last."""
+    _, state = Published(spark, root).latest()
+    return spark.read.schema(schema).parquet(*sorted(state.values())) if state else spark.createDataFrame([], schema)
+
+
+def upsert_stream(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str], order_cols: list[str],
+                  root: str, ckpt: str, files_per_trigger: int = 1, partitions: int = PARTITIONS) -> list[list[int]]:
+    """Run the stream until the source is drained (availableNow); returns the
+    partitions that each micro-batch wrote.  A batch that Spark delivers again
+    after a failure is merged again, with the same result."""
+    written: list[list[int]] = []
 
-
-def latest_rows_stream(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str],
-                       order_cols: list[str], files_per_trigger: int = 1) -> DataFrame:
-    from pyspark.sql import functions as F
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    return dedup.latest_per_key(s, keys, [F.col(c) for c in order_cols])
-
-
-def run_to_table(stream_df: DataFrame, out_dir: str, ckpt: str) -> str:
-    """Run the stream until the source is drained (availableNow); every
-    micro-batch overwrites ``out_dir`` with the complete current result."""
     def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        written.append(upsert(Published(batch.sparkSession, root), batch, schema, keys, order_cols, partitions))
 
-    q = (stream_df.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+         .writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out_dir
+    return written
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

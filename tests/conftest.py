@@ -20,7 +20,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests only: a local checkpoint folder when the session names none
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fieldlens-test-ckpt-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldlens-test-ckpt-"))
     yield s
 
 
