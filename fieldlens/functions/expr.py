@@ -24,9 +24,20 @@ def _c(c: ColumnOrName) -> Column:
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2007\u202f\u3000\ufeff"
 
 
-def strip(c: ColumnOrName) -> Column:
-    """The text without white space of any kind at its ends."""
-    return F.trim(_c(c), F.lit(BLANKS))
+def strip(c: ColumnOrName, cheap: bool | None = None) -> Column:
+    """The text without white space of any kind at its ends.
+
+    Trimming by a set looks every character up, at twice the cost of a plain
+    trim, so a text is trimmed only if its first or last character is blank.
+    That names ``c`` several times: it is done for a column name, or where
+    ``cheap`` says that ``c`` costs nothing to evaluate again.
+    """
+    s = _c(c)
+    trimmed = F.trim(s, F.lit(BLANKS))
+    if not (isinstance(c, str) if cheap is None else cheap):
+        return trimmed
+    blank = F.contains(F.lit(BLANKS), F.left(s, F.lit(1))) | F.contains(F.lit(BLANKS), F.right(s, F.lit(1)))
+    return F.when(blank, trimmed).otherwise(s)
 
 
 def as_of_lit(as_of: dt.date) -> Column:
@@ -57,7 +68,7 @@ def trim_strings(df, upper: bool = False):
     cols = []
     for f in df.schema.fields:
         if f.dataType.simpleString() == "string":
-            e = strip(F.col(f.name))
+            e = strip(f.name)
             cols.append((F.upper(e) if upper else e).alias(f.name))
         else:
             cols.append(F.col(f.name))
@@ -122,7 +133,7 @@ def extract_tags(c: ColumnOrName) -> Column:
     Empty tags ('[]') are dropped before the 'Sem Tags' default applies.
     """
     raw = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"\[(.*?)\]"), F.lit(1))
-    tags = F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda t: F.upper(strip(t))),
+    tags = F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda t: F.upper(strip(t, cheap=True))),
                                                   lambda t: t != "")))
     return F.when(F.size(tags) == 0, F.array(F.lit(dims.NO_TAGS))).otherwise(tags)
 

@@ -95,7 +95,7 @@ def error_options(errors: DataFrame) -> DataFrame:
     """L4: distinct non-blank values of the four error columns."""
     from fieldlens.operators.filters import ERROR_FILTER_COLUMNS
     out = filter_options(errors, ERROR_FILTER_COLUMNS, tags_column=None)
-    return out.where(F.trim("value") != "")
+    return out.where(E.strip("value") != "")
 
 
 def installed_base_options(units: DataFrame, tickets: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import dims
+from fieldlens.functions import expr as E
 from fieldlens.operators import kpi
 
 
@@ -98,7 +99,7 @@ def installed_base_filter(units: DataFrame, tickets: DataFrame, rtm: str = "TODO
     """Installed-base filter: RTM, warranty status, start-up class, invoice-year
     range and call-count range.  Serials without tickets count 0 calls."""
     flags = kpi.unit_ticket_flags(tickets)
-    j = kpi._attach_flags(units, flags)
+    j = kpi._attach_flags(units, flags, per_serial=False)
     if rtm != "TODOS":
         j = j.where(F.col("RTM") == rtm)
     if warranty != "TODOS":
@@ -126,8 +127,8 @@ def error_serial_filter(units: DataFrame, tickets: DataFrame, errors: DataFrame,
     selections; no selection at all = units unchanged."""
     if not any(list(v or []) for v in selections.values()):
         return units
-    err = in_lists(errors, selections).select(F.trim("SS").alias("_ss")).distinct()
-    serials = (tickets.join(err, F.trim(tickets.SS) == err._ss, "left_semi")
+    err = in_lists(errors, selections).select(E.strip("SS").alias("_ss")).distinct()
+    serials = (tickets.join(err, E.strip(tickets.SS) == err._ss, "left_semi")
                .select(F.col("CHASSI").alias("_ser")).where(F.col("_ser").isNotNull()).distinct())
     return units.join(serials, units.NUM_SERIAL == serials._ser, "left_semi")
 
@@ -135,9 +136,9 @@ def error_serial_filter(units: DataFrame, tickets: DataFrame, errors: DataFrame,
 # P9 / P10 ------------------------------------------------------------------
 def domestic_only(df: DataFrame) -> DataFrame:
     if "PAIS" in df.columns:
-        return df.where(F.trim("PAIS") == "BR")
+        return df.where(E.strip("PAIS") == "BR")
     if "NOME_PAIS" in df.columns:
-        return df.where(F.upper(F.trim("NOME_PAIS")) == "BRASIL")
+        return df.where(F.upper(E.strip("NOME_PAIS")) == "BRASIL")
     return df
 
 

@@ -1,10 +1,11 @@
 """Join operators.
 
-Lookups are plain equi-joins: Spark broadcasts a side only when its
-estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (or AQE
-sees a small side at run time) and falls back to a shuffle join otherwise,
-so dimensions that grow with the data are never forced into memory.  An
-explicit ``broadcast`` hint is used only for fixed tiny tables.
+A lookup in a dimension whose estimated size is under
+``spark.sql.autoBroadcastJoinThreshold`` is a plain equi-join, which Spark
+broadcasts.  Beyond that size it is a shuffle join, and AQE does not split a
+hot key there, because the dimension is a grouped table; ``join_dimension``
+spreads the rows of hot keys instead.  An explicit ``broadcast`` hint is used
+only for fixed tiny tables and for the rows of at most ``HOT_KEYS`` keys.
 """
 
 from __future__ import annotations
@@ -27,16 +28,77 @@ def last_value(dim: DataFrame, key: str, value: str, order: str | None = None) -
             .select(key, F.col("_last._value").alias(value)))
 
 
+#: A key is hot from this share of all rows on; the sketch follows so many candidates, of which so many count.
+HOT_SHARE, HOT_TRACKED, HOT_KEYS = 1 / 512, 8192, 512
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size of ``df`` is below Spark's broadcast threshold."""
+    state = df.sparkSession._jsparkSession.sessionState()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= state.conf().autoBroadcastJoinThreshold()
+
+
+def hot_keys(df: DataFrame, on: str, share: float = HOT_SHARE) -> DataFrame:
+    """At most ``HOT_KEYS`` rows: the values of ``on`` (column ``_hot``) with
+    at least about ``share`` of all rows, by a mergeable frequent-items sketch."""
+    top = F.call_function("approx_top_k", F.col(on), F.lit(HOT_KEYS), F.lit(HOT_TRACKED))
+    found = df.select(on).agg(top.alias("_top"), F.count(F.lit(1)).alias("_n"))
+    hot = F.filter("_top", lambda x: x["item"].isNotNull() & (x["count"] >= F.col("_n") * F.lit(share)))
+    return found.select(F.explode(hot).alias("_x")).select(F.col("_x.item").alias("_hot"))
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFrame:
+    """Left join of ``df`` with ``dim``, which has at most one row per ``key``:
+    the columns of ``df`` and those of ``dim`` but the key.  Every row of
+    ``df`` stays.
+
+    A small dimension is left to Spark.  Else the rows of hot keys are found
+    by a sketch; their few dimension rows go to all tasks, and they and the
+    rows without a key are dealt by a hash of the whole row, where they match
+    nothing.  All other rows are joined by key.
+    """
+    names = [c for c in dim.columns if c != key]
+    if fits_broadcast(dim):
+        return df.join(dim.withColumnRenamed(key, "_dk"), df[on] == F.col("_dk"), "left").select(*df.columns, *names)
+    packed = dim.select(F.col(key).alias("_dk"), F.struct(*names).alias("_dv"))
+    hot = hot_keys(df, on)
+    hot = hot.join(packed, hot["_hot"] == packed["_dk"], "left").select("_hot", F.col("_dv").alias("_hv"))
+    rows = df.join(F.broadcast(hot), df[on] == hot["_hot"], "left")  # at most HOT_KEYS rows
+    apart = F.col("_hot").isNotNull() | F.col(on).isNull()
+    rows = rows.withColumns({"_lk": F.when(~apart, F.col(on)),
+                             "_lh": F.when(apart, F.xxhash64(*df.columns)).otherwise(F.xxhash64(on))})
+    right = packed.withColumn("_dh", F.xxhash64("_dk"))
+    joined = rows.join(right, (rows["_lh"] == right["_dh"]) & (rows["_lk"] == right["_dk"]), "left")
+    value = F.coalesce("_hv", "_dv")
+    return joined.select(*df.columns, *[value[n].alias(n) for n in names])
+
+
 def lookup(df: DataFrame, on: str, dim: DataFrame, out: str, default: str | None = "",
            key: str = "raw", value: str = "label", order: str | None = None) -> DataFrame:
     """Left lookup ``df[on]`` -> ``dim[value]`` as column ``out``; unmatched -> ``default``."""
-    d = last_value(dim, key, value, order).withColumnRenamed(key, "_lk").withColumnRenamed(value, "_lv")
-    j = df.join(d, df[on] == d["_lk"], "left")
-    v = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
+    d = last_value(dim, key, value, order).select(F.col(key).alias("_key"), F.col(value).alias("_label"))
+    j = join_dimension(df, d, on, "_key")
+    v = F.col("_label") if default is None else F.coalesce(F.col("_label"), F.lit(default))
     cols = [c for c in df.columns if c != out]
     return j.select(*cols, v.alias(out))
 
 
+def lookups(df: DataFrame, on: str, dims: dict[str, DataFrame], default: str = "", key: str = "raw",
+            value: str = "label") -> DataFrame:
+    """Several lookups of one column ``on`` as one join: ``{output column:
+    dimension}``; an output may replace ``on`` itself."""
+    tagged = [last_value(d, key, value).select(F.col(key).alias("_key"), F.lit(out).alias("_out"), F.col(value).alias("_label"))
+              for out, d in dims.items()]
+    every = tagged[0]
+    for one in tagged[1:]:
+        every = every.unionByName(one)
+    wide = every.groupBy("_key").agg(*[F.max(F.when(F.col("_out") == out, F.col("_label"))).alias(f"_l_{out}") for out in dims])
+    j = join_dimension(df, wide, on, "_key")
+    cols = [c for c in df.columns if c not in dims]
+    return j.select(*cols, *[F.coalesce(F.col(f"_l_{out}"), F.lit(default)).alias(out) for out in dims])
+
+
 def not_yet_processed(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose trimmed key tuple is not in ``done``."""
     def norm(frame: DataFrame, prefix: str) -> list[Column]:

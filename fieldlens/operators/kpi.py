@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
-from fieldlens.operators import dedup
+from fieldlens.operators import dedup, joins
 
 
 def pct(num: Column, den: Column) -> Column:
@@ -42,8 +42,8 @@ def unit_ticket_flags(tickets: DataFrame, errors: DataFrame | None = None) -> Da
     """
     t = tickets.where(F.col("CHASSI").isNotNull()).select("CHASSI", "SS", "SERVICO", "SUMARIO")
     if errors is not None:
-        err = errors.select(F.trim(F.col("SS").cast("string")).alias("_ess")).where(F.col("_ess").isNotNull()).distinct()
-        t = t.join(err, F.trim(t.SS) == err._ess, "left")
+        err = errors.select(E.strip(F.col("SS").cast("string")).alias("_ess")).where(F.col("_ess").isNotNull()).distinct()
+        t = t.join(err, E.strip(t.SS) == err._ess, "left")
         has_err = F.bool_or(F.col("_ess").isNotNull())
     else:
         has_err = F.lit(False)
@@ -58,9 +58,15 @@ def unit_ticket_flags(tickets: DataFrame, errors: DataFrame | None = None) -> Da
     )
 
 
-def _attach_flags(units: DataFrame, flags: DataFrame) -> DataFrame:
-    f = flags.withColumnRenamed("CHASSI", "_fk")
-    j = units.join(f, units.NUM_SERIAL == f._fk, "left")
+def _attach_flags(units: DataFrame, flags: DataFrame, per_serial: bool = True) -> DataFrame:
+    """Units with the flags of their serial.  ``per_serial``: ``units`` is
+    grouped itself (a few rows per serial), else a serial can have any share
+    of the rows."""
+    if per_serial:
+        f = flags.withColumnRenamed("CHASSI", "_fk")
+        j = units.join(f, units.NUM_SERIAL == f._fk, "left")
+    else:
+        j = joins.join_dimension(units, flags, "NUM_SERIAL", "CHASSI")
     return j.select(*units.columns,
                     *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("has_startup", "has_call", "has_error")],
                     *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_calls", "n_valid_calls")])
@@ -148,21 +154,19 @@ def installed_base_kpis(units: DataFrame, tickets: DataFrame) -> DataFrame:
     Denominator: rows.  Numerators: distinct serials in a set (start-up,
     warranty call, RTM, DENTRO, FORA) except third-party start-up, which
     counts rows classified 'SIM - TERCEIRO' (F22 on valid call counts).
-    Distinct serials are counted in two grouped passes (per serial, then
-    overall) rather than with five ``count_distinct`` aggregates, which
-    would expand every row five times.
+    The units are grouped per serial before they meet the ticket flags, so a
+    serial with many rows joins as one, and the overall counts need no
+    ``count_distinct``, which would expand every row five times.
     """
-    flags = unit_ticket_flags(tickets)
-    j = _attach_flags(units.select("NUM_SERIAL", "RTM", "STATUS_GARANTIA"), flags)
-    cls = E.startup_status("has_startup", "n_valid_calls")
-    per_serial = j.groupBy("NUM_SERIAL").agg(
+    grouped = units.groupBy("NUM_SERIAL").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.count_if(cls == dims.STARTUP_THIRD_PARTY).alias("_third"),
-        F.bool_or("has_startup").alias("_su"), F.bool_or("has_call").alias("_call"),
-        F.bool_or(~F.col("has_call")).alias("_nocall"),
         F.bool_or(F.coalesce(F.col("RTM") == "SIM", F.lit(False))).alias("_rtm"),
         F.bool_or(F.coalesce(F.col("STATUS_GARANTIA") == "DENTRO", F.lit(False))).alias("_in"),
         F.bool_or(F.coalesce(F.col("STATUS_GARANTIA") == "FORA", F.lit(False))).alias("_out"))
+    third = E.startup_status("has_startup", "n_valid_calls") == dims.STARTUP_THIRD_PARTY
+    per_serial = _attach_flags(grouped, unit_ticket_flags(tickets)).withColumns({
+        "_third": F.when(third, F.col("_rows")).otherwise(0), "_su": F.col("has_startup"), "_call": F.col("has_call"),
+        "_nocall": ~F.col("has_call")})
     n = F.coalesce(F.sum("_rows"), F.lit(0))
     known = F.col("NUM_SERIAL").isNotNull()
 
@@ -182,9 +186,9 @@ def installed_base_kpis(units: DataFrame, tickets: DataFrame) -> DataFrame:
 
 def startup_status_counts(units: DataFrame, tickets: DataFrame) -> DataFrame:
     """F22 per row, counted by class."""
-    j = _attach_flags(units.select("NUM_SERIAL"), unit_ticket_flags(tickets))
-    return (j.select(E.startup_status("has_startup", "n_valid_calls").alias("partida_inicial"))
-            .groupBy("partida_inicial").agg(F.count(F.lit(1)).alias("n")))
+    j = _attach_flags(units.groupBy("NUM_SERIAL").agg(F.count(F.lit(1)).alias("_rows")), unit_ticket_flags(tickets))
+    return (j.select(E.startup_status("has_startup", "n_valid_calls").alias("partida_inicial"), "_rows")
+            .groupBy("partida_inicial").agg(F.sum("_rows").alias("n")))
 
 
 def warranty_distribution(units: DataFrame, column: str = "GARANTIA") -> DataFrame:
@@ -221,6 +225,27 @@ def ticket_kpis(tickets: DataFrame) -> DataFrame:
     )
 
 
+def ticket_unit_kpis(tickets: DataFrame, units: DataFrame) -> DataFrame:
+    """A1 over J10: the ticket KPIs with the warranty status of each ticket's
+    unit.  The tickets are summed per serial before they meet the units, so a
+    serial with any share of the tickets joins as one row."""
+    aging = F.col("AGING").cast("double")
+    grouped = tickets.groupBy("CHASSI").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("STATUS") == dims.STATUS_OPEN).alias("_open"),
+        F.count_if(~F.col("STATUS").eqNullSafe(dims.STATUS_OPEN)).alias("_closed"),
+        F.sum(aging).alias("_aging"), F.count(aging).alias("_aged"), F.count_if(F.col("RTM") == "SIM").alias("_rtm"))
+    first = unit_of_serial(units).withColumnRenamed("NUM_SERIAL", "_u")
+    j = grouped.join(first, grouped.CHASSI == first._u, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n = total("_n")
+    return j.agg(
+        n.alias("total"), total("_open").alias("abertos"), total("_closed").alias("fechados"),
+        F.try_divide(F.sum("_aging"), F.sum("_aged")).alias("aging_medio"),
+        pct(total(F.when(F.col("GARANTIA") == "DENTRO", F.col("_n"))), n).alias("pct_garantia"),
+        pct(total("_rtm"), n).alias("pct_rtm"),
+    )
+
+
 def model_share(df: DataFrame, column: str = "MODELO") -> DataFrame:
     """A2: % of rows per main model (0 if absent) and % of other non-null models."""
     n = F.count(F.lit(1))
@@ -229,11 +254,14 @@ def model_share(df: DataFrame, column: str = "MODELO") -> DataFrame:
                   pct(F.count_if(m.isNotNull() & ~m.isin(*dims.MAIN_MODELS)), n).alias("pct_others"))
 
 
+def unit_of_serial(units: DataFrame) -> DataFrame:
+    """(NUM_SERIAL, MODELO, GARANTIA) of the first invoice of each serial."""
+    first = dedup.first_per_key(units.select("NUM_SERIAL", "DT_NUM_NF", "ORDER_KEY", "MODELO", "STATUS_GARANTIA"),
+                                ["NUM_SERIAL"], [F.col("DT_NUM_NF"), F.col("ORDER_KEY")])
+    return first.select("NUM_SERIAL", "MODELO", F.col("STATUS_GARANTIA").alias("GARANTIA"))
+
+
 def tickets_with_units(tickets: DataFrame, units: DataFrame) -> DataFrame:
     """Each ticket gets the model and warranty status of its unit (first
     invoice per serial); tickets of unknown units get NULLs."""
-    first = dedup.first_per_key(units.select("NUM_SERIAL", "DT_NUM_NF", "ORDER_KEY", "MODELO", "STATUS_GARANTIA"),
-                                ["NUM_SERIAL"], [F.col("DT_NUM_NF"), F.col("ORDER_KEY")])
-    f = first.select(F.col("NUM_SERIAL").alias("_u"), "MODELO", F.col("STATUS_GARANTIA").alias("GARANTIA"))
-    j = tickets.join(f, tickets.CHASSI == f._u, "left")
-    return j.drop("_u")
+    return joins.join_dimension(tickets, unit_of_serial(units), "CHASSI", "NUM_SERIAL")

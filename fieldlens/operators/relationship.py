@@ -37,7 +37,7 @@ def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
     fim = F.col("FIM").cast("timestamp_ntz") if has_end else F.lit(None).cast("timestamp_ntz")
     key = next((E.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("CHAMADO", "SS") if c in tickets.columns), F.lit(""))
     base = tickets.select(
-        F.trim(F.coalesce(F.col("MANTENEDOR").cast("string"), F.lit(""))).alias("MANTENEDOR"),
+        E.strip(F.coalesce(F.col("MANTENEDOR").cast("string"), F.lit(""))).alias("MANTENEDOR"),
         F.col(date_col).cast("timestamp_ntz").alias("DATA_BASE"), aging.alias("_aging"), fim.alias("_fim"),
         key.alias("_key"))
     fallback = F.floor(E.seconds_between(F.col("DATA_BASE"),

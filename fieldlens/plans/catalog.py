@@ -135,14 +135,30 @@ def q_installed_base_kpis(t: Tables) -> DataFrame:
     return kpi.installed_base_kpis(_units(t), _tickets(t))
 
 
-@register("startup_status_counts", W("units", "startup_set", "valid_counts") + f"""
+# every unit of the driver tables has tickets: with one order in 40 there are units of all classes
+_FEW = "CAST(SS AS BIGINT) % 40 = 1"
+
+
+def _few_tickets(sql: str) -> str:
+    return sql.replace("FROM tickets_base", f"FROM (SELECT * FROM tickets_base WHERE {_FEW})")
+
+
+_F22_SQL = W("units", "startup_set", "valid_counts") + f"""
 SELECT CASE WHEN {_SU} THEN 'SIM - DFS' WHEN {_VC} > 0 THEN 'SIM - TERCEIRO' ELSE 'NÃO' END AS partida_inicial,
        count(*) AS n
-FROM units u GROUP BY 1""")
+FROM units u GROUP BY 1"""
+
+
+@register("startup_status_counts", _F22_SQL)
 def q_startup_status_counts(t: Tables) -> DataFrame:
     return kpi.startup_status_counts(_units(t), _tickets(t))
 
 
+@register("startup_status_counts_few_tickets", _few_tickets(_F22_SQL))
+def q_startup_status_counts_few_tickets(t: Tables) -> DataFrame:
+    return kpi.startup_status_counts(_units(t), _tickets(t).where(_FEW))
+
+
 _G = "TRY_CAST(CAST(GARANTIA AS VARCHAR) AS DOUBLE)"
 
 
@@ -258,7 +274,7 @@ SELECT count(*) AS total, count_if(STATUS = 'ABERTO') AS abertos,
        {P("count_if(RTM = 'SIM')", "count(*)")} AS pct_rtm
 FROM tickets""")
 def q_ticket_kpis(t: Tables) -> DataFrame:
-    return kpi.ticket_kpis(_tickets_full(t))
+    return kpi.ticket_unit_kpis(_tickets(t), _units(t))
 
 
 @register("ticket_aging", W("tickets_base") + "SELECT SS, TAREFA, STATUS, INICIO, FIM, AGING FROM tickets_base")
@@ -411,6 +427,21 @@ def q_ticket_filter_all(t: Tables) -> DataFrame:
     return filters.search_any_column(df, "saw", SEARCH_COLUMNS).select("SS", "TAREFA")
 
 
+_SOME_TAGS, _SOME_TYPES = ["BRAND#7", "ECONOMY"], ["WBP EQUIPAMENTO DOMESTICO", "N"]
+
+
+@register("ticket_filter_combined", W("tickets_base") + f"""
+SELECT SS, TAREFA FROM tickets_base WHERE list_sort(list_distinct(TAGS)) = ['BRAND#7', 'ECONOMY']
+  AND TIPO IN ('WBP EQUIPAMENTO DOMESTICO', 'N') AND STATUS = 'ABERTO' AND INICIO >= TIMESTAMP '1996-01-01'
+  AND ({_search_sql('saw')})""")
+def q_ticket_filter_combined(t: Tables) -> DataFrame:
+    """P6 with a selection that some tickets pass."""
+    import datetime as dt
+    df = filters.ticket_filter(_tickets(t), tags=_SOME_TAGS, selections={"TIPO": _SOME_TYPES}, status="ABERTO",
+                               start=dt.date(1996, 1, 1))
+    return filters.search_any_column(df, "saw", SEARCH_COLUMNS).select("SS", "TAREFA")
+
+
 def _p7_sql(cond: str) -> str:
     return W("units", "startup_set", "valid_counts", "tickets_base") + f""",
 allc AS (SELECT CHASSI, count(*) AS n FROM tickets_base WHERE CHASSI IS NOT NULL GROUP BY CHASSI)
@@ -419,8 +450,8 @@ WHERE RTM = 'SIM' AND ANO_NF BETWEEN 1996 AND 2000 AND ({cond})
   AND NUM_SERIAL IS NOT NULL AND coalesce((SELECT n FROM allc a WHERE a.CHASSI = u.NUM_SERIAL), 0) BETWEEN 0 AND 40"""
 
 
-def _p7(t: Tables, startup: str) -> DataFrame:
-    return filters.installed_base_filter(_units(t), _tickets(t), rtm="SIM", startup=startup, years=(1996, 2000),
+def _p7(t: Tables, startup: str, tickets: DataFrame | None = None) -> DataFrame:
+    return filters.installed_base_filter(_units(t), _tickets(t) if tickets is None else tickets, rtm="SIM", startup=startup, years=(1996, 2000),
                                          calls=(0, 40)).select(F.col("ORDER_KEY").alias("order_key"),
                                                                F.col("NUM_SERIAL").alias("num_serial"))
 
@@ -440,6 +471,11 @@ def q_installed_base_filter_none(t: Tables) -> DataFrame:
     return _p7(t, E.dims.STARTUP_NONE)
 
 
+@register("installed_base_filter_none_few_tickets", _few_tickets(_p7_sql(f"NOT ({_SU}) AND {_VC} = 0")))
+def q_installed_base_filter_none_few_tickets(t: Tables) -> DataFrame:
+    return _p7(t, E.dims.STARTUP_NONE, _tickets(t).where(_FEW))
+
+
 @register("error_serial_filter", W("units", "tickets_base", "errors") + """,
 e AS (SELECT DISTINCT trim(SS) AS ss FROM errors WHERE TIPO_ERRO IN ('TIPO 1', 'TIPO 3') AND DETALHES_ERRO IN ('ALTO')),
 s AS (SELECT DISTINCT CHASSI FROM tickets_base WHERE trim(SS) IN (SELECT ss FROM e) AND CHASSI IS NOT NULL)

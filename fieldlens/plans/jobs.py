@@ -23,8 +23,7 @@ def process_tickets(raw: DataFrame, maintainer: DataFrame, specialist: DataFrame
     maintainer column is replaced by its display name.
     """
     df = raw.withColumn("CHASSI", E.clean_serial("CHASSI")).withColumn("RTM", E.rtm_flag_from_text("RTM"))
-    df = joins.lookup(df.withColumn("ESPECIALISTA", F.col("MANTENEDOR")), "ESPECIALISTA", specialist, "ESPECIALISTA")
-    df = joins.lookup(df, "MANTENEDOR", maintainer, "MANTENEDOR")
+    df = joins.lookups(df, "MANTENEDOR", {"MANTENEDOR": maintainer, "ESPECIALISTA": specialist})
     df = joins.lookup(df, "PROPRIETARIO", owner, "PROPRIETARIO")
     fim = F.when(F.col("RESOLVIDO").isNull() & (F.col("STATUS") == "ABERTO"),
                  E.as_of_lit(as_of).cast("timestamp_ntz")).otherwise(F.col("RESOLVIDO"))
@@ -121,10 +120,10 @@ def fill_lines(lines: DataFrame, cache: DataFrame, value: str, default: str | No
     """C4/C5 write-back: lines whose ``value`` is blank or not found take the
     one cached last for their item, else ``default``.  Every line stays."""
     from fieldlens.operators import sales
-    found = joins.last_value(cache, "ITEM", value, sales._order(cache)).withColumnRenamed(value, "_found")
+    found = joins.last_value(cache, "ITEM", value, sales._order(cache)).select(F.col("ITEM").alias("_item"), F.col(value).alias("_found"))
     blank = F.col(value).isNull() | (E.strip(value) == "") | (F.upper(E.strip(value)) == dims.NOT_FOUND)
     filled = F.when(blank, F.coalesce("_found", F.lit(default), value)).otherwise(F.col(value))
-    return lines.join(found, "ITEM", "left").withColumn(value, filled).select(*lines.columns)
+    return joins.join_dimension(lines, found, "ITEM", "_item").withColumn(value, filled).select(*lines.columns)
 
 
 def unpack_new_serials(lines: DataFrame, done: DataFrame, pages: DataFrame, on: str, keys: list[str],

@@ -127,7 +127,7 @@ def specialist_dim(t: Tables) -> DataFrame:
 
 def owner_dim(spark) -> DataFrame:
     """Raw owner code -> owner name (fixed, 2 rows; 'P' stays unmapped)."""
-    return spark.createDataFrame([("O", "OWNER OPEN"), ("F", "OWNER FINAL")], "raw string, label string")
+    return spark.sql("SELECT * FROM VALUES ('O', 'OWNER OPEN'), ('F', 'OWNER FINAL') AS t(raw, label)")
 
 
 # -------------------------------------------------------- installed base
