@@ -57,7 +57,8 @@ def date_window(df: DataFrame, start: dt.date | None = None, end: dt.date | None
 
 
 # P5 ------------------------------------------------------------------------
-def _as_text(df: DataFrame, name: str) -> Column:
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as the search sees it."""
     t = df.schema[name].dataType.simpleString()
     if t.startswith("array"):
         return F.array_join(F.col(name).cast("array<string>"), ", ")
@@ -75,7 +76,7 @@ def search_any_column(df: DataFrame, term: str, columns: list[str] | None = None
     pattern = "(?iu)" + term
     cond = None
     for c in cols:
-        e = F.coalesce(_as_text(df, c).rlike(pattern), F.lit(False))
+        e = F.coalesce(as_text(df, c).rlike(pattern), F.lit(False))
         cond = e if cond is None else cond | e
     return df.where(cond)
 

@@ -1081,6 +1081,51 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
     return twin.read_upserted(spark, out, schema).select(*_FEED_COLS)
 
 
+# ============================================================ silver tables
+from fieldlens.plans import silver  # noqa: E402
+
+
+@register("silver_date_filter", ORACLE["filter_dates"])
+def q_silver_date_filter(t: Tables) -> DataFrame:
+    """P4 on silver: years before the window are not read."""
+    import datetime as dt
+    return silver.between(silver.silver_of(t).tickets, dt.date(1997, 1, 1), dt.date(1998, 6, 30)).select("SS", "TAREFA")
+
+
+@register("silver_search", ORACLE["search_any_column"])
+def q_silver_search(t: Tables) -> DataFrame:
+    """P5 on silver: blocks without the term's trigrams are not read."""
+    s = silver.silver_of(t)
+    return silver.search(s.tickets, s.index, SEARCH_TERM, SEARCH_COLUMNS).select("SS", "TAREFA")
+
+
+@register("silver_search_serial", W("tickets_base") + f"SELECT SS, TAREFA FROM tickets_base WHERE {_search_sql('1234')}")
+def q_silver_search_serial(t: Tables) -> DataFrame:
+    """P5 on silver for part of a number."""
+    s = silver.silver_of(t)
+    return silver.search(s.tickets, s.index, "1234", SEARCH_COLUMNS).select("SS", "TAREFA")
+
+
+@register("silver_installed_base_filter", ORACLE["installed_base_filter_third_party"])
+def q_silver_installed_base_filter(t: Tables) -> DataFrame:
+    """P7 on silver: the year range is a partition filter."""
+    s = silver.silver_of(t)
+    kept = filters.installed_base_filter(s.units, s.tickets, rtm="SIM", startup=E.dims.STARTUP_THIRD_PARTY, years=(1996, 2000), calls=(0, 40))
+    return kept.select(F.col("ORDER_KEY").alias("order_key"), F.col("NUM_SERIAL").alias("num_serial"))
+
+
+@register("silver_ticket_kpis", ORACLE["ticket_kpis"])
+def q_silver_ticket_kpis(t: Tables) -> DataFrame:
+    s = silver.silver_of(t)
+    return kpi.ticket_unit_kpis(s.tickets, s.units)
+
+
+@register("silver_rtm_analysis", ORACLE["rtm_analysis_by_year"])
+def q_silver_rtm_analysis(t: Tables) -> DataFrame:
+    s = silver.silver_of(t)
+    return kpi.rtm_analysis_by_year(s.units, s.tickets, _errors(t), "SIM", V.AS_OF)
+
+
 # ============================================================ remaining inventory items
 @register("year_from_text", W("sales_raw") + """
 SELECT TRY_CAST(nullif(regexp_extract(DT_NUM_NF, '(\\d{4})', 1), '') AS INTEGER) AS ano, count(*) AS n
