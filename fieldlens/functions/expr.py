@@ -7,6 +7,7 @@ codegen.  Time-dependent expressions take ``as_of`` explicitly.
 from __future__ import annotations
 
 import datetime as dt
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,8 +77,9 @@ def trim_strings(df, upper: bool = False):
 
 
 # F4 ----------------------------------------------------------------------
-# (shape of the text, pattern that parses it); the shape test is a cheap
-# regex, so every row tries one pattern instead of failing through several
+# (shape of the text, pattern that parses it) of the usual texts; the shape
+# test is a cheap regex, so every row tries one pattern instead of failing
+# through several
 DAY_FIRST_FORMATS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
@@ -85,17 +87,43 @@ DAY_FIRST_FORMATS = [
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
     (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
 ]
+# every other text that is a date: year first, or day first with a year of
+# two or four digits; one separator; hours and minutes, seconds, a fraction
+OTHER_DATES = (r"^(\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3(\d{4}|\d{2}))"
+               r"([ T]+\d{1,2}:\d{2}(:\d{2}([.,]\d{1,9})?)?Z?)?$")
+#: Two-digit years from here on are of the last century.
+CENTURY = 69
+
+
+def _date_from_fields(s: Column) -> Column:
+    """The fields of a text of the shape ``OTHER_DATES`` as a timestamp (NULL if there is no such day or time)."""
+    fields = F.split(F.regexp_replace(s, "[^0-9]+", " "), " ")
+    number = lambda i: F.try_element_at(fields, F.lit(i + 1)).try_cast("int")
+    year_first = s.rlike(r"^\d{4}")
+    year = F.when(year_first, number(0)).otherwise(number(2))
+    short = ~year_first & s.rlike(r"^\d+\D\d+\D\d{2}(\D|$)")
+    year = F.when(short, year + F.when(year >= CENTURY, 1900).otherwise(2000)).otherwise(year)
+    zero = F.lit(0)
+    fraction = F.coalesce(F.rpad(F.try_element_at(fields, F.lit(7)), 6, "0").substr(1, 6), F.lit("0"))
+    seconds = F.concat(F.coalesce(number(5), zero).cast("string"), F.lit("."), fraction).try_cast("decimal(16,6)")
+    return F.try_make_timestamp(year, number(1), F.when(year_first, number(2)).otherwise(number(0)),
+                                F.coalesce(number(3), zero), F.coalesce(number(4), zero), seconds)
 
 
 def parse_day_first(c: ColumnOrName) -> Column:
-    """Day-first text -> timestamp; anything unparseable -> NULL."""
+    """Date text -> timestamp; the day comes first unless the year does.
+
+    ``15/3/2023``, ``15-03-2023``, ``15.03.2023``, ``5/1/24``, ``2024/05/01``
+    and ``2024-05-01``, each alone or with ``10:30``, ``10:30:15`` or
+    ``10:30:15.25``; anything else is NULL.  Two-digit years are 1969 to 2068.
+    """
     s = strip(_c(c).cast("string"))
     out = None
     for shape, pattern in DAY_FIRST_FORMATS:
         txt = F.regexp_replace(s, "T", " ") if "T" in shape else s
         parsed = F.try_to_timestamp(txt, F.lit(pattern))
         out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
-    return out
+    return out.when(s.rlike(OTHER_DATES), _date_from_fields(s))
 
 
 # F5 ----------------------------------------------------------------------
@@ -200,6 +228,7 @@ def spreadsheet_date_text(c: ColumnOrName) -> Column:
     """Spreadsheet day number (decimal comma ok) -> dd/MM/yyyy; dates formatted; other text kept."""
     s = _c(c).cast("string")
     num = F.replace(strip(s), F.lit(","), F.lit(".")).try_cast("double")
+    num = F.when(F.abs(num) < float("inf"), num)  # 'NaN' and 'inf' are text like any other
     from_serial = F.date_format(F.date_add(F.lit(dims.SPREADSHEET_EPOCH).cast("date"),
                                            F.floor(num).try_cast("int")), "dd/MM/yyyy")
     from_text = F.date_format(parse_day_first(s), "dd/MM/yyyy")
@@ -266,8 +295,8 @@ def _warranty_parts(col: Column) -> dict[str, Column]:
     return {
         "blank": col.isNull() | (txt == "") | (F.upper(txt) == dims.NOT_FOUND),
         "s": s,
-        "months": F.regexp_extract(s, r"(\d+)\s*(MES|MONTH|M)", 1).try_cast("int"),
-        "years": F.regexp_extract(s, r"(\d+)\s*(ANO|YEAR|Y)", 1).try_cast("int"),
+        "months": F.regexp_extract(s, r"(\d+)[\s\u00a0]*(MES|MONTH|M)", 1).try_cast("int"),
+        "years": F.regexp_extract(s, r"(\d+)[\s\u00a0]*(ANO|YEAR|Y)", 1).try_cast("int"),
         "numeric": F.replace(txt, F.lit(","), F.lit(".")).try_cast("double"),
     }
 
@@ -316,6 +345,39 @@ def warranty_text_to_days(c: ColumnOrName, mode: str = "canonical") -> Column:
     return _warranty_days_from(_warranty_parts(_c(c)), mode)
 
 
+# character references -------------------------------------------------------
+_REFERENCES = r"(?s)&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});?|[^&]+|&"
+
+
+def _code_point(cp: Column) -> Column:
+    """The character of a number; 128 to 159 are read as Windows-1252, as browsers do; no character: U+FFFD."""
+    windows = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    in_windows = F.create_map(*[F.lit(x) for kv in windows.items() for x in kv])
+    valid = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    return (F.when(cp.between(128, 159), F.try_element_at(in_windows, cp))
+            .when(valid, F.decode(F.unhex(F.lpad(F.hex(cp.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+
+
+def decode_references(c: ColumnOrName) -> Column:
+    """HTML character references as the characters they stand for: decimal,
+    hexadecimal and the names of HTML 4; unknown names stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, cp in sorted(name2codepoint.items()) for x in (name, chr(cp))])
+
+    def one(t: Column) -> Column:
+        name = F.regexp_extract(t, "^&([A-Za-z][A-Za-z0-9]*);?$", 1)
+        number = F.when(t.rlike("^&#[0-9]"), F.regexp_extract(t, "([0-9]+)", 1).try_cast("int")) \
+            .when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).try_cast("int"))
+        return F.when(~t.startswith("&"), t).when(number.isNotNull(), _code_point(number)).otherwise(F.coalesce(F.try_element_at(names, name), t))
+
+    text = _c(c)
+    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCES), F.lit(0)), one), "")).otherwise(text)
+
+
+def text_pieces(c: ColumnOrName) -> Column:
+    """The texts between the tags of some markup, decoded and stripped, without the empty ones."""
+    return F.filter(F.transform(F.split(_c(c), "<[^>]*>"), lambda t: strip(decode_references(t))), lambda t: t != "")
+
+
 # F20 / F21 ---------------------------------------------------------------
 def bluetooth_flag(html: ColumnOrName) -> Column:
     return F.when(F.coalesce(F.upper(_c(html)).rlike("BLUETOOTH|BLUETOOH"), F.lit(False)), "SIM").otherwise("NAO")
@@ -324,7 +386,8 @@ def bluetooth_flag(html: ColumnOrName) -> Column:
 def warranty_sentence(html: ColumnOrName) -> Column:
     """Text of the first <td> starting with GARANTIA/WARRANTY, else 'NAO ENCONTRADO'."""
     cells = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    texts = F.transform(cells, lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " ")))
+    near = F.filter(cells, lambda t: t.rlike(r"(?i)garantia|warranty|&"))  # the others cannot begin with either word
+    texts = F.transform(near, lambda t: strip(F.regexp_replace(F.array_join(text_pieces(t), " "), r"\s+", " ")))
     hits = F.filter(texts, lambda t: F.upper(t).startswith("GARANTIA") | F.upper(t).startswith("WARRANTY"))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(dims.NOT_FOUND))
 

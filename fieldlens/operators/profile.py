@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions import expr as E
+
 
 def table_profile(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Per column: type, rows, null count, distinct count and three sample
@@ -38,3 +40,16 @@ def table_profile(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataF
                               F.col(f"`n__{f.name}`").alias("nulos"), F.col(f"`d__{f.name}`").alias("distintos"))
                      for f in df.schema.fields])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def date_rejects(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per text column that should hold dates: rows, blank ones, and those
+    that hold text which is no date (they drop out of every yearly report)."""
+    sums = []
+    for c in columns:
+        blank = F.col(c).isNull() | (E.strip(F.col(c).cast("string")) == "")
+        sums += [F.count_if(blank).alias(f"{c}|b"), F.count_if(~blank & E.parse_day_first(c).isNull()).alias(f"{c}|r")]
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *sums)
+    rows = F.array(*[F.struct(F.lit(c).alias("coluna"), F.col("_n").alias("linhas"), F.col(f"{c}|b").alias("vazias"),
+                              F.col(f"{c}|r").alias("rejeitadas")) for c in columns])
+    return one.select(F.explode(rows).alias("x")).select("x.*")

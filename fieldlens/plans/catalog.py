@@ -1081,6 +1081,49 @@ def q_stream_equals_batch(t: Tables) -> DataFrame:
     return twin.read_upserted(spark, out, schema).select(*_FEED_COLS)
 
 
+# ============================================================ dates and cells
+_AT = "(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL '13 hours 45 minutes 7.25 seconds')"
+
+
+@register("mixed_dates", f"""
+SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 11 IN (0, 1, 2, 3, 4) THEN date_trunc('day', {_AT})
+       WHEN o_orderkey % 11 = 5 THEN date_trunc('second', {_AT}) WHEN o_orderkey % 11 = 6 THEN {_AT}
+       WHEN o_orderkey % 11 = 7 THEN date_trunc('minute', {_AT}) END AS data
+FROM orders""")
+def q_mixed_dates(t: Tables) -> DataFrame:
+    """eight shapes of dates and three texts that are none."""
+    return V.date_texts(t).select("order_key", E.parse_day_first("texto").cast("timestamp_ntz").alias("data"))
+
+
+@register("date_rejects", W("sales_raw") + """
+SELECT 'texto' AS coluna, count(*) AS linhas, count_if(o_orderkey % 11 = 10) AS vazias, count_if(o_orderkey % 11 IN (8, 9)) AS rejeitadas FROM orders
+UNION ALL SELECT 'DT_NUM_NF', count(*), count_if(DT_NUM_NF IS NULL), 0 FROM sales_raw
+UNION ALL SELECT 'GARANTIA', count(*), count_if(coalesce(trim(GARANTIA), '') = ''), count_if(coalesce(trim(GARANTIA), '') <> '') FROM sales_raw""")
+def q_date_rejects(t: Tables) -> DataFrame:
+    """texts that are no dates, counted per column."""
+    return profile.date_rejects(V.date_texts(t), ["texto"]).unionByName(profile.date_rejects(_sales(t), ["DT_NUM_NF", "GARANTIA"]))
+
+
+@register("serials_from_nested_pages", """
+SELECT CAST(o_orderkey AS VARCHAR) AS page_key, unnest(CASE o_orderkey % 3
+  WHEN 0 THEN [o_orderkey || '' || o_orderkey || 'a', o_orderkey || 'a', o_orderkey || 'b'] WHEN 1 THEN [CAST(o_orderkey AS VARCHAR)]
+  ELSE ['S-' || o_orderkey || 'A'] END) AS serial FROM orders""")
+def q_serials_from_nested_pages(t: Tables) -> DataFrame:
+    """Tables in cells, very long rows, references and comments."""
+    return pg.page_serials(V.nested_serial_pages(t)).select("page_key", F.explode("_serials").alias("serial"))
+
+
+@register("report_rows", """
+SELECT CAST(l_orderkey AS VARCHAR) AS page_key,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INTEGER) AS pos,
+       CAST(l_linenumber AS VARCHAR) AS tarefa, strftime(l_shipdate, '%d/%m/%Y') AS data, 'Cliente ' || l_suppkey || ' & Cia' AS cliente
+FROM lineitem""")
+def q_report_rows(t: Tables) -> DataFrame:
+    """The rows between the header and the totals of every report page."""
+    cells = F.col("cells")
+    return pg.report_rows(V.report_pages(t)).select("page_key", "pos", cells[0].alias("tarefa"), cells[1].alias("data"), cells[2].alias("cliente"))
+
+
 # ============================================================ silver tables
 from fieldlens.plans import silver  # noqa: E402
 

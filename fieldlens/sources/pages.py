@@ -7,7 +7,7 @@ functions, so parsing is partitioned like any other projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import expr as E
@@ -17,26 +17,15 @@ ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td[^>]*>(.*?)</td>"
 
 
-#: The references that pages use for blanks and markup characters.
-ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-
-
-def _decoded(c: Column) -> Column:
-    out = c
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
-
-
 def _text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    """Text of a cell, its pieces joined by a blank."""
+    return E.strip(F.regexp_replace(F.array_join(E.text_pieces(c), " "), r"\s+", " "))
 
 
 def _stripped_text(c: Column) -> Column:
     """Text of a cell with every text piece stripped and the pieces joined
-    without a separator; the regex runs only on cells that hold markup."""
-    bare = F.when(c.contains("<"), F.regexp_replace(c, r"\s*<[^>]*>\s*", "")).otherwise(c)
-    return E.strip(_decoded(bare))
+    without a separator; only cells with markup are cut into pieces."""
+    return F.when(c.rlike("[<&]"), F.array_join(E.text_pieces(c), "")).otherwise(E.strip(c))
 
 
 # first <td> of a row, never crossing the row's </tr>, in a closed row
@@ -52,19 +41,103 @@ def serials_in_page(html: Column) -> Column:
     the first cell of every remaining closed row (rows without a <td> give
     nothing), instead of listing the rows and parsing each one again.
     """
-    table = F.regexp_extract(F.coalesce(html, F.lit("")), BORDER_TABLE, 1)
-    body = F.regexp_replace(table, r"(?is)^.*?</tr>", "")
-    cells = F.when(table.rlike(r"(?is)<tr[^>]*>.*?</tr>"),
-                   F.regexp_extract_all(body, F.lit(FIRST_CELLS), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return _serials_in_table(_serial_table(html))
+
+
+def _serial_table(html: Column) -> Column:
+    return F.regexp_extract(F.coalesce(html, F.lit("")), BORDER_TABLE, 1)
+
+
+def _serials_in_table(table: Column) -> Column:
+    closed = F.instr(F.lower(table), "</tr>")
+    body = table.substr(closed + 5, F.length(table))
+    cells = F.when(closed > 0, F.regexp_extract_all(body, F.lit(FIRST_CELLS), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(cells, _stripped_text), lambda s: s != "")
 
 
-def latest_pages(pages: DataFrame, page_key: str = "page_key", fetched: str | None = None) -> DataFrame:
-    """One page per key: the one fetched last (``fetched``), else the greatest
-    text, so that the choice is the same in every run."""
-    order = F.struct(F.col(fetched), F.col("html")) if fetched else F.struct("html")
-    return (pages.where(F.col(page_key).isNotNull()).groupBy(page_key)
-            .agg(F.max(order).alias("_page")).select(page_key, F.col("_page.html").alias("html")))
+#: A row longer than this is left to the tokenizer: the regex of first cells recurses over its characters.
+LONG_ROW = 1000
+
+
+def _is_nested_table(table: Column) -> Column:
+    return (F.length(table) > 0) & (table.rlike("(?i)<table") | (
+        (F.length(table) > LONG_ROW) & F.exists(F.split(table, "(?i)</tr>"), lambda r: F.length(r) > LONG_ROW)))
+
+
+#: A table with a border, and another one after it.
+FOLLOWED = r"""(?is)<table[^>]*\bborder\s*=\s*["']?1\b.*<table"""
+
+
+def is_nested(html: Column) -> Column:
+    """Pages that a regex cannot read: a table inside the serial table, or a
+    very long row.  The table is cut out, once, only of long pages and those
+    where another table follows one with a border."""
+    look = F.coalesce((F.length(html) > LONG_ROW) | html.rlike(FOLLOWED), F.lit(False))
+    return F.when(look, F.exists(F.array(_serial_table(html)), _is_nested_table)).otherwise(F.lit(False))
+
+
+def nested_serials(pages: DataFrame, key: str) -> DataFrame:
+    """(key, _serials) of pages with tables in tables, by their tags: the
+    markup is cut at table, row and cell tags, and running sums over the
+    pieces give the depth of each.  The serial table ends with the tag that
+    closes it; every row in it but the first counts, those of inner tables
+    too, and a first cell holds all text up to the tag that closes it.
+
+    The pieces of a page are sorted together, so a task holds rows of whole
+    pages, never a page as one value."""
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", "")
+    pieces = F.split(bare, r"(?i)(?=</?(?:table|tr|td)\b)")
+    p = pages.select(key, F.posexplode(pieces).alias("pos", "piece"))
+    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(/?(?:table|tr|td))\b", 1))
+    p = p.select(key, "pos", tag.alias("tag"), "piece",
+                 F.col("piece").rlike(r"""(?i)^<table[^>]*\bborder\s*=\s*["']?1\b""").alias("_bordered"))
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def depth(name: str) -> Column:
+        return F.sum(F.when(F.col("tag") == name, 1).when(F.col("tag") == f"/{name}", -1).otherwise(0)).over(upto)
+
+    p = p.withColumns({"_tables": depth("table"), "_cells": depth("td")})
+    opened = F.when(F.col("_bordered"), F.struct("pos", F.col("_tables").alias("depth")))
+    p = p.withColumn("_first", F.min(opened).over(page)).where(F.col("pos") >= F.col("_first.pos"))
+    p = p.withColumn("_inside", F.min("_tables").over(upto) >= F.col("_first.depth")).where("_inside")
+    p = p.withColumn("_row", F.max(F.when(F.col("tag") == "tr", F.col("pos"))).over(upto))
+    p = p.withColumn("_header", F.min("_row").over(page)).where(F.col("_row") > F.col("_header"))
+    # a piece belongs to every cell that is open there: one row for each of them
+    p = p.where("_cells > 0").withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_cells"))))
+    level = Window.partitionBy(key, "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.col("tag") == "td") & (F.col("_cells") == F.col("_level"))
+    p = p.withColumns({"_cell": F.max(F.when(start, F.struct("pos", F.col("_row").alias("row")))).over(level)})
+    text = F.col("piece")
+    cells = (p.where(F.col("_cell").isNotNull()).groupBy(key, "_cell")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("t")))
+    # a piece starts with its own tag; the tag that closes the cell is not among its pieces
+    first = cells.groupBy(key, "_cell.row").agg(F.min(F.struct("_cell.pos", "t")).alias("c"))
+    serial = _stripped_text(F.col("c.t"))
+    rows = first.select(key, "c.pos", serial.alias("s")).where("s <> ''")
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("_serials"))
+
+
+def page_serials(pages: DataFrame, key: str = "page_key", fetched: str | None = None) -> DataFrame:
+    """(key, _serials) of the page of each key: the one fetched last
+    (``fetched``), else the one whose text has the greatest hash, so that the
+    choice is the same in every run.
+
+    Pages are read where they lie, plain ones by one regex pass and the
+    others by their tags; what is shuffled to pick a page is its serials and
+    a hash, not its text.
+    """
+    rank = [F.col(fetched).alias("at")] if fetched else []
+    p = pages.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), *rank, F.md5("html").alias("hash")).alias("_id"), "html")
+    # exploded from an array of one, so that the table is cut out of a page once
+    table = p.select("_id", F.explode(F.array(_serial_table(F.col("html")))).alias("_table"))
+    plain = table.where(~_is_nested_table(F.col("_table"))).select("_id", _serials_in_table(F.col("_table")).alias("_serials"))
+    other = p.where(is_nested(F.col("html"))).groupBy("_id").agg(F.first("html").alias("html"))
+    found = nested_serials(other, "_id").withColumnRenamed("_id", "_k")
+    missing = F.coalesce("_serials", F.array().cast("array<string>"))
+    other = other.select("_id").join(found, F.col("_id") == F.col("_k"), "left").select("_id", missing.alias("_serials"))
+    last = plain.unionByName(other).groupBy(F.col("_id.key").alias(key)).agg(F.max(F.struct("_id", "_serials")).alias("_page"))
+    return last.select(key, F.col("_page._serials").alias("_serials"))
 
 
 def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str = "page_key",
@@ -73,8 +146,7 @@ def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str =
     gets one row with ''; a line without a fetched page gets no row (it is
     retried on the next run).  Repeated lines and repeated pages of one key
     are reduced to one before the join, so that no key multiplies rows."""
-    p = latest_pages(pages, page_key, fetched).select(
-        F.col(page_key).alias("_pk"), serials_in_page(F.col("html")).alias("_serials"))
+    p = page_serials(pages, page_key, fetched).withColumnRenamed(page_key, "_pk")
     d = lines.distinct()
     j = d.join(p, d[on] == p["_pk"], "inner")
     x = j.select(*lines.columns, F.explode_outer("_serials").alias("Serial"))

@@ -261,3 +261,44 @@ def item_pages(t: Tables) -> DataFrame:
     items = p.select(item_code(F.col("p_partkey")).alias("page_key"), html.alias("html"))
     crawled = t.pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("page_key"), "html")
     return items.unionByName(crawled)
+
+
+def nested_serial_pages(t: Tables) -> DataFrame:
+    """Shipment page per order that a regex cannot read: by order key a table
+    inside a cell, a very long row, or references and a commented-out table."""
+    key = F.col("o_orderkey")
+    k = key.cast("string")
+    head = F.lit('<table><tr><td>x</td></tr></table><table border="1"><tr><th>Serial</th></tr>')
+    inner = F.concat(F.lit("<tr><td>"), k, F.lit("<table><tr><td>"), k, F.lit("a</td></tr></table></td></tr><tr><td>"), k, F.lit("b</td></tr></table>"))
+    long = F.concat(F.lit("<tr><td>"), k, F.lit("</td><td>"), F.repeat(F.lit("obs "), 600), F.lit("</td></tr></table>"))
+    refs = F.concat(F.lit("<!-- <table><tr><td>old</td></tr> --><tr><td>&nbsp;S&#45;"), k, F.lit("<table></table>&#x41;</td></tr></table>"))
+    html = F.concat(head, F.when(key % 3 == 0, inner).when(key % 3 == 1, long).otherwise(refs))
+    return t.orders.select(k.alias("page_key"), html.alias("html"))
+
+
+def report_pages(t: Tables) -> DataFrame:
+    """Report page per order: a header, a row per ticket and a totals row."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("l_linenumber").cast("string")), cell(_dmy(F.col("l_shipdate"))),
+                   cell(F.concat(F.lit("Cliente&nbsp;<b>"), F.col("l_suppkey").cast("string"), F.lit("</b> &amp; Cia"))), F.lit("</tr>"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(  # a few lines of one order
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", row.alias("row")))).alias("rows"))
+    html = F.concat(F.lit("<table><tr><th>Tarefa</th><th>Data</th><th>Cliente</th></tr>"),
+                    F.array_join(F.transform("rows", lambda r: r["row"]), ""),
+                    F.lit("<tr><td>Total</td><td>"), F.size("rows").cast("string"), F.lit("</td></tr></table>"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("page_key"), html.alias("html"))
+
+
+#: Date texts by order key: the formats of the shapes, and the parts of the date that each keeps.
+DATE_SHAPES = ["dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "d/M/yy", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss.SSS",
+               "yyyy-MM-dd HH:mm"]
+
+
+def date_texts(t: Tables) -> DataFrame:
+    """(order_key, texto): order dates at 13:45:07.250 in eight shapes, then texts that are no dates."""
+    k = F.pmod(F.col("o_orderkey"), F.lit(len(DATE_SHAPES) + 3))
+    at = F.col("o_orderdate").cast("date").cast("timestamp_ntz") + F.expr("INTERVAL '13:45:07.250' HOUR TO SECOND")
+    text = F.when(k == len(DATE_SHAPES), "31/02/2023").when(k == len(DATE_SHAPES) + 1, "sem data").otherwise("  ")
+    for n, shape in enumerate(DATE_SHAPES):
+        text = F.when(k == n, F.date_format(at, shape)).otherwise(text)
+    return t.orders.select(F.col("o_orderkey").alias("order_key"), text.alias("texto"))
