@@ -973,6 +973,21 @@ def q_serial_append_rerun(t: Tables) -> DataFrame:
     return per_row.groupBy("LINHA").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("unpack_serials", W("sales_raw", "serial_pages") + f""",
+p AS (SELECT page_key, {O.serials_in_page('max(html)')} AS serials FROM serial_pages GROUP BY page_key),
+l AS (SELECT DISTINCT PEDIDO, LINHA, ITEM FROM sales_raw WHERE TRY_CAST(regexp_extract(DT_NUM_NF, '(\\d{{4}})', 1) AS INTEGER) >= 1996)
+SELECT PEDIDO, LINHA, ITEM, unnest(CASE WHEN len(serials) = 0 THEN [''] ELSE serials END) AS Serial
+FROM l JOIN p ON PEDIDO || '/' || LINHA = page_key""")
+def q_unpack_serials(t: Tables) -> DataFrame:
+    """C3 in two runs: P11, J5, S11, J12 and S14; the second run finds the lines that the first had no pages of."""
+    lines = sales.lines_from_year(_sales(t), 1996).select("PEDIDO", "LINHA", "ITEM", F.concat("PEDIDO", F.lit("/"), "LINHA").alias("_key"))
+    every = V.serial_pages(t)
+    some = every.where(F.crc32("page_key") % 3 != 0)
+    first = pg.unpack_serials(lines, some, "_key")
+    second = jobs.unpack_new_serials(lines, first, every, "_key", jobs.SERIAL_KEYS)
+    return first.unionByName(second).drop("_key")
+
+
 # ============================================================ scalar functions
 from fieldlens.operators import profile  # noqa: E402
 from fieldlens.streaming import twin  # noqa: E402

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
@@ -13,6 +14,7 @@ from fieldlens.operators import dedup, filters, joins
 from fieldlens.sources import pages as sources_pages
 from fieldlens.sources import views
 from fieldlens.sources.tables import Tables
+from fieldlens.streaming.published import Published
 
 
 def process_tickets(raw: DataFrame, maintainer: DataFrame, specialist: DataFrame, owner: DataFrame,
@@ -49,6 +51,10 @@ def build_tickets(t: Tables, as_of: dt.date = views.AS_OF) -> DataFrame:
                            views.owner_dim(t.spark), as_of)
 
 
+#: F16: the first of these columns that a table has names the model.
+MODEL_SOURCES = ["ITEM", "NUM_SERIAL", "NUM_SERIE", "SÉRIE", "SERIE"]
+
+
 def process_installed_base(raw: DataFrame, as_of: dt.date, domestic_only: bool = True,
                            drop_other_models: bool = True) -> DataFrame:
     """Lenient warranty days (F6), invoice year, warranty status (F13), model (F16),
@@ -57,7 +63,8 @@ def process_installed_base(raw: DataFrame, as_of: dt.date, domestic_only: bool =
     df = df.withColumn("ANO_NF", F.year("DT_NUM_NF"))
     df = df.withColumn("FIM_GARANTIA", E.warranty_end("DT_NUM_NF", "GARANTIA"))
     df = df.withColumn("STATUS_GARANTIA", E.warranty_status("DT_NUM_NF", "GARANTIA", as_of))
-    df = df.withColumn("MODELO", E.model_from_prefix(E.item_prefix("ITEM")))
+    source = next((c for c in MODEL_SOURCES if c in df.columns), None)
+    df = df.withColumn("MODELO", F.lit("") if source is None else E.model_from_prefix(E.item_prefix(source)))
     if domestic_only:
         df = filters.domestic_only(df)
     if drop_other_models:
@@ -77,21 +84,17 @@ def build_errors(t: Tables) -> DataFrame:
 
 def load_ticket_files(spark, open_path: str, closed_path: str, as_of: dt.date, maintainer: DataFrame,
                       specialist: DataFrame, owner: DataFrame, sep: str = ";") -> DataFrame:
-    """C1 from delimited files (S1, S5, S7, F3, F4, W1): read both extracts
-    as text, trim, keep the common columns, parse day-first dates, keep the
-    latest row per (SS, Tarefa), then look up names and compute aging/tags."""
+    """C1 from delimited files in any encoding (S1, S2, S5, S7, S19, F3, F4,
+    W1), then names, aging and tags."""
     from fieldlens.sources import files
-    a = E.trim_strings(files.read_delimited(spark, open_path, sep=sep))
-    b = E.trim_strings(files.read_delimited(spark, closed_path, sep=sep))
-    df = files.union_common(a, b)
-    df = files.repair_headers(df, upper=True)
-    df = df.toDF(*[c.replace("Á", "A").replace("Ç", "C").replace("Í", "I").replace("É", "E") for c in df.columns])
-    df = (df.withColumn("DATA", E.parse_day_first("DATA")).withColumn("RESOLVIDO", E.parse_day_first("RESOLVIDO")))
-    df = dedup.latest_per_key(df, ["SS", "TAREFA"], [F.col("DATA")])
-    for c in ("PROPRIETARIO", "MANTENEDOR", "SERVICO", "TIPO", "SUMARIO", "RTM"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    return process_tickets(df, maintainer, specialist, owner, as_of)
+    return process_tickets(files.load_ticket_files(spark, open_path, closed_path, sep=sep), maintainer, specialist, owner, as_of)
+
+
+def load_unit_files(spark, path: str, as_of: dt.date, sep: str = ";", **kw) -> DataFrame:
+    """C2 from delimited files in any encoding (S2, S6, S19), then warranty,
+    model and the domestic filter."""
+    from fieldlens.sources import files
+    return process_installed_base(files.load_unit_files(spark, path, sep), as_of, **kw)
 
 
 def enrich_warranty_cache(lines: DataFrame, cached: DataFrame, item_pages: DataFrame, year: int) -> DataFrame:
@@ -134,3 +137,39 @@ def unpack_new_serials(lines: DataFrame, done: DataFrame, pages: DataFrame, on:
     shared = shared or [c for c in lines.columns if c in done.columns]
     todo = joins.not_yet_processed(lines, done, shared) if shared else lines
     return sources_pages.unpack_serials(todo, pages, on, page_key)
+
+
+SERIAL_KEYS = ["PEDIDO", "LINHA", "ITEM"]
+
+
+def unpacked_rows(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows that complete runs of ``run_unpack`` below ``root`` have added."""
+    _, state = Published(spark, root).latest()
+    folders = state.get("rows", [])
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def run_unpack(spark: SparkSession, root: str, lines: DataFrame, pages: DataFrame, on: str, year: int | None = None,
+               keys: list[str] = SERIAL_KEYS, page_key: str = "page_key") -> int:
+    """C3 on storage: the lines from ``year`` on (P11) that are not unpacked
+    yet (J5), one row for each serial of their page (S11, J12), appended
+    (S14); returns the version.
+
+    The rows of a run become visible, and their lines done, by one published
+    list of folders: a run that dies leaves neither, and the next one repeats
+    it.  Lines without a fetched page stay to be done.
+    """
+    from fieldlens.operators import sales
+    store = Published(spark, root)
+    version, state = store.latest()
+    schema = T.StructType([*[f for f in lines.schema.fields if f.name != on], T.StructField("Serial", T.StringType())])
+    if year is not None:
+        lines = sales.lines_from_year(lines, year).select(*lines.columns)
+    fresh = unpack_new_serials(lines, unpacked_rows(spark, root, schema), pages, on, keys, page_key).drop(on)
+    folder = store.new_folder("rows")
+    fresh.write.parquet(folder)
+    if spark.read.schema(schema).parquet(folder).isEmpty():
+        return version
+    number = store.publish({"rows": [*state.get("rows", []), folder]}, version)
+    store.clean()
+    return number
