@@ -10,7 +10,6 @@ Documents with a null id count as the one with the largest id (``doc_key``).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,13 +36,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- intermediate tables
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets a new folder, a cluster an error."""
+    """The folder of ``spark.checkpoint.dir`` (or of ``setCheckpointDir``); without one there is no safe place to write."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="fieldlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 

@@ -3,11 +3,13 @@
 A page is read once into pieces of text and elements that cover ranges of them; broken markup is closed as browsers do
 in the usual cases (a paragraph ends at the next block, an article ends an open menu, ...).
 
-1. *Own marks.*  Elements that say by their name, role, class or id that they are a menu, header, footer, sidebar,
-   notice, advert, form, script, style or reader comments are left out.
-2. *Templates.*  Every other element with text below the article is hashed with its whole subtree.  Spark counts, for
-   each host, the different pages (copies of one page count once) that hold a subtree; subtrees that are on
-   ``MIN_PAGES`` and on ``SHARE`` of the host's different pages at least belong to the site and are left out.
+1. *Templates.*  Every element of the page with text, inside the article and outside, whatever its name, is hashed with
+   its whole subtree.  Spark counts, for each host, the different pages (copies of one page count once) that hold a
+   subtree; subtrees that are on ``MIN_PAGES`` and on ``SHARE`` of the host's different pages at least belong to the
+   site and are left out.
+2. *Own marks*, for what recurs too rarely to be counted: elements that say by their name, role, class or id that they
+   are a menu, header, footer, sidebar, notice, advert, form, script, style or reader comments are left out.  Words that
+   name content as well (related work, discussion, an alert box, ...) count outside of articles only.
 3. The text is that of the articles of the page (else of its main elements, else of its body): character references
    decoded, white space within a block one space, blocks in page order joined by one space.
 
@@ -48,6 +50,10 @@ MARKS = frozenset(
     "adverts advertisement advertisements advertising sponsor sponsored promo promotion newsletter subscribe signup login "
     "form search comment comments disqus discussion replies reply respond share sharing social related recommended "
     "widget skip".split())
+#: Of these, the words that an article uses for its own parts; inside of one they mark nothing.
+ARTICLE_WORDS = frozenset(
+    "header masthead footer aside complementary contentinfo banner alert form search discussion share sharing social related "
+    "recommended widget skip overlay respond reply promo promotion".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hr main menu nav ol p pre section table ul".split()),
@@ -78,6 +84,7 @@ class Page(HTMLParser):
         self.pieces: list[str] = []
         self.elements: list[Element] = []
         self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, its places among the open elements
         self.articles = 0  # open article and main elements
         self.hashed = hashed
         comment = html.rfind("<!--")
@@ -89,12 +96,14 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         root = tag in ("article", "main")
         if root:  # an article does not stand in a menu that was never closed
-            while self.open and any(e.tag in BEFORE_ARTICLE for e in self.open):
+            while any(self.places.get(t) for t in BEFORE_ARTICLE):
                 self._end()
         for other in CLOSES.get(tag, ()):
             self._end_last(other, SCOPE[other])
         label = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
         marks = MARKS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower())) if label else ()
+        if self.articles and not root:
+            marks = set(marks) - ARTICLE_WORDS
         out = tag in LEFT_OUT and (tag != "header" or not self.articles or bool(marks))
         if marks and not out:
             out = bool({"comment", "comments", "reply", "ad", "ads"} & marks) if root else tag not in ROOTS
@@ -109,6 +118,7 @@ class Page(HTMLParser):
         if tag in VOID:
             element.end = len(self.pieces)
         else:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(element)
             self.articles += root
 
@@ -132,16 +142,16 @@ class Page(HTMLParser):
 
     def _end_last(self, tag: str, scope: frozenset[str]) -> None:
         """Close the last open ``tag`` and what is open in it, if it is open within ``scope``."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                while len(self.open) > k:
-                    self._end()
-                return
-            if self.open[k].tag in scope:
-                return
+        at = self.places.get(tag)
+        if not at or any(self.places.get(t) and self.places[t][-1] > at[-1] for t in scope):
+            return
+        last = at[-1]
+        while len(self.open) > last:
+            self._end()
 
     def _end(self) -> None:
         element = self.open.pop()
+        self.places[element.tag].pop()
         element.end = len(self.pieces)
         self.articles -= element.tag in ("article", "main")
         if element.tag not in INLINE:
@@ -179,10 +189,10 @@ def _parts(page: Page) -> tuple[list[tuple[int, int]], list[Element]]:
 
 
 def subtrees(html: str) -> tuple[list[int], int]:
-    """Hashes of the subtrees that could belong to the site, and one of the whole article."""
+    """Hashes of all subtrees with text, and one of the whole article."""
     page = Page(html, hashed=True)
-    ranges, kept = _parts(page)
-    found = {e.digest for e in kept if e.text and e.tag not in ROOTS and any(a <= e.start and e.end <= b for a, b in ranges)}
+    ranges, _ = _parts(page)
+    found = {e.digest for e in page.elements if e.text and e.tag not in ROOTS}
     whole = blake2b(" ".join("".join("".join(page.pieces[a:b]) for a, b in ranges).split()).encode(errors="replace"), digest_size=8)
     return [int.from_bytes(d, "big", signed=True) for d in found], int.from_bytes(whole.digest(), "big", signed=True)
 
@@ -194,13 +204,17 @@ def main_text(html: str, templates: frozenset[int]) -> str:
     if templates:
         gone += [e for e in kept if e.text and e.tag not in ROOTS
                  and int.from_bytes(e.digest, "big", signed=True) in templates]
-    cut, out = _ranges(gone), []
+    cut, out, at = _ranges(gone), [], 0
     for a, b in ranges:
-        for x, y in cut:
-            if x < b and y > a:
-                out += page.pieces[a: max(a, x)]
-                out.append(" " if y > x else "")
-                a = max(a, y)
+        while at < len(cut) and cut[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(cut) and cut[k][0] < b:
+            x, y = cut[k]
+            out += page.pieces[a: max(a, x)]
+            out.append(" " if y > x else "")
+            a = max(a, y)
+            k += 1
         out += page.pieces[a:b]
         out.append(" ")
     return " ".join("".join(out).split())

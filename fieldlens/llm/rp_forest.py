@@ -234,4 +234,4 @@ def embedding_dedup_query(spark, sf_dir: str) -> DataFrame:
     back = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
     found = _near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), THRESHOLD, TREES, LEAF, SPILL, SAMPLE, BLOCK)
     return found.select(back("key").alias("vec_id"), "n_links", back("least.key").alias("component_id"),
-                        F.struct("key", "class").eqNullSafe(F.col("least")).alias("kept"))
+                        (F.col("key") == F.col("least.key")).alias("kept"))

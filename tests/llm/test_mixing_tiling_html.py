@@ -182,3 +182,30 @@ def test_html_odd_rows(spark, prose):
     assert got[1] == got[2] == got[3] == [""] and got[None] == ["a"] and sorted(got[4])[:2] != [] and len(got[4]) == 3
     assert sorted(map(len, got[4]))[:2] == [1, 1] and max(map(len, got[4])) > 60_000
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_article_parts_with_telling_names_stay():
+    assert html_text.main_text('<article><p class="alert-success">Done</p><div id="discussion"><p>Discussion section</p></div>'
+                               '<div class="related-work">Others</div><footer>f</footer><div class="comments">c</div></article>',
+                               frozenset()) == "Done Discussion section Others"
+    assert html_text.main_text('<body><div class="related">r</div><p>Text</p></body>', frozenset()) == "Text"
+
+
+def test_menus_without_names_go_by_their_counts(spark):
+    page = '<body><div class="x1"><a>Home</a> <a>About</a></div><div>{}</div><div class="x2">Bottom line</div></body>'
+    rows = [(i, f"http://host/{i}", page.format(f"<p>Text number {i}</p>")) for i in range(12)]
+    rows += [(100, "http://other/1", page.format("<p>Alone</p>"))]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in out.collect()}
+    assert got[3] == "Text number 3" and got[100] == "Home About Alone Bottom line"
+
+
+def test_very_deep_markup_takes_linear_time():
+    import time
+
+    for html in ("<div>" * 200_000 + "end", "<p><table><tr><td>" + "<div>x" * 100_000, "<article>" * 100_000 + "a",
+                 "<article>a</article><nav>b</nav>" * 50_000):
+        start = time.time()
+        page = html_text.main_text(html, frozenset([1]))
+        html_text.subtrees(html)
+        assert time.time() - start < 20 and page
