@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,12 +95,84 @@ def test_held_out_labels_are_not_read(spark, rude):
 
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(2)
-    positive = [np.array([0, int(rng.integers(1, 50))]) << 8 | 1 for _ in range(50)]
-    unlabelled = positive[:5] + [rng.integers(1, 50, 3) << 8 | 1 for _ in range(95)]
+    positive = [np.array([0, int(rng.integers(1, 50))]) << 32 | 1 for _ in range(50)]
+    unlabelled = positive[:5] + [rng.integers(1, 50, 3) << 32 | 1 for _ in range(95)]
     w = toxicity.minimise(positive, unlabelled, 0.05, 50)
     assert w[0] > 2 and np.isfinite(w).all() and abs(w[1:-1]).max() < w[0]
 
 
+def test_risk_over_all_rows_is_the_brute_force_one(spark, rude):
+    docs, labels, _ = rude
+    rng = np.random.default_rng(5)
+    texts = docs.select("text").unionByName(spark.createDataFrame([("zzq " * 3 + " ".join(f"zzq{k}" for k in range(400)),), ("",)], "text string"))
+    confirmed = docs.join(labels.where("toxic = 1"), "doc_id").select("text")
+    buckets = lambda texts: toxicity.features(pa.array(texts))[3]
+    chosen = np.unique(np.concatenate((buckets(["zzq1"]), rng.choice(buckets([r.text for r in docs.limit(20).collect()]), 2_000))))
+    w = rng.normal(0, 0.05, len(chosen) + 1)
+    got = toxicity.whole_risk(confirmed, texts, chosen, w, 0.1)
+    number = {b: k for k, b in enumerate(chosen.tolist())}
+
+    def rows(df):
+        out = np.zeros((df.count(), len(w)))
+        for x, r in zip(out, df.collect()):
+            _, word, owner, bucket = toxicity.features(pa.array([r.text], pa.string()))
+            x[-1] = 1
+            for v in word:
+                for b in bucket[owner == v].tolist():
+                    if b in number:
+                        x[number[b]] += 1
+        return out
+
+    p, u = rows(confirmed), rows(texts)
+    assert u.max() > 255  # a long text's feature counts in full
+    odds = lambda x: 1 / (1 + np.exp(-(x @ w)))
+    clean = lambda x: -np.log(1 - odds(x)).mean()
+    assert np.isclose(got.rest, clean(u) - 0.1 * clean(p))
+    assert np.allclose(got.d_rest, odds(u) @ u / len(u) - 0.1 * odds(p) @ p / len(p))
+    assert np.allclose(got.d_toxic, 0.1 * (odds(p) - 1) @ p / len(p))
+
+
+def test_the_plane_of_the_whole_risk_corrects_a_small_draw():
+    rng = np.random.default_rng(3)
+
+    def documents(n, toxic):
+        return [np.unique(np.concatenate([rng.integers(0, 20, 6), rng.integers(20, 26, 2)] if toxic and rng.random() < 0.9
+                                         else [rng.integers(0, 24, 6)])) << 32 | 1 for _ in range(n)]
+
+    positive, unlabelled, prior = documents(200, True), documents(300, True) + documents(5700, False), 0.05
+
+    def risk(w):
+        f = [np.array([w[x >> 32].sum() + w[-1] for x in part]) for part in (positive, unlabelled)]
+        toxic, clean = [np.log1p(np.exp(-x)).mean() for x in f], [np.log1p(np.exp(x)).mean() for x in f]
+        return prior * toxic[0] + max(0, clean[1] - prior * clean[0])
+
+    def whole(w):
+        x = [np.zeros((len(part), 27)) for part in (positive, unlabelled)]
+        for rows, part in zip(x, (positive, unlabelled)):
+            rows[:, -1] = 1
+            for row, doc in zip(rows, part):
+                row[doc >> 32] = 1
+        odds = [1 / (1 + np.exp(-(rows @ w))) for rows in x]
+        clean = [-np.log(1 - o).mean() for o in odds]
+        return toxicity.Risk(clean[1] - prior * clean[0], odds[1] @ x[1] / len(x[1]) - prior * odds[0] @ x[0] / len(x[0]),
+                             prior * (odds[0] - 1) @ x[0] / len(x[0]))
+
+    best = toxicity.minimise(positive, unlabelled, prior, 26)
+    drawn = positive, [unlabelled[k] for k in rng.choice(len(unlabelled), 600, replace=False)]
+    w = plain = toxicity.minimise(*drawn, prior, 26)
+    for _ in range(toxicity.ROUNDS):
+        w = toxicity.minimise(*drawn, prior, 26, w, whole(w))
+    assert risk(w) - risk(best) < 0.3 * (risk(plain) - risk(best))
+
+
+def test_confirmed_ids_beyond_the_bound_are_drawn(spark, rude, monkeypatch):
+    docs, labels, truth = rude
+    monkeypatch.setattr(toxicity, "MOST_CONFIRMED", 30)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    toxic, clean = [scores[k] for k, t in truth.items() if t], [scores[k] for k, t in truth.items() if not t]
+    assert np.mean([t > c for t in toxic for c in clean]) > 0.85
+
+
 def test_toxicity_odd_rows(spark, rude, odd_docs, no_docs):
     docs, labels, _ = rude
     odd = spark.createDataFrame([(None, 1, 1), (4, None, None), (5, 1, 0), (5, 1, 0)], labels.schema)
