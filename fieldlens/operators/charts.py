@@ -75,6 +75,29 @@ def state_share(units: DataFrame, column: str = "UF") -> DataFrame:
             .select("uf", "quantidade", share.alias("percentual"), (share >= 1.0).alias("mostrar_rotulo")))
 
 
+MOST_CENTROIDS = 10_000
+
+
+def state_points(units: DataFrame, centroids: DataFrame, column: str = "UF") -> DataFrame:
+    """``state_share`` with name and label point of each state.
+
+    ``centroids`` (UF, NOME, LON, LAT) is a fixed dimension given by the caller;
+    more than ``MOST_CENTROIDS`` rows or a repeated UF are an error, so its broadcast is bounded
+    and no share is doubled.  States without a centroid keep their row with null point and no label.
+    """
+    known = centroids.select(F.col("UF").alias("uf"), F.col("NOME").alias("nome"), F.col("LON").cast("double").alias("lon"),
+                             F.col("LAT").cast("double").alias("lat")).where("uf IS NOT NULL")
+    head = known.limit(MOST_CENTROIDS + 1).agg(F.count(F.lit(1)), F.count_distinct("uf")).first()
+    if head[0] > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    if head[0] != head[1]:
+        raise ValueError("a state has several centroids")
+    s = state_share(units, column).join(F.broadcast(known), "uf", "left")
+    label = F.concat(F.coalesce("nome", "uf"), F.lit(" "), F.format_string("%.1f%%", "percentual"))
+    shown = F.col("mostrar_rotulo") & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    return s.select("uf", "nome", "quantidade", "percentual", "lon", "lat", F.when(shown, label).alias("rotulo"))
+
+
 # ------------------------------------------------------------ option lists
 TICKET_OPTION_COLUMNS = ["ESPECIALISTA", "PROPRIETARIO", "MANTENEDOR", "RTM", "GARANTIA", "TIPO", "SERVICO", "MODELO"]
 
@@ -82,13 +105,45 @@ TICKET_OPTION_COLUMNS = ["ESPECIALISTA", "PROPRIETARIO", "MANTENEDOR", "RTM", "G
 def filter_options(df: DataFrame, columns: list[str] | None = None, tags_column: str | None = "TAGS") -> DataFrame:
     """L2: distinct non-null values per filter column as (field, value) rows,
     plus the tag vocabulary; one pass and one shuffle for all columns."""
+    return _option_rows(df, columns, tags_column).distinct()
+
+
+def _option_rows(df: DataFrame, columns: list[str] | None, tags_column: str | None) -> DataFrame:
     cols = [c for c in (columns or TICKET_OPTION_COLUMNS) if c in df.columns]
     pairs = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols]
     arr = F.array(*pairs)
     if tags_column and tags_column in df.columns:
         arr = F.concat(arr, F.transform(F.col(tags_column), lambda t: F.struct(F.lit("TAGS").alias("field"), t.alias("value"))))
     return (df.select(F.explode(arr).alias("p")).select("p.field", "p.value")
-            .where(F.col("value").isNotNull()).distinct())
+            .where(F.col("value").isNotNull()))
+
+
+def option_counts(df: DataFrame, columns: list[str] | None = None, tags_column: str | None = "TAGS") -> DataFrame:
+    """(field, value, n): how many rows hold each option.  Unlike the lists themselves the counts of two batches can be
+    added, and rows that left or changed taken out, so that a nightly update reads its own rows only."""
+    return _option_rows(df, columns, tags_column).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_option_counts(counts: DataFrame, added: DataFrame | None = None, retracted: DataFrame | None = None) -> DataFrame:
+    """The counts after ``added`` came and ``retracted`` went (each as ``option_counts`` gives them).
+
+    A value that no row holds any more disappears.  Taking out more than there is leaves a negative count, which
+    ``options_of`` does not show: the batches may come in any order.
+    """
+    parts = [counts]
+    if added is not None:
+        parts.append(added)
+    if retracted is not None:
+        parts.append(retracted.withColumn("n", -F.col("n")))
+    rows = parts[0].select("field", "value", "n")
+    for p in parts[1:]:
+        rows = rows.unionByName(p.select("field", "value", "n"))
+    return rows.groupBy("field", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def options_of(counts: DataFrame) -> DataFrame:
+    """L2/L4 from merged counts: the same (field, value) rows as ``filter_options`` of all rows."""
+    return counts.where("n > 0").select("field", "value")
 
 
 def error_options(errors: DataFrame) -> DataFrame:

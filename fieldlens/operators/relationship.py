@@ -1,10 +1,9 @@
 """Maintainer relationship matrix.
 
-Medians over maintainers are exact (``median``) and run on one aggregated row
-per maintainer, the per-month cut-offs on one per (month, maintainer): their
-one-task part is as long as the list of a company's service partners (some
-thousand names, whatever the number of tickets).  Global cut-offs and spans are one-row
-aggregates joined back with a broadcast of that single row.
+Medians over maintainers are exact and found by narrowing ranges
+(``medians``), so no task holds all maintainers, of a month or at all.
+Global cut-offs and spans are one-row aggregates joined back with a broadcast of
+that single row; the monthly cut-offs are one row per calendar month.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import dims
 from fieldlens.functions import expr as E
+from fieldlens.operators.medians import medians
 
 
 def prepare_candidates(tickets: DataFrame, as_of: dt.date) -> DataFrame:
@@ -102,7 +102,7 @@ def matrix(prepared: DataFrame) -> DataFrame:
     """Volume (distinct tickets) and mean aging per maintainer, cut-offs
     at the medians over maintainers, score 1-4 and label; mean rounded to 1."""
     m = _volume_aging(prepared, ["MANTENEDOR"])
-    cuts = m.agg(F.median("VOLUME").alias("VOLUME_CORTE"), F.median("AGING_MEDIO_DIAS").alias("AGING_CORTE"))
+    cuts = medians(m, [], {"VOLUME": "VOLUME_CORTE", "AGING_MEDIO_DIAS": "AGING_CORTE"})
     j = m.crossJoin(F.broadcast(cuts))
     score = E.relationship_score("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE", "AGING_CORTE")
     return j.select("MANTENEDOR", "VOLUME", F.round("AGING_MEDIO_DIAS", 1).alias("AGING_MEDIO_DIAS"),
@@ -111,14 +111,14 @@ def matrix(prepared: DataFrame) -> DataFrame:
 
 
 def monthly_scores(prepared: DataFrame) -> DataFrame:
-    """The same score per (month, maintainer) with per-month median cut-offs."""
+    """The same score per (month, maintainer) with per-month median cut-offs; by month and name."""
     m = _volume_aging(prepared.withColumn("ANO_MES", E.month_start("DATA_BASE")), ["ANO_MES", "MANTENEDOR"])
-    w = Window.partitionBy("ANO_MES")
-    m = (m.withColumn("VOLUME_CORTE_MES", F.median("VOLUME").over(w))
-         .withColumn("AGING_CORTE_MES", F.median("AGING_MEDIO_DIAS").over(w)))
+    cuts = medians(m, ["ANO_MES"], {"VOLUME": "VOLUME_CORTE_MES", "AGING_MEDIO_DIAS": "AGING_CORTE_MES"})
+    m = m.join(F.broadcast(cuts), "ANO_MES")  # one row per calendar month
     score = E.relationship_score("VOLUME", "AGING_MEDIO_DIAS", "VOLUME_CORTE_MES", "AGING_CORTE_MES")
     return m.select("ANO_MES", "MANTENEDOR", "VOLUME", F.round("AGING_MEDIO_DIAS", 1).alias("AGING_MEDIO_DIAS"),
-                    "VOLUME_CORTE_MES", "AGING_CORTE_MES", score.alias("SCORE"), E.score_label(score).alias("PERFIL"))
+                    "VOLUME_CORTE_MES", "AGING_CORTE_MES", score.alias("SCORE"), E.score_label(score).alias("PERFIL")
+                    ).orderBy("ANO_MES", "MANTENEDOR")
 
 
 def plot_points(mat: DataFrame) -> DataFrame:

@@ -249,6 +249,22 @@ def q_state_share(t: Tables) -> DataFrame:
     return charts.state_share(_units(t))
 
 
+# label points of the driver's nations: keys along the equator, regions from south to north
+@register("state_points", W("units") + """,
+c AS (SELECT UF AS uf, count(*) AS quantidade FROM units WHERE UF IS NOT NULL GROUP BY UF),
+s AS (SELECT uf, quantidade, round(quantidade / (SELECT sum(quantidade) FROM c) * 100.0, 1) AS percentual FROM c),
+p AS (SELECT n_name AS UF, upper(substr(n_name, 1, 3)) AS nome, n_nationkey * 14.4 - 172.8 AS lon, n_regionkey * 30.0 - 60 AS lat
+      FROM nation WHERE n_nationkey <> 7)
+SELECT s.uf, nome, quantidade, percentual, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat,
+       CASE WHEN percentual >= 1.0 AND lon IS NOT NULL THEN nome || ' ' || printf('%.1f%%', percentual) END AS rotulo
+FROM s LEFT JOIN p ON s.uf = p.UF""")
+def q_state_points(t: Tables) -> DataFrame:
+    points = t.nation.where("n_nationkey <> 7").selectExpr(
+        "n_name AS UF", "upper(substr(n_name, 1, 3)) AS NOME", "CAST(n_nationkey * 14.4 - 172.8 AS DOUBLE) AS LON",
+        "CAST(n_regionkey * 30.0 - 60 AS DOUBLE) AS LAT")
+    return charts.state_points(_units(t), points)
+
+
 # ============================================================ tickets
 
 
@@ -565,6 +581,20 @@ def q_filter_options(t: Tables) -> DataFrame:
     return charts.filter_options(_tickets_full(t))
 
 
+@register("filter_option_counts", W("tickets") + """
+SELECT field, value, count(*) AS n FROM (
+""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM tickets"
+                          for c in charts.TICKET_OPTION_COLUMNS)
+    + "\nUNION ALL\nSELECT 'TAGS' AS field, unnest(TAGS) AS value FROM tickets) WHERE value IS NOT NULL GROUP BY ALL")
+def q_filter_option_counts(t: Tables) -> DataFrame:
+    """Three batches: those of one year first, the rest with wrong owners, then the rest as it should be."""
+    rows = _tickets_full(t)
+    first = F.coalesce(F.year("INICIO") < 1995, F.lit(False))
+    wrong = charts.option_counts(rows.where(~first).withColumn("PROPRIETARIO", F.lit("SEM DONO")))
+    counts = charts.merge_option_counts(charts.option_counts(rows.where(first)), wrong)
+    return charts.merge_option_counts(counts, charts.option_counts(rows.where(~first)), wrong)
+
+
 @register("error_options", W("errors") + "SELECT DISTINCT field, value FROM (\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM errors" for c in filters.ERROR_FILTER_COLUMNS)
     + ") WHERE value IS NOT NULL AND trim(value) <> ''")
