@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 NULL_KEY = (1 << 63) - 1
+NULL_BITS = 48
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -29,6 +30,15 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
 
+def own_key(text: str = "text", column: str = "doc_id") -> Column:
+    """As ``doc_key``, but documents without an id get keys of their own by a hash of the text, behind all other ids.
+
+    No group of rows by key then holds more than the copies of one text, however many ids are missing.
+    """
+    behind = F.lit(NULL_KEY) - F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << NULL_BITS) - 1))
+    return F.coalesce(F.col(column).cast("long"), behind)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -199,6 +209,40 @@ def first_in_chunk(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return is_first, count[inverse]
 
 
+class Recent:
+    """What a task remembers of the keys it has sent: those of the last ``chunks`` chunks, and those that came back.
+
+    A key that is in many chunks of a task is soon known, so that the task sends few rows for it.  At most ``most``
+    keys that came back are kept; a key that is not remembered costs rows, not results.
+    """
+
+    def __init__(self, chunks: int = 8, most: int = 1 << 18):
+        self.chunks, self.most = chunks, most
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.back = np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct keys: whether each is remembered, and the two numbers kept with it."""
+        found, value = np.zeros(len(h), dtype=bool), np.zeros((len(h), 2), dtype=np.int64)
+        for keys, values in [*self.parts, self.back]:  # what was kept last counts
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                same = keys[at] == h
+                found |= same
+                value[same] = values[at[same]]
+        return found, value
+
+    def keep(self, h: np.ndarray, value: np.ndarray, back: np.ndarray) -> None:
+        """``h``: sorted distinct keys; those marked ``back`` came back and stay."""
+        keys, values = self.back
+        old = ~np.isin(keys, h[back], assume_unique=True)
+        keys = np.concatenate([keys[old], h[back]])[: self.most]
+        values = np.concatenate([values[old], value[back]])[: self.most]
+        order = np.argsort(keys)
+        self.back = keys[order], values[order]
+        self.parts = [*self.parts, (h[~back], value[~back])][-self.chunks:]
+
+
 # ---------------------------------------------------------------- graphs
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

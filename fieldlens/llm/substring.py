@@ -6,12 +6,15 @@ smaller id, or earlier in the same one.  Every word that a repeat covers is remo
 1. *Anchors.*  ``COVER`` is a difference cover modulo ``PERIOD``: whatever the starts i and j of two equal windows,
    some shift below PERIOD takes both to positions whose remainders are in COVER.  Hashing runs of
    ``window - PERIOD + 1`` words at cover positions only (4 of 13) therefore finds every pair of equal windows.
-2. *Repeated anchors.*  Anchors are counted by hash; a chunk of documents sends one row for each hash it holds, its
-   further occurrences are known to repeat, so that no key grows faster than the number of chunks.
+2. *Repeated anchors.*  Anchors are counted by hash.  A task sends rows under a hash until it knows that the hash
+   repeats; further occurrences go under keys of their own (``Recent``), so that a passage that is in every document
+   puts a few rows for each task under one key, not one for each document or chunk.
 3. *Extension.*  Every window around a repeated anchor is hashed whole (96 bits); in the order of (doc_id, start)
-   all but the first of equal windows are repeats.
+   all but the first of equal windows are repeats.  A window that comes after one that the task has sent is a repeat
+   without further rows under its hash.
 
-Results for odd input: a null text has no words; a null ``doc_id`` counts as the largest id; a text shorter than the
+Results for odd input: a null text has no words; documents with a null ``doc_id`` come after all others, in the order of
+a hash of their texts; a text shorter than the
 window is kept; a row that comes twice (same id, same text) is returned twice, both judged alike; rows that share an id
 but not the text are judged by (id, start) like one document; an empty table gives an empty result; other columns of
 the input are carried along, but for those named like a result column, which are replaced.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlens.llm.common import BASES, Words, doc_key, first_in_chunk, materialize, mix, signed, text_bytes, text_chunks
+from fieldlens.llm.common import BASES, Recent, Words, first_in_chunk, materialize, mix, own_key, signed, text_bytes, text_chunks
 
 WINDOW = 20
 #: A perfect difference set; its differences modulo 13 are all remainders.
@@ -51,6 +54,7 @@ def _anchors(window: int):
     period, cover, length = _cover_and_length(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for chunk in text_chunks(batches):
             words = Words(*text_bytes(chunk.column("text")))
             h, inside = words.windows(length)
@@ -60,6 +64,13 @@ def _anchors(window: int):
             h, pos = h[at], pos[at]
             key = np.asarray(chunk.column("key"))[words.doc[at]]
             first, count = first_in_chunk(h)
+            lead = np.flatnonzero(first)
+            lead = lead[np.argsort(h[lead])]
+            found, sent = recent.find(h[lead])
+            known = found & (sent[:, 0] > 1)  # rows sent before tell that it repeats
+            recent.keep(h[lead], np.stack([sent[:, 0] + count[lead], sent[:, 1]], axis=1), found)
+            first[lead[known]] = False
+            count[lead[known]] = 2
             h = np.where(first, h, _spread(h, key, pos))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(h)), pa.array(key), pa.array(pos.astype(np.int32)),
@@ -73,6 +84,7 @@ def _windows(window: int):
     period, _, length = _cover_and_length(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for chunk in text_chunks(batches):
             words = Words(*text_bytes(chunk.column("text")))
             h, inside = words.windows(window)
@@ -94,10 +106,15 @@ def _windows(window: int):
             h, h2 = h[i], h2[i]
             order = np.lexsort((pos, key))
             h, h2, key, pos = h[order], h2[order], key[order], pos[order]
-            _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
-            lead = lead[inverse]
+            value, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+            first = np.stack([key[lead], pos[lead]], axis=1)
+            found, sent = recent.find(value)
+            before = found & ((sent[:, 0] < first[:, 0]) | (sent[:, 0] == first[:, 0]) & (sent[:, 1] < first[:, 1]))
+            first[before] = sent[before]  # the earliest that this task has sent
+            recent.keep(value, first, found)
+            first = first[inverse]
             # the same key and place again is the same window of a repeated row, not an earlier one
-            again = (key != key[lead]) | (pos != pos[lead])
+            again = (key != first[:, 0]) | (pos != first[:, 1])
             h = np.where(again, _spread(h, key, pos), h)
             place = (h2 & ~np.uint64(0xFFFFFFFF)) | again.astype(np.uint64) << np.uint64(31) | pos.astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -156,7 +173,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     The upper half of ``place`` is a hash of the window's words, the lower half its first word's number; between the
     two tasks, bit 31 tells that an earlier equal window is known already.
     """
-    texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(own_key().alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
     anchors = texts.mapInArrow(_anchors(window), "h long, key long, pos int, n int")
     repeated = (anchors.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).where("n > 1")
                 .select("key", "pos"))
@@ -174,7 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept_text, removed_spans ([first word, end] pairs), n_words, n_removed."""
     marks = materialize(repeated_windows(docs, window).groupBy(F.col("key").alias("__key"))
                         .agg(F.collect_list("place").alias("__marks")), "marks")
-    rows = docs.drop(*RESULT).withColumns({"text": F.col("text").cast("string"), "__key": doc_key()})
+    rows = docs.drop(*RESULT).withColumns({"text": F.col("text").cast("string"), "__key": own_key()})
     schema = T.StructType(rows.drop("__key").schema.fields)
     schema = (schema.add("kept_text", "string").add("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))
               .add("n_words", "long").add("n_removed", "long"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fieldlens.llm import bwt, substring
+from fieldlens.llm.common import Recent
 from tests.llm.conftest import DOC
 
 
@@ -89,6 +90,34 @@ def test_odd_rows(spark, odd_docs):
     assert kept[2, by[1][0].text] == b"" and kept[4, None] == b"" and len(kept[7, by[7][0].text]) > 60_000
 
 
+def test_a_passage_of_every_document_puts_few_rows_under_one_hash(spark, prose):
+    passage = prose(30)
+    rows = [(k, f"{prose(300)} {passage} {prose(300)}") for k in range(400)] + [(None, f"{prose(5)} {passage}") for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    texts = df.select(substring.own_key().alias("key"), "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a chunk is no longer than a batch: 60 chunks
+    try:
+        anchors = texts.mapInArrow(substring._anchors(20), "h long, key long, pos int, n int")
+        most = anchors.groupBy("h").count().agg({"count": "max"}).first()[0]
+        got = sorted((str(r.doc_id), r.text, r.kept_text, r.n_removed) for r in substring.remove_repeats(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert most <= 8 and len(texts.select("key").distinct().collect()) == 600
+    keys = {r.text: r.key for r in texts.collect()}
+    want = [(str(k), t, kept.decode(), n) for (k, t), (kept, n) in zip(rows, brute([(keys[t], t) for _, t in rows], 20, True))]
+    assert got == sorted(want)
+
+
+def test_what_a_task_remembers():
+    recent, few = Recent(chunks=1, most=2), np.array([3, 5, 9], dtype=np.uint64)
+    recent.keep(few, np.array([[1, 0], [2, 0], [3, 0]]), np.array([False, True, True]))
+    found, value = recent.find(np.array([3, 4, 9], dtype=np.uint64))
+    assert found.tolist() == [True, False, True] and value[[0, 2], 0].tolist() == [1, 3]
+    recent.keep(np.array([4, 9], dtype=np.uint64), np.array([[8, 0], [7, 0]]), np.array([False, True]))
+    found, value = recent.find(np.array([3, 4, 5, 9], dtype=np.uint64))
+    assert found.tolist() == [False, True, True, True] and value[1:, 0].tolist() == [8, 2, 7]
+
+
 def test_empty_table(spark, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
     assert bwt.remove_repeated_bytes(no_docs).count() == 0
