@@ -7,9 +7,11 @@ runs of a search length, which goes up to the longest match found and then down
 tokens that the marked passages cover does not depend on their order; from ``threshold`` on the document is
 contaminated by the item.
 
-The seeds of the benchmark reach the tasks in blocks of at most about ``BLOCK_BYTES`` of item text: a larger benchmark
-takes as many passes over the documents as it has blocks, so what is broadcast does not grow with the data.  A document
-is tiled only around its own seeds, in the task that reads it; documents are not shuffled.
+Items with one text are one item until the end, however often it comes; its pairs are then joined with their ids.  The
+seeds of the different texts reach the tasks in blocks of about ``BLOCK_BYTES`` (an item is never cut, so that a block
+can be longer by its longest item): a larger benchmark takes as many passes over the documents as it has blocks, so what
+is broadcast does not grow with the data.  A document is tiled only around its own seeds, in the task that reads it;
+documents are not shuffled.
 
 Results for odd input: null or empty texts and items have no tokens and match nothing; a null ``doc_id`` or ``item_id``
 is carried as null; rows that come twice give their pairs twice, and items that come twice one pair for each; an empty
@@ -28,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import Words, doc_key, materialize, text_bytes, text_chunks, windows_hash
+from fieldlens.llm.common import Words, distinct_sorted, doc_key, materialize, text_bytes, text_chunks, windows_hash
 
 LEAST, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 8 << 20
+SLICE = 1 << 20
 BREAKS = np.ones(256, dtype=bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-PAIRS = "key long, text_hash long, doc_id long, item_id long, coverage double, n_tiles int, longest int"
+PAIRS = "key long, text_hash long, doc_id long, item string, coverage double, n_tiles int, longest int"
 
 
 def _tokens(column: pa.Array) -> Words:
@@ -86,22 +89,59 @@ def _matches(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.
     return sorted(found, key=lambda m: (-m[0], m[1], m[2]))
 
 
-def seed_index(items: list[tuple[int | None, str]], least: int) -> dict:
+def seed_index(items: list[tuple[str, str]], least: int) -> dict:
     """The tokens of the items of a block and, for each seed length, the sorted seeds with the items that hold them."""
     words = _tokens(pa.array([text for _, text in items], pa.string()))
-    codes = [words.code[a:b] for a, b in zip(words.first, words.first[1:])]
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for n, code in enumerate(codes):
-        k = min(least, len(code))
-        if k:
-            seeds[k] += [(h, n) for h in set(windows_hash(code, k).tolist())]
+    n = np.diff(words.first)
     by_length = {}
-    for k, pairs in seeds.items():
-        pairs.sort()
-        h = np.array([p[0] for p in pairs], dtype=np.uint64)
-        value, first = np.unique(h, return_index=True)
-        by_length[k] = value, np.append(first, len(h)), np.array([p[1] for p in pairs])
-    return {"ids": [i for i, _ in items], "codes": codes, "by_length": by_length}
+    for k in range(1, least + 1):
+        h, inside = words.windows(k)
+        of = words.doc[: len(h)]
+        ok = inside & (np.minimum(n, least)[of] == k)
+        item, h = distinct_sorted(of[ok], h[ok])
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            value, first = np.unique(h[order], return_index=True)
+            by_length[k] = value, np.append(first, len(h)), item[order]
+    return {"ids": [i for i, _ in items], "codes": [words.code[a:b] for a, b in zip(words.first, words.first[1:])],
+            "size": n, "by_length": by_length}
+
+
+def _seeded(words: Words, block: dict, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, places in shared seeds) where enough places may be covered.
+
+    Seeds are counted for each text and item first, in slices of ``SLICE`` counts: a seed that all items of the block
+    share costs one number an item, and the places are only gathered for items that can reach the threshold.
+    """
+    for k, (value, first, items) in block["by_length"].items():
+        h, inside = words.windows(k)
+        i = np.minimum(np.searchsorted(value, h), len(value) - 1)
+        hit = np.flatnonzero((value[i] == h) & inside)
+        edge = np.flatnonzero(np.diff(words.doc[hit], prepend=-1, append=-1))
+        for a, b in zip(edge, edge[1:]):
+            at = hit[a:b]
+            low, held = first[i[at]], first[i[at] + 1] - first[i[at]]
+            total = np.cumsum(held)
+            count = np.zeros(len(block["size"]) if total[-1] * 4 > len(block["size"]) else 0, dtype=np.int64)
+            done = 0
+            while done < len(at):
+                to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SLICE, side="right")))
+                within = np.arange(held[done:to].sum()) - np.repeat(np.cumsum(held[done:to]) - held[done:to], held[done:to])
+                of = items[np.repeat(low[done:to], held[done:to]) + within]
+                if len(count):
+                    count += np.bincount(of, minlength=len(count))
+                done = to
+            if len(count):
+                some = np.flatnonzero(count)
+                times = count[some]
+            else:
+                some, times = np.unique(of, return_counts=True)  # so few that they were one slice
+            # a token of the text is in one tile at most: with fewer places the threshold is out of reach
+            for item in some[times * k >= threshold * block["size"][some]].tolist():
+                own = at[np.isin(h[at], windows_hash(block["codes"][item], k))]
+                place = np.unique(own[:, None] + np.arange(k))
+                if len(place) >= threshold * block["size"][item]:
+                    yield int(words.doc[at[0]]), item, place
 
 
 def _tile(seeds, least: int, threshold: float):
@@ -111,20 +151,9 @@ def _tile(seeds, least: int, threshold: float):
         block = seeds.value
         for chunk in text_chunks(batches):
             words = _tokens(chunk.column("text"))
-            places: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for k, (value, first, items) in block["by_length"].items():
-                h, inside = words.windows(k)
-                i = np.minimum(np.searchsorted(value, h), len(value) - 1)
-                for w in np.flatnonzero((value[i] == h) & inside):
-                    for item in items[first[i[w]]: first[i[w] + 1]].tolist():
-                        places[int(words.doc[w]), item].update(range(w, w + k))
             rows = []
-            for (doc, item), place in places.items():
+            for doc, item, at in _seeded(words, block, threshold):
                 code = block["codes"][item]
-                if len(place) < threshold * len(code):
-                    # a token of the text is in one tile at most: too few tokens for the threshold
-                    continue
-                at = np.array(sorted(place))
                 cuts = np.flatnonzero(np.diff(at) > 1) + 1
                 text = np.insert(words.code[at], cuts, np.uint64(0))
                 blocked = np.insert(np.zeros(len(at), dtype=bool), cuts, True)
@@ -135,35 +164,48 @@ def _tile(seeds, least: int, threshold: float):
             doc = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [chunk.column(c).take(doc) for c in ("key", "text_hash", "doc_id")]
-                + [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32()))],
-                ["key", "text_hash", "doc_id", "item_id", "coverage", "n_tiles", "longest"])
+                + [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32()))],
+                ["key", "text_hash", "doc_id", "item", "coverage", "n_tiles", "longest"])
 
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD,
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("string")).alias("item"),
+        F.col("text").cast("string").alias("text"))
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD,
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, text_hash, doc_id, item_id, coverage, n_tiles, longest) of every contaminated document and item."""
+    """(key, text_hash, doc_id, item, coverage, n_tiles, longest); item: MD5 of the text of one or more items."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null")
+    items = materialize(_items(benchmark).select("item", "text").dropDuplicates(["item"]), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
     texts = docs.select(doc_key().alias("key"), F.xxhash64("text").alias("text_hash"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]  # one block: bounded by block_bytes
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        rows = [(r["item"], r["text"]) for r in part.collect()]  # one block of different texts: about block_bytes
         seeds = spark.sparkContext.broadcast(seed_index(rows, least))
         if seeds.value["by_length"]:
             found.append(texts.mapInArrow(_tile(seeds, least, threshold), PAIRS))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], PAIRS)
 
 
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD,
+                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, text_hash, doc_id, item_id, coverage, n_tiles, longest) of every contaminated document and item."""
+    return (contaminated_texts(docs, benchmark, least, threshold, block_bytes)
+            .join(_items(benchmark).select("item", "item_id"), "item")
+            .select("key", "text_hash", "doc_id", "item_id", "coverage", "n_tiles", "longest"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = materialize(contaminated_pairs(docs, benchmark, least, threshold)
+    bad = materialize(contaminated_texts(docs, benchmark, least, threshold)
                       .select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
     return (docs.withColumns({"__key": doc_key(), "__hash": F.xxhash64("text")})
             .join(bad, ["__key", "__hash"], "left_anti").select(*docs.columns))

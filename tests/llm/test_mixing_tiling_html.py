@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,44 @@ def test_tiling_odd_rows(spark, odd_docs, no_docs, benchmark):
     assert tiling.contaminated_pairs(odd_docs, benchmark[1].limit(0)).count() == 0
 
 
+def test_items_that_come_often_are_one_item_until_the_end(spark, prose, monkeypatch):
+    often, other = prose(40), prose(40)
+    rows = [(k, often) for k in range(3000)] + [(5000, other)]
+    table = spark.createDataFrame(rows, "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(1, f"{prose(9)} {often}"), (2, prose(80)), (3, other)], "doc_id long, text string")
+    blocks = []
+    index = tiling.seed_index
+    monkeypatch.setattr(tiling, "seed_index", lambda items, least: blocks.append(len(items)) or index(items, least))
+    got = tiling.contaminated_pairs(docs, table).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == [(1, k) for k in range(3000)] + [(3, 5000)]
+    assert blocks == [2]
+
+
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_seeds_that_all_items_share(monkeypatch, size):
+    monkeypatch.setattr(tiling, "SLICE", size)
+    rng = random.Random(5)
+    shared = " ".join(f"s{k}" for k in range(6))
+    items = [(str(k), " ".join([shared, *(f"w{rng.randrange(900)}" for _ in range(rng.randrange(0, 12)))])) for k in range(300)]
+    items += [("short", "s1 s2"), ("one", "w7")]
+    texts = [f"{shared} x {items[7][1]} y {shared}", "none of them", f"w7 {shared}", " ".join(t for _, t in items[:40])]
+    words = tiling._tokens(pa.array(texts))
+    got = {(d, i): set(at.tolist()) for d, i, at in tiling._seeded(words, tiling.seed_index(items, 5), 0.5)}
+    want = {}
+    for i, (_, text) in enumerate(items):
+        item = text.split()
+        k = min(5, len(item))
+        seeds = {tuple(item[a: a + k]) for a in range(len(item) - k + 1)}
+        at = 0
+        for d, t in enumerate(texts):
+            t = t.split()
+            places = {at + a + x for a in range(len(t) - k + 1) if tuple(t[a: a + k]) in seeds for x in range(k)}
+            if len(places) >= 0.5 * len(item):
+                want[d, i] = places
+            at += len(t)
+    assert got == want
+
+
 # ---------------------------------------------------------------- html
 
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
