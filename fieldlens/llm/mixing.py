@@ -10,8 +10,8 @@ Without weights, the target weight of a source is the square root of its size (t
 table with one row per source; Spark broadcasts it if its files are small and else splits a hot source in the join.
 
 Results for odd input: a null source is a source of its own; a null text has the size 0; sources without any text or
-with the weight 0 (or none in the weights table) give no copies; a null id is hashed as 'null'; a row that comes twice
-is drawn twice alike; an empty table gives an empty result; columns named ``copy`` or ``shuffle_key`` are replaced.
+with the weight 0 (or none in the weights table) give no copies; documents without an id are drawn by their texts, those
+with equal texts alike; a row that comes twice is drawn twice alike; an empty table gives an empty result; columns named ``copy`` or ``shuffle_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ def _source_key() -> Column:
     return F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source"))).alias("source_key")
 
 
+def _ident() -> Column:
+    """What a document is drawn by: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def with_thresholds(rates: DataFrame) -> DataFrame:
     """Adds parts (into which the mean is split) and cdf: P(N <= k) of one part for k = 0, 1, ..."""
     mean = F.col("rate") / F.col("parts")
@@ -71,10 +76,9 @@ def poisson_replicate(docs: DataFrame, weights: DataFrame | None = None, seed: s
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rates = materialize(with_thresholds(source_rates(docs, weights, total)), "rates").where("rate > 0").select(
         F.col("source_key").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), ident, i.cast("string")))))
+    ident = _ident()
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: uniform(F.lit(seed), ident, i.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("__cdf", lambda c: c <= u)))
     copies = (docs.select(*names).withColumn("__source", _source_key()).join(rates, "__source")
               .withColumn("__n", drawn).where("__n > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names, "copy"))
@@ -95,8 +99,8 @@ k AS (SELECT source, parts, rate / parts AS mean, unnest(range(0, ceil(rate / pa
 c AS (SELECT source, parts, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 t AS (SELECT source, any_value(parts) AS parts, list(cdf) AS cdf FROM c GROUP BY source),
 u AS (SELECT d.*, t.cdf, unnest(range(1, t.parts + 1)) AS i FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-n AS (SELECT doc_id, text, lang, source, n_chars, sum(len([x FOR x IN cdf IF x <= ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || i), 1, 13))::BIGINT / 4503599627370496.0]))::BIGINT AS n
+n AS (SELECT doc_id, text, lang, source, n_chars, sum(len([x FOR x IN cdf IF x <= ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || i), 1, 13))::BIGINT / 4503599627370496.0]))::BIGINT AS n
       FROM u GROUP BY ALL),
 e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1)) AS copy FROM n)
-SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key FROM e
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || copy) AS shuffle_key FROM e
 """

@@ -39,6 +39,15 @@ def test_counts_are_poisson(spark):
         assert abs(n.var() / mean - 1) < 0.15
 
 
+def test_documents_without_an_id_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"text {k % 4000}", "en", "a", 1) for k in range(4500)], DOC)
+    rows = mixing.poisson_replicate(docs, total=4500 * 0.3 * 9).groupBy("text").count().collect()
+    n = {r.text: r["count"] for r in rows}
+    rate = 4500 * 0.3 * 9 / sum(len(f"text {k % 4000}") for k in range(4500))
+    assert abs(sum(n.values()) / 4500 - rate) < 5 * math.sqrt(2 * rate / 4500)
+    assert all(n.get(f"text {k}", 0) % 2 == 0 for k in range(500))  # equal texts alike
+
+
 def test_same_seed_same_copies_and_shuffled(spark, sources):
     once, again = ([tuple(r) for r in mixing.poisson_replicate(sources).select("doc_id", "copy").collect()] for _ in range(2))
     assert sorted(once) == sorted(again)
