@@ -46,6 +46,68 @@ def test_language_of_addresses_and_parents(spark, tongues):
     assert got.where("key = 9000").first().language == "de"
 
 
+def brute_language(rows):
+    """Language and confidence of rows of (text, declared, suffix, host, parent), by the formulas of the docstring."""
+
+    def trigrams(text):
+        b = text.lower().encode()
+        c = [x if 97 <= x <= 122 or x >= 128 else 32 for x in b]
+        return [((c[i] << 16 | c[i + 1] << 8 | c[i + 2]) * 2654435761 % 2 ** 32) >> 17
+                for i in range(len(c) - 2) if sum(x != 32 for x in c[i: i + 3]) >= 2]
+
+    def shares(logs):
+        top = max(logs)
+        return [math.exp(x - top) / sum(math.exp(y - top) for y in logs) for x in logs]
+
+    grams = [trigrams(r[0]) for r in rows]
+    counts = {name: Counter() for name in LANGS}
+    for r, g in zip(rows, grams):
+        if r[1] in counts:
+            counts[r[1]].update(g)
+    sizes = {name: sum(c.values()) + language.BUCKETS / 2 for name, c in counts.items()}
+    like = [[min(1, 300 / max(len(g), 1)) / 3 * sum(math.log((counts[name][x] + 0.5) / sizes[name]) for x in g) for name in LANGS]
+            for g in grams]
+    votes = [[int(s > 0.99 and len(g) >= 30) for s in shares(x)] for x, g in zip(like, grams)]
+    total = [sum(v[k] for v in votes) for k in range(4)]
+    whole = sum(total)
+    of = {}
+    for r, v in zip(rows, votes):
+        for name, value in enumerate(r[1:], 1):
+            if value is not None:
+                of[name, value] = [a + b for a, b in zip(of.get((name, value), [0] * 4), v)]
+    out = []
+    for r, x, own in zip(rows, like, votes):
+        logs = []
+        for k in range(4):
+            at = [of.get((name, r[name]), [0] * 4) for name in range(5)]
+            above = (at[4][k] + 10 * (total[k] + 1) / (whole + 4)) / (sum(at[4]) + 10)
+            host = [a - b for a, b in zip(at[3], own)] if r[3] is not None else [0] * 4
+            log = x[k] + math.log((host[k] + 10 * above) / (sum(host) + 10))
+            for name in (1, 2):
+                if r[name] is not None:
+                    log += math.log((at[name][k] + 10 * (sum(at[name]) + 1) / (whole + 1)) / (total[k] + 10))
+            logs.append(log)
+        s = shares(logs)
+        out.append((LANGS[s.index(max(s))], max(s)))
+    return out
+
+
+def test_language_is_the_brute_force_product(spark, prose):
+    rng = random.Random(11)
+    rows = []
+    for k in range(240):
+        lang = rng.randrange(4)
+        rows.append((prose(rng.choice([1, 2, 3, 25]), rng.choice([lang, lang, rng.randrange(4)])),
+                     rng.choice([LANGS[lang], LANGS[lang], None, "it"]), rng.choice(["com", None, LANGS[lang]]),
+                     rng.choice([None, f"h{lang}", "h"]), rng.choice([None, f"p{lang % 2}"])))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)],
+                               "doc_id long, text string, lang string, suffix string, source string, parent string")
+    got = {r.key: r for r in language.identify(df, suffix=F.col("suffix"), parent=F.col("parent")).collect()}
+    for k, (lang, confidence) in enumerate(brute_language(rows)):
+        assert got[k].language == lang and got[k].confidence == pytest.approx(confidence, rel=1e-9), k
+        assert got[k].kept == (confidence >= language.LEAST_CONFIDENCE)
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     rows = language.identify(odd_docs).collect()
     assert len(rows) == odd_docs.count()
