@@ -205,6 +205,18 @@ def lines_per_year(lines: DataFrame) -> DataFrame:
     return sales_silver(lines).where(F.col("ANO").isNotNull()).select("ANO", "LINHA").distinct()
 
 
+def sample_lines(lines: DataFrame, item_rtm: DataFrame, year: int, n: int = 5) -> DataFrame:
+    """The first ``n`` lines of a year in the order of their columns, each with the lookup status of its item
+    (a missing one is NAO); the lines are picked before the join."""
+    keys = [F.asc_nulls_last(c) for c in ("LINHA", "ITEM", "DESCRICAO", "QTD")]
+    picked = (sales_silver(lines).where(F.col("ANO") == year).select("LINHA", "ITEM", "DESCRICAO", "QTD")
+              .orderBy(*keys).limit(n))
+    ir = last_value(item_rtm, "ITEM", "RTM", _order(item_rtm)).withColumnRenamed("RTM", "_rt")
+    return picked.join(ir, "ITEM", "left").select(
+        "LINHA", "ITEM", "DESCRICAO", F.col("QTD").alias("quantidade"),
+        F.coalesce(F.upper(E.strip("_rt")), F.lit("NAO")).alias("status_rtm"))
+
+
 def rows_per_year(lines: DataFrame) -> DataFrame:
     """Rows per invoice year (unparseable dates in a NULL year)."""
     return sales_silver(lines).groupBy("ANO").agg(F.count(F.lit(1)).alias("linhas"))

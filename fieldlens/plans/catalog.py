@@ -770,6 +770,15 @@ def q_service_excluded_total(t: Tables) -> DataFrame:
     return sales.service_excluded_total(_sales(t))
 
 
+@register("sample_lines", W("sales", "item_rtm") + """,
+ir AS (SELECT ITEM, max(upper(trim(RTM))) AS rt FROM item_rtm GROUP BY ITEM)
+SELECT s.LINHA, s.ITEM, s.DESCRICAO, s.QTD AS quantidade, coalesce(ir.rt, 'NAO') AS status_rtm
+FROM (SELECT * FROM sales WHERE ANO = 1996 ORDER BY LINHA NULLS LAST, ITEM NULLS LAST, DESCRICAO NULLS LAST, QTD NULLS LAST LIMIT 5) s
+LEFT JOIN ir ON s.ITEM = ir.ITEM""")
+def q_sample_lines(t: Tables) -> DataFrame:
+    return sales.sample_lines(_sales(t), V.item_rtm(t), year=1996)
+
+
 @register("lines_per_year", W("sales") + "SELECT DISTINCT ANO, LINHA FROM sales WHERE ANO IS NOT NULL")
 def q_lines_per_year(t: Tables) -> DataFrame:
     return sales.lines_per_year(_sales(t))
