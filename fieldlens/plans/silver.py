@@ -55,25 +55,30 @@ def write_units(units: DataFrame, path: str) -> None:
     write_partitioned(units, path, [UNIT_YEAR], ["NUM_SERIAL"])
 
 
-def write_text_index(tickets: DataFrame, path: str, columns: list[str] | None = None) -> None:
+def text_index(tickets: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(year, block, trigram): one row per block and different trigram hash.
-    Equal texts of a block are cut once."""
+    Equal texts of a block are folded and cut once."""
     names = columns or [c for c in tickets.columns if c not in (TICKET_YEAR, "_block")]
     texts = F.array(*[filters.as_text(tickets, c) for c in names])
     distinct = (tickets.select(TICKET_YEAR, "_block", F.explode(texts).alias("_text")).where(F.length("_text") >= 3)
-                .select(TICKET_YEAR, "_block", folded(F.col("_text")).alias("_text")).distinct())
-    cut = F.transform(F.sequence(F.lit(1), F.length("_text") - 2), lambda i: F.xxhash64(F.col("_text").substr(i, F.lit(3))))
-    index = (distinct.where(F.length("_text") >= 3).select(TICKET_YEAR, "_block", F.explode(F.array_distinct(cut)).alias("trigram"))
-             .distinct())
-    index.repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(path)
+                .distinct().select(TICKET_YEAR, "_block", folded(F.col("_text")).alias("_text")).where(F.length("_text") >= 3))
+    # cut by plain rows and not by a lambda over an array, which is interpreted
+    starts = distinct.select("*", F.explode(F.sequence(F.lit(1), F.length("_text") - 2)).alias("_at"))
+    index = starts.select(TICKET_YEAR, "_block", F.xxhash64(F.col("_text").substr(F.col("_at"), F.lit(3))).alias("trigram"))
+    return index.distinct()
+
+
+def write_text_index(tickets: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    text_index(tickets, columns).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(path)
 
 
 def folded(c: Column) -> Column:
     """The text as a case-insensitive match sees it: characters that match
     each other become equal.  (The replacement in between also keeps the
-    optimizer from dropping the upper-casing.)"""
+    optimizer from dropping the upper-casing.)  ASCII texts, which have as
+    many bytes as characters, need the lower-casing only."""
     upper = F.translate(F.upper(c), "\u0130", "I")
-    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.lower(upper), "\u03c2", "\u03c3"))
 
 
 # ------------------------------------------------------------------ reading
