@@ -52,6 +52,10 @@ class Published:
     def new_folder(self, name: str) -> str:
         return f"{self.root}/data/{name}-{uuid.uuid4().hex}"
 
+    def names_in(self, folder: str) -> list[str]:
+        """What lies in a folder that ``new_folder`` named."""
+        return self._names(folder.removeprefix(f"{self.root}/"))
+
     def publish(self, content: dict, after: int) -> int:
         """Make ``content`` version ``after`` + 1; fails if that one exists."""
         fs, draft = self._fs(), self._path("drafts", uuid.uuid4().hex)
