@@ -18,8 +18,10 @@ CELL = r"(?is)<td[^>]*>(.*?)</td>"
 
 
 def _text(c: Column) -> Column:
-    """Text of a cell, its pieces joined by a blank."""
-    return E.strip(F.regexp_replace(F.array_join(E.text_pieces(c), " "), r"\s+", " "))
+    """Text of a cell, its pieces joined by a blank; only cells with markup
+    are cut into pieces."""
+    text = F.when(c.rlike("[<&]"), F.array_join(E.text_pieces(c), " ")).otherwise(E.strip(c))
+    return E.strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def _stripped_text(c: Column) -> Column:
@@ -157,8 +159,9 @@ def report_rows(pages: DataFrame, key: str = "page_key") -> DataFrame:
     """The data rows of a report page (first <table>), dropping the
     header and the trailing totals row; cells as an array of texts."""
     table = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?is)<table[^>]*>(.*?)</table>", 1)
-    rows = F.regexp_extract_all(table, F.lit(ROW), F.lit(1))
-    x = pages.select(key, F.posexplode(rows).alias("pos", "row"), F.size(rows).alias("_n"))
+    # exploded from an array of one, so that the rows are cut out of a page once
+    rows = pages.select(key, F.explode(F.array(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)))).alias("_rows"))
+    x = rows.select(key, F.posexplode("_rows").alias("pos", "row"), F.size("_rows").alias("_n"))
     x = x.where((F.col("pos") > 0) & (F.col("pos") < F.col("_n") - 1))
     return x.select(key, "pos", F.transform(F.regexp_extract_all("row", F.lit(CELL), F.lit(1)), _text).alias("cells"))
 
