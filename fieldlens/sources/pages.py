@@ -78,46 +78,71 @@ def is_nested(html: Column) -> Column:
     return F.when(look, F.exists(F.array(_serial_table(html)), _is_nested_table)).otherwise(F.lit(False))
 
 
-def nested_serials(pages: DataFrame, key: str) -> DataFrame:
-    """(key, _serials) of pages with tables in tables, by their tags: the
-    markup is cut at table, row and cell tags, and running sums over the
-    pieces give the depth of each.  The serial table ends with the tag that
+def _pieces(html: Column) -> Column:
+    """The markup without comments, cut at table, row and cell tags."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    return F.split(bare, r"(?i)(?=</?(?:table|tr|td)\b)")
+
+
+def _first_cells(pieces: Column) -> Column:
+    """The texts of the first cells of the rows of the serial table, by one
+    pass over the pieces that keeps the depth of tables and cells.
+
+    The serial table is the first one with a border and ends with the tag that
     closes it; every row in it but the first counts, those of inner tables
-    too, and a first cell holds all text up to the tag that closes it.
-
-    The pieces of a page are sorted together, so a task holds rows of whole
-    pages, never a page as one value."""
-    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", "")
-    pieces = F.split(bare, r"(?i)(?=</?(?:table|tr|td)\b)")
-    p = pages.select(key, F.posexplode(pieces).alias("pos", "piece"))
-    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(/?(?:table|tr|td))\b", 1))
-    p = p.select(key, "pos", tag.alias("tag"), "piece",
-                 F.col("piece").rlike(r"""(?i)^<table[^>]*\bborder\s*=\s*["']?1\b""").alias("_bordered"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def depth(name: str) -> Column:
-        return F.sum(F.when(F.col("tag") == name, 1).when(F.col("tag") == f"/{name}", -1).otherwise(0)).over(upto)
-
-    p = p.withColumns({"_tables": depth("table"), "_cells": depth("td")})
-    opened = F.when(F.col("_bordered"), F.struct("pos", F.col("_tables").alias("depth")))
-    p = p.withColumn("_first", F.min(opened).over(page)).where(F.col("pos") >= F.col("_first.pos"))
-    p = p.withColumn("_inside", F.min("_tables").over(upto) >= F.col("_first.depth")).where("_inside")
-    p = p.withColumn("_row", F.max(F.when(F.col("tag") == "tr", F.col("pos"))).over(upto))
-    p = p.withColumn("_header", F.min("_row").over(page)).where(F.col("_row") > F.col("_header"))
-    # a piece belongs to every cell that is open there: one row for each of them
-    p = p.where("_cells > 0").withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_cells"))))
-    level = Window.partitionBy(key, "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    start = (F.col("tag") == "td") & (F.col("_cells") == F.col("_level"))
-    p = p.withColumns({"_cell": F.max(F.when(start, F.struct("pos", F.col("_row").alias("row")))).over(level)})
-    text = F.col("piece")
-    cells = (p.where(F.col("_cell").isNotNull()).groupBy(key, "_cell")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("t")))
-    # a piece starts with its own tag; the tag that closes the cell is not among its pieces
-    first = cells.groupBy(key, "_cell.row").agg(F.min(F.struct("_cell.pos", "t")).alias("c"))
-    serial = _stripped_text(F.col("c.t"))
-    rows = first.select(key, "c.pos", serial.alias("s")).where("s <> ''")
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("_serials"))
+    too, and a cell holds all pieces up to the tag that closes it.  ``open``
+    holds the first cells that are not closed yet, at most one for each depth,
+    ``done`` the pieces [from, upto) of the others."""
+    none, zero = F.lit(None).cast("int"), F.lit(0)
+    start = {"tables": zero, "cells": zero, "depth": none, "ended": F.lit(False), "row": none, "header": none, "filled": none,
+             "open": F.array().cast("array<struct<level:int,from:int>>"), "done": F.array().cast("array<struct<from:int,upto:int>>")}
+    tagged = F.transform(pieces, lambda p, i: F.struct(
+        i.alias("at"), F.lower(F.regexp_extract(F.left(p, F.lit(8)), r"(?i)^<(/?(?:table|tr|td))\b", 1)).alias("tag"), p.alias("text")))
+
+    def step(s: Column, x: Column) -> Column:
+        tag, at = x["tag"], x["at"]
+
+        def but(**new: Column) -> Column:
+            return F.struct(*[new.get(n, s[n]).alias(n) for n in start])
+
+        def closed(cells: Column) -> Column:
+            return F.concat(s["done"], F.transform(cells, lambda c: F.struct(c["from"].alias("from"), at.alias("upto"))))
+
+        bordered = x["text"].rlike(r"""(?i)^<table[^>]*\bborder\s*=\s*["']?1\b""")
+        opens = but(tables=s["tables"] + 1, depth=F.when(s["depth"].isNull() & bordered, s["tables"] + 1).otherwise(s["depth"]))
+        ends = but(ended=F.lit(True), open=start["open"], done=closed(s["open"]))
+        first = s["depth"].isNotNull() & (s["cells"] >= 0) & (s["row"] > s["header"]) & ~s["filled"].eqNullSafe(s["row"])
+        cell = F.struct((s["cells"] + 1).alias("level"), at.alias("from"))
+        here = lambda c: c["level"] == s["cells"]
+        return (F.when(s["ended"], s)
+                .when((tag == "td") & first, but(cells=s["cells"] + 1, filled=s["row"], open=F.concat(s["open"], F.array(cell))))
+                .when(tag == "td", but(cells=s["cells"] + 1))
+                .when((tag == "/td") & F.exists(s["open"], here),
+                      but(cells=s["cells"] - 1, open=F.filter(s["open"], lambda c: ~here(c)), done=closed(F.filter(s["open"], here))))
+                .when(tag == "/td", but(cells=s["cells"] - 1))
+                .when((tag == "tr") & s["depth"].isNotNull(), but(row=at, header=F.coalesce(s["header"], at)))
+                .when(tag == "table", opens)
+                .when((tag == "/table") & (s["tables"] == s["depth"]), ends)
+                .when(tag == "/table", but(tables=s["tables"] - 1)).otherwise(s))
+
+    def ranges(s: Column) -> Column:
+        to_the_end = F.transform(s["open"], lambda c: F.struct(c["from"].alias("from"), F.size(pieces).alias("upto")))
+        return F.array_sort(F.concat(s["done"], to_the_end))  # in page order
+
+    found = F.aggregate(tagged, F.struct(*[c.alias(n) for n, c in start.items()]), step, ranges)
+    return F.transform(found, lambda c: F.array_join(F.slice(pieces, c["from"] + 1, c["upto"] - c["from"]), ""))
+
+
+def nested_serials(pages: DataFrame, key: str) -> DataFrame:
+    """(key, _serials) of pages with tables in tables, by their tags, without
+    the pages that list none.  A page is read where it lies, so neither its
+    text nor its pieces are shuffled."""
+    p = pages.select(key, F.explode(F.array(_pieces(F.col("html")))).alias("_pieces"))
+    return p.select(key, _serials_by_tags(F.col("_pieces")).alias("_serials")).where(F.size("_serials") > 0)
+
+
+def _serials_by_tags(pieces: Column) -> Column:
+    return F.filter(F.transform(_first_cells(pieces), _stripped_text), lambda s: s != "")
 
 
 def page_serials(pages: DataFrame, key: str = "page_key", fetched: str | None = None) -> DataFrame:
@@ -125,21 +150,19 @@ def page_serials(pages: DataFrame, key: str = "page_key", fetched: str | None =
     (``fetched``), else the one whose text has the greatest hash, so that the
     choice is the same in every run.
 
-    Pages are read where they lie, plain ones by one regex pass and the
-    others by their tags; what is shuffled to pick a page is its serials and
-    a hash, not its text.
+    Pages are read once and where they lie, plain ones by one regex pass and
+    the others by their tags; what is shuffled to pick a page is its serials
+    and a hash, not its text.
     """
     rank = [F.col(fetched).alias("at")] if fetched else []
-    p = pages.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), *rank, F.md5("html").alias("hash")).alias("_id"), "html")
-    # exploded from an array of one, so that the table is cut out of a page once
-    table = p.select("_id", F.explode(F.array(_serial_table(F.col("html")))).alias("_table"))
-    plain = table.where(~_is_nested_table(F.col("_table"))).select("_id", _serials_in_table(F.col("_table")).alias("_serials"))
-    other = p.where(is_nested(F.col("html"))).groupBy("_id").agg(F.first("html").alias("html"))
-    found = nested_serials(other, "_id").withColumnRenamed("_id", "_k")
-    missing = F.coalesce("_serials", F.array().cast("array<string>"))
-    other = other.select("_id").join(found, F.col("_id") == F.col("_k"), "left").select("_id", missing.alias("_serials"))
-    last = plain.unionByName(other).groupBy(F.col("_id.key").alias(key)).agg(F.max(F.struct("_id", "_serials")).alias("_page"))
-    return last.select(key, F.col("_page._serials").alias("_serials"))
+    rank = F.struct(*rank, F.unhex(F.md5("html")).alias("hash")).alias("_rank")
+    # exploded from arrays of one, so that the table is cut out of a page once, and the pieces, too, of the pages that need them
+    p = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), rank, F.col("html").alias("_html"))
+    p = p.select("*", F.explode(F.array(_serial_table(F.col("_html")))).alias("_table"))
+    p = p.select("_key", "_rank", "_table", F.explode(F.array(F.when(_is_nested_table(F.col("_table")), _pieces(F.col("_html"))))).alias("_pieces"))
+    serials = F.when(F.col("_pieces").isNotNull(), _serials_by_tags(F.col("_pieces"))).otherwise(_serials_in_table(F.col("_table")))
+    p = p.select("_key", F.struct("_rank", serials.alias("_serials")).alias("_page"))
+    return p.groupBy(F.col("_key").alias(key)).agg(F.max("_page").alias("_page")).select(key, F.col("_page._serials").alias("_serials"))
 
 
 def unpack_serials(lines: DataFrame, pages: DataFrame, on: str, page_key: str = "page_key",
