@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from fieldlens.functions import expr as E
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` as it is, for a plan that reads it several times.  The rows pass
+    through an explode, under which the filters and unused columns of one
+    branch are not pushed, so all branches need the same joins and shuffles,
+    and Spark runs those once (exchange reuse) instead of once for each."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def last_value(dim: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """One value per key: the last row wins, by the ``order`` column if there
     is one, else by the order in which the rows are read.  A row without a

@@ -918,7 +918,7 @@ SELECT * FROM result WHERE part IS NOT NULL"""
 
 def _nights(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(newly fetched, base, history) of an update that changes much."""
-    tk = _tickets(t).select("SS", "TAREFA", "STATUS", "MANTENEDOR", "DATA", F.expr(_K).alias("_k"))
+    tk = joins.shared(_tickets(t).select("SS", "TAREFA", "STATUS", "MANTENEDOR", "DATA", F.expr(_K).alias("_k")))
     k = F.col("_k")
     null = F.lit(None)
     status, who, day = F.col("STATUS"), F.col("MANTENEDOR"), F.col("DATA")
