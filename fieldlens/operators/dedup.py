@@ -15,25 +15,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pick_one(df: DataFrame, keys: list[str], order: list[Column], largest: bool,
+def _pick_one(df: DataFrame, keys: list[str], order: list[Column | str], largest: bool,
               nulls_last: bool = True) -> DataFrame:
     payload = [c for c in df.columns if c not in keys]
-    lead = []
-    for i, c in enumerate(order):
-        if nulls_last:
-            # max(): a null sort key must lose, min(): it must lose as well
-            lead.append((c.isNotNull() if largest else c.isNull()).alias(f"_n{i}"))
+    lead, at = [], {}
+    for i, o in enumerate(order):
+        c, name = (F.col(o), o) if isinstance(o, str) else (o, None)
+        if nulls_last and not largest:
+            # a null sort key must lose; to max() it is the smallest value anyway
+            lead.append(c.isNull().alias(f"_n{i}"))
         lead.append(c.alias(f"_o{i}"))
-    packed = F.struct(*lead, *[F.col(c) for c in payload])
+        if name is not None:
+            at[name] = f"_o{i}"  # it comes back from its place in the order
+    packed = F.struct(*lead, *[F.col(c) for c in payload if c not in at])
     agg = F.max(packed) if largest else F.min(packed)
-    return df.groupBy(*keys).agg(agg.alias("_best")).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload])
+    return df.groupBy(*keys).agg(agg.alias("_best")).select(*keys, *[F.col(f"_best.{at.get(c, c)}").alias(c) for c in payload])
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the one with the greatest ``order`` (nulls lose)."""
+def latest_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """One row per key, the one with the greatest ``order`` (nulls lose).
+    A column that ``order`` gives by its name is sorted and shuffled once, not a
+    second time among the other columns."""
     return _pick_one(df, keys, order, largest=True)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the one with the smallest ``order`` (nulls last)."""
     return _pick_one(df, keys, order, largest=False)

@@ -38,6 +38,8 @@ def last_value(dim: DataFrame, key: str, value: str, order: str | None = None) -
 
 #: A key is hot from this share of all rows on; the sketch follows so many candidates, of which so many count.
 HOT_SHARE, HOT_TRACKED, HOT_KEYS = 1 / 512, 8192, 512
+#: Rows of hot keys and without a key are dealt to so many places, which is far more than there are tasks.
+PLACES = 1 << 16
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -56,15 +58,17 @@ def hot_keys(df: DataFrame, on: str, share: float = HOT_SHARE) -> DataFrame:
     return found.select(F.explode(hot).alias("_x")).select(F.col("_x.item").alias("_hot"))
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFrame:
+def join_dimension(df: DataFrame, dim: DataFrame, on: str, key: str, spread: list[str] | None = None) -> DataFrame:
     """Left join of ``df`` with ``dim``, which has at most one row per ``key``:
     the columns of ``df`` and those of ``dim`` but the key.  Every row of
     ``df`` stays.
 
     A small dimension is left to Spark.  Else the rows of hot keys are found
     by a sketch; their few dimension rows go to all tasks, and they and the
-    rows without a key are dealt by a hash of the whole row, where they match
-    nothing.  All other rows are joined by key.
+    rows without a key are dealt by a hash of the ``spread`` columns, where
+    they match nothing.  All other rows are joined by key.  Without ``spread``
+    it is a hash of the whole row, for which all shuffles before this one carry
+    every column of ``df``, used later or not: a table with row keys gives those.
     """
     names = [c for c in dim.columns if c != key]
     if fits_broadcast(dim):
@@ -74,35 +78,36 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFram
     hot = hot.join(packed, hot["_hot"] == packed["_dk"], "left").select("_hot", F.col("_dv").alias("_hv"))
     rows = df.join(F.broadcast(hot), df[on] == hot["_hot"], "left")  # at most HOT_KEYS rows
     apart = F.col("_hot").isNotNull() | F.col(on).isNull()
+    place = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(PLACES))  # noqa: E731  # a small number is shuffled in few bytes
     rows = rows.withColumns({"_lk": F.when(~apart, F.col(on)),
-                             "_lh": F.when(apart, F.xxhash64(*df.columns)).otherwise(F.xxhash64(on))})
-    right = packed.withColumn("_dh", F.xxhash64("_dk"))
+                             "_lh": F.when(apart, place(*(spread or df.columns))).otherwise(place(on))})
+    right = packed.withColumn("_dh", place("_dk"))
     joined = rows.join(right, (rows["_lh"] == right["_dh"]) & (rows["_lk"] == right["_dk"]), "left")
     value = F.coalesce("_hv", "_dv")
     return joined.select(*df.columns, *[value[n].alias(n) for n in names])
 
 
 def lookup(df: DataFrame, on: str, dim: DataFrame, out: str, default: str | None = "",
-           key: str = "raw", value: str = "label", order: str | None = None) -> DataFrame:
-    """Left lookup ``df[on]`` -> ``dim[value]`` as column ``out``; unmatched -> ``default``."""
+           key: str = "raw", value: str = "label", order: str | None = None, spread: list[str] | None = None) -> DataFrame:
+    """Left lookup ``df[on]`` -> ``dim[value]`` as column ``out``; unmatched -> ``default``; ``spread`` as in ``join_dimension``."""
     d = last_value(dim, key, value, order).select(F.col(key).alias("_key"), F.col(value).alias("_label"))
-    j = join_dimension(df, d, on, "_key")
+    j = join_dimension(df, d, on, "_key", spread)
     v = F.col("_label") if default is None else F.coalesce(F.col("_label"), F.lit(default))
     cols = [c for c in df.columns if c != out]
     return j.select(*cols, v.alias(out))
 
 
 def lookups(df: DataFrame, on: str, dims: dict[str, DataFrame], default: str = "", key: str = "raw",
-            value: str = "label") -> DataFrame:
+            value: str = "label", spread: list[str] | None = None) -> DataFrame:
     """Several lookups of one column ``on`` as one join: ``{output column:
-    dimension}``; an output may replace ``on`` itself."""
+    dimension}``; an output may replace ``on`` itself; ``spread`` as in ``join_dimension``."""
     tagged = [last_value(d, key, value).select(F.col(key).alias("_key"), F.lit(out).alias("_out"), F.col(value).alias("_label"))
               for out, d in dims.items()]
     every = tagged[0]
     for one in tagged[1:]:
         every = every.unionByName(one)
     wide = every.groupBy("_key").agg(*[F.max(F.when(F.col("_out") == out, F.col("_label"))).alias(f"_l_{out}") for out in dims])
-    j = join_dimension(df, wide, on, "_key")
+    j = join_dimension(df, wide, on, "_key", spread)
     cols = [c for c in df.columns if c not in dims]
     return j.select(*cols, *[F.coalesce(F.col(f"_l_{out}"), F.lit(default)).alias(out) for out in dims])
 

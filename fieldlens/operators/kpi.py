@@ -261,7 +261,14 @@ def unit_of_serial(units: DataFrame) -> DataFrame:
     return first.select("NUM_SERIAL", "MODELO", F.col("STATUS_GARANTIA").alias("GARANTIA"))
 
 
+#: The columns that tell tickets apart.
+TICKET_ID = ["SS", "TAREFA"]
+#: What ``tickets_with_units`` adds to a ticket.
+UNIT_COLUMNS = ["MODELO", "GARANTIA"]
+
+
 def tickets_with_units(tickets: DataFrame, units: DataFrame) -> DataFrame:
     """Each ticket gets the model and warranty status of its unit (first
     invoice per serial); tickets of unknown units get NULLs."""
-    return joins.join_dimension(tickets, unit_of_serial(units), "CHASSI", "NUM_SERIAL")
+    return joins.join_dimension(tickets, unit_of_serial(units), "CHASSI", "NUM_SERIAL",
+                                [c for c in TICKET_ID if c in tickets.columns])

@@ -587,12 +587,23 @@ SELECT field, value, count(*) AS n FROM (
                           for c in charts.TICKET_OPTION_COLUMNS)
     + "\nUNION ALL\nSELECT 'TAGS' AS field, unnest(TAGS) AS value FROM tickets) WHERE value IS NOT NULL GROUP BY ALL")
 def q_filter_option_counts(t: Tables) -> DataFrame:
-    """Three batches: those of one year first, the rest with wrong owners, then the rest as it should be."""
-    rows = _tickets_full(t)
+    """Three batches: those of one year first, the rest with wrong owners, then the rest as it should be.
+
+    The options of one column do not depend on the others, and a ticket has at most one unit.  So the columns of the unit are
+    counted on tickets with units, of which only the keys are shuffled for that join, all others on the tickets themselves.
+    """
     first = F.coalesce(F.year("INICIO") < 1995, F.lit(False))
-    wrong = charts.option_counts(rows.where(~first).withColumn("PROPRIETARIO", F.lit("SEM DONO")))
-    counts = charts.merge_option_counts(charts.option_counts(rows.where(first)), wrong)
-    return charts.merge_option_counts(counts, charts.option_counts(rows.where(~first)), wrong)
+    own = _tickets(t).select("INICIO", *[c for c in charts.TICKET_OPTION_COLUMNS if c not in kpi.UNIT_COLUMNS], "TAGS")
+    keys = joins.shared(_tickets(t).select(*kpi.TICKET_ID, "CHASSI", "INICIO"))
+    unit = joins.shared(kpi.tickets_with_units(keys, _units(t)).select("INICIO", *kpi.UNIT_COLUMNS))
+    rest = joins.shared(own.where(~first))  # read with the wrong and with the right owners
+
+    def batch(tickets: DataFrame, units: DataFrame) -> DataFrame:
+        return charts.option_counts(tickets).unionByName(charts.option_counts(units))
+
+    wrong = batch(rest.withColumn("PROPRIETARIO", F.lit("SEM DONO")), unit.where(~first))
+    counts = charts.merge_option_counts(batch(own.where(first), unit.where(first)), wrong)
+    return charts.merge_option_counts(counts, batch(rest, unit.where(~first)), wrong)
 
 
 @register("error_options", W("errors") + "SELECT DISTINCT field, value FROM (\n" + "\nUNION ALL\n".join(

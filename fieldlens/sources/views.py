@@ -102,10 +102,10 @@ def raw_tickets(t: Tables) -> DataFrame:
 TICKET_KEYS = ["l_orderkey", "l_linenumber"]
 
 
-def ticket_order() -> list[Column]:
+def ticket_order() -> list[str]:
     """W1 order on the raw extract: latest ship date (DATA) wins, ties broken
     by the greatest (part, supplier, price)."""
-    return [F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
+    return ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 # --------------------------------------------------------------- lookups
