@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.operators import filters
 from fieldlens.plans import jobs
-from fieldlens.session import checkpoint_dir
+from fieldlens.session import checkpoint_dir, released_shuffles
 from fieldlens.sources import views
 from fieldlens.sources.tables import Tables
 from fieldlens.streaming.published import AlreadyPublished, Published
@@ -31,6 +31,8 @@ from fieldlens.streaming.published import AlreadyPublished, Published
 #: Blocks of tickets per year; choose them so that a block holds a few hundred MB.
 BLOCKS = 8
 TICKET_YEAR, UNIT_YEAR = "ANO", "ANO_NF"
+#: The driver tables are cleaned in slices of about so many bytes of lines and orders, at most so many.
+SLICE_BYTES, MOST_SLICES = 16 << 20, 16
 
 
 # ------------------------------------------------------------------ writing
@@ -42,15 +44,35 @@ def write_partitioned(df: DataFrame, path: str, parts: list[str], sort: list[str
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
 
 
+def _block(ss: Column, tarefa: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(ss, tarefa), F.lit(blocks)).cast("int")
+
+
 def ticket_rows(tickets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    return tickets.withColumns({TICKET_YEAR: F.year("INICIO"),
-                                "_block": F.pmod(F.xxhash64("SS", "TAREFA"), F.lit(blocks)).cast("int")})
+    return tickets.withColumns({TICKET_YEAR: F.year("INICIO"), "_block": _block(F.col("SS"), F.col("TAREFA"), blocks)})
 
 
 def write_tickets(tickets: DataFrame, path: str, blocks: int = BLOCKS) -> None:
     write_partitioned(ticket_rows(tickets, blocks), path, [TICKET_YEAR, "_block"], ["INICIO"])
 
 
+def write_ticket_slices(t: Tables, path: str, as_of: dt.date, blocks: int, slices: int) -> None:
+    """``write_tickets`` of all tickets of the driver tables, one slice of
+    the orders after the other; the shuffle files of a slice go before the
+    next.  ``path`` is new; each slice adds files to it."""
+    parts = [TICKET_YEAR, "_block"]
+
+    def deal(rows: DataFrame) -> DataFrame:  # as write_partitioned
+        at = _block(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), blocks)
+        dealt = rows.withColumns({TICKET_YEAR: F.year("l_shipdate"), "_block": at})
+        return dealt.repartition(*parts).sortWithinPartitions(*parts, "l_shipdate")
+
+    for k in range(slices):
+        with released_shuffles(t.spark):
+            rows = jobs.build_ticket_slice(t, as_of, k, slices, deal, parts)
+            rows.write.partitionBy(*parts).mode("append").parquet(path)
+
+
 def write_units(units: DataFrame, path: str) -> None:
     write_partitioned(units, path, [UNIT_YEAR], ["NUM_SERIAL"])
 
@@ -114,15 +136,25 @@ def candidate_blocks(index: DataFrame, term: str) -> DataFrame:
 
 
 # ----------------------------------------------------- of the driver tables
-def _fingerprint(t: Tables, names: list[str]) -> str:
-    """Changes when a file of one of the tables does."""
+def _files(t: Tables, names: list[str]) -> list[tuple[str, int, int]]:
+    """(file, bytes, time of change) of the tables' files."""
     jvm, conf = t.spark._jvm, t.spark._jsparkSession.sessionState().newHadoopConf()
     seen = []
     for file in sorted(f for n in names for f in getattr(t, n).inputFiles()):
         path = jvm.org.apache.hadoop.fs.Path(file)
         status = path.getFileSystem(conf).getFileStatus(path)
-        seen.append(f"{file}:{status.getLen()}:{status.getModificationTime()}")
-    return hashlib.sha256("|".join(seen).encode()).hexdigest()[:16]
+        seen.append((file, status.getLen(), status.getModificationTime()))
+    return seen
+
+
+def _fingerprint(t: Tables, names: list[str]) -> str:
+    """Changes when a file of one of the tables does."""
+    return hashlib.sha256("|".join(f"{f}:{n}:{at}" for f, n, at in _files(t, names)).encode()).hexdigest()[:16]
+
+
+def _slices(t: Tables) -> int:
+    size = sum(n for _, n, _ in _files(t, ["lineitem", "orders"]))
+    return max(1, min(MOST_SLICES, -(-size // SLICE_BYTES)))
 
 
 class Silver:
@@ -142,9 +174,10 @@ class Silver:
     @staticmethod
     def _build(t: Tables, store: Published, as_of: dt.date, blocks: int) -> dict:
         content = {n: store.new_folder(n) for n in ("tickets", "units", "index")}
-        write_tickets(jobs.build_tickets(t, as_of), content["tickets"], blocks)
-        write_units(jobs.build_installed_base(t, as_of), content["units"])
-        write_text_index(t.spark.read.parquet(content["tickets"]), content["index"])
+        write_ticket_slices(t, content["tickets"], as_of, blocks, _slices(t))
+        with released_shuffles(t.spark):
+            write_units(jobs.build_installed_base(t, as_of), content["units"])
+            write_text_index(t.spark.read.parquet(content["tickets"]), content["index"])
         try:
             store.publish(content, 0)
         except AlreadyPublished:

@@ -48,8 +48,8 @@ def ticket_extract(t: Tables) -> DataFrame:
                              "l_shipdate", "l_quantity", "l_linestatus", "l_returnflag")
 
 
-def derive_ticket_columns(extract: DataFrame) -> DataFrame:
-    """Raw lineitem columns -> ticket columns (dates, status, type, RTM text)."""
+def derive_ticket_columns(extract: DataFrame, *more: str) -> DataFrame:
+    """Raw lineitem columns -> ticket columns (dates, status, type, RTM text); ``more`` columns stay."""
     return extract.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         F.col("l_shipdate").alias("DATA"),
@@ -59,7 +59,7 @@ def derive_ticket_columns(extract: DataFrame) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "WBP EQUIPAMENTO DOMESTICO")
         .when(F.col("l_returnflag") == "R", "Wbp Equipamento Exportacao").otherwise(F.col("l_returnflag")).alias("TIPO"),
         F.when(F.col("l_partkey") % 3 == 0, "Com RTM").when(F.col("l_partkey") % 3 == 1, "rtm-bt")
-        .otherwise("MECANICA").alias("RTM_RAW"),
+        .otherwise("MECANICA").alias("RTM_RAW"), *more,
     )
 
 
@@ -68,14 +68,26 @@ def ticket_feed(t: Tables) -> DataFrame:
     return derive_ticket_columns(ticket_extract(t))
 
 
-def enrich_ticket_feed(feed: DataFrame, t: Tables) -> DataFrame:
+#: What the joins with orders, suppliers and parts attach.
+TICKET_ATTRIBUTES = ["o_custkey", "o_orderpriority", "o_orderstatus", "s_name", "p_name", "p_brand", "p_type", "p_size"]
+
+
+def join_ticket_attributes(feed: DataFrame, orders: DataFrame, suppliers: DataFrame, t: Tables) -> DataFrame:
     """Attach order, supplier and part attributes (all many-to-one joins)."""
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    s = t.supplier.select("s_suppkey", "s_name")
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    j = (feed.join(o, feed.l_orderkey == o.o_orderkey)
-         .join(s, feed.l_suppkey == s.s_suppkey)
-         .join(p, feed.l_partkey == p.p_partkey))
+    return (feed.join(o, feed.l_orderkey == o.o_orderkey)
+            .join(suppliers, feed.l_suppkey == suppliers.s_suppkey)
+            .join(p, feed.l_partkey == p.p_partkey))
+
+
+def enrich_ticket_feed(feed: DataFrame, t: Tables) -> DataFrame:
+    """Attach order, supplier and part attributes and make the texts of a ticket."""
+    return ticket_texts(join_ticket_attributes(feed, t.orders, t.supplier.select("s_suppkey", "s_name"), t))
+
+
+def ticket_texts(j: DataFrame, *more: str) -> DataFrame:
+    """The raw columns of a ticket from those of the feed and its attributes; ``more`` columns stay."""
     cust = F.col("o_custkey").cast("string")
     bracketed = F.concat(F.when(F.col("p_size") % 10 == 0, F.lit("[stb] ")).otherwise(F.lit("")),
                          F.lit("["), F.col("p_type"), F.lit("] ["), F.lower("p_brand"), F.lit("] "), F.col("p_name"))
@@ -90,7 +102,7 @@ def enrich_ticket_feed(feed: DataFrame, t: Tables) -> DataFrame:
         "TIPO",
         F.when(F.col("p_size") % 10 == 5, F.col("p_name")).otherwise(bracketed).alias("SUMARIO"),
         F.col("RTM_RAW").alias("RTM"),
-        "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_partkey", "l_suppkey", "l_extendedprice", *more,
     )
 
 
