@@ -90,8 +90,13 @@ def text_index(tickets: DataFrame, columns: list[str] | None = None) -> DataFram
     return index.distinct()
 
 
-def write_text_index(tickets: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    text_index(tickets, columns).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(path)
+def write_text_index(tickets: DataFrame, path: str, columns: list[str] | None = None, slices: int = 1) -> None:
+    """The index of silver tickets at ``path``, which is new: one slice of the
+    blocks after the other; the shuffle files of a slice go before the next."""
+    for k in range(slices):
+        with released_shuffles(tickets.sparkSession):
+            index = text_index(tickets.where(F.col("_block") % slices == k) if slices > 1 else tickets, columns)
+            index.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("append").parquet(path)
 
 
 def folded(c: Column) -> Column:
@@ -174,10 +179,11 @@ class Silver:
     @staticmethod
     def _build(t: Tables, store: Published, as_of: dt.date, blocks: int) -> dict:
         content = {n: store.new_folder(n) for n in ("tickets", "units", "index")}
-        write_ticket_slices(t, content["tickets"], as_of, blocks, _slices(t))
+        slices = _slices(t)
+        write_ticket_slices(t, content["tickets"], as_of, blocks, slices)
         with released_shuffles(t.spark):
             write_units(jobs.build_installed_base(t, as_of), content["units"])
-            write_text_index(t.spark.read.parquet(content["tickets"]), content["index"])
+        write_text_index(t.spark.read.parquet(content["tickets"]), content["index"], slices=min(slices, blocks))
         try:
             store.publish(content, 0)
         except AlreadyPublished:
